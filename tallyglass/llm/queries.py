@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, packing, token_counts, token_files
+from tallyglass.llm import exact_dedup, langid, minhash, packing, simhash, token_counts, token_files
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,10 +25,18 @@ def tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_neighbours(documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer()))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer())
 
@@ -38,12 +46,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer(), TOKEN_LIMIT)
 
 
+OPERATORS = (
+    op1_fingerprints,
+    op2_token_files,
+    op4_language_id,
+    op5_packing,
+    op6_exact_dedup,
+    op8_simhash,
+    op9_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_packing, op6_exact_dedup, op9_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
