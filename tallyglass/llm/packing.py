@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         cache, end = pretokens.packed_ids(tok.value, dtype), np.array([end_id], dtype).tobytes()
         for batch in batches:
             out = []
-            for doc_id, packed in zip(batch.column(0).to_pylist(), cache.values(batch.column(1).to_pylist()), strict=True):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), cache.values(pretokens.texts_of(batch.column(1))), strict=True):
                 ids = np.frombuffer(packed + end, dtype).astype("<u4")
                 out += [(doc_id, k, at, len(x := ids[at : at + capacity]), zlib.crc32(x)) for k, at in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*out, strict=True)) or [()] * 5

@@ -37,11 +37,20 @@ def load(tokenizer_json: str):
     return tok
 
 
+def byte_alphabet() -> dict[int, str]:
+    """How the byte-level pre-tokeniser spells each Latin-1 character beyond ASCII."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {c: spell(chr(c))[0][0] for c in range(0xA1, 0x100)}
+
+
 class PretokenCache:
     """Values of pre-tokens, remembered per worker. `value` makes one from a list of ids and `join` combines them."""
 
     def __init__(self, tokenizer_json: str, value: Callable, join: Callable, entries: int = CACHE_ENTRIES):
         self.tok, self.value, self.join, self.entries = load(tokenizer_json), value, join, entries
+        self.model, self.bytes = self.tok.model, byte_alphabet()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, object] = {}
         self.frequent: dict[str, object] = {}
@@ -56,8 +65,12 @@ class PretokenCache:
             return None
         return WORD.findall(text.lower())
 
-    def encode(self, texts: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode_text(self, text: str):
+        return self.value(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def encode_word(self, word: str):
+        """A pre-token from `words`: normalised and split already, so only its bytes are mapped and merged."""
+        return self.value([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
 
     def _chunk(self, texts: list[str]) -> Iterator:
         split = [self.words(t) for t in texts]
@@ -65,11 +78,11 @@ class PretokenCache:
             for k in list(islice(self.known, len(self.known) // 2)):
                 del self.known[k]
         new = {w for words in split if words is not None for w in words}
-        new = list(new.difference(self.frequent).difference(self.known))
-        self.known.update(zip(new, self.encode(new), strict=True))
+        new = new.difference(self.frequent).difference(self.known)
+        self.known.update(zip(new, map(self.encode_word, new), strict=True))
         get = Tiers(self.frequent, self.known).__getitem__ if self.frequent else self.known.__getitem__
         for text, words in zip(texts, split, strict=True):
-            yield self.join(map(get, words)) if words is not None else self.encode([text])[0]
+            yield self.join(map(get, words)) if words is not None else self.encode_text(text)
 
     def values(self, texts: Iterable[str]) -> Iterator:
         """The joined value of each text, in order."""
@@ -83,6 +96,12 @@ class PretokenCache:
         yield from self._chunk(held)
 
 
+def texts_of(column, rows: int = 256) -> Iterator[str]:
+    """The strings of an Arrow column, a few at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 class Tiers(dict):
     """Two tiers as one mapping: the broadcast table first, the worker's cache for what it lacks."""
 

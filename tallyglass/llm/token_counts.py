@@ -43,7 +43,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer_json: str, entries: int = TABL
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, counts = pretokens.lengths(tok.value, {}), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in pretokens.texts_of(batch.column(0)):
                 counts.update(cache.words(text) or ())
                 if len(counts) > COUNTED_ENTRIES:
                     counts = _cut(counts, COUNTED_ENTRIES // 4)
@@ -59,7 +59,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer_json: str, entries: int = TABL
         return {}
     merged = summaries.treeAggregate(_packed(Counter(), entries), merge, merge, depth=3)
     words = sorted(pickle.loads(zlib.decompress(merged)))
-    return dict(zip(words, pretokens.PretokenCache(tokenizer_json, len, sum).encode(words), strict=True))
+    return dict(zip(words, map(pretokens.PretokenCache(tokenizer_json, len, sum).encode_word, words), strict=True))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, table_entries: int = TABLE_ENTRIES) -> DataFrame:
@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, table_entries: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = pretokens.lengths(tok.value, table.value)
         for batch in batches:
-            n = pa.array(cache.values(batch.column(2).to_pylist()), pa.int64())
+            n = pa.array(cache.values(pretokens.texts_of(batch.column(2))), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))

@@ -77,7 +77,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             for batch in batches:
                 n.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-                for packed in cache.values(batch.column(1).to_pylist()):
+                for packed in cache.values(pretokens.texts_of(batch.column(1))):
                     ids.write(packed + end)
                     sizes.append((len(packed) + len(end)) // len(end))
         offsets = np.cumsum(np.array(sizes, "<i8"))
