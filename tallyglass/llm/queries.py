@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, langid, minhash, packing, simhash, token_counts, token_files
+from tallyglass.llm import exact_dedup, langid, licenses, minhash, mixing, packing, simhash, token_counts, token_files
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+#: Production weights: two domains and one language above the rest, one source above its siblings.
+MIX = mixing.Mix(domain_weights={"d0": 4.0, "d1": 2.0}, lang_weights={"en": 3.0}, source_weights={"src0": 2.0})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir), MIX)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
@@ -54,14 +60,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer(), TOKEN_LIMIT)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 OPERATORS = (
     op1_fingerprints,
     op2_token_files,
     op4_language_id,
     op5_packing,
     op6_exact_dedup,
+    op7_mixing,
     op8_simhash,
     op9_token_counts,
+    op10_licenses,
 )
 
 
@@ -69,8 +81,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+def _divided(table: str, parent: str, child: str, out: str) -> str:
+    """DuckDB text that divides `given` of each parent among its children, as mixing.divide does."""
+    at = f"(PARTITION BY {parent} ORDER BY capacity / w, {child} ROWS BETWEEN"
+    return f"""
+            {out}_a AS (SELECT *, given - coalesce(sum(capacity) OVER {at} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+                sum(w) OVER {at} CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {table} WHERE w > 0 AND capacity > 0),
+            {out} AS (SELECT *, CASE WHEN capacity * ws <= lft * w THEN capacity::DOUBLE
+                ELSE w * max(CASE WHEN capacity * ws > lft * w THEN lft / ws END) OVER (PARTITION BY {parent}) END AS budget FROM {out}_a),"""
+
+
+MIXING_SQL = rf"""
+            WITH t AS (SELECT doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 4) AS domain, coalesce(lang, '') AS lang,
+                coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+            leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2.0::DOUBLE * sum(n_tokens)::BIGINT AS capacity,
+                CASE source WHEN 'src0' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM t GROUP BY ALL),
+            d0 AS (SELECT domain, 0 AS tree, sum(capacity) AS capacity, CASE domain WHEN 'd0' THEN 4.0 WHEN 'd1' THEN 2.0 ELSE 1.0 END::DOUBLE AS w,
+                (SELECT sum(tokens) FROM leaf)::DOUBLE * 0.7::DOUBLE AS given FROM leaf GROUP BY domain),{_divided("d0", "tree", "domain", "dom")}
+            l0 AS (SELECT leaf.domain, leaf.lang, sum(leaf.capacity) AS capacity, CASE leaf.lang WHEN 'en' THEN 3.0 ELSE 1.0 END::DOUBLE AS w,
+                any_value(dom.budget) AS given FROM leaf JOIN dom USING (domain) GROUP BY leaf.domain, leaf.lang),{_divided("l0", "domain", "lang", "lng")}
+            s0 AS (SELECT leaf.*, lng.budget AS given FROM leaf JOIN lng USING (domain, lang)),{_divided("s0", "domain, lang", "source", "src")}
+            e AS (SELECT domain, lang, source, epoch, least(tokens, floor(budget + 1e-6)::BIGINT - epoch * tokens) AS room
+                FROM src, (SELECT unnest([0, 1]) AS epoch) WHERE epoch <= least(floor(floor(budget + 1e-6) / tokens), 1)),
+            k AS (SELECT t.*, epoch, room, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM t JOIN e USING (domain, lang, source)),
+            r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM k)
+            SELECT doc_id, domain, lang, source, n_tokens, epoch FROM r WHERE upto <= room"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_mixing": MIXING_SQL,
         "op6_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
             g AS (SELECT norm, count(*) AS group_size, arg_max(doc_id, (n, -doc_id)) AS keep_id FROM d GROUP BY norm)
