@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, langid, licenses, minhash, mixing, packing, simhash, token_counts, token_files
+from tallyglass.llm import exact_dedup, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer()))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -67,6 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_fingerprints,
     op2_token_files,
+    op3_suffix_dedup,
     op4_language_id,
     op5_packing,
     op6_exact_dedup,
