@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.plans import gold
+from tallyglass.plans import evaluation, gold
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return gold.queries()
+    return gold.queries() | evaluation.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return gold.oracle_sql()
+    return gold.oracle_sql() | evaluation.oracle_sql()

@@ -1,0 +1,97 @@
+"""Canonical form and hash of a query result: a bag of rows, positions significant, names and row order not."""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import json
+import unicodedata
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_ROWS = 10_000
+
+
+class ResultTooLarge(RuntimeError):
+    """The result has more rows than the cap."""
+
+
+def canonical_cell(value: object) -> object:
+    """Numbers to two decimals, booleans as 0 or 1, dates in ISO form, text folded; sequences cell by cell."""
+    match value:
+        case None:
+            return None
+        case bool():
+            return int(value)
+        case float():
+            return round(value, 2)
+        case int():
+            return value
+        case datetime.date():
+            return value.isoformat()
+        case list() | tuple():
+            return [canonical_cell(v) for v in value]
+    return " ".join(unicodedata.normalize("NFC", str(value)).split()).casefold()
+
+
+def canonical_hash(rows: Iterable[Sequence]) -> tuple[str, int]:
+    """SHA-256 of the canonical bag, and its size."""
+    bag = sorted((tuple(map(canonical_cell, r)) for r in rows), key=repr)
+    text = json.dumps({"n": len(bag), "rows": [list(r) for r in bag]}, ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest(), len(bag)
+
+
+def bounded_rows(df: DataFrame, most: int = MAX_ROWS) -> list[tuple]:
+    """All rows of a result that has no more than `most`; it is the caller's answer, so a larger one is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ResultTooLarge(f"result exceeds {most} rows")
+    return [tuple(r) for r in rows]
+
+
+def result_hash(df: DataFrame, most: int = MAX_ROWS) -> tuple[str, int]:
+    return canonical_hash(bounded_rows(df, most))
+
+
+# ---- the same idea for results of any size, on the executors ---------------------------------------------------------
+
+
+def cell_text(column: str, kind: T.DataType) -> Column:
+    """A cell's canonical text; null is a text no other cell has."""
+    c = F.col(column)
+    if isinstance(kind, T.BooleanType):
+        c = c.cast("int").cast("string")
+    elif isinstance(kind, T.DoubleType | T.FloatType | T.DecimalType):
+        c = F.format_string("%.2f", F.round(c.cast("double"), 2) + 0.0)
+    elif isinstance(kind, T.DateType):
+        c = F.date_format(c, "yyyy-MM-dd")
+    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    elif isinstance(kind, T.StringType):
+        c = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    else:
+        c = c.cast("string")
+    return F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+
+
+def row_text(df: DataFrame) -> DataFrame:
+    """One canonical text a row, `row`."""
+    return df.select(F.concat_ws("|", *[cell_text(f.name, f.dataType) for f in df.schema]).alias("row"))
+
+
+def bag_digest(df: DataFrame) -> DataFrame:
+    """n_rows, digest: order-insensitive, combined map-side, for results too large to collect.
+
+    The digest is the sum of the rows' first 60 bits of md5, so equal bags have equal digests at any partitioning.
+    """
+    part = F.conv(F.substring(F.md5("row"), 1, 15), 16, 10).cast("decimal(38,0)")
+    return row_text(df).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+
+
+def bag_equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two results are equal bags, compared row by row on the executors."""
+    x, y = row_text(a), row_text(b)
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()

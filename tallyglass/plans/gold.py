@@ -103,7 +103,7 @@ SHARED: dict[str, str] = {
             ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) t WHERE r = 1""",
     "turn_index": """
         SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index FROM conversations""",
-    "last_turn": """
+    "last_turn_window": """
         SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
             FROM conversations) t WHERE r = 1""",
     "last_three_turns": """

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Incremental forms of stored state: turns and experience arriving as streams."""
