@@ -13,15 +13,23 @@ from pyspark.sql import types as T
 from tallyglass.operators.retrieval import sealed, tampered
 from tallyglass.sources.catalog import DECLARED
 
-QUESTION = T.StructType.fromDDL(
-    "id string, question string, gold_sql string, expected_rows struct<sha256: string, n_rows: bigint>, date string, "
-    "difficulty string, category string, split string, source string"
+QUESTION = (
+    T.StructType()
+    .add("id", "string")
+    .add("question", "string")
+    .add("gold_sql", "string")
+    .add("expected_rows", T.StructType().add("sha256", "string").add("n_rows", "long"))
+    .add("date", "string")
+    .add("difficulty", "string")
+    .add("category", "string")
+    .add("split", "string")
+    .add("source", "string")
 )
 #: The legal values of a question's labels.
 LEGAL = {
     "difficulty": ("easy", "medium", "hard"),
-    "category": ("per_order_lookup", "aggregation", "multi_table_join", "review_text"),
     "split": ("train_ok", "heldout"),
+    "category": ("per_order_lookup", "aggregation", "multi_table_join", "review_text"),
     "source": ("human", "template+human-verified"),
 }
 
