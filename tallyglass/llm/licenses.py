@@ -37,7 +37,7 @@ NOTICES = {
     "CC-BY-long": "This work is licensed under a Creative Commons Attribution {v} International License.",
     "CC0": "This work is dedicated to the public domain under CC0 {v}.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Proprietary": "All rights reserved. Unauthorized copying of this file is strictly prohibited.",
+    "Proprietary": "All rights reserved.",
 }
 #: Fixed value: what makes a text, then a sentence, a candidate.
 MENTION = r"(?i)licen[cs]e|redistribut|creative commons|public domain|all rights reserved|permission is hereby|\bCC[ -]BY\b"
