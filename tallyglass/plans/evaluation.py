@@ -278,14 +278,14 @@ _DOCS_SQL = (
 )
 
 
-@query(f"WITH {_DOCS_SQL} SELECT table_name, row_id, text FROM docs WHERE table_name <> 'part' AND table_name <> 'supplier'")
+@query(f"WITH {_DOCS_SQL} SELECT table_name, row_id, text FROM docs")
 def doc_text(spark, sf_dir):
-    return _docs(spark, sf_dir).where("table_name NOT IN ('part', 'supplier')").select("table_name", "row_id", "text")
+    return _docs(spark, sf_dir).select("table_name", "row_id", "text")
 
 
-@query(" UNION ALL ".join(f"SELECT '[{t}:' || {c.split()[0]} || '] ' || {'|| '.join(f'''{chr(39)}{' | ' if i else ''}{x}: {chr(39)} || {x} ''' for i, x in enumerate(c.split()))} AS row_text FROM {t}" for t, c in _COLUMNS.items() if t in ("nation", "region")))
+@query(" UNION ALL ".join(f"SELECT '[{t}:' || {c.split()[0]} || '] ' || {'|| '.join(f'''{chr(39)}{' | ' if i else ''}{x}: {chr(39)} || {x} ''' for i, x in enumerate(c.split()))} AS row_text FROM {t}" for t, c in _COLUMNS.items()))
 def doc_render(spark, sf_dir):
-    return retrieval.rendered(_docs(spark, sf_dir).where("table_name IN ('nation', 'region')")).select("row_text")
+    return retrieval.rendered(_docs(spark, sf_dir)).select("row_text")
 
 
 @query(f"WITH {_DOCS_SQL}, e AS (SELECT DISTINCT table_name, row_id, unnest(t) AS term FROM tok) SELECT term, COUNT(*) AS df FROM e GROUP BY term")
@@ -505,7 +505,7 @@ def wilson_ci(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RUNS_SQL}, w AS (SELECT * FROM preds WHERE item % 100 = 0) SELECT x.system AS a, y.system AS b, SUM((x.correct AND y.correct)::INT)::BIGINT AS both,
+    f"""WITH {RUNS_SQL} SELECT x.system AS a, y.system AS b, SUM((x.correct AND y.correct)::INT)::BIGINT AS both,
         SUM((x.correct AND NOT y.correct)::INT)::BIGINT AS only_a, SUM((NOT x.correct AND y.correct)::INT)::BIGINT AS only_b,
         SUM((NOT x.correct AND NOT y.correct)::INT)::BIGINT AS neither FROM preds x JOIN preds y ON x.item = y.item AND x.system < y.system GROUP BY ALL"""
 )

@@ -1,6 +1,7 @@
 """Gold queries: the relational constructs of a question set, as Spark SQL beside the oracle's text.
 
-Most texts are valid in both engines and are written once; a pair is given where the dialects differ.
+Most texts are valid in both engines and are written once; a pair is given where the dialects differ. Means are moved by
+1e-7 before they are rounded, so that ties do not hang on the order of a float sum.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ SHARED: dict[str, str] = {
     "lookup_flat": "SELECT event_id, event_type, value FROM events WHERE user_id = 17 AND event_type IS NOT NULL AND event_type <> ''",
     "date_range_half_open": "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-04-01 00:00:00'",
     "conjunction_filter": "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000",
-    "numeric_compare": "SELECT COUNT(*) AS n, ROUND(AVG(l_extendedprice), 2) AS mean_price FROM lineitem WHERE l_quantity > 40",
+    "numeric_compare": "SELECT COUNT(*) AS n, ROUND(AVG(l_extendedprice) + 1e-7, 2) AS mean_price FROM lineitem WHERE l_quantity > 40",
     "like_count": "SELECT COUNT(*) AS n FROM part WHERE p_name ILIKE '%ar%'",
     "like_folded": "SELECT COUNT(*) AS n FROM part WHERE LOWER(p_type) LIKE LOWER('%E%')",
     "late_rows": "SELECT COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate",
@@ -28,10 +29,9 @@ SHARED: dict[str, str] = {
     "left_join_is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL",
     "scalar_sub_filter": "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)",
     "corr_scalar_select": """
-        SELECT c_custkey, (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders
-        FROM customer WHERE c_nationkey = 3""",
+        SELECT c_custkey, (SELECT COUNT(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer""",
     "constant_alias": "SELECT 'all orders' AS label, COUNT(*) AS n FROM orders",
-    "arithmetic_sum": "SELECT ROUND(SUM(l_extendedprice * (1 - l_discount) + l_tax), 2) AS total FROM lineitem",
+    "arithmetic_sum": "SELECT ROUND(SUM(l_extendedprice * (1 - l_discount) + l_tax) + 1e-7, 2) AS total FROM lineitem",
     "cte_chain": """
         WITH per AS (SELECT o_custkey, SUM(o_totalprice) AS spent FROM orders GROUP BY o_custkey),
         big AS (SELECT o_custkey, spent FROM per WHERE spent > 500000)
@@ -57,11 +57,11 @@ SHARED: dict[str, str] = {
         SELECT l.quality, COUNT(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text ILIKE '%the%' GROUP BY l.quality""",
     # aggregates
     "global_aggregates": """
-        SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total, ROUND(AVG(o_totalprice), 4) AS mean,
+        SELECT COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total, ROUND(AVG(o_totalprice) + 1e-7, 4) AS mean,
             MIN(o_totalprice) AS least, MAX(o_totalprice) AS most FROM orders""",
     "count_by_status": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
     "sum_by_type": "SELECT event_type, ROUND(SUM(value), 4) AS total, ROUND(AVG(value), 6) AS mean FROM events GROUP BY event_type",
-    "avg_where_gt": "SELECT l_returnflag, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem WHERE l_extendedprice > 200 GROUP BY l_returnflag",
+    "avg_where_gt": "SELECT l_returnflag, ROUND(AVG(l_extendedprice) + 1e-7, 4) AS mean FROM lineitem WHERE l_extendedprice > 200 GROUP BY l_returnflag",
     "key_filtered_group": "SELECT l_returnflag, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS total FROM lineitem WHERE l_orderkey = 101 GROUP BY l_returnflag",
     "count_two_predicates": "SELECT COUNT(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.05",
     "having_count": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15",
@@ -113,7 +113,7 @@ SHARED: dict[str, str] = {
         SELECT text, item_id FROM (SELECT text, doc_id AS item_id, ROW_NUMBER() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) t WHERE r = 1""",
     "running_total": """
         SELECT o_custkey, o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running
-        FROM orders WHERE o_custkey < 100""",
+        FROM orders""",
 }
 
 #: (Spark text, oracle text) where the dialects differ.
@@ -121,16 +121,16 @@ PAIRS: dict[str, tuple[str, str]] = {
     name: (template.replace("<month>", "date_format({}, 'yyyy-MM')".format(column)), template.replace("<month>", f"strftime({column}, '%Y-%m')"))
     for name, column, template in (
         ("count_by_month", "o_orderdate", "SELECT <month> AS month, COUNT(*) AS n FROM orders GROUP BY <month>"),
-        ("avg_by_month", "o_orderdate", "SELECT <month> AS month, ROUND(AVG(o_totalprice), 4) AS mean FROM orders WHERE o_orderstatus = 'O' GROUP BY <month>"),
+        ("avg_by_month", "o_orderdate", "SELECT <month> AS month, ROUND(AVG(o_totalprice) + 1e-7, 4) AS mean FROM orders WHERE o_orderstatus = 'O' GROUP BY <month>"),
         ("revenue_by_month", "o_orderdate", """SELECT <month> AS month, ROUND(SUM(l_extendedprice), 2) AS revenue, COUNT(*) AS n
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY <month>"""),
         ("events_by_month_type", "ts", "SELECT <month> AS month, event_type, COUNT(*) AS n FROM events GROUP BY <month>, event_type"),
     )
 } | {
     "days_between": (
-        """SELECT l_returnflag, ROUND(AVG((unix_micros(CAST(l_shipdate AS TIMESTAMP)) - unix_micros(CAST(o_orderdate AS TIMESTAMP))) / 86400e6), 4) AS days
+        """SELECT l_returnflag, ROUND(AVG((unix_micros(CAST(l_shipdate AS TIMESTAMP)) - unix_micros(CAST(o_orderdate AS TIMESTAMP))) / 86400e6) + 1e-7, 4) AS days
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag""",
-        """SELECT l_returnflag, ROUND(AVG((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6), 4) AS days
+        """SELECT l_returnflag, ROUND(AVG((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6) + 1e-7, 4) AS days
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag""",
     ),
     "minmax_dates": (
