@@ -22,10 +22,16 @@ from pyspark.sql import types as T
 
 from tallyglass.llm.common import ASCII_SPACE, materialize, scratch, text_of
 
-#: Keyed state on the executors' disks, uploaded on commit and then closed: an open store preallocates 4 MB.
+#: Keyed state on the executors' disks; each commit uploads its changes and closes the store: an open one preallocates 4 MB.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+#: On a mounted folder the default manager starts a `readlink` process for every file of every store.
+LOCAL_SETTINGS = {
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
 }
 
 RECORD = T.StructType(
@@ -69,8 +75,9 @@ def records(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
 
 def update_state(spark: SparkSession, path: str, checkpoint: str, max_files_per_trigger: int | None = None) -> None:
     """Stream all record files under `path` that `checkpoint` has not seen into its keyed state, then stop."""
-    keep = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
-    for k, v in STATE_SETTINGS.items():
+    settings = STATE_SETTINGS | (LOCAL_SETTINGS if checkpoint.startswith("file:") else {})
+    keep = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(RECORD)
@@ -152,7 +159,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         "dedup-kept",
     )
     joined = docs.join(
-        chosen,
+        chosen.hint("shuffle_hash"),  # the texts are streamed past the small side and never sorted
         docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (sha256(normalised()) == F.col("__digest")) & (F.char_length(text_of()) == F.col("__chars")),
     )
     single = joined.where("__same = 1").select(*[joined[c] for c in docs.columns])

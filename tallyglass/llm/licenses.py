@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import text_of
+from tallyglass.llm.common import lean, text_of
 
 #: Notice wordings of well-known licenses. `{v}` is a version.
 NOTICES = {
@@ -137,4 +137,4 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     mentioned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(MENTION))
-    return mentioned.mapInArrow(run, schema)
+    return mentioned.mapInArrow(lean(run), schema)

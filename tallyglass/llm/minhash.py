@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import shuffle_partitions, text_of
+from tallyglass.llm.common import lean, shuffle_partitions, text_of
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -147,4 +147,4 @@ def fingerprint_neighbours(docs: DataFrame, size: int = SHINGLE, partitions: int
     dealt = dealt.select("k", "doc_id", "text", (F.col("place") % 2 == 1).alias("guest"), F.floor(F.col("place") / 2).cast("int").alias("range"))
     ordered = dealt.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("guest", F.desc("k"), F.desc("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("guest", "doc_id", "text").mapInArrow(run, schema)
+    return ordered.select("guest", "doc_id", "text").mapInArrow(lean(run), schema)

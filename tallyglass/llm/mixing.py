@@ -134,5 +134,5 @@ def keep_mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     taken = mix_sources(docs, mix).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__taken"))
     rows = docs.groupBy(F.col("doc_id").cast("long").alias("__own")).agg(F.count(F.lit(1)).alias("__rows"))
     each = taken.join(rows, F.col("__id").eqNullSafe(F.col("__own"))).select("__id", F.greatest(F.lit(1), F.floor(F.col("__taken") / F.col("__rows"))).cast("int").alias("__copies"))
-    joined = docs.join(each, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
+    joined = docs.join(each.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import pretokens
-from tallyglass.llm.common import text_of
+from tallyglass.llm.common import lean, text_of
 
 #: Pre-tokens in the broadcast table (about 1 MB) and in each task's summary.
 TABLE_ENTRIES = 16_384
@@ -54,7 +54,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer_json: str, entries: int = TABL
         both.update(pickle.loads(zlib.decompress(b)))
         return _packed(both, entries)
 
-    summaries = docs.select(text_of().alias("text")).mapInArrow(summarise, "summary binary").rdd.map(lambda r: bytes(r[0]))
+    summaries = docs.select(text_of().alias("text")).mapInArrow(lean(summarise), "summary binary").rdd.map(lambda r: bytes(r[0]))
     if summaries.getNumPartitions() == 0:
         return {}
     merged = summaries.treeAggregate(_packed(Counter(), entries), merge, merge, depth=3)
@@ -81,5 +81,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, table_entries: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
-    counted = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm import pretokens
-from tallyglass.llm.common import scratch, text_of
+from tallyglass.llm.common import lean, scratch, text_of
 
 END_ID = 2
 
@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         yield pa.RecordBatch.from_pylist([{"part": part, "docs": len(sizes) - 1, "tokens": int(offsets[-1])}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id")
-    written = rows.sortWithinPartitions("doc_id", "text").mapInArrow(write, "part long, docs long, tokens long").collect()
+    written = rows.sortWithinPartitions("doc_id", "text").mapInArrow(lean(write), "part long, docs long, tokens long").collect()
     parts = [{"part": r.part, "docs": r.docs, "tokens": r.tokens} for r in sorted(written, key=lambda r: r.part) if r.docs]
     bases = accumulate((p["tokens"] for p in parts), initial=0)
     manifest = {"dtype": dtype, "end_id": end_id, "parts": [p | {"base": b} for p, b in zip(parts, bases, strict=False)]}
@@ -117,4 +117,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             arrays = [pa.array(doc_ids, mask=null), pa.array(part["base"] + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
