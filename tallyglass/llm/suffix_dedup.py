@@ -9,7 +9,8 @@ left with one run has no repeats; this is where almost all text ends.
 Suffix arrays. Where a bucket keeps several different runs, their bytes are fetched and the suffixes that start their
 windows are sorted by deep-shallow sorting, LENGTH bytes deep: multikey quicksort on 8-byte characters down to a
 shallow depth, then blind tries for the groups that still share a long prefix. Neighbours in the array with a common
-prefix of LENGTH are equal windows; all but the earliest are repeats.
+prefix of LENGTH are equal windows; all but the earliest are repeats. A bucket with more than CROWDED runs (around a
+passage that very many documents share) is first split into its single windows, dealt out by the hash of their bytes.
 
 Documents are ordered by doc_id. Matches never cross documents, and every string is judged on the input.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import materialize, shuffle_partitions, text_of
+from tallyglass.llm.common import lean, materialize, release, shuffle_partitions, text_of
 
 LENGTH = 100
 ANCHOR = 32
@@ -34,8 +35,10 @@ SHALLOW = 5
 #: Bytes whose windows are hashed together; a longer text is cut, windows of a piece reaching into the next.
 PIECE = 1 << 18
 POSITION = np.uint64((1 << 20) - 1)
-#: Bytes of runs whose suffixes are sorted together; a bucket beyond it is sorted whole.
-SORTED = 1 << 20
+#: Bytes of documents that are put out together.
+PUT_OUT = 1 << 20
+#: Runs in a bucket beyond which it is split into the buckets of its single windows, which meet again by their own bytes.
+CROWDED = 30_000
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -259,20 +262,28 @@ def _table(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
-def _ordered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Consecutive rows with one key, as dicts; a few rows are decoded at a time."""
-    held: list[dict] = []
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive rows with one value in the first column, as slices of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        for at in range(0, len(batch), 1024):
-            for row in batch.slice(at, 1024).to_pylist():
-                if held and row[key] != held[0][key]:
+        key = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if hi > lo:
+                if held and key[lo] != last:
                     yield held
                     held = []
-                held.append(row)
+                last = key[lo]
+                held.append(batch.slice(lo, hi - lo))
     if held:
         yield held
 
 
+def _numbers(parts: list[pa.RecordBatch], column: int) -> np.ndarray:
+    return np.concatenate([p.column(column).fill_null(0).to_numpy(zero_copy_only=False) for p in parts])
+
+
 def _finished(rows: list[tuple]) -> dict[str, list]:
     """Columns of DONE from (key, doc_id, raw, firsts, windows) of documents."""
     out: dict[str, list] = {x.split()[0]: [] for x in DONE.split(", ")}
@@ -311,8 +322,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
             row, first, windows, bucket, content = (x[by] for x in (row, first, windows, bucket, content))
             again = np.zeros(len(row), bool)
             again[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
-            bucket = np.where(again, textbytes.mix(keys[row].view(np.uint64)), bucket)
-            yield _table(RUN, bucket=bucket.view(np.int64), content=content.view(np.int64), key=keys[row], first=first, windows=windows, repeat=again)
+            gone = np.flatnonzero(again)
+            gone = gone[np.lexsort((first[gone], row[gone]))]
+            r, f, w = row[gone], first[gone], windows[gone]
+            opens = np.ones(len(gone), bool)  # adjoining repeats of a document are one
+            opens[1:] = (r[1:] != r[:-1]) | (f[1:] != f[:-1] + w[:-1])
+            at = np.flatnonzero(opens)
+            if len(at):
+                own = textbytes.mix(keys[r[at]].view(np.uint64)).view(np.int64)
+                yield _table(RUN, bucket=own, content=own, key=keys[r[at]], first=f[at], windows=np.add.reduceat(w, at), repeat=np.ones(len(at), bool))
+            kept = ~again
+            yield _table(RUN, bucket=bucket[kept].view(np.int64), content=content[kept].view(np.int64), key=keys[row[kept]], first=first[kept], windows=windows[kept], repeat=np.zeros(kept.sum(), bool))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs: repeats of equal runs become kind 1, first runs of buckets with several contents kind 2."""
@@ -350,36 +370,78 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                 yield _table(WORK, kind=kind, key=k, first=f, windows=w, bucket=bk)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document with what its runs need: finished where nothing is to be sorted, else kept with its runs' bytes."""
+        """A document (its bytes come first) with what its runs need: finished where nothing is to be sorted, else kept with its runs' bytes."""
         done: list[tuple] = []
-        for rows in _ordered(batches, "key"):
-            doc = next(r for r in rows if r["kind"] == 0)
-            gone = [r for r in rows if r["kind"] == 1]
-            todo = [r for r in rows if r["kind"] == 2]
-            firsts, windows = [r["first"] for r in gone], [r["windows"] for r in gone]
-            if todo:
-                raw = doc["raw"]
-                yield _table(WORK, kind=[0], key=[doc["key"]], doc_id=[doc["doc_id"]], raw=[raw])
-                if gone:
-                    yield _table(WORK, kind=[1] * len(gone), key=[doc["key"]] * len(gone), first=firsts, windows=windows)
-                bits = [raw[r["first"] : r["first"] + r["windows"] + length - 1] for r in todo]
-                yield _table(WORK, kind=[2] * len(todo), key=[doc["key"]] * len(todo), first=[r["first"] for r in todo], windows=[r["windows"] for r in todo], bucket=[r["bucket"] for r in todo], raw=bits)
-            else:
-                done.append((doc["key"], doc["doc_id"], doc["raw"], firsts, windows, length))
-            if len(done) == 256:
+        held: dict[str, list] = {}
+
+        def keep(**columns) -> None:
+            for name, values in columns.items():
+                held.setdefault(name, []).extend(values)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
                 yield _table(WORK, **_finished(done))
-                done = []
-        if done:
-            yield _table(WORK, **_finished(done))
+                done.clear()
+            if held:
+                yield _table(WORK, **held)
+                held.clear()
+
+        size = 0
+        for parts in _grouped(batches):
+            key, doc_id, raw = parts[0].column(0)[0].as_py(), parts[0].column(4)[0].as_py(), parts[0].column(5)[0].as_py()
+            kind, first, windows = (_numbers(parts, i) for i in (1, 2, 3))
+            gone, todo = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+            size += len(raw) + 1000
+            if len(todo):
+                bits = [raw[f : f + w + length - 1] for f, w in zip(first[todo].tolist(), windows[todo].tolist(), strict=True)]
+                n_rows, none = 1 + len(gone) + len(todo), [None]
+                keep(
+                    kind=[0, *[1] * len(gone), *[2] * len(todo)], key=[key] * n_rows, doc_id=[doc_id, *none * (n_rows - 1)],
+                    first=[0, *first[gone].tolist(), *first[todo].tolist()], windows=[0, *windows[gone].tolist(), *windows[todo].tolist()],
+                    bucket=[*none * (1 + len(gone)), *_numbers(parts, 6)[todo].tolist()], raw=[raw, *none * len(gone), *bits],
+                )
+            else:
+                done.append((key, doc_id, raw, first[gone], windows[gone], length))
+            if size > PUT_OUT:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of a crowded bucket as single windows, each in a bucket named by its own bytes; repeats within a batch are settled."""
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                raws, windows = part.column(4).to_pylist(), part.column(3).to_numpy().astype(np.int64)
+                data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+                run = np.repeat(np.arange(len(raws)), windows)
+                step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+                at_ = base[run] + step
+                up, down = textbytes.powers(len(data))
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+                own = textbytes.mix((total[at_ + length] - total[at_]) * down[at_])
+                key, first = part.column(1).to_numpy()[run], part.column(2).to_numpy()[run] + step
+                by = np.lexsort((first, key, own))
+                again = np.zeros(len(by), bool)
+                again[1:] = own[by][1:] == own[by][:-1]
+                alike, span = np.flatnonzero(again), np.arange(length)
+                again[alike] = (data[at_[by[alike], None] + span] == data[at_[by[alike - 1], None] + span]).all(axis=1)
+                gone, kept = by[again], by[~again]
+                if len(gone):
+                    yield _table(WORK, kind=np.ones(len(gone)), key=key[gone], first=first[gone], windows=np.ones(len(gone)))
+                if len(kept):
+                    bits = [data[x : x + length].tobytes() for x in at_[kept].tolist()]
+                    yield _table(WORK, kind=np.full(len(kept), 2), key=key[kept], first=first[kept], windows=np.ones(len(kept)), bucket=own[kept].view(np.int64), raw=bits)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs in order of bucket, key and first window: windows that repeat an earlier one of their bucket."""
 
-        def repeats(held: list[dict]) -> Iterator[pa.RecordBatch]:
-            data = np.frombuffer(b"".join(r["raw"] for r in held), np.uint8)
-            base = np.cumsum([0, *(len(r["raw"]) for r in held)])
-            windows = np.array([r["windows"] for r in held])
-            run = np.repeat(np.arange(len(held)), windows)
+        def repeats(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, at0, windows = (_numbers(held, i).astype(np.int64) for i in (1, 2, 3))
+            raws = [r for p in held for r in p.column(4).to_pylist()]
+            data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+            run = np.repeat(np.arange(len(raws)), windows)
             suffix = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + base[run]
             order, group = suffix_groups(data, suffix, length)
             # runs are laid out by (bucket, key, first), so the least suffix of a group is the earliest window
@@ -387,36 +449,62 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
             np.minimum.at(earliest, group, order)
             again = np.sort(order[order != earliest[group]])
             if len(again):
-                opens = np.concatenate([[True], np.diff(again) != 1])
-                at = np.flatnonzero(opens)
-                r = np.searchsorted(base, again[at], "right") - 1
-                length_ = np.diff(np.append(at, len(again)))
-                yield _table(WORK, kind=np.ones(len(at)), key=[held[i]["key"] for i in r], first=again[at] - base[r] + np.array([held[i]["first"] for i in r]), windows=length_)
-
-        held, size = [], 0
-        for rows in _ordered(batches, "bucket"):
-            held += rows
-            size += sum(len(r["raw"]) for r in rows)
-            if size >= SORTED:
+                r = np.searchsorted(base, again, "right") - 1
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(again) != 1) | (np.diff(r) != 0)]))
+                r = r[at]
+                yield _table(WORK, kind=np.ones(len(at)), key=key[r], first=again[at] - base[r] + at0[r], windows=np.diff(np.append(at, len(again))))
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            if held and bucket[0] != last:
                 yield from repeats(held)
-                held, size = [], 0
+                held = []
+            last = bucket[-1]
+            at = int(np.searchsorted(bucket, last))  # where the last bucket begins; it may go on in the next batch
+            if at:
+                yield from repeats([*held, batch.slice(0, at)])
+                held = []
+            held.append(batch.slice(at))
         if held:
             yield from repeats(held)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _ordered(batches, "key"):
-            doc = next(r for r in rows if r["kind"] == 0)
-            gone = [r for r in rows if r["kind"] == 1]
-            yield _table(DONE, **_finished([(doc["key"], doc["doc_id"], doc["raw"], [r["first"] for r in gone], [r["windows"] for r in gone], length)]))
-
-    found = source.select("key", "raw").mapInArrow(find, RUN).repartition(n, "bucket").sortWithinPartitions("bucket", "content", "key", "first")
-    marks = materialize(found.mapInArrow(settle, WORK), "suffix-marks")
-    whole = source.select(F.lit(0).alias("kind"), "key", "doc_id", "raw").unionByName(marks.select("kind", "key", "first", "windows", "bucket"), allowMissingColumns=True)
-    by_key = whole.repartition(n, "key").sortWithinPartitions("key", "kind")
-    work = materialize(by_key.mapInArrow(collect, WORK), "suffix-work")
-    to_sort = work.where("kind = 2").select("bucket", "key", "first", "windows", "raw").repartition(n, "bucket").sortWithinPartitions("bucket", "key", "first")
-    again = materialize(to_sort.mapInArrow(sort, WORK).select("kind", "key", "first", "windows"), "suffix-repeats")
-    rest = work.where("kind < 2").select("kind", "key", "doc_id", "raw", "first", "windows").unionByName(again, allowMissingColumns=True)
-    last = rest.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(apply, DONE)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return work.where("kind = 3").select(*columns).unionByName(last.select(*columns))
+        done: list[tuple] = []
+        for parts in _grouped(batches):
+            gone = _numbers(parts, 1) == 1
+            done.append((parts[0].column(0)[0].as_py(), parts[0].column(4)[0].as_py(), parts[0].column(5)[0].as_py(), _numbers(parts, 2)[gone], _numbers(parts, 3)[gone], length))
+            if len(done) == 256:
+                yield _table(DONE, **_finished(done))
+                done = []
+        if done:
+            yield _table(DONE, **_finished(done))
+
+    marks = _settled(source.select("key", "raw").mapInArrow(lean(find), RUN), settle, n)
+    columns = ["key", "kind", "first", "windows", "doc_id", "raw", "bucket"]
+    work = _with_bytes(source, marks, collect, columns, n)
+    todo = work.where("kind = 2").select("bucket", "key", "first", "windows", "raw")
+    crowded = materialize(todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("bucket"), "suffix-crowded")
+    rest = work.where("kind < 2").select(*columns[:-1])
+    if not crowded.isEmpty():
+        fine = materialize(todo.join(crowded, "bucket", "left_semi").select(todo.columns).mapInArrow(lean(refine), WORK), "suffix-refined")
+        todo = todo.join(crowded, "bucket", "left_anti").select(todo.columns).unionByName(fine.where("kind = 2").select(todo.columns))
+        rest = rest.unionByName(fine.where("kind = 1").select("key", "kind", "first", "windows"), allowMissingColumns=True)
+    dealt = todo.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "first")
+    again = materialize(dealt.mapInArrow(lean(sort), WORK).select("key", "kind", "first", "windows"), "suffix-repeats")
+    last = rest.unionByName(again, allowMissingColumns=True).repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(lean(apply), DONE)
+    shown = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    release(docs.sparkSession)
+    return work.where("kind = 3").select(*shown).unionByName(last.select(*shown))
+
+
+def _settled(runs_: DataFrame, settle, n: int) -> DataFrame:
+    dealt = runs_.repartition(n, "bucket").sortWithinPartitions("bucket", "content", "key", "first")
+    return materialize(dealt.mapInArrow(lean(settle), WORK).select("key", "kind", "first", "windows", "bucket"), "suffix-marks")
+
+
+def _with_bytes(source: DataFrame, marks: DataFrame, collect, columns: list[str], n: int) -> DataFrame:
+    release(source.sparkSession)
+    whole = source.select("key", F.lit(0).alias("kind"), "doc_id", "raw").unionByName(marks, allowMissingColumns=True).select(*columns)
+    return materialize(whole.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(lean(collect), WORK), "suffix-work")
