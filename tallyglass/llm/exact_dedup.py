@@ -150,7 +150,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both doc_id and text are told apart by their other values; of fully identical rows one stays.
     """
-    kept = exact_dedup(docs)
+    kept = exact_dedup(docs).repartition("doc_id")  # apart from the join by digest, which may then split a large group
     same = kept.groupBy("doc_id", "digest", "chars").agg(F.count(F.lit(1)).alias("same"), F.max("kept").alias("any_kept"))
     chosen = materialize(
         same.where("any_kept").select(

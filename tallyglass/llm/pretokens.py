@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -19,7 +21,7 @@ SPACES = " \t\n\r\x0b\x0c\xa0"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 SAFE = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x100)])
 
-#: Pre-tokens a worker's cache holds at most; beyond it the older half is forgotten and encoded anew when met again.
+#: Pre-tokens a worker's cache holds at most; beyond it the newer half is forgotten (the frequent ones were met early) and encoded anew when met again.
 CACHE_ENTRIES = 300_000
 #: Characters whose pre-tokens are looked up together.
 CHUNK_CHARS = 1 << 19
@@ -75,10 +77,11 @@ class PretokenCache:
     def _chunk(self, texts: list[str]) -> Iterator:
         split = [self.words(t) for t in texts]
         if len(self.known) > self.entries:
-            for k in list(islice(self.known, len(self.known) // 2)):
+            for k in list(islice(self.known, len(self.known) // 2, None)):
                 del self.known[k]
-        new = {w for words in split if words is not None for w in words}
-        new = new.difference(self.frequent).difference(self.known)
+        new = set().union(*(words for words in split if words is not None)).difference(self.known)
+        if self.frequent:
+            new = new.difference(self.frequent)
         self.known.update(zip(new, map(self.encode_word, new), strict=True))
         get = Tiers(self.frequent, self.known).__getitem__ if self.frequent else self.known.__getitem__
         for text, words in zip(texts, split, strict=True):
@@ -118,11 +121,17 @@ _CACHES: dict = {}
 
 def packed_ids(tokenizer_json: str, dtype: str) -> PretokenCache:
     """A cache of ids as bytes of `dtype` (little-endian), kept while the worker lives."""
-    import numpy as np
-
     key = ("ids", dtype, hash(tokenizer_json))
     if key not in _CACHES:
-        _CACHES[key] = PretokenCache(tokenizer_json, lambda ids: np.array(ids, dtype).tobytes(), b"".join)
+        code = {"<u2": "H", "<u4": "I"}[dtype]
+
+        def packed(ids: list[int]) -> bytes:
+            out = array(code, ids)
+            if sys.byteorder == "big":
+                out.byteswap()
+            return out.tobytes()
+
+        _CACHES[key] = PretokenCache(tokenizer_json, packed, b"".join)
     return _CACHES[key]
 
 

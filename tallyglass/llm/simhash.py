@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import materialize, shuffle_partitions, text_of
+from tallyglass.llm.common import lean, materialize, shuffle_partitions, text_of
 from tallyglass.llm.components import components
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Fingerprint pairs compared in one numpy call.
-BLOCK = 1 << 21
+#: Fingerprint pairs compared in one numpy call: what fits a core's cache.
+BLOCK = 1 << 17
 #: Words, radius and shingle size for a similarity of 0.8 on five-word shingles.
 WIDE_WORDS = 4
 WIDE_RADIUS = 52
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def tile_of(fp: np.ndarray) -> np.ndarray:
@@ -152,9 +152,12 @@ def forest(own: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray
     parent = np.arange(len(everything))
     rows = max(1, BLOCK // max(1, len(everything)))
     for at in range(0, len(own), rows):
-        near = np.bitwise_count(own[at : at + rows, None] ^ everything[None, at:]) <= radius
-        i, j = np.nonzero(near)
-        _link(parent, i + at, j + at)
+        rest = everything[at:]
+        near = np.flatnonzero((np.bitwise_count(own[at : at + rows, None] ^ rest[None, :]) <= radius).ravel())
+        i, j = np.divmod(near, len(rest))
+        apart = i != j
+        if apart.any():
+            _link(parent, i[apart] + at, j[apart] + at)
     child = np.flatnonzero(parent != np.arange(len(parent)))
     return everything[child], everything[parent[child]]
 
@@ -196,9 +199,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             a, b = forest(np.concatenate(sets[0]), np.concatenate(sets[1]) if sets[1] else np.zeros(0, np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    tiled = fps.select("fp").mapInArrow(number, "tile long, fp long").repartition(n, "tile").sortWithinPartitions("tile")
-    dealt = tiled.mapInArrow(deal, "tile long, own boolean, fps binary").repartition(n, "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(compare, "a long, b long")
+    tiled = fps.select("fp").mapInArrow(lean(number), "tile long, fp long").repartition(n, "tile").sortWithinPartitions("tile")
+    dealt = tiled.mapInArrow(lean(deal), "tile long, own boolean, fps binary").repartition(n, "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
 # ---- wide fingerprints ----------------------------------------------------------------------------------------------
@@ -231,7 +234,7 @@ def wide_fingerprints(docs: DataFrame, size: int = WIDE_SHINGLE, width: int = WI
             fp = [row.tobytes() for row in wide_fingerprints_of(batch.column(1), size, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, fp binary")
 
 
 def tile_plan(counts: dict[int, int], tile: int = TILE) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
@@ -261,18 +264,19 @@ def partners(tile: int, limits: list[tuple[int, int]], radius: int) -> list[int]
 def wide_near(own: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius, block by block; later words are compared only where the first ones allow it."""
     rows = max(1, BLOCK // max(1, len(others)))
+    first = [np.ascontiguousarray(others[:, w]) for w in range(min(2, others.shape[1]))]
     for at in range(0, len(own), rows):
         part = own[at : at + rows]
-        apart = np.bitwise_count(part[:, None, 0] ^ others[None, :, 0])
-        if part.shape[1] > 1:
-            apart += np.bitwise_count(part[:, None, 1] ^ others[None, :, 1])
-        i, j = np.nonzero(apart <= radius)
-        apart = apart[i, j].astype(np.int64)
+        apart = sum(np.bitwise_count(part[:, w, None] ^ column[None, :]) for w, column in enumerate(first))
+        near = np.flatnonzero((apart <= radius).ravel())
+        i, j = np.divmod(near, len(others))
+        apart = apart.ravel()[near].astype(np.int64)
         for w in range(2, part.shape[1]):
             apart += np.bitwise_count(part[i, w] ^ others[j, w])
             near = apart <= radius
             i, j, apart = i[near], j[near], apart[near]
-        yield i + at, j
+        if len(i):
+            yield i + at, j
 
 
 def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
@@ -284,7 +288,7 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> D
             pop = [np.bitwise_count(np.frombuffer(fp, np.uint64)).sum() for fp in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pop, pa.int64())], ["node", "fp", "pop"])
 
-    counted = fps.select("node", "fp").mapInArrow(count, "node long, fp binary, pop long")
+    counted = fps.select("node", "fp").mapInArrow(lean(count), "node long, fp binary, pop long")
     place, limits = tile_plan({r.pop: r.n for r in counted.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).collect()}, tile)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +321,9 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> D
             child = np.flatnonzero(parent != np.arange(len(parent)))
             yield pa.RecordBatch.from_arrays([pa.array(both[child]), pa.array(both[parent[child]])], ["a", "b"])
 
-    tiled = counted.mapInArrow(number, "tile long, node long, fp binary").repartition(n, "tile").sortWithinPartitions("tile")
-    dealt = tiled.mapInArrow(deal, "tile long, own boolean, nodes binary, fps binary").repartition(n, "tile").sortWithinPartitions("tile", F.desc("own"))
-    return dealt.mapInArrow(compare, "a long, b long")
+    tiled = counted.mapInArrow(lean(number), "tile long, node long, fp binary").repartition(n, "tile").sortWithinPartitions("tile")
+    dealt = tiled.mapInArrow(lean(deal), "tile long, own boolean, nodes binary, fps binary").repartition(n, "tile").sortWithinPartitions("tile", F.desc("own"))
+    return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
 def _named(rows: DataFrame, links_of, name: str) -> DataFrame:
@@ -368,7 +372,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = similar(docs, **options).where("doc_id = component_id")
     stays = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-stays")
-    joined = docs.where(F.col("doc_id").isNotNull()).join(stays, F.col("doc_id").cast("long") == F.col("__id"))
+    joined = docs.where(F.col("doc_id").isNotNull()).join(stays.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"))
     single = joined.where("__rows = 1").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
     if stays.where("__rows > 1").isEmpty():
         return single
