@@ -23,6 +23,8 @@ SAFE = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x100)])
 
 #: Pre-tokens a worker's cache holds at most; beyond it the newer half is forgotten (the frequent ones were met early) and encoded anew when met again.
 CACHE_ENTRIES = 300_000
+#: Longest pre-token that is remembered beyond the texts it was met in.
+LONGEST = 128
 #: Characters whose pre-tokens are looked up together.
 CHUNK_CHARS = 1 << 19
 
@@ -55,6 +57,7 @@ class PretokenCache:
         self.model, self.bytes = self.tok.model, byte_alphabet()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, object] = {}
+        self.passing: list[str] = []
         self.frequent: dict[str, object] = {}
 
     def words(self, text: str) -> list[str] | None:
@@ -76,6 +79,8 @@ class PretokenCache:
 
     def _chunk(self, texts: list[str]) -> Iterator:
         split = [self.words(t) for t in texts]
+        for k in self.passing:
+            del self.known[k]
         if len(self.known) > self.entries:
             for k in list(islice(self.known, len(self.known) // 2, None)):
                 del self.known[k]
@@ -83,6 +88,7 @@ class PretokenCache:
         if self.frequent:
             new = new.difference(self.frequent)
         self.known.update(zip(new, map(self.encode_word, new), strict=True))
+        self.passing = [w for w in new if len(w) > LONGEST]
         get = Tiers(self.frequent, self.known).__getitem__ if self.frequent else self.known.__getitem__
         for text, words in zip(texts, split, strict=True):
             yield self.join(map(get, words)) if words is not None else self.encode_text(text)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyglass.llm import pretokens
 from tallyglass.llm.common import lean, text_of
 
-#: Pre-tokens in the broadcast table (about 1 MB) and in each task's summary.
+#: Pre-tokens in the broadcast table and in each task's summary; none is longer than pretokens.LONGEST, so a table is 2 MB at most.
 TABLE_ENTRIES = 16_384
 #: Pre-tokens a task counts at once; beyond it the rarer ones are let go (a lossy count).
 COUNTED_ENTRIES = 200_000
@@ -31,6 +31,7 @@ def _cut(counts: Counter, n: int) -> Counter:
 
 
 def _packed(counts: Counter, n: int) -> bytes:
+    counts = Counter({w: c for w, c in counts.items() if len(w) <= pretokens.LONGEST})
     return zlib.compress(pickle.dumps(dict(_cut(counts, n))), 1)
 
 

@@ -168,8 +168,9 @@ def test_pretoken_cache_forgets_and_stays_right():
     with open(TOKENIZER, encoding="utf-8") as f:
         cache = pretokens.PretokenCache(f.read(), len, sum, entries=3)
     tok = Tokenizer.from_file(TOKENIZER)
-    for text in ("alpha beta gamma delta", "alpha epsilon zeta", "delta alpha") * 3:
+    for text in ("alpha beta gamma delta", "alpha epsilon zeta", "delta alpha", "y" * 5000 + " alpha", "zeta " + "y" * 5000) * 3:
         assert list(cache.values([text])) == [len(tok.encode(text, add_special_tokens=False).ids)]
+    assert not [w for w in cache.known if len(w) > pretokens.LONGEST and w not in cache.passing]
 
 
 @pytest.mark.parametrize("entries", [0, 5, token_counts.TABLE_ENTRIES])
