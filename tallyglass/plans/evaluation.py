@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions import canon, sqltext
-from tallyglass.operators import corpus, memory, profile, retrieval, scoring, shadow, stats
+from tallyglass.operators import agent, corpus, items, memory, profile, retrieval, scoring, shadow, stats
 from tallyglass.plans import gold
 from tallyglass.session import table
 from tallyglass.sources import catalog as cat
@@ -763,6 +763,49 @@ def sql_signatures(spark, sf_dir):
     return _gold_table(spark).select("name", sqltext.signature(c).alias("signature"), sqltext.tier(c).alias("tier"), sqltext.effort(c).alias("effort"), sqltext.balanced(c).alias("balanced"))
 
 
+def _items(spark, sf_dir) -> DataFrame:
+    """Every gold text against the next one in order, as two systems would have it: one right, one a neighbour's."""
+    rows = [("gold", "same", i, a[1], a[1], True, True) for i, a in enumerate(_texts())]
+    rows += [("gold", "next", i, a[1], b[1], True, False) for i, (a, b) in enumerate(zip(_texts(), _texts()[1:], strict=False))]
+    made = spark.createDataFrame(rows, "set string, system string, idx int, gold_sql string, pred_sql string, valid boolean, executed boolean")
+    return items.item_scores(made, _ALL)
+
+
+@query()
+def item_scores(spark, sf_dir):
+    return _items(spark, sf_dir).drop("gold_flags", "pred_flags")
+
+
+@query()
+def item_summary(spark, sf_dir):
+    return items.summary(_items(spark, sf_dir))
+
+
+@query()
+def clause_confusion(spark, sf_dir):
+    return items.clause_confusion(_items(spark, sf_dir))
+
+
+@query()
+def clause_cooccurrence(spark, sf_dir):
+    return items.cooccurrence(_items(spark, sf_dir).where("system = 'same'"), "gold_flags")
+
+
+@query()
+def failure_migration(spark, sf_dir):
+    return items.migration(_items(spark, sf_dir), "same", "next")
+
+
+_HINTS = " ".join(
+    f"WHEN len(list_intersect(w, [{', '.join(repr(x) for x in hints)}])) > 0 THEN '{name}'" for name, hints in agent.INTENTS.items()
+)
+
+
+@query(f"SELECT CASE {_HINTS} ELSE 'lookup' END AS intent, COUNT(*) AS n FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations) t GROUP BY 1")
+def intent_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(agent.intent(F.col("text")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- conversations and events ---------------------------------------------------------------------------------------
 
 
