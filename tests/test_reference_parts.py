@@ -63,6 +63,7 @@ def test_bag_digest_follows_the_bag(spark):
 
 # ---- guard ----------------------------------------------------------------------------------------------------------
 
+#: Statements that a guard lets pass, and that it refuses.
 SAFE = [
     "SELECT 1", "SELECT * FROM orders", "WITH x AS (SELECT * FROM orders) SELECT * FROM x", "SELECT * FROM orders UNION SELECT * FROM orders",
     "select count(*) from orders where status = 'delivered'", "SELECT 'DROP TABLE' AS msg", "SELECT 1;",
