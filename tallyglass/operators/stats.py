@@ -238,7 +238,7 @@ def bootstrap_mean(rows: DataFrame, key: str, value: str, resamples: int = 200,
     Each item's weight in a resample is a Poisson(1) number from a hash of (key, resample), so one pass makes all
     resamples: the items are exploded by the constant number of resamples and combined before the shuffle.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    u = F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 32)).cast("double") / 2.0**32
     edges = [sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) for j in range(7)]
     weight = F.lit(7)
     for k in reversed(range(7)):

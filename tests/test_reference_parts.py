@@ -350,3 +350,10 @@ def test_command_line_loop(spark, tmp_path, capsys):
     assert cli.main(["triples", "--data", SF, "--questions", str(out), "--out", str(tmp_path / "t")], spark) == 0
     assert cli.main(["sql", "--data", SF, "--text", "DROP TABLE orders"], spark) == 1
     assert cli.main(["profile", "--data", SF], spark) == 0
+
+
+def test_bootstrap_interval_covers_the_mean(spark):
+    rows = spark.range(2000).select("id", (F.pmod(F.col("id"), F.lit(10)) < 3).cast("double").alias("y"))
+    r = stats.bootstrap_mean(rows, "id", "y", resamples=200).first()
+    half = 1.96 * math.sqrt(0.3 * 0.7 / 2000)
+    assert r.mean == 0.3 and r.low < 0.3 < r.high and r.high - r.low == pytest.approx(2 * half, rel=0.25)
