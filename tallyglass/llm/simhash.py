@@ -10,15 +10,17 @@ The comparison is exact, so its work grows with the square of the number of dist
 pairs are compared); exact copies are compared once.
 
 A radius of 3 in 64 bits finds texts that are all but equal. For a stated similarity a fingerprint needs more bits: with
-`WIDE_WORDS` words of 64 bits, texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 38.8 +- 5.7 of
-256 bits, unrelated texts in 128 +- 8; `WIDE_RADIUS` keeps 99 % of the first and none of the second. Such fingerprints
-are laid into tiles by total population count.
+`WIDE_WORDS` words of 64 bits, texts whose distinct five-word shingles have a Jaccard similarity of 0.8 differ in 38.8 +-
+5.7 of 256 bits (48 +- 6.2 at the worst, four shingles against five), unrelated texts in 128 +- 8. Such fingerprints are
+laid into tiles by total population count, and those within `REACH` bits, `EARLY` of them in the first 128, are only
+candidates. A link is what the exact Jaccard similarity of the distinct shingles confirms: candidates are grouped by
+component, each component's texts are dealt into blocks, and each pair of blocks is confirmed by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product, repeat
+from itertools import groupby, product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,16 @@ SEED = 42
 RADIUS = 3
 #: Fingerprint pairs compared in one numpy call: what fits a core's cache.
 BLOCK = 1 << 17
-#: Words, radius and shingle size for a similarity of 0.8 on five-word shingles.
+#: Words and shingle size for a similarity of 0.8 on five-word shingles; WIDE_RADIUS is a plain radius without confirmation.
 WIDE_WORDS = 4
 WIDE_RADIUS = 52
 WIDE_SHINGLE = 5
+#: Candidates differ in REACH of all bits and in EARLY of the first two words at most; links have this similarity at least.
+REACH = 72
+EARLY = 40
+SIMILAR = (4, 5)
+#: Texts of a candidate component that are confirmed together.
+MEMBERS = 128
 #: Wide fingerprints in a tile.
 TILE = 8192
 #: Shingles whose bits are counted together.
@@ -207,13 +215,21 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 # ---- wide fingerprints ----------------------------------------------------------------------------------------------
 
 
+def distinct(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's hashes once, by owner and hash."""
+    by = np.lexsort((h, owner))
+    h, owner = h[by], owner[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new]
+
+
 def wide_fingerprints_of(texts: pa.Array, size: int = WIDE_SHINGLE, width: int = WIDE_WORDS) -> np.ndarray:
-    """Rows of `width` words: bit k of a word is 1 where over half of the shingles' hashes for that word have it."""
+    """Rows of `width` words: bit k of a word is 1 where over half of the distinct shingles' hashes for that word have it."""
     out = np.zeros((len(texts), width), np.uint64)
     for i, j, data, offsets in textbytes.chunks(texts, rows=1024):
         h, owner = textbytes.shingle_hashes(textbytes.LOWER[data], offsets, size)
-        by = np.argsort(owner, kind="stable")
-        h, owner = h[by], owner[by]
+        h, owner = distinct(h, owner)
         total = np.bincount(owner, minlength=j - i)
         starts = np.concatenate([np.arange(a, b, 65_535) for a, b in zip(np.cumsum(total) - total, np.cumsum(total), strict=True) if b > a] or [np.zeros(0, np.int64)])
         if not len(starts):
@@ -227,14 +243,15 @@ def wide_fingerprints_of(texts: pa.Array, size: int = WIDE_SHINGLE, width: int =
 
 
 def wide_fingerprints(docs: DataFrame, size: int = WIDE_SHINGLE, width: int = WIDE_WORDS) -> DataFrame:
-    """doc_id, fp (8 * width bytes) of each row."""
+    """doc_id, fp (8 * width bytes), text_hash of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [row.tobytes() for row in wide_fingerprints_of(batch.column(1), size, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(run), "doc_id long, fp binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+    return rows.mapInArrow(lean(run), "doc_id long, fp binary, text_hash long")
 
 
 def tile_plan(counts: dict[int, int], tile: int = TILE) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
@@ -261,14 +278,15 @@ def partners(tile: int, limits: list[tuple[int, int]], radius: int) -> list[int]
     return [t for t in to if limits[t][0] - hi <= radius and lo - limits[t][1] <= radius]
 
 
-def wide_near(own: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, block by block; later words are compared only where the first ones allow it."""
+def wide_near(own: np.ndarray, others: np.ndarray, radius: int, early: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, block by block; later words are compared only where the first two are within `early`."""
+    early = radius if early is None else early
     rows = max(1, BLOCK // max(1, len(others)))
     first = [np.ascontiguousarray(others[:, w]) for w in range(min(2, others.shape[1]))]
     for at in range(0, len(own), rows):
         part = own[at : at + rows]
         apart = sum(np.bitwise_count(part[:, w, None] ^ column[None, :]) for w, column in enumerate(first))
-        near = np.flatnonzero((apart <= radius).ravel())
+        near = np.flatnonzero((apart <= min(radius, early)).ravel())
         i, j = np.divmod(near, len(others))
         apart = apart.ravel()[near].astype(np.int64)
         for w in range(2, part.shape[1]):
@@ -279,8 +297,8 @@ def wide_near(own: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tupl
             yield i + at, j
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """a, b: links among nodes (node long, fp binary) that connect all pairs within `radius` differing bits."""
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, early: int | None = None) -> DataFrame:
+    """a, b: links among nodes (node long, fp binary) that connect all pairs within `radius` differing bits, `early` of them in the first two words."""
     n = shuffle_partitions(fps.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +334,7 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> D
             assert tile_ == row["tile"], "a tile is sent to its own task first"
             both = own_nodes if row["own"] else np.concatenate([own_nodes, nodes])
             parent, shift = np.arange(len(both)), 0 if row["own"] else len(own_nodes)
-            for i, j in wide_near(own_prints, prints, radius):
+            for i, j in wide_near(own_prints, prints, radius, early):
                 _link(parent, i, j + shift)
             child = np.flatnonzero(parent != np.arange(len(parent)))
             yield pa.RecordBatch.from_arrays([pa.array(both[child]), pa.array(both[parent[child]])], ["a", "b"])
@@ -326,20 +344,106 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> D
     return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
-def _named(rows: DataFrame, links_of, name: str) -> DataFrame:
-    """doc_id, fp, component_id from fingerprinted rows; links_of(distinct fingerprints with node and least) gives the links."""
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), f"{name}-distinct")
+def shingle_sets(texts: pa.Array, size: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each text has, and all their hashes in order of texts; a text without words has one of its own."""
+    sizes, held = np.zeros(len(texts), np.int64), []
+    for i, j, data, offsets in textbytes.chunks(texts, rows=1024):
+        h, owner = textbytes.shingle_hashes(textbytes.LOWER[data], offsets, size)
+        bare = np.setdiff1d(np.arange(j - i), owner)
+        h, owner = distinct(np.concatenate([h, np.zeros(len(bare), np.uint64)]), np.concatenate([owner, bare]))
+        sizes[i:j] = np.bincount(owner, minlength=j - i)
+        held.append(h)
+    return sizes, np.concatenate(held) if held else np.zeros(0, np.uint64)
+
+
+def similar_pairs(own: tuple, others: tuple | None, radius: int, early: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links from the texts of `own` to each other, or to `others`, as nodes.
+
+    Both are (nodes, fingerprints, set sizes, hashes of all sets). Only pairs within reach that no link connects yet are counted.
+    """
+    nodes, prints, sizes, hashes = others or own
+    shift = len(own[0]) if others else 0
+    both = np.concatenate([own[0], nodes]) if others else nodes
+    _, ids = np.unique(np.concatenate([own[3], hashes]), return_inverse=True)
+    mine, ids = ids[: len(own[3])], ids[len(own[3]) :]
+    to, at = np.concatenate([[0], np.cumsum(own[2])]), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    parent, mark = np.arange(len(both)), np.zeros(len(own[3]) + len(hashes), bool)
+    for rows, columns in wide_near(own[1], prints, radius, early):
+        for i in np.unique(rows):
+            j = columns[rows == i]
+            j = j[parent[j + shift] != parent[i]]
+            if not len(j):
+                continue
+            mark[mine[to[i] : to[i + 1]]] = True
+            shared = np.add.reduceat(mark[ids].astype(np.int64), at)[j]
+            mark[mine[to[i] : to[i + 1]]] = False
+            j = j[SIMILAR[1] * shared >= SIMILAR[0] * (own[2][i] + sizes[j] - shared)]
+            if len(j):
+                _link(parent, np.full(len(j), i), j + shift)
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    return both[child], both[parent[child]]
+
+
+def confirmed(docs: DataFrame, fps: DataFrame, groups: DataFrame, size: int, radius: int, early: int) -> DataFrame:
+    """a, b: links that connect all pairs within reach whose sets of shingles are SIMILAR.
+
+    fps: node, fp, text_hash. groups: node, root of the candidates' components, whose texts alone are fetched from docs.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("long").alias("blocks"))
+    members = fps.join(groups.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).join(blocks, "root")
+    members = materialize(members.select("node", "fp", "text_hash", "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "wide-members")
+    texts = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text")).join(members, "text_hash")
+    texts = texts.groupBy("root", "block", "blocks", "node", "fp").agg(F.first("text").alias("text"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for at in range(0, len(batch), 256) for r in batch.slice(at, 256).to_pylist())
+        for (root, block), group in groupby(rows, key=lambda r: (r["root"], r["block"])):
+            group = list(group)
+            m = group[0]["blocks"]
+            to = [(block - k) % m for k in range(m // 2 + 1) if not (2 * k == m and block < m // 2)]
+            sizes, hashes = shingle_sets(pa.array([r["text"] for r in group], pa.large_string()), size)
+            packed = (np.array([r["node"] for r in group], np.int64).tobytes(), b"".join(r["fp"] for r in group), sizes.tobytes(), hashes.tobytes())
+            columns = ([root] * len(to), to, [t == block for t in to], *([p] * len(to) for p in packed))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["root", "block", "own", "nodes", "fps", "sizes", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, here = None, None
+        for row in (r for batch in batches for at in range(0, len(batch), 4) for r in batch.slice(at, 4).to_pylist()):
+            nodes = np.frombuffer(row["nodes"], np.int64)
+            sets = (nodes, np.frombuffer(row["fps"], np.uint64).reshape(len(nodes), -1), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["hashes"], np.uint64))
+            if row["own"]:
+                key, here = (row["root"], row["block"]), sets
+            elif key != (row["root"], row["block"]):  # a block that the hash left empty has nothing to confirm
+                continue
+            a, b = similar_pairs(here, None if row["own"] else sets, radius, early)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = texts.repartition(n, "root", "block").sortWithinPartitions("root", "block")
+    dealt = dealt.mapInArrow(lean(deal), "root long, block long, own boolean, nodes binary, fps binary, sizes binary, hashes binary")
+    dealt = dealt.repartition(n, "root", "block").sortWithinPartitions("root", "block", F.desc("own"))
+    return dealt.mapInArrow(lean(compare), "a long, b long")
+
+
+def _named(rows: DataFrame, links_of, name: str, by: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """doc_id, fp, component_id from fingerprinted rows; links_of(distinct values of `by` with node and least) gives the links."""
+    fps = materialize(rows.groupBy(*by).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), f"{name}-distinct")
     rooted = fps.join(components(links_of(fps)).withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.select(*by, "least", F.coalesce("root", "node").alias("root"))
     groups = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), f"{name}-groups")
-    named = materialize(rooted.join(groups, "root").select("fp", "component_id"), f"{name}-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(rooted.join(groups, "root").select(*by, "component_id"), f"{name}-named")
+    return rows.join(named, list(by)).select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, size: int = WIDE_SHINGLE, width: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """near_duplicates() with wide fingerprints: doc_id, fp (binary), component_id; the same null and tie rules."""
+def similar(docs: DataFrame, size: int = WIDE_SHINGLE, width: int = WIDE_WORDS, radius: int = REACH, early: int = EARLY) -> DataFrame:
+    """near_duplicates() by the confirmed similarity: doc_id, fp (binary), component_id; the same null and tie rules."""
     rows = materialize(wide_fingerprints(docs, size, width), "wide")
-    return _named(rows, lambda fps: wide_links(fps, radius), "wide")
+
+    def links_of(fps: DataFrame) -> DataFrame:
+        return confirmed(docs, fps, components(wide_links(fps, radius, early=early)), size, radius, early)
+
+    return _named(rows, links_of, "wide", ("fp", "text_hash"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

@@ -512,6 +512,22 @@ def test_similar_keeps_one_of_a_group(spark):
     assert collected(kept) == sorted([(3, edit(50)), (4, rows[3][1]), (None, "no id"), (8, "")], key=key)
 
 
+def test_similar_links_what_reaches_the_similarity_and_nothing_else(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 4)  # several blocks a component
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts, line = [], " ".join(words(12)) + " "
+    for n, tails in ((60, (0, 6, 9, 12, 13, 14, 15, 16, 17, 18, 24)), (300, (0, 30, 50, 65, 70, 75, 80, 90))):  # similarities from 1 to 0.6
+        shared = words(n)
+        texts += [" ".join(shared + words(t)) for t in tails]
+    texts += [line * 40 + " ".join(words(40)) for _ in range(12)]  # a much-repeated line
+    texts += ["a b c d e f g h", "a b c d e f g h i", "A  B c d e f g h", "a b c d e f g h j k", "", " ", "one", "two"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    found = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_components(near, list(range(len(texts))))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=20))
 def test_components_of_any_graph(spark, edges):

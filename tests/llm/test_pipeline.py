@@ -75,6 +75,16 @@ def test_near_copies_go_and_others_stay(stages):
     assert kept == {rows[i].doc_id for i in set(label.tolist())}
 
 
+def test_near_copies_are_those_of_the_stated_similarity(stages):
+    rows = sorted(stages[2].collect(), key=lambda r: r.doc_id)
+    sets = [shingles(r.text) for r in rows]
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    label = np.arange(len(rows))
+    while (lower := np.where(near, label[None, :], len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = lower
+    assert {r.doc_id for r in stages[3].collect()} == {rows[i].doc_id for i in set(label.tolist())}
+
+
 def test_mix_is_the_operators(stages):
     want = collections.Counter(r.doc_id for r in mixing.mix_sources(stages[3], pipeline.MIX).collect())
     assert collections.Counter(r.doc_id for r in stages[4].collect()) == want
