@@ -309,6 +309,29 @@ def test_language_rejects_what_has_no_letters_and_keeps_columns(docs):
     assert kept.columns == clashing(docs).columns and {5, 6, 7, 12}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_language_rejects_latin_script_that_was_not_learned(spark):
+    rng = random.Random(3)
+    prose = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    odd = spark.createDataFrame(list(enumerate(t for x in prose for t in (x, 5 * (x + "\n")))), "doc_id long, text string")
+    assert all(r.rejected for r in langid.predict(odd, model).collect())
+    assert (langid.predict(docs.where(langid.held_out()), model).where("rejected").count()) == 0
+
+
+def test_language_reach_follows_the_checked_texts():
+    near = [("a", 2, 0.1 + i / 500) for i in range(100)] + [("b", 2, 0.5)] * 100 + [("a", 0, 0.7)] * 4 + [("a", 1, 0.6)] * 3
+    reach = langid.reaches(near, ["a", "b"])
+    assert np.allclose(reach, [[0.85, 0.9, 0.649], [0.85, 0.9, 0.75]])
+
+
 def test_language_without_labels_knows_nothing(docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
