@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-A candidate block is a sentence or line that mentions licensing. It is compressed with zstandard once alone and once
+A candidate block is a sentence that mentions licensing; it runs over line ends and comment marks up to a sentence end or
+a blank line. It is compressed with zstandard once alone and once
 with each license notice as a raw dictionary; the notice that saves the most, relative to the block, ranks first. The
 best-ranked notices are confirmed by their exact wording differences from the block, word by word; a version slot takes
 any version. Only documents that mention licensing leave the JVM; every text is scanned whole.
@@ -40,7 +41,11 @@ NOTICES = {
     "Proprietary": "All rights reserved.",
 }
 #: Fixed value: what makes a text, then a sentence, a candidate.
-MENTION = r"(?i)licen[cs]e|redistribut|creative commons|public domain|all rights reserved|permission is hereby|\bCC[ -]BY\b"
+GAP = r"[\s/*#;%>|-]+"
+MENTION = r"(?i)licen[cs]e|redistribut|creative commons|public domain|all rights reserved|permission is hereby|\bCC BY\b".replace(" ", GAP)
+#: Comment marks that may open a line, and characters of those that may close one.
+OPENING = re.compile(r"//+!?|/\*+!?|\*+/?|#+|--+|;+|%+|<!--|>+|\|+")
+CLOSING = "*/#->|"
 VERSION = re.compile(r"v?\d+(\.\d+)*")
 #: Longest block that is compared; a longer sentence is compared in windows of this length that overlap by half.
 BLOCK_CHARS = 400
@@ -49,20 +54,49 @@ RANKED = 4
 MAX_DIFFERENT = 0.25
 
 
+def unmarked(line: str) -> str:
+    """The line with blanks for its comment marks; as long as it was."""
+    begin = len(line) - len(line.lstrip())
+    if mark := OPENING.match(line, begin):
+        begin = mark.end()
+    bare = line.rstrip()
+    end = len(bare.rstrip(CLOSING))
+    if not bare.endswith("*/") and end and not line[end - 1].isspace():
+        end = len(bare)
+    return " " * len(line) if end <= begin else " " * begin + line[begin:end] + " " * (len(line) - end)
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """(start, lines without comment marks) of each run of lines that are not blank."""
+    held, start, at = [], 0, 0
+    for line in text.split("\n"):
+        bare = unmarked(line)
+        if not bare.strip():
+            if held:
+                yield start, "\n".join(held)
+            held = []
+        else:
+            start = start if held else at
+            held.append(bare)
+        at += len(line) + 1
+    if held:
+        yield start, "\n".join(held)
+
+
 def blocks(text: str) -> Iterator[tuple[int, str]]:
     """(start in code points, block) of each candidate sentence."""
-    for line in re.finditer(r"[^\n]+", text):
-        if not re.search(MENTION, line[0]):
+    for start, lines in paragraphs(text):
+        if not re.search(MENTION, lines):
             continue
-        at = 0
-        for piece in re.split(r"(?<=[.!?])(?=\s)", line[0]):
+        at = start
+        for piece in re.split(r"(?<=[.!?])(?=\s)", lines):
             if re.search(MENTION, piece):
-                lead = len(piece) - len(piece.lstrip())
-                body = piece.strip()
+                first, size = at + len(piece) - len(piece.lstrip()), len(piece.strip())
                 step = BLOCK_CHARS // 2
-                for k in range(0, max(1, len(body) - step), step):
-                    if re.search(MENTION, body[k : k + BLOCK_CHARS]):
-                        yield line.start() + at + lead + k, body[k : k + BLOCK_CHARS]
+                for k in range(first, first + max(1, size - step), step):
+                    block = text[k : min(k + BLOCK_CHARS, first + size)]
+                    if re.search(MENTION, block):
+                        yield k, block
             at += len(piece)
 
 
@@ -87,8 +121,9 @@ def ranked(block: str, notices: dict[str, str]) -> list[tuple[float, str]]:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words without surrounding punctuation; a version is `{v}`."""
-    bare = (w.strip(".,;:!?\"'()") for w in text.lower().split())
+    """Lower-case words without surrounding punctuation and comment marks; a version is `{v}`."""
+    lines = (unmarked(line) if k else line for k, line in enumerate(text.lower().split("\n")))
+    bare = (w.strip(".,;:!?\"'()") for line in lines for w in line.split())
     return ["{v}" if w == "{v}" or VERSION.fullmatch(w) else w for w in bare if w]
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -579,6 +580,19 @@ def test_licenses_found_and_prose_left_alone(spark):
     assert all(text[r.doc_id][r.start : r.start + len(r.block)] == r.block and 0 < r.saving < 1 for r in found)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+@pytest.mark.parametrize("name", licenses.NOTICES)
+def test_wrapped_notices_are_found(name, mark):
+    notice = licenses.NOTICES[name].replace("{v}", "4.0").split()
+    for width in (2, 7, 9):
+        lines = [" ".join(notice[k : k + width]) for k in range(0, len(notice), width)]
+        text = f"{mark}Copyright 2020 Some One\n{mark.rstrip()}\n" + "\n".join(mark + x for x in lines) + f"\n{mark.rstrip()}\nimport os\n"
+        assert re.search(licenses.MENTION, text)
+        hits = licenses.scan_text(text)
+        assert [(h[0], h[4]) for h in hits] == [(name, 0)]
+        assert all(text[h[1] : h[1] + len(h[2])] == h[2] for h in hits)
+
+
 @pytest.mark.parametrize("name", licenses.NOTICES)
 def test_each_notice_is_its_own_best(name):
     text = licenses.NOTICES[name].replace("{v}", "4.0")
