@@ -2,16 +2,18 @@
 
 A candidate block is a sentence that mentions licensing; it runs over line ends and comment marks up to a sentence end or
 a blank line. It is compressed with zstandard once alone and once
-with each license notice as a raw dictionary; the notice that saves the most, relative to the block, ranks first. The
-best-ranked notices are confirmed by their exact wording differences from the block, word by word; a version slot takes
-any version. Only documents that mention licensing leave the JVM; every text is scanned whole.
+with each license notice as a raw dictionary, both in lower case; the notice that saves the most, relative to the block,
+ranks first. Every notice is compared with the block word by word, by the least edit distance to any stretch of it; a
+version slot takes any version. Of confirmed stretches that overlap the one with the least share of differing words
+stays, the better-ranked where that is equal. Only documents that mention licensing leave the JVM; every text is scanned whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import cache
 
 import pyarrow as pa
@@ -49,8 +51,7 @@ CLOSING = "*/#->|"
 VERSION = re.compile(r"v?\d+(\.\d+)*")
 #: Longest block that is compared; a longer sentence is compared in windows of this length that overlap by half.
 BLOCK_CHARS = 400
-#: Notices whose wording is compared, best first, and the share of words that may differ.
-RANKED = 4
+#: The share of a notice's words that may differ.
 MAX_DIFFERENT = 0.25
 
 
@@ -105,7 +106,7 @@ def compressors(notices: tuple[tuple[str, str], ...]):
     import zstandard
 
     def one(notice: str):
-        data = zstandard.ZstdCompressionDict(notice.replace("{v}", "1.0").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(notice.lower().replace("{v}", "1.0").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
@@ -115,46 +116,75 @@ def compressors(notices: tuple[tuple[str, str], ...]):
 def ranked(block: str, notices: dict[str, str]) -> list[tuple[float, str]]:
     """(share of the block's compressed size saved, notice name), the largest saving first, ties by name."""
     alone, given = compressors(tuple(notices.items()))
-    raw = block.encode()
+    raw = block.lower().encode()
     size = len(alone.compress(raw))
     return sorted(((1 - len(c.compress(raw)) / size, name) for name, c in given.items()), key=lambda x: (-x[0], x[1]))
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words without surrounding punctuation and comment marks; a version is `{v}`."""
-    lines = (unmarked(line) if k else line for k, line in enumerate(text.lower().split("\n")))
-    bare = (w.strip(".,;:!?\"'()") for line in lines for w in line.split())
-    return ["{v}" if w == "{v}" or VERSION.fullmatch(w) else w for w in bare if w]
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of lower-case words without surrounding punctuation and comment marks; a version is `{v}`."""
+    found, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        for m in re.finditer(r"\S+", unmarked(line) if k else line):
+            if word := m[0].lower().strip(".,;:!?\"'()"):
+                found.append(("{v}" if word == "{v}" or VERSION.fullmatch(word) else word, at + m.start(), at + m.end()))
+        at += len(line) + 1
+    return found
 
 
-def differences(block: str, notice: str) -> tuple[int, int, int]:
-    """Words to delete, insert or replace to turn the notice into its best-placed stretch of the block; where that stretch begins and ends (words)."""
-    have, want = words(block), words(notice)
-    runs = [m for m in SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
-    if not runs:
-        return len(want), 0, 0
-    first, last = runs[0], runs[-1]
-    begin, end = max(0, first.a - first.b), min(len(have), last.a + last.size + len(want) - last.b - last.size)
-    opcodes = SequenceMatcher(None, have[begin:end], want, autojunk=False).get_opcodes()
-    return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in opcodes if tag != "equal"), begin, end
+def words(text: str) -> list[str]:
+    return [w for w, _, _ in spans(text)]
+
+
+def differences(have: list[str], want: list[str]) -> tuple[int, int, int]:
+    """Least number of words to delete, insert or replace to turn `want` into a stretch of `have`; where that stretch begins and ends."""
+    above = [(0, -j, j) for j in range(len(have) + 1)]  # cost, then the latest beginning
+    for i, w in enumerate(want, 1):
+        row = [(i, 0, 0)]
+        for j, h in enumerate(have, 1):
+            cost, _, begin = above[j - 1]
+            best = (cost + (h != w), -begin, begin)
+            for (cost, _, begin) in (above[j], row[j - 1]):
+                if (cost + 1, -begin, begin) < best:
+                    best = (cost + 1, -begin, begin)
+            row.append(best)
+        above = row
+    end = min(range(len(above)), key=lambda j: (above[j][:2], j))
+    return above[end][0], above[end][2], end
+
+
+def stretches(have: list[str], want: list[str], allowed: int, at: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(differences, begin, end) of each stretch of `have` within `allowed` differences, the best first, then left and right of it."""
+    if len(have) < len(want) - allowed or (Counter(want) - Counter(have)).total() > allowed:
+        return
+    n, begin, end = differences(have, want)
+    if n <= allowed and begin < end:
+        yield n, at + begin, at + end
+        yield from stretches(have[:begin], want, allowed, at)
+        yield from stretches(have[end:], want, allowed, at + end)
 
 
 def scan_text(text: str, notices: dict[str, str] = NOTICES) -> list[tuple[str, int, str, float, int]]:
-    """(license, start, block, saving, word differences) of each confirmed block, in order; one license a block."""
+    """(license, start, block, saving, word differences) of each confirmed stretch of a block that overlaps no better one, in order."""
+    wanted = {name: words(notice) for name, notice in notices.items()}
     found = []
     for start, block in blocks(text):
-        best = None
-        for saving, name in ranked(block, notices)[:RANKED]:
-            n = differences(block, notices[name])[0]
-            if n <= MAX_DIFFERENT * len(words(notices[name])) and (best is None or n < best[4]):
-                best = (name, start, block, saving, n)
-        if best:
-            found.append(best)
-    return found
+        at = spans(block)
+        have = [w for w, _, _ in at]
+        hits = [(name, *hit) for name, want in wanted.items() for hit in stretches(have, want, int(MAX_DIFFERENT * len(want)))]
+        saved = {name: saving for saving, name in ranked(block, notices)} if hits else {}
+        found += [(n / len(wanted[name]), -saved[name], start, name, n, block, start + at[i][1], start + at[j - 1][2]) for name, n, i, j in hits]
+    taken, kept = [], []
+    for _, saving, start, name, n, block, begin, end in sorted(found):
+        k = bisect(taken, (begin, end))
+        if (k == 0 or taken[k - 1][1] <= begin) and (k == len(taken) or taken[k][0] >= end):
+            taken.insert(k, (begin, end))
+            kept.append((begin, (name, start, block, -saving, n)))
+    return [hit for _, hit in sorted(kept)]
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed block: doc_id, license, start (code points), block, saving, word_differences.
+    """One row per confirmed notice of a block: doc_id, license, start (code points), block, saving, word_differences.
 
     Null and empty texts have none. Repeated rows are scanned each; other columns are ignored. An empty table gives no rows.
     """

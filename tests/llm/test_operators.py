@@ -580,6 +580,35 @@ def test_licenses_found_and_prose_left_alone(spark):
     assert all(text[r.doc_id][r.start : r.start + len(r.block)] == r.block and 0 < r.saving < 1 for r in found)
 
 
+@pytest.mark.parametrize("name", licenses.NOTICES)
+def test_notices_in_any_case_and_amid_other_words_are_found(name):
+    text, around = licenses.NOTICES[name].replace("{v}", "4.0").rstrip("."), "it was agreed by both of the parties after long talks in the old town hall that"
+    for t in (text.upper() + ".", text.lower(), f"{around} {text.lower()} and {around}.", f"{around} {around} {around} {text.lower()}"):
+        assert [(h[0], h[4]) for h in licenses.scan_text(t)] == [(name, 0)]
+    assert [(h[0], h[4]) for h in licenses.scan_text(f"{text} or, if you like, {around} {text}, or all rights reserved.")].count((name, 0)) == 2 + (name == "Proprietary")
+
+
+def test_two_licenses_in_a_sentence_are_two():
+    text = "Licensed under the Apache License, Version 2.0, or released under the MIT License."
+    assert [(h[0], h[1], h[4]) for h in licenses.scan_text(text)] == [("Apache", 0, 0), ("MIT", 0, 0)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), min_size=1, max_size=5))
+def test_differences_are_the_least_of_all_stretches(have, want):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    n, begin, end = licenses.differences(have, want)
+    assert n == distance(have[begin:end], want) == min(distance(have[i:j], want) for i in range(len(have) + 1) for j in range(i, len(have) + 1))
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
 @pytest.mark.parametrize("name", licenses.NOTICES)
 def test_wrapped_notices_are_found(name, mark):
