@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import canon, sqltext
@@ -829,8 +829,12 @@ def session_latest(spark, sf_dir):
 
 @query()
 def session_recall(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "text")
-    asked = turns.where("turn = 0").select(F.col("session").alias("query_id"), "session", F.col("text").alias("query"))
+    rows = table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", "conv_id", "turn")
+    asked = rows.where("role = 'user'").select(key.alias("query_id"), key.alias("session"), F.col("text").alias("query"))
+    # What each question may recall is the turn before it.
+    before = F.lag(F.struct("turn", "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = rows.select(key.alias("session"), "role", before.alias("t")).where("role = 'user' AND t IS NOT NULL").select("session", "t.*")
     return memory.recall(asked, turns, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyglass import cli
 from tallyglass.functions import canon, sqltext
 from tallyglass.operators import corpus, guard, memory, profile, report, retrieval, scoring, shadow, stats, validation
-from tallyglass.plans import authoring
+from tallyglass.plans import authoring, evaluation
 from tallyglass.sources import catalog as cat
 from tallyglass.sources import files
 from tallyglass.streaming import commits
@@ -357,3 +357,12 @@ def test_bootstrap_interval_covers_the_mean(spark):
     r = stats.bootstrap_mean(rows, "id", "y", resamples=200).first()
     half = 1.96 * math.sqrt(0.3 * 0.7 / 2000)
     assert r.mean == 0.3 and r.low < 0.3 < r.high and r.high - r.low == pytest.approx(2 * half, rel=0.25)
+
+
+def test_every_user_turn_is_asked_and_recalls_the_turn_before_it(spark):
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("f", memory.follow_up(F.col("text"))).collect()}
+    asked = {k for k, r in turns.items() if r.role == "user"}
+    before = {k: max((t for c, t in turns if c == k[0] and t < k[1]), default=None) for k in asked if turns[k].f}
+    found = evaluation.queries()["session_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.query_id, r.ref) for r in found if r.source == "turn"} == {(f"{c}:{t}", str(b)) for (c, t), b in before.items() if b is not None}
+    assert any(t > 0 for _, t in asked) and {r.query_id for r in found} <= {f"{c}:{t}" for c, t in asked}
