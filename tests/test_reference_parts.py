@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyglass import cli
 from tallyglass.functions import canon, sqltext
 from tallyglass.operators import corpus, guard, memory, profile, report, retrieval, scoring, shadow, stats, validation
-from tallyglass.plans import authoring, evaluation
+from tallyglass.plans import authoring, evaluation, gold
 from tallyglass.sources import catalog as cat
 from tallyglass.sources import files
 from tallyglass.streaming import commits
@@ -366,3 +366,9 @@ def test_every_user_turn_is_asked_and_recalls_the_turn_before_it(spark):
     found = evaluation.queries()["session_recall"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.query_id, r.ref) for r in found if r.source == "turn"} == {(f"{c}:{t}", str(b)) for (c, t), b in before.items() if b is not None}
     assert any(t > 0 for _, t in asked) and {r.query_id for r in found} <= {f"{c}:{t}" for c, t in asked}
+
+
+def test_every_gold_question_is_judged(spark):
+    found = {r.question_id: r for r in evaluation.queries()["window_dependence"](spark, SF).collect()}
+    assert found.keys() == gold.SHARED.keys()
+    assert all(r.split == ("heldout" if r.dependent else "train_ok") for r in found.values())
