@@ -39,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """Write to the shared folder in `n` buckets by a column and read back: joins on it leave these rows where they are."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = "tallyglass_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
+    try:
+        return spark.table(table).select("*")
+    finally:
+        spark.sql(f"DROP TABLE {table}")  # the catalog's entry only: the files are outside its folder and stay
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's collector see finished shuffles: executors delete their files once no plan refers to them."""
     gc.collect()

@@ -1,17 +1,21 @@
 """Exact substring dedup: bytes covered by a string of `LENGTH` bytes that also starts earlier are removed.
 
 Candidate buckets. In every window of LENGTH bytes the least-hashed k-gram (leftmost on ties) is the window's anchor,
-a function of the window's bytes alone, so equal windows have equal anchors and meet in one bucket, named by the
-anchor's hash. Consecutive windows with one anchor occurrence make a run. Equal runs are merged before the shuffle
-(per batch) and after it: the first occurrence represents them and every window of the others is a repeat. A bucket
-left with one run has no repeats; this is where almost all text ends.
+a function of the window's bytes alone, so equal windows have equal anchors, at equal offsets, and meet in one bucket,
+named by the anchor's hash. Consecutive windows with one anchor occurrence make a run. Runs are counted by bucket
+(combined before the shuffle); a run that is alone in its bucket has no repeats, and this is where almost all text ends.
+A bucket says where equal windows can be, never that two windows are equal.
 
-Suffix arrays. Where a bucket keeps several different runs, their bytes are fetched and the suffixes that start their
-windows are sorted by deep-shallow sorting, LENGTH bytes deep: multikey quicksort on 8-byte characters down to a
-shallow depth, then blind tries for the groups that still share a long prefix. Neighbours in the array with a common
-prefix of LENGTH are equal windows; all but the earliest are repeats. A bucket with more than CROWDED runs (around a
-passage that very many documents share) is first split into its single windows, dealt out by the hash of their bytes.
+Suffix arrays. The bytes of all other runs are fetched, and the suffixes that start their windows are sorted by
+deep-shallow sorting, LENGTH bytes deep: bucket and anchor offset first, then three-way multikey quicksort on 8-byte
+characters down to a shallow depth, then blind tries for all groups that still share a prefix. Neighbours in the array
+with a common prefix of LENGTH are equal windows; all but the earliest are repeats. Every repeat is found this way.
 
+Hot buckets. A bucket with n runs is dealt out in ceil(n / PART) parts, each window to the part that its bytes name.
+Where there is more than one part, the windows are first sorted among those of their task, so of a passage that a third
+of all documents share each task sends each window once.
+
+The texts are written once, bucketed by key: fetching bytes and removing them shuffles runs and spans, not texts.
 Documents are ordered by doc_id. Matches never cross documents, and every string is judged on the input.
 """
 
@@ -26,26 +30,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import lean, materialize, release, shuffle_partitions, text_of
+from tallyglass.llm.common import bucketed, lean, materialize, release, shuffle_partitions, text_of
 
 LENGTH = 100
 ANCHOR = 32
 #: 8-byte characters sorted by multikey quicksort before blind tries take over.
-SHALLOW = 5
+SHALLOW = 3
 #: Bytes whose windows are hashed together; a longer text is cut, windows of a piece reaching into the next.
 PIECE = 1 << 18
 POSITION = np.uint64((1 << 20) - 1)
-#: Bytes of documents that are put out together.
-PUT_OUT = 1 << 20
-#: Runs in a bucket beyond which it is split into the buckets of its single windows, which meet again by their own bytes.
-CROWDED = 30_000
+#: Runs of a bucket that one part of it holds.
+PART = 512
+#: Bytes of runs that are sent, and runs that are sorted, together.
+SENT = 1 << 22
+SORTED = 1 << 14
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of the texts in `data`: text number, first window, windows, anchor hash and content hash of each run."""
+    """Of the texts in `data`: text number, first window, windows, anchor hash and the anchor's offset in the first window of each run."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     up, down = textbytes.powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
@@ -66,14 +71,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = A
     closes = valid[:-1].copy()
     closes[:-1] &= (at[1:] != at[:-1]) | ~valid[1:-1]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-    content = (total[last + length] - total[first]) * down[first]
-    windows = last - first + 1
-    content = textbytes.mix(content ^ (windows.astype(np.uint64) << np.uint64(56)))
-    return text[first], first - offsets[text[first]], windows, gram[at[first]], content
+    return text[first], first - offsets[text[first]], last - first + 1, gram[at[first]], at[first] - first
 
 
 def runs_of(column: pa.Array, length: int = LENGTH, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
-    """runs() over a column: row number, first window within the row, windows, anchor hash, content hash."""
+    """runs() over a column: row number, first window within the row, windows, anchor hash, anchor offset."""
     for i, _, data, offsets in textbytes.chunks(column, PIECE):
         if len(offsets) > 2 or len(data) <= 2 * PIECE:
             row, *rest = runs(data, offsets, length, k)
@@ -97,131 +99,163 @@ def characters(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def character(table: np.ndarray, suffixes: np.ndarray, depth: int, length: int) -> np.ndarray:
-    """Each suffix's 8-byte character at a depth; of the last one, only what lies within `length`."""
-    found = table[suffixes + 8 * depth]
-    return found >> np.uint64(8 * (8 - min(8, length - 8 * depth)))
+def character(table: np.ndarray, suffixes: np.ndarray, depth: np.ndarray | int, length: int) -> np.ndarray:
+    """Each suffix's 8-byte character at its depth; of the last one, only what lies within `length`."""
+    beyond = np.maximum(0, 8 - (length - 8 * np.asarray(depth))).astype(np.uint64)
+    return table[suffixes + 8 * depth] >> np.uint64(8) * beyond
 
 
-def multikey_quicksort(table: np.ndarray, suffixes: np.ndarray, depths: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes sorted by their first `depths` characters, and the number of each one's group of equals.
+def _members(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups of places: the first member's number, each member's group, each member's place."""
+    first = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    return first, group, np.arange(len(group)) - first[group] + starts[group]
 
-    Every group that is not settled is partitioned on its next character; the partitions of one depth are made
-    together, by one sort of (group, character).
-    """
-    order, group = suffixes.copy(), np.zeros(len(suffixes), np.int64)
-    open_ = np.arange(len(suffixes))
-    for depth in range(depths):
-        if not len(open_):
-            break
-        key = character(table, order[open_], depth, length)
-        by = np.lexsort((key, group[open_]))
-        order[open_], key = order[open_][by], key[by]
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        new[1:] = group[1:] != group[:-1]
-        new[open_[1:]] |= key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        open_ = np.flatnonzero(np.bincount(group)[group] > 1)
-    return order, group
+
+def _ranks(chosen: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of each member, how many chosen ones of its group come before it."""
+    upto = np.cumsum(chosen) - chosen
+    return upto - upto[first][group]
 
 
-class BlindTrie:
-    """A trie that keeps only branching depths and bytes; strings are compared once per insertion, at a leaf.
+def multikey_quicksort(table: np.ndarray, order: np.ndarray, new: np.ndarray, depths: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort each group of `order` by its suffixes' first `depths` characters; returns start and size of the groups equal so far.
 
-    A node is [depth, {byte: child}]; a leaf is the list of suffixes that agree up to `length`.
+    `new` marks the places where a group begins, and is kept up to date. Each round takes every open group, chooses the median
+    of three of its characters as pivot, and partitions the group three ways: the smaller and the greater stay at their depth,
+    the equal go on to the next character.
     """
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(order)))
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    depth, equal = np.zeros(len(starts), np.int64), []
+    while len(starts):
+        first, group, place = _members(starts, sizes)
+        suffix = order[place]
+        c = character(table, suffix, depth[group], length)
+        a, b, d = c[first], c[first + sizes // 2], c[first + sizes - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), d))[group]
+        less, more = c < pivot, c > pivot
+        same = ~(less | more)
+        n_less, n_same = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(same, first, dtype=np.int64)
+        if not same.all():
+            to = np.where(less, _ranks(less, first, group), np.where(same, n_less[group] + _ranks(same, first, group), (n_less + n_same)[group] + _ranks(more, first, group)))
+            order[starts[group] + to] = suffix
+        starts = np.concatenate([starts, starts + n_less, starts + n_less + n_same])
+        sizes, depth = np.concatenate([n_less, n_same, sizes - n_less - n_same]), np.concatenate([depth, depth + 1, depth])
+        new[starts[sizes > 0]] = True
+        done = (sizes > 1) & (depth == depths)
+        equal.append((starts[done], sizes[done]))
+        left = (sizes > 1) & ~done
+        starts, sizes, depth = starts[left], sizes[left], depth[left]
+    return tuple(np.concatenate(x) for x in zip(*equal, strict=True)) if equal else (starts, sizes)
+
+
+def branch(table: np.ndarray, suffix: np.ndarray, lead: np.ndarray, depth: int, length: int) -> np.ndarray:
+    """Where each suffix leaves its lead, as a number in lexicographic order of the branches; the lead's own leaf is in the middle.
+
+    Both agree before character `depth`. A branch is named by the length of the common prefix and the first byte after it:
+    those that come before the lead, the shortest prefix first; the lead and its equals; those after it, the longest first.
+    """
+    middle = 256 * (length + 1)
+    out = np.full(len(suffix), middle)
+    rest = np.arange(len(suffix))
+    for d in range(depth, -(-length // 8)):
+        c, own = character(table, suffix[rest], d, length), character(table, lead[rest], d, length)
+        apart = np.flatnonzero(c != own)
+        if len(apart):
+            at, c, own = rest[apart], c[apart], own[apart]
+            n = min(8, length - 8 * d)
+            differ = c ^ own
+            common = sum(((differ < np.uint64(1 << 8 * (n - k))).astype(np.int64) for k in range(1, n)), np.zeros(len(at), np.int64))
+            byte = (c >> (np.uint64(8) * (n - 1 - common).astype(np.uint64)) & np.uint64(255)).astype(np.int64)
+            prefix = 8 * d + common
+            out[at] = np.where(c < own, 256 * prefix + byte, middle + 1 + 256 * (length - prefix) + byte)
+            rest = np.delete(rest, apart)
+    return out
 
-    def __init__(self, data: bytes, length: int):
-        self.data, self.length, self.root = data, length, None
 
-    def insert(self, suffix: int) -> None:
-        if self.root is None:
-            self.root = (self.length, [suffix])
-            return
-        node = self.root
-        while isinstance(node[1], dict):  # blind: any leaf below shares the true common prefix
-            node = node[1].get(self.data[suffix + node[0]]) or next(iter(node[1].values()))
-        common = self._common(suffix, node[1][0])
-        if common == self.length:
-            node[1].append(suffix)
+def blind_tries(table: np.ndarray, order: np.ndarray, new: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int, length: int) -> None:
+    """Order each group, which shares its first `depth` characters, by a blind trie of its own, all tries at once.
+
+    A trie keeps the depths and first bytes of its branches only. Its spine is the group's first suffix; every other suffix is
+    compared with it once and hung on the branch where it leaves. The suffixes on one branch share more than the branch's depth
+    and are the next round's group, so there are at most as many rounds as bytes. A leaf is the suffixes equal up to `length`.
+    """
+    middle = 256 * (length + 1)
+    while len(starts):
+        first, group, place = _members(starts, sizes)
+        suffix = order[place]
+        on = branch(table, suffix, suffix[first][group], depth, length)
+        mixed = np.flatnonzero(np.logical_or.reduceat(on != middle, first))
+        if not len(mixed):
             return
-        parent, byte, node = None, 0, self.root
-        while isinstance(node[1], dict) and node[0] < common:
-            parent, byte, node = node, self.data[suffix + node[0]], node[1].get(self.data[suffix + node[0]])
-            if node is None:
-                break
-        if node is None:
-            parent[1][byte] = (self.length, [suffix])
-        elif isinstance(node[1], dict) and node[0] == common:
-            node[1][self.data[suffix + common]] = (self.length, [suffix])
-        else:
-            other = self._any(node)
-            fork = (common, {self.data[other + common]: node, self.data[suffix + common]: (self.length, [suffix])})
-            if parent is None:
-                self.root = fork
-            else:
-                parent[1][byte] = fork
-
-    def _common(self, a: int, b: int) -> int:
-        x, y = self.data[a : a + self.length], self.data[b : b + self.length]
-        if x == y:
-            return self.length
-        lo, hi = 0, min(len(x), len(y))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid - 1)
-        return lo
-
-    @staticmethod
-    def _any(node) -> int:
-        while isinstance(node[1], dict):
-            node = next(iter(node[1].values()))
-        return node[1][0]
-
-    def leaves(self) -> Iterator[list[int]]:
-        """Groups of suffixes equal up to `length`, in lexicographic order."""
-        stack = [self.root] if self.root else []
-        while stack:
-            node = stack.pop()
-            if isinstance(node[1], dict):
-                stack += [node[1][b] for b in sorted(node[1], reverse=True)]
-            else:
-                yield node[1]
-
-
-def suffix_groups(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in lexicographic order of their first `length` bytes, and the number of each one's group of equals."""
+        chosen = np.isin(group, mixed)
+        place, suffix, on, group = place[chosen], suffix[chosen], on[chosen], group[chosen]
+        by = np.lexsort((on, group))
+        suffix, on = suffix[by], on[by]
+        order[place] = suffix
+        edge = np.ones(len(on), bool)
+        edge[1:] = (on[1:] != on[:-1]) | (group[1:] != group[:-1])
+        new[place[edge]] = True
+        at = np.flatnonzero(edge)
+        n = np.diff(np.append(at, len(on)))
+        again = (n > 1) & (on[at] != middle)
+        starts, sizes = place[at[again]], n[again]
+
+
+def suffix_groups(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in lexicographic order of their first `length` bytes, and the number of each one's group of equals.
+
+    group: numbers by which the suffixes are ordered already; only those of one number are sorted among themselves.
+    """
     if not len(suffixes):
         return suffixes, suffixes
-    table = characters(data)
-    depths = -(-length // 8)
-    order, group = multikey_quicksort(table, suffixes, min(SHALLOW, depths), length)
-    if depths <= SHALLOW:
-        return order, group
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    sizes = np.diff(np.append(starts, len(order)))
-    lead = np.repeat(order[starts], sizes)
-    alike = np.ones(len(order), bool)  # a group that agrees with its first member to the end is one leaf of its trie
-    deep = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-    for depth in range(SHALLOW, depths):
-        alike[deep] &= character(table, order[deep], depth, length) == character(table, lead[deep], depth, length)
-    mixed = np.unique(group[~alike])
-    raw, new = data.tobytes() if len(mixed) else b"", np.zeros(len(order), bool)
-    new[starts] = True
-    for g in mixed.tolist():
-        lo, hi = starts[g], starts[g] + sizes[g]
-        trie = BlindTrie(raw, length)
-        for s in order[lo:hi].tolist():
-            trie.insert(s)
-        at = lo
-        for leaf in trie.leaves():
-            order[at : at + len(leaf)] = leaf
-            new[at] = True
-            at += len(leaf)
+    order, new = suffixes.copy(), np.zeros(len(suffixes), bool)
+    new[0] = True
+    if group is not None:
+        new[1:] = group[1:] != group[:-1]
+    table, depths = characters(data), -(-length // 8)
+    shallow = min(SHALLOW, depths)
+    starts, sizes = multikey_quicksort(table, order, new, shallow, length)
+    if shallow < depths:
+        blind_tries(table, order, new, starts, sizes, shallow, length)
     return order, np.cumsum(new) - 1
 
 
+def repeated(raws: list[bytes], windows: np.ndarray, bucket: np.ndarray, offset: np.ndarray, wanted: np.ndarray | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Run and step of each window that repeats an earlier one of its bucket.
+
+    raws: the bytes of each run's windows, runs in order of documents. offset: of the anchor in the run's first window.
+    wanted: of all windows in order, those that are looked at; the others are not there.
+    """
+    data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    run = np.repeat(np.arange(len(raws)), windows)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    if wanted is not None:
+        run, step = run[wanted], step[wanted]
+    known = bucket[run] * (length + 1) + offset[run] - step
+    by = np.argsort(known, kind="stable")
+    order, group = suffix_groups(data, (base[run] + step)[by], length, known[by])
+    if not len(order):
+        return order, order
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    again = np.sort(order[order != np.minimum.reduceat(order, starts)[group]])
+    run = np.searchsorted(base, again, "right") - 1
+    return run, again - base[run]
+
+
+def window_parts(raws: list[bytes], windows: np.ndarray, parts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The part of its bucket that each window's bytes name."""
+    data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    run = np.repeat(np.arange(len(raws)), windows)
+    at = base[run] + np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    up, down = textbytes.powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return (textbytes.mix((total[at + length] - total[at]) * down[at]) % parts[run].astype(np.uint64)).astype(np.int64)
+
+
 # ---- Spark ----------------------------------------------------------------------------------------------------------
 
 
@@ -247,56 +281,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     return materialize(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "raw"), "suffix-keyed")
 
 
-RUN = "bucket long, content long, key long, first int, windows int, repeat boolean"
-#: kind: 0 a document's bytes, 1 windows to remove, 2 a run to sort. 3: a finished document.
-DONE = "kind int, key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-WORK = DONE + ", bucket long, first int, windows int, raw binary"
+RUN = "bucket long, key long, first int, windows int, offset int"
+#: raw: the bytes of a run's windows; null where the windows are repeats already. wanted: bits of the windows to look at, all where null.
+SEND = "bucket long, part int, key long, first int, windows int, offset int, raw binary, wanted binary"
+REPEAT = "key long, first int, windows int"
+DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _table(schema: str, **columns) -> pa.RecordBatch:
     """A batch of `schema`'s columns; those not given are null."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     n = len(next(iter(columns.values())))
     arrays = [pa.array(columns[name], kinds[t]) if name in columns else pa.nulls(n, kinds[t]) for name, t in fields]
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Consecutive rows with one value in the first column, as slices of batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi > lo:
-                if held and key[lo] != last:
-                    yield held
-                    held = []
-                last = key[lo]
-                held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield held
-
-
-def _numbers(parts: list[pa.RecordBatch], column: int) -> np.ndarray:
-    return np.concatenate([p.column(column).fill_null(0).to_numpy(zero_copy_only=False) for p in parts])
-
-
-def _finished(rows: list[tuple]) -> dict[str, list]:
-    """Columns of DONE from (key, doc_id, raw, firsts, windows) of documents."""
-    out: dict[str, list] = {x.split()[0]: [] for x in DONE.split(", ")}
-    for key, doc_id, raw, first, windows, length in rows:
-        starts, ends = spans(np.array(first, np.int64), np.array(windows, np.int64), length, len(raw))
-        kept, at = hashlib.sha256(), 0
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            kept.update(raw[at:a])
-            at = b
-        kept.update(raw[at:])
-        for name, value in zip(out, (3, key, doc_id, len(raw), int((ends - starts).sum()), len(starts), kept.hexdigest()), strict=True):
-            out[name].append(value)
-    return out
+def _joined(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Single windows (in order) as stretches: key, first window, windows."""
+    if not len(key):
+        return key, first, first
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1] + 1)]))
+    return key[at], first[at], np.diff(np.append(at, len(key)))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a column of arrays of structs: how many elements each row has, and the fields of all elements."""
+    flat = column.flatten()
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), {f.name: flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, f in enumerate(flat.type)}
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -307,162 +319,112 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     empty table gives no rows.
     """
     anchor = min(anchor, length)
-    n = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n, part_size = shuffle_partitions(spark), PART
     source = keyed(docs)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a batch: the first of equal ones to its bucket; the others are repeats, dealt out by their document."""
+    def found(batch: pa.RecordBatch) -> tuple[np.ndarray, ...] | None:
+        every = list(runs_of(batch.column(1), length, anchor))
+        return tuple(np.concatenate(x) for x in zip(*every, strict=True)) if every else None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            found = [np.concatenate(x) for x in zip(*runs_of(batch.column(1), length, anchor), strict=True)] if len(batch) else []
-            if not found or not len(found[0]):
-                continue
-            row, first, windows, bucket, content = found
-            by = np.lexsort((first, keys[row], content, bucket))
-            row, first, windows, bucket, content = (x[by] for x in (row, first, windows, bucket, content))
-            again = np.zeros(len(row), bool)
-            again[1:] = (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])
-            gone = np.flatnonzero(again)
-            gone = gone[np.lexsort((first[gone], row[gone]))]
-            r, f, w = row[gone], first[gone], windows[gone]
-            opens = np.ones(len(gone), bool)  # adjoining repeats of a document are one
-            opens[1:] = (r[1:] != r[:-1]) | (f[1:] != f[:-1] + w[:-1])
-            at = np.flatnonzero(opens)
-            if len(at):
-                own = textbytes.mix(keys[r[at]].view(np.uint64)).view(np.int64)
-                yield _table(RUN, bucket=own, content=own, key=keys[r[at]], first=f[at], windows=np.add.reduceat(w, at), repeat=np.ones(len(at), bool))
-            kept = ~again
-            yield _table(RUN, bucket=bucket[kept].view(np.int64), content=content[kept].view(np.int64), key=keys[row[kept]], first=first[kept], windows=windows[kept], repeat=np.zeros(kept.sum(), bool))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted runs: repeats of equal runs become kind 1, first runs of buckets with several contents kind 2."""
-        last = None  # (bucket, content), of the rows before
-        waiting = None  # the first run of a bucket, until a second content shows up
+            if (runs_ := found(batch)) is not None and len(runs_[0]):
+                bucket, times = np.unique(runs_[3], return_counts=True)
+                yield _table("bucket long, n long", bucket=bucket.view(np.int64), n=times)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, content, key, first, windows, repeat = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            known = ~repeat
-            rows = np.flatnonzero(known)
-            out = [(1, k, f, w, 0) for k, f, w in zip(key[repeat].tolist(), first[repeat].tolist(), windows[repeat].tolist(), strict=True)]
-            b, c = bucket[rows], content[rows]
-            before_b = np.concatenate([[last[0] if last else 0], b[:-1]])
-            before_c = np.concatenate([[last[1] if last else 0], c[:-1]])
-            same_b = b == before_b
-            same_b[:1] &= last is not None
-            equal = same_b & (c == before_c)
-            lone = ~same_b
-            follows = np.zeros(len(b), bool)  # a bucket's first run is followed by another content of the bucket
-            nxt = np.flatnonzero(~equal)
-            follows[nxt[:-1]] = same_b[nxt[1:]]
-            out += [(1, k, f, w, 0) for k, f, w in zip(key[rows][equal].tolist(), first[rows][equal].tolist(), windows[rows][equal].tolist(), strict=True)]
-            if waiting is not None and len(nxt):
-                if same_b[nxt[0]]:
-                    out.append(waiting)
-                waiting = None
-            several = ~equal & (~lone | follows)
-            out += [(2, *x) for x in zip(key[rows][several].tolist(), first[rows][several].tolist(), windows[rows][several].tolist(), b[several].tolist(), strict=True)]
-            if len(rows):
-                last = (b[-1], c[-1])
-                if len(nxt) and lone[nxt[-1]]:
-                    i = nxt[-1]
-                    waiting = (2, int(key[rows][i]), int(first[rows][i]), int(windows[rows][i]), int(b[i]))
+            if (runs_ := found(batch)) is not None and len(runs_[0]):
+                row, first, windows, bucket, offset = runs_
+                yield _table(RUN, bucket=bucket.view(np.int64), key=batch.column(0).to_numpy()[row], first=first, windows=windows, offset=offset)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the runs that are to be sorted, to the parts of their buckets."""
+
+        def cold(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            bucket, key, first, windows, offset, _, raw = zip(*rows, strict=True)
+            yield _table(SEND, bucket=bucket, part=[0] * len(rows), key=key, first=first, windows=windows, offset=offset, raw=raw)
+
+        def hot(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            """Sorted here first: what repeats an earlier window is settled, the rest is dealt out by its bytes."""
+            rows.sort(key=lambda r: r[:3])
+            raws = [r[6] for r in rows]
+            bucket, key, first, windows, offset, parts = np.array([r[:6] for r in rows], np.int64).T
+            _, near = np.unique(bucket, return_inverse=True)
+            run, step = repeated(raws, windows, near, offset, None, length)
+            k, f, w = _joined(key[run], first[run] + step)
+            if len(k):
+                spread = textbytes.mix(k.view(np.uint64)).view(np.int64)
+                yield _table(SEND, bucket=spread, part=np.zeros(len(k), np.int64), key=k, first=f, windows=w)
+            base = np.cumsum(windows) - windows
+            open_ = np.ones(windows.sum(), bool)
+            open_[base[run] + step] = False
+            part = np.where(open_, window_parts(raws, windows, parts, length), -1)
+            out = []
+            for i in range(len(rows)):
+                own = part[base[i] : base[i] + windows[i]]
+                for p in np.unique(own[own >= 0]).tolist():
+                    out.append((*rows[i][:1], p, *rows[i][1:5], raws[i], np.packbits(own == p).tobytes()))
             if out:
-                kind, k, f, w, bk = zip(*out, strict=True)
-                yield _table(WORK, kind=kind, key=k, first=f, windows=w, bucket=bk)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document (its bytes come first) with what its runs need: finished where nothing is to be sorted, else kept with its runs' bytes."""
-        done: list[tuple] = []
-        held: dict[str, list] = {}
-
-        def keep(**columns) -> None:
-            for name, values in columns.items():
-                held.setdefault(name, []).extend(values)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if done:
-                yield _table(WORK, **_finished(done))
-                done.clear()
-            if held:
-                yield _table(WORK, **held)
-                held.clear()
+                yield _table(SEND, **dict(zip((x.split()[0] for x in SEND.split(", ")), zip(*out, strict=True), strict=True)))
 
+        held: dict[bool, list] = {True: [], False: []}
         size = 0
-        for parts in _grouped(batches):
-            key, doc_id, raw = parts[0].column(0)[0].as_py(), parts[0].column(4)[0].as_py(), parts[0].column(5)[0].as_py()
-            kind, first, windows = (_numbers(parts, i) for i in (1, 2, 3))
-            gone, todo = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-            size += len(raw) + 1000
-            if len(todo):
-                bits = [raw[f : f + w + length - 1] for f, w in zip(first[todo].tolist(), windows[todo].tolist(), strict=True)]
-                n_rows, none = 1 + len(gone) + len(todo), [None]
-                keep(
-                    kind=[0, *[1] * len(gone), *[2] * len(todo)], key=[key] * n_rows, doc_id=[doc_id, *none * (n_rows - 1)],
-                    first=[0, *first[gone].tolist(), *first[todo].tolist()], windows=[0, *windows[gone].tolist(), *windows[todo].tolist()],
-                    bucket=[*none * (1 + len(gone)), *_numbers(parts, 6)[todo].tolist()], raw=[raw, *none * len(gone), *bits],
-                )
-            else:
-                done.append((key, doc_id, raw, first[gone], windows[gone], length))
-            if size > PUT_OUT:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a crowded bucket as single windows, each in a bucket named by its own bytes; repeats within a batch are settled."""
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                raws, windows = part.column(4).to_pylist(), part.column(3).to_numpy().astype(np.int64)
-                data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
-                run = np.repeat(np.arange(len(raws)), windows)
-                step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at_ = base[run] + step
-                up, down = textbytes.powers(len(data))
-                total = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-                own = textbytes.mix((total[at_ + length] - total[at_]) * down[at_])
-                key, first = part.column(1).to_numpy()[run], part.column(2).to_numpy()[run] + step
-                by = np.lexsort((first, key, own))
-                again = np.zeros(len(by), bool)
-                again[1:] = own[by][1:] == own[by][:-1]
-                alike, span = np.flatnonzero(again), np.arange(length)
-                again[alike] = (data[at_[by[alike], None] + span] == data[at_[by[alike - 1], None] + span]).all(axis=1)
-                gone, kept = by[again], by[~again]
-                if len(gone):
-                    yield _table(WORK, kind=np.ones(len(gone)), key=key[gone], first=first[gone], windows=np.ones(len(gone)))
-                if len(kept):
-                    bits = [data[x : x + length].tobytes() for x in at_[kept].tolist()]
-                    yield _table(WORK, kind=np.full(len(kept), 2), key=key[kept], first=first[kept], windows=np.ones(len(kept)), bucket=own[kept].view(np.int64), raw=bits)
+            for at in range(0, len(batch), 256):
+                piece = batch.slice(at, 256)
+                counts, marks = _lists(piece.column(2))
+                ends = np.cumsum(counts)
+                for key, raw, lo, hi in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    for bucket, first, windows, offset, parts in zip(*(marks[c][lo:hi].tolist() for c in ("bucket", "first", "windows", "offset", "parts")), strict=True):
+                        held[parts > 1].append((bucket, key, first, windows, offset, parts, raw[first : first + windows + length - 1]))
+                        size += windows + length
+                        if size > SENT:
+                            for which, put in ((True, hot), (False, cold)):
+                                if held[which]:
+                                    yield from put(held[which])
+                                    held[which] = []
+                            size = 0
+        for which, put in ((True, hot), (False, cold)):
+            if held[which]:
+                yield from put(held[which])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs in order of bucket, key and first window: windows that repeat an earlier one of their bucket."""
-
-        def repeats(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, at0, windows = (_numbers(held, i).astype(np.int64) for i in (1, 2, 3))
-            raws = [r for p in held for r in p.column(4).to_pylist()]
-            data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
-            run = np.repeat(np.arange(len(raws)), windows)
-            suffix = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + base[run]
-            order, group = suffix_groups(data, suffix, length)
-            # runs are laid out by (bucket, key, first), so the least suffix of a group is the earliest window
-            earliest = np.full(group[-1] + 1, len(data)) if len(group) else np.zeros(0, np.int64)
-            np.minimum.at(earliest, group, order)
-            again = np.sort(order[order != earliest[group]])
-            if len(again):
-                r = np.searchsorted(base, again, "right") - 1
-                at = np.flatnonzero(np.concatenate([[True], (np.diff(again) != 1) | (np.diff(r) != 0)]))
-                r = r[at]
-                yield _table(WORK, kind=np.ones(len(at)), key=key[r], first=again[at] - base[r] + at0[r], windows=np.diff(np.append(at, len(again))))
+        """Runs in order of bucket, part, key and first window: the windows that repeat an earlier one."""
+
+        def repeats(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            bucket, part, key, first, windows = (table.column(i).to_numpy().astype(np.int64) for i in range(5))
+            bare = table.column("raw").is_null().to_numpy()
+            if bare.any():
+                yield _table(REPEAT, key=key[bare], first=first[bare], windows=windows[bare])
+            if bare.all():
+                return
+            sent = ~bare
+            offset = table.column("offset").to_numpy(zero_copy_only=False)[sent].astype(np.int64)
+            bucket, part, key, first, windows = (x[sent] for x in (bucket, part, key, first, windows))
+            raws, bits = table.column("raw").filter(pa.array(sent)).to_pylist(), table.column("wanted").filter(pa.array(sent))
+            wanted = None
+            if bits.null_count < len(bits):
+                own = [np.ones(w, bool) if b is None else np.unpackbits(np.frombuffer(b, np.uint8), count=w).astype(bool) for b, w in zip(bits.to_pylist(), windows.tolist(), strict=True)]
+                wanted = np.concatenate(own)
+            near = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
+            run, step = repeated(raws, windows, near, offset, wanted, length)
+            k, f, w = _joined(key[run], first[run] + step)
+            if len(k):
+                yield _table(REPEAT, key=k, first=f, windows=w)
 
         held: list[pa.RecordBatch] = []
         last = None
-        for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            if held and bucket[0] != last:
+        for batch in (b.slice(at, SORTED) for b in batches for at in range(0, len(b), SORTED)):
+            bucket, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and (bucket[0], part[0]) != last:
                 yield from repeats(held)
                 held = []
-            last = bucket[-1]
-            at = int(np.searchsorted(bucket, last))  # where the last bucket begins; it may go on in the next batch
+            last = (bucket[-1], part[-1])
+            other = np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))
+            at = int(other[-1]) + 1 if len(other) else 0  # where the last part begins; it may go on in the next batch
             if at:
                 yield from repeats([*held, batch.slice(0, at)])
                 held = []
@@ -470,41 +432,34 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
         if held:
             yield from repeats(held)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        for parts in _grouped(batches):
-            gone = _numbers(parts, 1) == 1
-            done.append((parts[0].column(0)[0].as_py(), parts[0].column(4)[0].as_py(), parts[0].column(5)[0].as_py(), _numbers(parts, 2)[gone], _numbers(parts, 3)[gone], length))
-            if len(done) == 256:
-                yield _table(DONE, **_finished(done))
-                done = []
-        if done:
-            yield _table(DONE, **_finished(done))
-
-    marks = _settled(source.select("key", "raw").mapInArrow(lean(find), RUN), settle, n)
-    columns = ["key", "kind", "first", "windows", "doc_id", "raw", "bucket"]
-    work = _with_bytes(source, marks, collect, columns, n)
-    todo = work.where("kind = 2").select("bucket", "key", "first", "windows", "raw")
-    crowded = materialize(todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("bucket"), "suffix-crowded")
-    rest = work.where("kind < 2").select(*columns[:-1])
-    if not crowded.isEmpty():
-        fine = materialize(todo.join(crowded, "bucket", "left_semi").select(todo.columns).mapInArrow(lean(refine), WORK), "suffix-refined")
-        todo = todo.join(crowded, "bucket", "left_anti").select(todo.columns).unionByName(fine.where("kind = 2").select(todo.columns))
-        rest = rest.unionByName(fine.where("kind = 1").select("key", "kind", "first", "windows"), allowMissingColumns=True)
-    dealt = todo.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "first")
-    again = materialize(dealt.mapInArrow(lean(sort), WORK).select("key", "kind", "first", "windows"), "suffix-repeats")
-    last = rest.unionByName(again, allowMissingColumns=True).repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(lean(apply), DONE)
-    shown = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    release(docs.sparkSession)
-    return work.where("kind = 3").select(*shown).unionByName(last.select(*shown))
-
-
-def _settled(runs_: DataFrame, settle, n: int) -> DataFrame:
-    dealt = runs_.repartition(n, "bucket").sortWithinPartitions("bucket", "content", "key", "first")
-    return materialize(dealt.mapInArrow(lean(settle), WORK).select("key", "kind", "first", "windows", "bucket"), "suffix-marks")
-
-
-def _with_bytes(source: DataFrame, marks: DataFrame, collect, columns: list[str], n: int) -> DataFrame:
-    release(source.sparkSession)
-    whole = source.select("key", F.lit(0).alias("kind"), "doc_id", "raw").unionByName(marks, allowMissingColumns=True).select(*columns)
-    return materialize(whole.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(lean(collect), WORK), "suffix-work")
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                piece = batch.slice(at, 256)
+                counts, gone = _lists(piece.column(2))
+                ends, out = np.cumsum(counts), []
+                for doc_id, raw, lo, hi in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    starts, stops = spans(gone["first"][lo:hi], gone["windows"][lo:hi], length, len(raw))
+                    kept, upto = hashlib.sha256(), 0
+                    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+                        kept.update(raw[upto:a])
+                        upto = b
+                    kept.update(raw[upto:])
+                    out.append((doc_id, len(raw), int((stops - starts).sum()), len(starts), kept.hexdigest()))
+                yield _table(DONE, **dict(zip((x.split()[0] for x in DONE.split(", ")), zip(*out, strict=True), strict=True)))
+
+    texts = source.select("key", "raw")
+    shared = texts.mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = shared.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / part_size).cast("int").alias("parts")).hint("shuffle_hash")
+    marks = texts.mapInArrow(lean(find), RUN).join(shared, F.col("bucket") == F.col("of")).select("key", "bucket", "first", "windows", "offset", "parts")
+    marks = materialize(marks, "suffix-marks")
+    release(spark)
+    whole = bucketed(source, "suffix-texts", "key", n)
+    release(spark)
+    listed = marks.groupBy("key").agg(F.collect_list(F.struct("bucket", "first", "windows", "offset", "parts")).alias("marks"))
+    fetched = whole.join(listed.withColumnRenamed("key", "of").hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "raw", "marks")
+    dealt = fetched.mapInArrow(lean(send), SEND).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "key", "first")
+    again = materialize(dealt.mapInArrow(lean(sort), REPEAT), "suffix-repeats")
+    release(spark)
+    gone = again.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("first", "windows")).alias("gone")).hint("shuffle_hash")
+    return whole.join(gone, F.col("key") == F.col("of"), "left").select("doc_id", "raw", "gone").mapInArrow(lean(remove), DONE)

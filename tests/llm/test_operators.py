@@ -255,10 +255,10 @@ def brute_substrings(rows, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 2])
+@pytest.mark.parametrize("part", [suffix_dedup.PART, 2])
 @pytest.mark.parametrize(("length", "anchor"), [(100, 32), (12, 5)])
-def test_suffix_dedup_against_every_string(spark, docs, rows, length, anchor, crowded, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+def test_suffix_dedup_against_every_string(spark, docs, rows, length, anchor, part, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     assert collected(suffix_dedup.suffix_dedup(docs, length, anchor)) == brute_substrings(rows, length)
 
 
@@ -282,14 +282,26 @@ def test_suffix_groups_sort_like_strings(text, length):
     assert all((a == b) == (g == h) for a, b, g, h in zip(found, found[1:], group, group[1:], strict=False))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abc", min_size=21, max_size=21), min_size=2, max_size=40), st.integers(0, 2), st.integers(17, 21))
+def test_blind_tries_order_and_group(strings, depth, length):
+    strings = [strings[0][: 8 * depth] + s[8 * depth :] for s in strings]
+    data = np.frombuffer("".join(strings).encode(), np.uint8)
+    order, new = np.arange(len(strings)) * 21, np.zeros(len(strings), bool)
+    new[0] = True
+    suffix_dedup.blind_tries(suffix_dedup.characters(data), order, new, np.array([0]), np.array([len(strings)]), depth, length)
+    found = [strings[i // 21][:length] for i in order]
+    assert found == sorted(found) and new.sum() == len(set(found)) and sorted(order.tolist()) == [21 * i for i in range(len(strings))]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("abc", min_size=6, max_size=6), min_size=1, max_size=40))
-def test_blind_trie_orders_and_groups(strings):
-    trie = suffix_dedup.BlindTrie("".join(strings).encode(), 6)
-    for i in range(len(strings)):
-        trie.insert(6 * i)
-    leaves = [[strings[s // 6] for s in leaf] for leaf in trie.leaves()]
-    assert [x for leaf in leaves for x in leaf] == sorted(strings) and len(leaves) == len(set(strings))
+@given(st.lists(st.tuples(st.integers(0, 3), st.text("ab", min_size=20, max_size=20)), min_size=1, max_size=60))
+def test_groups_known_before_are_sorted_apart(tagged):
+    tagged.sort(key=lambda x: x[0])
+    data, group = np.frombuffer("".join(t for _, t in tagged).encode(), np.uint8), np.array([g for g, _ in tagged])
+    order, equal = suffix_dedup.suffix_groups(data, np.arange(len(tagged)) * 20, 20, group)
+    found = [tagged[i // 20] for i in order]
+    assert found == sorted(found) and equal[-1] + 1 == len(set(tagged))
 
 
 # ---- 4 language -----------------------------------------------------------------------------------------------------
