@@ -19,9 +19,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset and all run on one machine, a local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,6 +34,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reads; none where there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like `names` that none of `taken` clashes with."""
+    have = {c.lower() for c in taken}
+    return ["_" * next(n for n in range(len(have) + 1) if "_" * n + name.lower() not in have) + name for name in names]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, name)

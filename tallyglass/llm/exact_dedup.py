@@ -1,13 +1,16 @@
 """Exact deduplication as a stateful stream: disk-backed keyed state, no expiry, full bytes checked on hits.
 
-A slim record of every document (digest of the normalised text, stable identifier, length, locator) is streamed into
-a RocksDB-backed state keyed by digest. The state never expires; per digest it holds the row that stays, its locator
-and the number of rows seen, so a later batch of files continues from the same checkpoint. Partial aggregation runs
-before the shuffle, so a digest that holds a third of all rows costs one state row per task.
-
-Digests that occur more than once are then checked on full bytes: the least and the greatest normalised text of each
-digest must be the same string. The check also aggregates before it shuffles. Where two texts ever share a digest,
-those digests are regrouped by the text itself.
+Each call adds its documents to a content store, one folder a batch: digest of the normalised text, identifier, length,
+row number and the text itself. A content locator is (batch, row). The slim columns of the store are streamed into a
+RocksDB-backed state keyed by digest that never expires; per digest it holds the row that stays with its identifier,
+the locator of the content that was seen first, and the number of rows. Partial aggregation runs before the shuffle, so
+a digest that holds a third of all rows costs one state row a task. A later call with the same checkpoint reads its new
+batch alone into the state.
+
+A hit is a digest of the batch that has more than one row. The content of hits only is fetched: the batch's own rows and,
+by locator, what was seen first; the least and the greatest text of each digest must be the same bytes. Every row is so
+held against the first content of its digest, whichever batch that came in. Where two texts ever share a digest, the
+digest is kept in a list of clashes, and its rows of all batches are regrouped by the text itself.
 
 Everything is DataFrame code; no Python runs on the executors.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import ASCII_SPACE, materialize, scratch, text_of
+from tallyglass.llm.common import ASCII_SPACE, children, fresh, materialize, scratch, text_of
 
 #: Keyed state on the executors' disks; each commit uploads its changes and closes the store: an open one preallocates 4 MB.
 STATE_SETTINGS = {
@@ -34,14 +37,19 @@ LOCAL_SETTINGS = {
     "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
 }
 
+#: Hits up to this many are broadcast (32 bytes of digest and a locator each); more are shuffled, and their texts with them.
+BROADCAST_HITS = 200_000
+
 RECORD = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("chars", T.IntegerType()),
-        T.StructField("locator", T.LongType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("batch", T.IntegerType()),
     ]
 )
+CONTENT = T.StructType([*RECORD.fields[:-1], T.StructField("norm", T.StringType()), RECORD["batch"]])
 
 
 def normalised(column: str = "text") -> Column:
@@ -59,63 +67,114 @@ def rank() -> Column:
         F.col("chars"),
         F.col("doc_id").isNotNull().alias("has_id"),
         F.bitwise_not(F.col("doc_id")).alias("not_id"),
-        F.bitwise_not(F.col("locator")).alias("not_locator"),
+        F.bitwise_not(F.col("batch")).alias("not_batch"),
+        F.bitwise_not(F.col("row")).alias("not_row"),
     )
 
 
-def records(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The slim record of each row, with a locator that is fixed once the records are written."""
-    return docs.select(
+def locator() -> Column:
+    return F.struct("batch", "row")
+
+
+def add_batch(docs: DataFrame, base: str, digest: Callable[[Column], Column] = sha256, row: str | None = None) -> int:
+    """Write the documents to the content store as its next batch; returns the batch's number. `row` names a column of row numbers."""
+    batch = len(children(docs.sparkSession, f"{base}/content"))
+    found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        digest(normalised()).alias("digest"),
+        normalised().alias("norm"),
         F.char_length(text_of()).alias("chars"),
-        F.monotonically_increasing_id().alias("locator"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
+    found.select("doc_id", digest(F.col("norm")).alias("digest"), "chars", "row", "norm").write.parquet(f"{base}/content/batch={batch}")
+    return batch
 
 
-def update_state(spark: SparkSession, path: str, checkpoint: str, max_files_per_trigger: int | None = None) -> None:
-    """Stream all record files under `path` that `checkpoint` has not seen into its keyed state, then stop."""
+def update_state(spark: SparkSession, base: str, max_files_per_trigger: int | None = None) -> None:
+    """Stream what the state has not seen of the content store into it, then stop."""
+    checkpoint = f"{base}/stream"
     settings = STATE_SETTINGS | (LOCAL_SETTINGS if checkpoint.startswith("file:") else {})
     keep = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(RECORD)
+        reader = spark.readStream.schema(CONTENT)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        grouped = reader.parquet(path).groupBy("digest").agg(F.max(rank()).alias("best"), F.count(F.lit(1)).alias("rows"))
-        query = (
-            grouped.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
+        slim = reader.parquet(f"{base}/content").select(*RECORD.names)
+        grouped = slim.groupBy("digest").agg(F.max(rank()).alias("best"), F.min(locator()).alias("first"), F.count(F.lit(1)).alias("rows"))
+        query = grouped.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in keep.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The keyed state as a table: digest, best (the rank of the row that stays), group_size."""
-    state = spark.read.format("statestore").load(checkpoint)
-    best, rows = (f.name for f in state.schema["value"].dataType.fields)
+def read_state(spark: SparkSession, base: str) -> DataFrame:
+    """The keyed state as a table: digest, best (the rank of the row that stays), first (content locator), group_size."""
+    state = spark.read.format("statestore").load(f"{base}/stream")
+    best, first, rows = (f.name for f in state.schema["value"].dataType.fields)
     return state.select(
         F.col("key")[state.schema["key"].dataType.fields[0].name].alias("digest"),
         F.col("value")[best].alias("best"),
+        F.col("value")[first].alias("first"),
         F.col("value")[rows].alias("group_size"),
     )
 
 
+def find_clashes(spark: SparkSession, base: str, batch: int, state: DataFrame) -> DataFrame:
+    """Digests that different texts share, this batch's and those known before; this batch's are added to the list."""
+    store = spark.read.schema(CONTENT).parquet(f"{base}/content")
+    hits = state.where("group_size > 1").select("digest", "first")
+    if batch:
+        hits = hits.join(store.where(F.col("batch") == batch).select("digest").distinct(), "digest", "left_semi")
+    hits = materialize(hits, "dedup-hits")
+    named = [r[0] for r in hits.select("first.batch").distinct().collect()] if batch else []
+    few = hits.count() <= BROADCAST_HITS
+    named_hits = hits.select(F.col("digest").alias("hit"), "first").hint("broadcast" if few else "shuffle_hash")
+    texts = store.where(F.col("batch").isin([batch, *named])).select("digest", "batch", "row", "norm").join(named_hits, F.col("digest") == F.col("hit"))
+    texts = texts.where((F.col("batch") == batch) | (locator() == F.col("first")))
+    differ = texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where(F.col("lo") != F.col("hi"))
+    differ.select("digest").write.parquet(f"{base}/clashes/batch={batch}")
+    return spark.read.schema("digest binary, batch int").parquet(f"{base}/clashes").select("digest").distinct()
+
+
 def _resolved(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     keep_id = F.when(F.col("best.has_id"), F.bitwise_not(F.col("best.not_id")))
     return rows.join(groups, on).select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("locator") == F.bitwise_not(F.col("best.not_locator"))).alias("kept"),
+        ((F.col("batch") == F.bitwise_not(F.col("best.not_batch"))) & (F.col("row") == F.bitwise_not(F.col("best.not_row")))).alias("kept"),
         "digest",
         "chars",
+        "row",
     )
 
 
+def decided(
+    docs: DataFrame,
+    digest: Callable[[Column], Column] = sha256,
+    checkpoint: str | None = None,
+    max_files_per_trigger: int | None = None,
+    row: str | None = None,
+) -> DataFrame:
+    """exact_dedup() with `row`, the row number in the batch."""
+    spark = docs.sparkSession
+    base = (checkpoint or scratch(spark, "dedup")).rstrip("/")
+    batch = add_batch(docs, base, digest, row)
+    update_state(spark, base, max_files_per_trigger)
+    state = read_state(spark, base)
+    store = spark.read.schema(CONTENT).parquet(f"{base}/content")
+    rows = store.where(F.col("batch") == batch).select(*RECORD.names)
+    clashes = find_clashes(spark, base, batch, state)
+    if clashes.isEmpty():
+        return _resolved(rows, state, ["digest"])
+    clashing = store.join(clashes, "digest", "left_semi")
+    groups = clashing.groupBy("digest", "norm").agg(F.max(rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    regrouped = _resolved(clashing.where(F.col("batch") == batch), groups, ["digest", "norm"])
+    return _resolved(rows.join(clashes, "digest", "left_anti"), state, ["digest"]).unionByName(regrouped)
+
+
 def exact_dedup(
     docs: DataFrame,
     digest: Callable[[Column], Column] = sha256,
@@ -126,45 +185,15 @@ def exact_dedup(
 
     `docs` needs doc_id and text; other columns are ignored, whatever their names. Null text is the empty text. A null
     doc_id loses every tie; repeated rows, even with one doc_id, keep exactly one. An empty input gives an empty result.
+    With a `checkpoint` of an earlier call the groups hold the rows of all calls: keep_id may name an earlier row, and
+    a row that now stays takes the place of the one that an earlier call kept.
     """
-    spark = docs.sparkSession
-    path, checkpoint = scratch(spark, "dedup-records"), checkpoint or scratch(spark, "dedup-state")
-    records(docs, digest).write.parquet(path)
-    rows = spark.read.schema(RECORD).parquet(path)
-    update_state(spark, path, checkpoint, max_files_per_trigger)
-    state = read_state(spark, checkpoint)
-
-    norm = normalised()
-    differ = docs.select(digest(norm).alias("digest"), norm.alias("norm")).groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
-    clashes = materialize(differ.where(F.col("lo") != F.col("hi")).select("digest"), "dedup-clashes")
-    if clashes.isEmpty():
-        return _resolved(rows, state, ["digest"])
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(norm).alias("digest"), norm.alias("norm"), F.char_length(text_of()).alias("chars"))
-    clashing = materialize(whole.join(clashes, "digest", "left_semi").withColumn("locator", F.monotonically_increasing_id()), "dedup-clashing")
-    groups = clashing.groupBy("digest", "norm").agg(F.max(rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return _resolved(rows.join(clashes, "digest", "left_anti"), state, ["digest"]).unionByName(_resolved(clashing, groups, ["digest", "norm"]))
+    return decided(docs, digest, checkpoint, max_files_per_trigger).drop("row")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without its dropped copies, all columns kept.
-
-    Rows that repeat both doc_id and text are told apart by their other values; of fully identical rows one stays.
-    """
-    kept = exact_dedup(docs).repartition("doc_id")  # apart from the join by digest, which may then split a large group
-    same = kept.groupBy("doc_id", "digest", "chars").agg(F.count(F.lit(1)).alias("same"), F.max("kept").alias("any_kept"))
-    chosen = materialize(
-        same.where("any_kept").select(
-            F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("chars").alias("__chars"), F.col("same").alias("__same")
-        ),
-        "dedup-kept",
-    )
-    joined = docs.join(
-        chosen.hint("shuffle_hash"),  # the texts are streamed past the small side and never sorted
-        docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (sha256(normalised()) == F.col("__digest")) & (F.char_length(text_of()) == F.col("__chars")),
-    )
-    single = joined.where("__same = 1").select(*[joined[c] for c in docs.columns])
-    if chosen.where("__same > 1").isEmpty():
-        return single
-    several = joined.where("__same > 1")
-    picked = several.groupBy("__id", "__digest").agg(F.min(F.struct(*[several[c] for c in docs.columns])).alias("row")).select("row.*")
-    return single.unionByName(picked)
+    """`docs` without its dropped copies, all columns kept; of equal texts, repeated rows included, one row stays."""
+    at, stays = fresh(docs.columns, "at", "stays")
+    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "dedup-input")
+    kept = decided(rows, row=at).where("kept").select(F.col("row").alias(stays))
+    return rows.join(kept.hint("shuffle_hash"), F.col(at) == F.col(stays), "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ of its children's, so a shortage leaves a subtree only once no sibling below can
 children saturate is found in closed form from cumulative sums over the children, ordered by capacity per weight.
 
 A leaf's budget is filled from seeded epochs: epoch e holds all of the leaf's documents in the order of
-md5(seed:e:doc_id). Full epochs are taken whole; of the last one the longest prefix is taken whose tokens fit.
+md5(seed:e:doc_id), rows without a doc_id by a hash of their text in its place. Full epochs are taken whole; of the last one the longest prefix is taken whose tokens fit.
 Prefix sums are made in two levels (buckets of the leading hash digits, then within a bucket), so a leaf with a third
 of all rows is summed by many tasks.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import materialize, text_of
+from tallyglass.llm.common import fresh, materialize, text_of
 
 LEAF = ("domain", "lang", "source")
 
@@ -43,8 +43,8 @@ class Mix:
     max_epochs: int = 2
     seed: int = 17
     domains: int = 4
-    #: Leading hexadecimal digits of the order hash that name a bucket: 256 buckets a leaf and epoch.
-    bucket_digits: int = 2
+    #: Leading hexadecimal digits of the order hash that name a bucket: 4,096 buckets a leaf and epoch.
+    bucket_digits: int = 3
 
 
 def token_count() -> Column:
@@ -94,45 +94,48 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return divide(by_source.join(lang, ["domain", "lang"]), ["domain", "lang"], "source").select(*LEAF, "tokens", F.floor(F.col("budget") + 1e-6).alias("budget"))
 
 
-def described(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens of each row; null names count as the name ''."""
+def described(docs: DataFrame, mix: Mix, *more: str) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, ident of each row, and the columns `more`; null names count as the name ''."""
     domain = F.col("domain").cast("string") if "domain" in docs.columns else domain_of(F.coalesce("source", F.lit("")), mix.domains)
     named = [F.coalesce(domain, F.lit("")).alias("domain"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEAF[1:])]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, token_count().alias("n_tokens"))
+    ident = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("t"), F.md5(text_of())))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *named, token_count().alias("n_tokens"), ident.alias("ident"), *more)
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per taken document and epoch: doc_id, domain, lang, source, n_tokens, epoch.
-
-    Documents without tokens cost nothing and are taken where they come before the cut; a leaf of such alone has no budget. Rows that
-    repeat a doc_id within a leaf are tied in the order and then ordered by size; null doc_ids are ordered as ''.
-    Columns other than doc_id, text, lang, source and domain are ignored. An empty table gives no rows.
-    """
-    rows = materialize(described(docs, mix), "mix-rows")
+def _taken(docs: DataFrame, mix: Mix, *more: str) -> DataFrame:
+    """mix_sources() with the columns `more`, by which tied rows are ordered at last."""
+    rows = materialize(described(docs, mix, *more), "mix-rows")
     leaves = materialize(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     shares = materialize(budgets(leaves, mix), "mix-budgets")
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
     epochs = shares.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(full, F.lit(mix.max_epochs - 1)).cast("int"))))
     epochs = epochs.select(*LEAF, "epoch", F.least("tokens", F.col("budget") - F.col("epoch") * F.col("tokens")).alias("room"))
 
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.col("ident")))
     drawn = rows.join(epochs, list(LEAF)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, mix.bucket_digits))
     part = [*LEAF, "epoch", "bucket"]
     sums = drawn.groupBy(*part).agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(*LEAF, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy(*part).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*part).orderBy("key", "n_tokens", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = drawn.withColumn("upto", F.sum("n_tokens").over(within)).join(bases, part)
-    return running.where(F.col("upto") + F.col("base") <= F.col("room")).select("doc_id", *LEAF, "n_tokens", "epoch")
+    return running.where(F.col("upto") + F.col("base") <= F.col("room")).select("doc_id", *LEAF, "n_tokens", "epoch", *more)
 
 
-def keep_mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """`docs` with each row as often as the mix takes its doc_id; columns unchanged.
+def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """One row per taken document and epoch: doc_id, domain, lang, source, n_tokens, epoch.
 
-    Rows that repeat a doc_id are told apart by leaf and size only: each gets an equal part of their copies, rounded down, one at least.
+    Documents without tokens cost nothing and are taken where they come before the cut; a leaf of such alone has no budget. Rows that
+    repeat a doc_id within a leaf are tied in the order and then ordered by size; a row without a doc_id is ordered by its text.
+    Columns other than doc_id, text, lang, source and domain are ignored. An empty table gives no rows.
     """
-    taken = mix_sources(docs, mix).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__taken"))
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("__own")).agg(F.count(F.lit(1)).alias("__rows"))
-    each = taken.join(rows, F.col("__id").eqNullSafe(F.col("__own"))).select("__id", F.greatest(F.lit(1), F.floor(F.col("__taken") / F.col("__rows"))).cast("int").alias("__copies"))
-    joined = docs.join(each.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return _taken(docs, mix)
+
+
+def keep_mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """`docs` with each row as often as the mix takes it, repeated rows each for themselves; columns unchanged."""
+    at, of, copies, copy = fresh(docs.columns, "at", "of", "copies", "copy")
+    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "mix-input")
+    taken = _taken(rows, mix, at).groupBy(F.col(at).alias(of)).agg(F.count(F.lit(1)).cast("int").alias(copies))
+    joined = rows.join(taken.hint("shuffle_hash"), F.col(at) == F.col(of))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

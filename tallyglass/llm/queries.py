@@ -98,7 +98,7 @@ def _divided(table: str, parent: str, child: str, out: str) -> str:
 
 MIXING_SQL = rf"""
             WITH t AS (SELECT doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 4) AS domain, coalesce(lang, '') AS lang,
-                coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+                coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS ident, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
             leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2.0::DOUBLE * sum(n_tokens)::BIGINT AS capacity,
                 CASE source WHEN 'src0' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM t GROUP BY ALL),
             d0 AS (SELECT domain, 0 AS tree, sum(capacity) AS capacity, CASE domain WHEN 'd0' THEN 4.0 WHEN 'd1' THEN 2.0 ELSE 1.0 END::DOUBLE AS w,
@@ -108,7 +108,7 @@ MIXING_SQL = rf"""
             s0 AS (SELECT leaf.*, lng.budget AS given FROM leaf JOIN lng USING (domain, lang)),{_divided("s0", "domain, lang", "source", "src")}
             e AS (SELECT domain, lang, source, epoch, least(tokens, floor(budget + 1e-6)::BIGINT - epoch * tokens) AS room
                 FROM src, (SELECT unnest([0, 1]) AS epoch) WHERE epoch <= least(floor(floor(budget + 1e-6) / tokens), 1)),
-            k AS (SELECT t.*, epoch, room, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM t JOIN e USING (domain, lang, source)),
+            k AS (SELECT t.*, epoch, room, md5('17:' || epoch || ':' || ident) AS k FROM t JOIN e USING (domain, lang, source)),
             r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY k, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM k)
             SELECT doc_id, domain, lang, source, n_tokens, epoch FROM r WHERE upto <= room"""
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import lean, materialize, shuffle_partitions, text_of
+from tallyglass.llm.common import fresh, lean, materialize, shuffle_partitions, text_of
 from tallyglass.llm.components import components
 
 SHINGLE = 3
@@ -470,15 +470,14 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one row of each group of similar() texts: the one with the smallest doc_id; all columns kept.
+    """`docs` with one row of each group of similar() texts: the one with the smallest doc_id, nulls last; all columns kept.
 
-    Of rows that repeat that doc_id with one text, the least by its other values stays. Rows without a doc_id all stay.
+    Rows that repeat that doc_id are told apart by their place in the table. Texts without words are one group.
     """
-    found = similar(docs, **options).where("doc_id = component_id")
-    stays = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-stays")
-    joined = docs.where(F.col("doc_id").isNotNull()).join(stays.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__id"))
-    single = joined.where("__rows = 1").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-    if stays.where("__rows > 1").isEmpty():
-        return single
-    several = joined.where("__rows > 1").groupBy("__id", text_of().alias("__text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(several.select("row.*"))
+    at, stays = fresh(docs.columns, "at", "stays")
+    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "simhash-input")
+    found = similar(rows.select(F.col(at).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("of"), "component_id")
+    own = rows.select(F.col("doc_id").cast("long").alias("own_id"), F.col(at).alias("own"))
+    first = F.min(F.struct(F.col("own_id").isNull(), "own_id", "own"))["own"]
+    kept = found.join(own, F.col("of") == F.col("own")).groupBy("component_id").agg(first.alias(stays)).select(stays)
+    return rows.join(kept.hint("shuffle_hash"), F.col(at) == F.col(stays), "left_semi").select(*docs.columns)

@@ -378,15 +378,27 @@ def test_exact_dedup(docs, rows, weak):
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(groups)
 
 
-def test_exact_dedup_continues_from_its_state(spark, rows, tmp_path):
-    """Rows of a second batch meet the digests of the first: the state does not expire."""
-    schema, path, ck = exact_dedup.RECORD, str(tmp_path / "records"), str(tmp_path / "state")
-    for half in (rows[:20], rows[20:]):
-        exact_dedup.records(spark.createDataFrame(half, SCHEMA)).write.mode("append").parquet(path)
-        exact_dedup.update_state(spark, path, ck)
-    assert spark.read.schema(schema).parquet(path).count() == len(rows)
-    sizes = collections.Counter(r.group_size for r in exact_dedup.read_state(spark, ck).collect())
-    assert sizes == collections.Counter(len(g) for g in brute_copies(rows).values())
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_continues_from_its_state(spark, rows, tmp_path, weak):
+    """Three calls on one checkpoint: groups hold the rows of all, and texts of different calls that share a digest stay apart."""
+    digest = (lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2))) if weak else exact_dedup.sha256
+    seen, checkpoint = [], str(tmp_path / "dedup")
+    for part in (rows[:20], rows[20:], [(500, None, None, None, 0), (0, "One word", None, None, 8), (501, rows[0][1] + "   ", None, None, 1)]):
+        seen += part
+        groups = brute_copies(seen)
+        best = {k: max(g, key=lambda r: (len(r[1] or ""), r[0] is not None, -(r[0] or 0))) for k, g in groups.items()}
+        got = exact_dedup.exact_dedup(spark.createDataFrame(part, SCHEMA), digest, checkpoint).collect()
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == collections.Counter(
+            (r[0], best[k][0], len(groups[k])) for r in part for k in ["".join(c for c in r[1] or "" if c not in " \t\n\x0b\x0c\r")]
+        )
+        assert sum(r.kept for r in got) == sum(1 for b in best.values() if any(b is r for r in part))
+        assert all(r.keep_id == r.doc_id for r in got if r.kept)
+
+
+def test_exact_dedup_shuffles_many_hits(docs, rows, monkeypatch):
+    want = collected(exact_dedup.exact_dedup(docs).drop("digest"))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", 0)
+    assert collected(exact_dedup.exact_dedup(docs).drop("digest")) == want
 
 
 def test_exact_dedup_keeps_whole_rows(docs, rows):
@@ -460,6 +472,25 @@ def test_mix_takes_seeded_prefixes(spark):
     assert copies == collections.Counter(r.doc_id for r in got)
 
 
+@pytest.mark.parametrize("stage", [exact_dedup.keep_one, simhash.keep_one, mixing.keep_mixed, langid.keep_known])
+def test_stages_keep_any_columns_and_take_empty_tables(stage, docs, empty):
+    """Names that the stages use themselves, in any case, a map column, repeated and null doc_ids."""
+    odd = docs.select("*", *[F.lit(1).alias(c) for c in ("at", "_AT", "stays", "of", "own", "own_id", "copies", "copy", "__rows", "__id", "row", "batch", "norm", "kept")])
+    odd = odd.withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    found = stage(odd)
+    assert found.dtypes == odd.dtypes and found.count() == stage(docs).count()
+    assert stage(empty).count() == 0 and stage(empty).dtypes == empty.dtypes
+
+
+def test_keep_mixed_keeps_what_is_taken_of_repeated_ids(spark):
+    rng = random.Random(6)
+    rows = [(i % 7 if i % 5 else None, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 12))), "en", "src0", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    taken = mixing.mix_sources(docs).collect()
+    kept = mixing.keep_mixed(docs).collect()
+    assert len(kept) == len(taken) and sum(len(r.text.split()) for r in kept) == sum(r.n_tokens for r in taken)
+
+
 # ---- 8 SimHash ------------------------------------------------------------------------------------------------------
 
 
