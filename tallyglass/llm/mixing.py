@@ -43,8 +43,8 @@ class Mix:
     max_epochs: int = 2
     seed: int = 17
     domains: int = 4
-    #: Leading hexadecimal digits of the order hash that name a bucket: 4,096 buckets a leaf and epoch.
-    bucket_digits: int = 3
+    #: Rows of a leaf for each bucket of the order hash; a bucket is named by at least two leading hexadecimal digits.
+    bucket_rows: int = 1 << 18
 
 
 def token_count() -> Column:
@@ -105,14 +105,17 @@ def described(docs: DataFrame, mix: Mix, *more: str) -> DataFrame:
 def _taken(docs: DataFrame, mix: Mix, *more: str) -> DataFrame:
     """mix_sources() with the columns `more`, by which tied rows are ordered at last."""
     rows = materialize(described(docs, mix, *more), "mix-rows")
-    leaves = materialize(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
-    shares = materialize(budgets(leaves, mix), "mix-budgets")
+    leaves = materialize(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("size")), "mix-leaves")
+    buckets, digits = (leaves.agg(F.max("size")).first()[0] or 0) / mix.bucket_rows, 2
+    while 16**digits < buckets:
+        digits += 1
+    shares = materialize(budgets(leaves.drop("size"), mix), "mix-budgets")
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
     epochs = shares.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(full, F.lit(mix.max_epochs - 1)).cast("int"))))
     epochs = epochs.select(*LEAF, "epoch", F.least("tokens", F.col("budget") - F.col("epoch") * F.col("tokens")).alias("room"))
 
     key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epoch").cast("string"), F.col("ident")))
-    drawn = rows.join(epochs, list(LEAF)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, mix.bucket_digits))
+    drawn = rows.join(epochs, list(LEAF)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     part = [*LEAF, "epoch", "bucket"]
     sums = drawn.groupBy(*part).agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(*LEAF, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

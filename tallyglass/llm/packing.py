@@ -25,8 +25,9 @@ from tallyglass.llm.token_files import id_type
 
 CAPACITY = 4096
 END_ID = 1
-#: Buckets in which the pieces of one length are numbered.
+#: Buckets in which the pieces of one length are numbered, at least, and pieces of the commonest length for each bucket.
 RANK_BUCKETS = 512
+BUCKET_PIECES = 1 << 18
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -133,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.sparkContext.broadcast(lay_out(plan_bins(counts, capacity)))
 
+    buckets = max(buckets, -(-max(counts.values(), default=0) // BUCKET_PIECES))
     bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

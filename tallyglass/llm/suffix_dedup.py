@@ -6,10 +6,11 @@ named by the anchor's hash. Consecutive windows with one anchor occurrence make
 (combined before the shuffle); a run that is alone in its bucket has no repeats, and this is where almost all text ends.
 A bucket says where equal windows can be, never that two windows are equal.
 
-Suffix arrays. The bytes of all other runs are fetched, and the suffixes that start their windows are sorted by
-deep-shallow sorting, LENGTH bytes deep: bucket and anchor offset first, then three-way multikey quicksort on 8-byte
-characters down to a shallow depth, then blind tries for all groups that still share a prefix. Neighbours in the array
-with a common prefix of LENGTH are equal windows; all but the earliest are repeats. Every repeat is found this way.
+Suffix arrays. The bytes of all other runs are fetched and their suffixes sorted by deep-shallow sorting: bucket and
+anchor offset first, then three-way multikey quicksort on 8-byte characters down to a shallow depth, then blind tries
+for all groups that still share a prefix. The suffixes that start runs are sorted as deep as runs are long; runs equal to
+their ends repeat whole. Then the suffixes that start the other runs' windows are sorted LENGTH bytes deep; neighbours in
+the array with that common prefix are equal windows. All but the earliest are repeats. Every repeat is found this way.
 
 Hot buckets. A bucket with n runs is dealt out in ceil(n / PART) parts, each window to the part that its bytes name.
 Where there is more than one part, the windows are first sorted among those of their task, so of a passage that a third
@@ -92,11 +93,12 @@ def runs_of(column: pa.Array, length: int = LENGTH, k: int = ANCHOR) -> Iterator
 
 def characters(data: np.ndarray) -> np.ndarray:
     """The 8 bytes at each position as one big-endian number; bytes beyond the end are 0."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
+    n = -(-len(data) // 8)
+    padded = np.concatenate([data, np.zeros(8 * n + 8 - len(data), np.uint8)])
+    out = np.empty((n, 8), np.uint64)
     for j in range(8):
-        out = out << np.uint64(8) | padded[j : j + len(data)]
-    return out
+        out[:, j] = padded[j : j + 8 * n].view(">u8")
+    return out.ravel()[: len(data)]
 
 
 def character(table: np.ndarray, suffixes: np.ndarray, depth: np.ndarray | int, length: int) -> np.ndarray:
@@ -223,26 +225,42 @@ def suffix_groups(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH,
     return order, np.cumsum(new) - 1
 
 
-def repeated(raws: list[bytes], windows: np.ndarray, bucket: np.ndarray, offset: np.ndarray, wanted: np.ndarray | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Run and step of each window that repeats an earlier one of its bucket.
+def repeated(raws: list[bytes], windows: np.ndarray, bucket: np.ndarray, offset: np.ndarray, wanted: np.ndarray | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, step and number of windows of each stretch of windows that repeat earlier ones of their bucket, in order of runs.
 
     raws: the bytes of each run's windows, runs in order of documents. offset: of the anchor in the run's first window.
     wanted: of all windows in order, those that are looked at; the others are not there.
+
+    The suffixes that start runs are sorted first, as deep as the longest run; a run that equals an earlier one to its end
+    repeats all of its windows. Then the suffixes that start the windows of the other runs are sorted.
     """
-    data, base = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
-    run = np.repeat(np.arange(len(raws)), windows)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    rows, gone = np.arange(len(raws)), np.zeros(len(raws), bool)
+    if wanted is None:
+        width = -(-max(map(len, raws)) // 8) * 8
+        known = (bucket * (length + 1) + offset) * (length + 1) + windows
+        by = np.argsort(known, kind="stable")
+        order, group = suffix_groups(np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raws]), np.uint8), by * width, width, known[by])
+        order //= width
+        gone[order] = order != np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))[group]
+        rows = np.flatnonzero(~gone)
+    data, base = np.frombuffer(b"".join([raws[i] for i in rows.tolist()]), np.uint8), np.concatenate([[0], np.cumsum(windows[rows] + length - 1)])
+    run = np.repeat(np.arange(len(rows)), windows[rows])
+    step = np.arange(len(run)) - np.repeat(np.cumsum(windows[rows]) - windows[rows], windows[rows])
     if wanted is not None:
         run, step = run[wanted], step[wanted]
-    known = bucket[run] * (length + 1) + offset[run] - step
+    known = bucket[rows][run] * (length + 1) + offset[rows][run] - step
     by = np.argsort(known, kind="stable")
     order, group = suffix_groups(data, (base[run] + step)[by], length, known[by])
-    if not len(order):
-        return order, order
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    again = np.sort(order[order != np.minimum.reduceat(order, starts)[group]])
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(order) else order
+    again = np.sort(order[order != np.minimum.reduceat(order, starts)[group]]) if len(order) else order
     run = np.searchsorted(base, again, "right") - 1
-    return run, again - base[run]
+    step = again - base[run]
+    at = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1)])) if len(run) else run
+    whole = np.flatnonzero(gone)
+    run = np.concatenate([rows[run[at]], whole])
+    step, n = np.concatenate([step[at], np.zeros(len(whole), np.int64)]), np.concatenate([np.diff(np.append(at, len(again))), windows[whole]])
+    by = np.lexsort((step, run))
+    return run[by], step[by], n[by]
 
 
 def window_parts(raws: list[bytes], windows: np.ndarray, parts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -297,14 +315,6 @@ def _table(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
-def _joined(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Single windows (in order) as stretches: key, first window, windows."""
-    if not len(key):
-        return key, first, first
-    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1] + 1)]))
-    return key[at], first[at], np.diff(np.append(at, len(key)))
-
-
 def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Of a column of arrays of structs: how many elements each row has, and the fields of all elements."""
     flat = column.flatten()
@@ -352,14 +362,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
             raws = [r[6] for r in rows]
             bucket, key, first, windows, offset, parts = np.array([r[:6] for r in rows], np.int64).T
             _, near = np.unique(bucket, return_inverse=True)
-            run, step = repeated(raws, windows, near, offset, None, length)
-            k, f, w = _joined(key[run], first[run] + step)
-            if len(k):
-                spread = textbytes.mix(k.view(np.uint64)).view(np.int64)
-                yield _table(SEND, bucket=spread, part=np.zeros(len(k), np.int64), key=k, first=f, windows=w)
+            run, step, n = repeated(raws, windows, near, offset, None, length)
+            if len(run):
+                spread = textbytes.mix(key[run].view(np.uint64)).view(np.int64)
+                yield _table(SEND, bucket=spread, part=np.zeros(len(run), np.int64), key=key[run], first=first[run] + step, windows=n)
             base = np.cumsum(windows) - windows
-            open_ = np.ones(windows.sum(), bool)
-            open_[base[run] + step] = False
+            edge = np.zeros(windows.sum() + 1, np.int64)
+            np.add.at(edge, base[run] + step, 1)
+            np.add.at(edge, base[run] + step + n, -1)
+            open_ = np.cumsum(edge[:-1]) == 0
             part = np.where(open_, window_parts(raws, windows, parts, length), -1)
             out = []
             for i in range(len(rows)):
@@ -410,10 +421,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                 own = [np.ones(w, bool) if b is None else np.unpackbits(np.frombuffer(b, np.uint8), count=w).astype(bool) for b, w in zip(bits.to_pylist(), windows.tolist(), strict=True)]
                 wanted = np.concatenate(own)
             near = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]))
-            run, step = repeated(raws, windows, near, offset, wanted, length)
-            k, f, w = _joined(key[run], first[run] + step)
-            if len(k):
-                yield _table(REPEAT, key=k, first=f, windows=w)
+            run, step, n = repeated(raws, windows, near, offset, wanted, length)
+            if len(run):
+                yield _table(REPEAT, key=key[run], first=first[run] + step, windows=n)
 
         held: list[pa.RecordBatch] = []
         last = None
