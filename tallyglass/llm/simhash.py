@@ -46,8 +46,9 @@ EARLY = 40
 SIMILAR = (4, 5)
 #: Texts of a candidate component that are confirmed together.
 MEMBERS = 128
-#: Wide fingerprints in a tile.
+#: Fingerprints in a tile or block, and blocks that one task compares with a block.
 TILE = 8192
+SLICE = 16
 #: Shingles whose bits are counted together.
 BATCH = 1 << 17
 LANES = np.uint64(0x0001000100010001)
@@ -170,8 +171,20 @@ def forest(own: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray
     return everything[child], everything[parent[child]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links among distinct fingerprints (column fp) that connect all pairs within `radius` differing bits."""
+def neighbours(tile: int, reach: np.ndarray) -> list[int]:
+    """The tile itself, then the other tiles at the count differences `reach`."""
+    to = np.array([tile // 17**k % 17 for k in range(4)]) + reach
+    return (to[((to >= 0) & (to <= 16)).all(axis=1)] @ 17 ** np.arange(4)).tolist()
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = TILE) -> DataFrame:
+    """a, b: links among distinct fingerprints (column fp) that connect all pairs within `radius` differing bits.
+
+    A tile is dealt into blocks of about `block` fingerprints by hash. A block is compared with itself, with half of the other
+    blocks of its tile, and is sent to every block of the tiles in reach; what comes to a block is split by the sender's number
+    into slices of SLICE blocks a tile, each with a copy of the block, so no task's share grows with its tile. The counts by
+    tile that the driver holds are 17 ** 4 at most.
+    """
     reach, n = half_range(radius), shuffle_partitions(fps.sparkSession)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,36 +192,54 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             fp = batch.column(0).to_numpy().view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(tile_of(np.ascontiguousarray(fp))), batch.column(0)], ["tile", "fp"])
 
+    tiled = fps.select("fp").mapInArrow(lean(number), "tile long, fp long")
+    parts = {r.tile: -(-r.n // block) for r in tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.array([parts[t] for t in batch.column(0).to_pylist()], np.uint64)
+            part = (textbytes.mix(batch.column(1).to_numpy().view(np.uint64)) % np.maximum(of, 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy() << 40 | part), batch.column(1)], ["block", "fp"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(tile: int, values: list) -> pa.RecordBatch:
-            to = np.array([tile // 17**k % 17 for k in range(4)]) + reach
-            inside = ((to >= 0) & (to <= 16)).all(axis=1)
-            target = to[inside] @ 17 ** np.arange(4)
+        def sent(block: int, values: list) -> pa.RecordBatch:
+            tile, part = block >> 40, block & (1 << 40) - 1
+            m, near = parts[tile], neighbours(tile, reach)
+            senders = neighbours(tile, -reach)  # the tile itself and those that send to it
+            slices = -(-max(parts.get(t, 0) for t in senders) // SLICE)
+            to = [(tile, part, s, True) for s in range(slices)]
+            to += [(tile, (part - k) % m, part // SLICE, False) for k in range(1, m // 2 + 1) if not (2 * k == m and part < m // 2)]
+            to += [(t, p, part // SLICE, False) for t in near[1:] for p in range(parts.get(t, 0))]
             blob = np.array(values, np.int64).tobytes()
-            arrays = [pa.array(target), pa.array(~reach[inside].any(axis=1)), pa.array([blob] * len(target), pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["tile", "own", "fps"])
+            names = ("tile", "part", "slice", "own")
+            columns = [pa.array(c, k) for c, k in zip(zip(*to, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([blob] * len(to), pa.binary())], [*names, "fps"])
 
         key, held = None, []
         for batch in batches:
-            for tile, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and (tile != key or len(held) == 1 << 15):
+            for at, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and at != key:
                     yield sent(key, held)
                     held = []
-                key = tile
+                key = at
                 held.append(fp)
         if held:
             yield sent(key, held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, is_own, blobs in _grouped(batches):
-            sets = [[np.frombuffer(b, np.uint64) for b, o in zip(blobs, is_own, strict=True) if o == which] for which in (True, False)]
-            if not sets[0]:
+        rows = (r for batch in batches for at in range(0, len(batch), 64) for r in batch.slice(at, 64).to_pylist())
+        for _, group in groupby(rows, key=lambda r: (r["tile"], r["part"], r["slice"])):
+            sets = {True: [], False: []}
+            for r in group:
+                sets[r["own"]].append(np.frombuffer(r["fps"], np.uint64))
+            if not sets[True]:  # a block that the hash left empty
                 continue
-            a, b = forest(np.concatenate(sets[0]), np.concatenate(sets[1]) if sets[1] else np.zeros(0, np.uint64), radius)
+            a, b = forest(np.concatenate(sets[True]), np.concatenate([np.zeros(0, np.uint64), *sets[False]]), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    tiled = fps.select("fp").mapInArrow(lean(number), "tile long, fp long").repartition(n, "tile").sortWithinPartitions("tile")
-    dealt = tiled.mapInArrow(lean(deal), "tile long, own boolean, fps binary").repartition(n, "tile").sortWithinPartitions("tile")
+    placed = tiled.mapInArrow(lean(place), "block long, fp long").repartition(n, "block").sortWithinPartitions("block")
+    dealt = placed.mapInArrow(lean(deal), "tile long, part long, slice long, own boolean, fps binary")
+    dealt = dealt.repartition(n, "tile", "part", "slice").sortWithinPartitions("tile", "part", "slice")
     return dealt.mapInArrow(lean(compare), "a long, b long")
 
 
@@ -317,11 +348,12 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, earl
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, nodes, prints in _grouped(batches):
-            to = partners(own, limits, radius)
+            to = [(own, s, True) for s in range(len(limits) // 2 // SLICE + 1)]
+            to += [(t, (own - t) % len(limits) // SLICE, False) for t in partners(own, limits, radius) if t != own]
             packed_nodes, packed_prints = np.array(nodes, np.int64).tobytes(), b"".join(prints)
-            columns = (to, [t == own for t in to], [packed_nodes] * len(to), [packed_prints] * len(to))
-            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tile", "own", "nodes", "fps"])
+            columns = (*zip(*to, strict=True), [packed_nodes] * len(to), [packed_prints] * len(to))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tile", "slice", "own", "nodes", "fps"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None
@@ -329,9 +361,12 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, earl
             nodes = np.frombuffer(row["nodes"], np.int64)
             prints = np.frombuffer(row["fps"], np.uint64).reshape(len(nodes), -1)
             if row["own"]:
-                here = (row["tile"], nodes, prints)
-            tile_, own_nodes, own_prints = here
-            assert tile_ == row["tile"], "a tile is sent to its own task first"
+                here = ((row["tile"], row["slice"]), nodes, prints)
+                if row["slice"]:  # compared with itself in the first slice
+                    continue
+            if here is None or here[0] != (row["tile"], row["slice"]):  # a tile that the hash left empty
+                continue
+            _, own_nodes, own_prints = here
             both = own_nodes if row["own"] else np.concatenate([own_nodes, nodes])
             parent, shift = np.arange(len(both)), 0 if row["own"] else len(own_nodes)
             for i, j in wide_near(own_prints, prints, radius, early):
@@ -340,7 +375,8 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, earl
             yield pa.RecordBatch.from_arrays([pa.array(both[child]), pa.array(both[parent[child]])], ["a", "b"])
 
     tiled = counted.mapInArrow(lean(number), "tile long, node long, fp binary").repartition(n, "tile").sortWithinPartitions("tile")
-    dealt = tiled.mapInArrow(lean(deal), "tile long, own boolean, nodes binary, fps binary").repartition(n, "tile").sortWithinPartitions("tile", F.desc("own"))
+    dealt = tiled.mapInArrow(lean(deal), "tile long, slice long, own boolean, nodes binary, fps binary")
+    dealt = dealt.repartition(n, "tile", "slice").sortWithinPartitions("tile", "slice", F.desc("own"))
     return dealt.mapInArrow(lean(compare), "a long, b long")
 
 

@@ -460,8 +460,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 
     texts = source.select("key", "raw")
     shared = texts.mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = shared.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / part_size).cast("int").alias("parts")).hint("shuffle_hash")
-    marks = texts.mapInArrow(lean(find), RUN).join(shared, F.col("bucket") == F.col("of")).select("key", "bucket", "first", "windows", "offset", "parts")
+    # Written, so that both sides of the join are plain exchanges, which adaptive execution splits where a bucket is hot.
+    shared = materialize(shared.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / part_size).cast("int").alias("parts")), "suffix-shared")
+    marks = texts.mapInArrow(lean(find), RUN).join(shared.hint("shuffle_hash"), F.col("bucket") == F.col("of")).select("key", "bucket", "first", "windows", "offset", "parts")
     marks = materialize(marks, "suffix-marks")
     release(spark)
     whole = bucketed(source, "suffix-texts", "key", n)

@@ -548,8 +548,26 @@ def test_forest_connects_what_is_near():
     assert len(a) <= len(own) + len(others)
 
 
+@pytest.mark.parametrize(("block", "slice_"), [(3, 1), (5, 2), (8192, 16)])
+def test_links_equal_all_pairs_whatever_the_blocks(spark, block, slice_, monkeypatch):
+    """Many fingerprints in one tile and in its neighbours, chains and lone ones."""
+    monkeypatch.setattr(simhash, "SLICE", slice_)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 12, np.uint64)
+    chain = [b ^ (np.uint64(3) << np.uint64(k)) ^ (np.uint64(1) << np.uint64(j)) for b in base[:4] for k in (0, 20, 40) for j in (5, 9)]
+    fps = np.unique(np.concatenate([base, np.array(chain, np.uint64), np.uint64(0xFF) << np.arange(0, 40, dtype=np.uint64)]))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    signed = fps.view(np.int64).tolist()
+    order = {f: i for i, f in enumerate(sorted(signed))}
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 3, block)).collect()}
+    want = brute_components(near[np.argsort(signed)][:, np.argsort(signed)], list(range(len(fps))))
+    assert [order[roots.get(f, f)] for f in sorted(signed)] == want
+
+
+@pytest.mark.parametrize("slice_", [1, 16])
 @pytest.mark.parametrize("tile", [4, 8192])
-def test_wide_links_equal_all_pairs(spark, tile):
+def test_wide_links_equal_all_pairs(spark, tile, slice_, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", slice_)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, (30, 4), np.uint64)
     near = base.copy()
