@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
 A candidate block is a sentence that mentions licensing; it runs over line ends and comment marks up to a sentence end or
-a blank line. It is compressed with zstandard once alone and once
-with each license notice as a raw dictionary, both in lower case; the notice that saves the most, relative to the block,
-ranks first. Every notice is compared with the block word by word, by the least edit distance to any stretch of it; a
-version slot takes any version. Of confirmed stretches that overlap the one with the least share of differing words
-stays, the better-ranked where that is equal. Only documents that mention licensing leave the JVM; every text is scanned whole.
+a blank line. Whole license texts run over many sentences and blank lines: there the candidate blocks are the stretches
+of a mentioning document around three words in a row that a license text also has. A block is compressed with zstandard
+once alone and once with each template as a raw dictionary, both in lower case; the template that saves the most,
+relative to the block, ranks first. Every template is compared with the block word by word, by the least edit distance to
+any stretch of it; a version slot takes any version, and a stretch after a negation is none. Of confirmed stretches that
+overlap a whole text stays before a sentence, then the one with the least share of differing words, then the
+better-ranked. Only documents that mention licensing leave the JVM; every text is scanned whole.
 """
 
 from __future__ import annotations
@@ -42,6 +44,71 @@ NOTICES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
 }
+#: Identifiers of the tag line `SPDX-License-Identifier: ...`.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+NOTICES |= {f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
+
+#: License texts and file headers as their publishers word them, without the copyright line.
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution."""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by
+the Free Software Foundation, either version {v} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} License for more details.
+You should have received a copy of the GNU {kind} License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_ISC_TAIL = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_MIT_TAIL = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+TEXTS = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+""" + _MIT_TAIL,
+    "BSD-2-Clause-text": f"{_BSD_HEAD}\n{_BSD_TAIL}",
+    "BSD-3-Clause-text": f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies.
+""" + _ISC_TAIL,
+    "0BSD-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_TAIL,
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote
+the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public
+domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    "Apache-header": """Licensed under the Apache License, Version {v} (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MPL-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    **{f"{name}-header": _GNU.replace("{kind}", kind) for name, kind in (("GPL", "General Public"), ("LGPL", "Lesser General Public"), ("AGPL", "Affero General Public"))},
+}
 #: Fixed value: what makes a text, then a sentence, a candidate.
 GAP = r"[\s/*#;%>|-]+"
 MENTION = r"(?i)licen[cs]e|redistribut|creative commons|public domain|all rights reserved|permission is hereby|\bCC BY\b".replace(" ", GAP)
@@ -53,6 +120,9 @@ VERSION = re.compile(r"v?\d+(\.\d+)*")
 BLOCK_CHARS = 400
 #: The share of a notice's words that may differ.
 MAX_DIFFERENT = 0.25
+#: Words in a row that a stretch must share with a license text to be compared; within MAX_DIFFERENT there are always so many.
+SEED_WORDS = 3
+NEGATIONS = {"not", "no", "never", "without", "nor"}
 
 
 def unmarked(line: str) -> str:
@@ -164,18 +234,58 @@ def stretches(have: list[str], want: list[str], allowed: int, at: int = 0) -> It
         yield from stretches(have[end:], want, allowed, at + end)
 
 
-def scan_text(text: str, notices: dict[str, str] = NOTICES) -> list[tuple[str, int, str, float, int]]:
+@cache
+def seeds(texts: tuple[tuple[str, str], ...]) -> tuple[dict[str, list[str]], dict[tuple[str, ...], list[tuple[str, int]]]]:
+    """The words of each license text, and where each SEED_WORDS in a row are in which text."""
+    wanted, at = {name: words(text) for name, text in texts}, {}
+    for name, want in wanted.items():
+        for k in range(len(want) - SEED_WORDS + 1):
+            at.setdefault(tuple(want[k : k + SEED_WORDS]), []).append((name, k))
+    return wanted, at
+
+
+def whole_texts(text: str, texts: dict[str, str]) -> Iterator[tuple[str, int, int, int]]:
+    """(license text, differences, start, end) of each stretch of the document within the allowed differences."""
+    if not texts:
+        return
+    wanted, known = seeds(tuple(texts.items()))
+    at, line_start = [], 0
+    for line in text.split("\n"):
+        at += [(w, line_start + a, line_start + b) for w, a, b in spans(unmarked(line))]
+        line_start += len(line) + 1
+    have = [w for w, _, _ in at]
+    places = set()  # windows that hold every stretch with a seed: its start is off by the allowed differences at most
+    for i in range(len(have) - SEED_WORDS + 1):
+        for name, k in known.get(tuple(have[i : i + SEED_WORDS]), ()):
+            places.add((name, (i - k) // max(1, int(MAX_DIFFERENT * len(wanted[name])))))
+    seen = set()
+    for name, place in sorted(places):
+        want = wanted[name]
+        allowed = max(1, int(MAX_DIFFERENT * len(want)))
+        lo = max(0, (place - 1) * allowed)
+        for n, i, j in stretches(have[lo : (place + 2) * allowed + len(want)], want, allowed, lo):
+            if (name, i, j) not in seen:
+                seen.add((name, i, j))
+                yield name, n, at[i][1], at[j - 1][2]
+
+
+def scan_text(text: str, notices: dict[str, str] = NOTICES, texts: dict[str, str] = TEXTS) -> list[tuple[str, int, str, float, int]]:
     """(license, start, block, saving, word differences) of each confirmed stretch of a block that overlaps no better one, in order."""
     wanted = {name: words(notice) for name, notice in notices.items()}
     found = []
+    for name, n, begin, end in whole_texts(text, texts):
+        block = text[begin:end]
+        saved = dict((name_, saving) for saving, name_ in ranked(block, texts))
+        found.append((0, n / len(words(texts[name])), -saved[name], begin, name, n, block, begin, end))
     for start, block in blocks(text):
         at = spans(block)
         have = [w for w, _, _ in at]
         hits = [(name, *hit) for name, want in wanted.items() for hit in stretches(have, want, int(MAX_DIFFERENT * len(want)))]
+        hits = [h for h in hits if not (h[2] and have[h[2] - 1] in NEGATIONS)]
         saved = {name: saving for saving, name in ranked(block, notices)} if hits else {}
-        found += [(n / len(wanted[name]), -saved[name], start, name, n, block, start + at[i][1], start + at[j - 1][2]) for name, n, i, j in hits]
+        found += [(1, n / len(wanted[name]), -saved[name], start, name, n, block, start + at[i][1], start + at[j - 1][2]) for name, n, i, j in hits]
     taken, kept = [], []
-    for _, saving, start, name, n, block, begin, end in sorted(found):
+    for _, _, saving, start, name, n, block, begin, end in sorted(found):
         k = bisect(taken, (begin, end))
         if (k == 0 or taken[k - 1][1] <= begin) and (k == len(taken) or taken[k][0] >= end):
             taken.insert(k, (begin, end))
@@ -183,19 +293,21 @@ def scan_text(text: str, notices: dict[str, str] = NOTICES) -> list[tuple[str, i
     return [hit for _, hit in sorted(kept)]
 
 
-def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> DataFrame:
     """One row per confirmed notice of a block: doc_id, license, start (code points), block, saving, word_differences.
 
+    notices: sentences by name, NOTICES by default. texts: whole license texts and headers by name, TEXTS by default.
+
     Null and empty texts have none. Repeated rows are scanned each; other columns are ignored. An empty table gives no rows.
     """
-    chosen = notices or NOTICES
+    chosen, long = notices or NOTICES, TEXTS if texts is None else texts
     schema = "doc_id long, license string, start int, block string, saving double, word_differences int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                rows = [(i, *hit) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in scan_text(t, chosen)]
+                rows = [(i, *hit) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in scan_text(t, chosen, long)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32())
                 names = ["doc_id", "license", "start", "block", "saving", "word_differences"]

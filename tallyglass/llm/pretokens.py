@@ -1,12 +1,14 @@
 """Exact token ids by pre-token: split as the tokenizer does, look each pre-token up, encode only those not seen yet.
 
 BPE never crosses pre-tokens, so the ids of a text are the ids of its pre-tokens in order. The split below is used
-only for texts whose every character behaves alike in Python's and the tokenizer's Unicode tables (Latin-1 without
-control characters) and that hold no special string; every other text goes through the library whole.
+only for tokenizers whose file states the very rule it follows, and there for texts whose every character behaves alike
+in Python's and the tokenizer's Unicode tables (Latin-1 without control characters) and that hold no special string.
+Every other text, and every text under another rule, goes through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -14,7 +16,16 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
-#: Fixed values of the tokenizer's pre-tokenisation, restricted to lower-case Latin-1.
+#: The normaliser and pre-tokeniser that the split below follows, as a tokenizer's file states them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same for lower-case Latin-1.
 LETTERS = "a-zªµº\xdf-\xf6\xf8-\xff"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = " \t\n\r\x0b\x0c\xa0"
@@ -41,6 +52,15 @@ def load(tokenizer_json: str):
     return tok
 
 
+def follows_rule(tokenizer_json: str) -> bool:
+    """Whether a text's ids are those of `words` in order: a BPE model without dropout behind the rule above."""
+    found = json.loads(tokenizer_json)
+    model, added = found["model"], found.get("added_tokens") or []
+    plain = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    exact = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    return plain and exact and found.get("normalizer") == NORMALIZER and found.get("pre_tokenizer") == PRE_TOKENIZER
+
+
 def byte_alphabet() -> dict[int, str]:
     """How the byte-level pre-tokeniser spells each Latin-1 character beyond ASCII."""
     from tokenizers.pre_tokenizers import ByteLevel
@@ -55,6 +75,7 @@ class PretokenCache:
     def __init__(self, tokenizer_json: str, value: Callable, join: Callable, entries: int = CACHE_ENTRIES):
         self.tok, self.value, self.join, self.entries = load(tokenizer_json), value, join, entries
         self.model, self.bytes = self.tok.model, byte_alphabet()
+        self.split = follows_rule(tokenizer_json)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, object] = {}
         self.passing: list[str] = []
@@ -62,6 +83,8 @@ class PretokenCache:
 
     def words(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where only the library itself may split."""
+        if not self.split:
+            return None
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -95,6 +118,9 @@ class PretokenCache:
 
     def values(self, texts: Iterable[str]) -> Iterator:
         """The joined value of each text, in order."""
+        if not self.split:
+            yield from map(self.encode_text, texts)
+            return
         held, chars = [], 0
         for t in texts:
             held.append(t)

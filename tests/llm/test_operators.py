@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -156,12 +157,14 @@ def crc(values):
     return zlib.crc32(struct.pack(f"<{len(values)}I", *values))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=8))
-def test_pretokens_equal_the_library(texts):
-    with open(TOKENIZER, encoding="utf-8") as f:
+@given(texts=st.lists(st.text(max_size=40) | st.text("aB 1'sé.", max_size=40), max_size=8))
+def test_pretokens_equal_the_library(name, texts):
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
         cache = pretokens.packed_ids(f.read(), "<u2")
-    want = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u2").tolist() for x in cache.values(texts)] == want
 
 
@@ -181,6 +184,14 @@ def test_token_counts_whatever_the_table(docs, rows, ids, entries):
     assert got == want
 
 
+def test_another_tokenizers_rule_is_its_own(docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = collected(token_counts.token_counts(docs, path, 10))
+    want = sorted(((r[0], len((r[1] or "").encode()), n := len(tok.encode(r[1] or "", add_special_tokens=False).ids), n > 10) for r in rows), key=key)
+    assert got == want
+
+
 def test_token_files_round_trip(spark, docs, rows, ids, tmp_path):
     path = token_files.write_token_files(docs, TOKENIZER, str(tmp_path / "t"))
     got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
@@ -683,6 +694,41 @@ def test_wrapped_notices_are_found(name, mark):
         assert all(text[h[1] : h[1] + len(h[2])] == h[2] for h in hits)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+@pytest.mark.parametrize("name", licenses.TEXTS)
+def test_whole_texts_are_found_however_wrapped(name, mark):
+    """Every license text at several line widths behind every comment mark, blank lines between its sentences, some words changed."""
+    notice = re.sub(r"(?<=[a-z:])\n", "\n\n", licenses.TEXTS[name].replace("{v}", "2.0"))
+    for width in (48, 72, 80):
+        lines = [x for part in notice.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+        text = f"{mark}Copyright 2020 Some One\n{mark.rstrip()}\n" + "\n".join((mark + x).rstrip() for x in lines) + "\nimport os\n\ndef main(): pass\n"
+        hits = licenses.scan_text(text)
+        assert [(h[0], h[4]) for h in hits] == [(name, 0)]
+        assert all(text[h[1] : h[1] + len(h[2])] == h[2] and 0.3 < h[3] < 1 for h in hits)
+        edited = text.replace("software", "work").replace("IMPLIED", "TACIT")
+        assert [h[0] for h in licenses.scan_text(edited)][:1] == [name]
+
+
+def test_whole_texts_against_all_stretches(monkeypatch):
+    """The seeds lose no stretch: against every stretch of made-up documents, with templates of few words."""
+    monkeypatch.setattr(licenses, "SEED_WORDS", 3)
+    rng = random.Random(12)
+    template = {"T-text": "license " + " ".join(rng.choice("abcdefgh") for _ in range(15))}
+    want = licenses.words(template["T-text"])
+    for _ in range(40):
+        core = [w if rng.random() > 0.15 else rng.choice(["x", "x y", ""]) for w in want]
+        have = " ".join([rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] + core + [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))]).split()
+        best = licenses.differences(have, want)[0]
+        found = [n for _, n, _, _ in licenses.whole_texts(" ".join(have), template)]
+        assert min(found, default=99) == best if best <= 4 else not found
+
+
+def test_what_is_denied_is_no_notice():
+    assert licenses.scan_text("Not all rights reserved.") == []
+    assert [h[0] for h in licenses.scan_text("// SPDX-License-Identifier: MIT\nint x;")] == ["SPDX-MIT"]
+    assert [h[0] for h in licenses.scan_text("/* SPDX-License-Identifier: GPL-2.0-only */")] == ["SPDX-GPL-2.0-only"]
+
+
 @pytest.mark.parametrize("name", licenses.NOTICES)
 def test_each_notice_is_its_own_best(name):
     text = licenses.NOTICES[name].replace("{v}", "4.0")
