@@ -54,6 +54,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Row numbers that are broadcast at most (16 bytes each as a hash table); more are shuffled, and the rows with them.
+FEW_ROWS = 500_000
+
+
+def located(docs: DataFrame, at: str) -> DataFrame:
+    """`docs` with a number that names each row for good: doc_id where that is unique and never null, else one that is written down."""
+    key = F.col("doc_id").cast("long")
+    if docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL").isEmpty():
+        return docs.withColumn(at, key)
+    return materialize(docs.withColumn(at, F.monotonically_increasing_id()), "located")
+
+
+def without(rows: DataFrame, at: str, gone: DataFrame) -> DataFrame:
+    """`rows` without those whose number is in the one column of `gone`. Few numbers go to the rows; many meet them in a shuffle."""
+    (name,) = fresh(rows.columns, "gone")
+    gone = materialize(gone.toDF(name), "gone")
+    hint = "broadcast" if gone.count() <= FEW_ROWS else "shuffle_hash"
+    return rows.join(gone.hint(hint), F.col(at) == F.col(name), "left_anti")
+
+
 def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     """Write to the shared folder in `n` buckets by a column and read back: joins on it leave these rows where they are."""
     spark = df.sparkSession

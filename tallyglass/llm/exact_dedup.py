@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import ASCII_SPACE, children, fresh, materialize, scratch, text_of
+from tallyglass.llm.common import ASCII_SPACE, children, fresh, located, materialize, scratch, text_of, without
 
 #: Keyed state on the executors' disks; each commit uploads its changes and closes the store: an open one preallocates 4 MB.
 STATE_SETTINGS = {
@@ -193,7 +193,6 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` without its dropped copies, all columns kept; of equal texts, repeated rows included, one row stays."""
-    at, stays = fresh(docs.columns, "at", "stays")
-    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "dedup-input")
-    kept = decided(rows, row=at).where("kept").select(F.col("row").alias(stays))
-    return rows.join(kept.hint("shuffle_hash"), F.col(at) == F.col(stays), "left_semi").select(*docs.columns)
+    (at,) = fresh(docs.columns, "at")
+    rows = located(docs, at)
+    return without(rows, at, decided(rows, row=at).where("NOT kept").select("row")).select(*docs.columns)

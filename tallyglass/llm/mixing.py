@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fresh, materialize, text_of
+from tallyglass.llm.common import fresh, located, materialize, text_of
 
 LEAF = ("domain", "lang", "source")
 
@@ -138,7 +138,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def keep_mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """`docs` with each row as often as the mix takes it, repeated rows each for themselves; columns unchanged."""
     at, of, copies, copy = fresh(docs.columns, "at", "of", "copies", "copy")
-    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "mix-input")
+    rows = located(docs, at)
     taken = _taken(rows, mix, at).groupBy(F.col(at).alias(of)).agg(F.count(F.lit(1)).cast("int").alias(copies))
     joined = rows.join(taken.hint("shuffle_hash"), F.col(at) == F.col(of))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

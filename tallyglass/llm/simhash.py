@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
-from tallyglass.llm.common import fresh, lean, materialize, shuffle_partitions, text_of
+from tallyglass.llm.common import fresh, lean, located, materialize, shuffle_partitions, text_of, without
 from tallyglass.llm.components import components
 
 SHINGLE = 3
@@ -46,6 +46,8 @@ EARLY = 40
 SIMILAR = (4, 5)
 #: Texts of a candidate component that are confirmed together.
 MEMBERS = 128
+#: Members of candidate components that are broadcast to their texts at most (about 100 bytes each); beyond, the texts are shuffled.
+MEMBERS_BROADCAST = 100_000
 #: Fingerprints in a tile or block, and blocks that one task compares with a block.
 TILE = 8192
 SLICE = 16
@@ -429,7 +431,8 @@ def confirmed(docs: DataFrame, fps: DataFrame, groups: DataFrame, size: int, rad
     blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("long").alias("blocks"))
     members = fps.join(groups.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).join(blocks, "root")
     members = materialize(members.select("node", "fp", "text_hash", "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "wide-members")
-    texts = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text")).join(members, "text_hash")
+    few = members.count() <= MEMBERS_BROADCAST
+    texts = docs.select(text_of().alias("text")).withColumn("text_hash", F.xxhash64("text")).join(members.hint("broadcast" if few else "shuffle_hash"), "text_hash")
     texts = texts.groupBy("root", "block", "blocks", "node", "fp").agg(F.first("text").alias("text"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,10 +513,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat that doc_id are told apart by their place in the table. Texts without words are one group.
     """
-    at, stays = fresh(docs.columns, "at", "stays")
-    rows = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "simhash-input")
+    (at,) = fresh(docs.columns, "at")
+    rows = located(docs, at)
     found = similar(rows.select(F.col(at).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("of"), "component_id")
     own = rows.select(F.col("doc_id").cast("long").alias("own_id"), F.col(at).alias("own"))
     first = F.min(F.struct(F.col("own_id").isNull(), "own_id", "own"))["own"]
-    kept = found.join(own, F.col("of") == F.col("own")).groupBy("component_id").agg(first.alias(stays)).select(stays)
-    return rows.join(kept.hint("shuffle_hash"), F.col(at) == F.col(stays), "left_semi").select(*docs.columns)
+    placed = materialize(found.join(own, F.col("of") == F.col("own")), "simhash-placed")
+    stays = placed.groupBy(F.col("component_id").alias("component")).agg(first.alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = placed.join(stays, F.col("component_id") == F.col("component")).where("own <> stays").select("own")
+    return without(rows, at, gone).select(*docs.columns)

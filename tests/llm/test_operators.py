@@ -493,6 +493,19 @@ def test_stages_keep_any_columns_and_take_empty_tables(stage, docs, empty):
     assert stage(empty).count() == 0 and stage(empty).dtypes == empty.dtypes
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_stages_keep_the_same_rows_whatever_is_broadcast(docs, few, monkeypatch):
+    from tallyglass.llm import common
+
+    unique = docs.where("doc_id IS NOT NULL AND doc_id <> 9")
+    want = [collected(stage(unique)) for stage in (exact_dedup.keep_one, simhash.keep_one)]
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(simhash, "MEMBERS_BROADCAST", few)
+    assert [collected(stage(unique)) for stage in (exact_dedup.keep_one, simhash.keep_one)] == want
+    tagged = unique.withColumn("doc_id", F.lit(None).cast("long"))  # the same rows, numbered anew
+    assert exact_dedup.keep_one(tagged).count() == len(want[0]) and simhash.keep_one(tagged).count() == len(want[1])
+
+
 def test_keep_mixed_keeps_what_is_taken_of_repeated_ids(spark):
     rng = random.Random(6)
     rows = [(i % 7 if i % 5 else None, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 12))), "en", "src0", 0) for i in range(60)]
