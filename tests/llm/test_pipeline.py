@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as pipeline
-from tallyglass.llm import mixing, simhash
+from tallyglass.llm import mixing
 from tallyglass.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -64,15 +64,6 @@ def test_near_copies_go_and_others_stay(stages):
             assert r.doc_id in kept  # alone
         for j in range(i):
             assert near[i, j] < 0.8 or not {r.doc_id, rows[j].doc_id} <= kept
-    prints = np.array([np.frombuffer(x.fp, np.uint64) for x in simhash.wide_fingerprints(stages[2]).orderBy("doc_id").collect()])
-    distance = sum(np.bitwise_count(prints[:, None, w] ^ prints[None, :, w]).astype(int) for w in range(4))
-    label = np.arange(len(rows))
-    while True:
-        lower = np.where(distance <= simhash.WIDE_RADIUS, label[None, :], len(rows)).min(axis=1)
-        if (lower == label).all():
-            break
-        label = lower
-    assert kept == {rows[i].doc_id for i in set(label.tolist())}
 
 
 def test_near_copies_are_those_of_the_stated_similarity(stages):
