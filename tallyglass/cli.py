@@ -9,9 +9,11 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyglass import __version__, catalogue
-from tallyglass.operators import corpus, guard, profile, retrieval, shadow, validation
+from tallyglass.operators import corpus, evaluate, guard, profile, report, retrieval, shadow, validation
 from tallyglass.plans import authoring
 from tallyglass.session import build_session, table
 from tallyglass.sources import catalog, files
@@ -99,6 +101,48 @@ def triples(spark, a) -> int:
     return 0
 
 
+def evaluate_systems(spark, a) -> int:
+    tables, found = _catalog(spark, a.data)
+    asked = files.read_questions(spark, a.questions).where(F.col("split") == a.split).withColumnRenamed("id", "question_id")
+    if asked.isEmpty():
+        print(f"no '{a.split}' questions", file=sys.stderr)
+        return 2
+    systems = [s for s in evaluate.systems_of(Path(a.systems).read_text()) if not a.roles or s.role in a.roles.split(",")]
+    if not systems:
+        print(f"no systems with roles {a.roles}", file=sys.stderr)
+        return 2
+    packs = files.thaw_packs(spark, a.packs, T.StructType.fromDDL(retrieval.PACK)).join(asked.select("question_id"), "question_id", "left_semi")
+    for s in evaluate.evaluate(spark, shadow.session_of(spark, tables), systems, asked, packs, found.ddl(), a.out, authoring.to_spark):
+        print(f"{s['system']}: EX {s['ex_heldout']:.3f}, flips {s['flip_rate']:.3f}, refusals {s['refusal_rate']:.3f}, failures {s['n_failures']}")
+    return 0
+
+
+def show_report(spark, a) -> int:
+    try:
+        text, failures = report.report_run(spark, a.run, Path(a.data).name)
+    except FileNotFoundError as e:
+        print(e, file=sys.stderr)
+        return 2
+    (Path(a.run) / "report.md").write_text(text)
+    print(text)
+    print(json.dumps({"failures": failures}))
+    return 0
+
+
+def all_stages(spark, a) -> int:
+    """Every stage into one folder: questions, packs, triples, runs, report. Stops at the first that fails."""
+    out = Path(a.out)
+    out.mkdir(parents=True, exist_ok=True)
+    a.questions, a.packs, a.run = str(out / "questions.jsonl"), str(out / "packs"), str(out / "run")
+    stages = (("profile", show_profile, None), ("author", author, a.questions), ("validate", validate, None), ("retrieve", retrieve, a.packs), ("triples", triples, str(out / "triples")), ("eval", evaluate_systems, a.run), ("report", show_report, None))
+    for name, stage, target in stages:
+        a.out = target or a.out
+        if code := stage(spark, a):
+            print(f"stopped at {name}", file=sys.stderr)
+            return code
+    return 0
+
+
 def sql(spark, a) -> int:
     tables, _ = _catalog(spark, a.data)
     found = guard.safe_execute(shadow.session_of(spark, tables), authoring.to_spark(a.text))
@@ -115,13 +159,17 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     parser = argparse.ArgumentParser(prog="tallyglass", description=__doc__)
     verbs = parser.add_subparsers(dest="verb", required=True)
     verbs.add_parser("version")
-    for name, f in (("ingest", ingest), ("profile", show_profile), ("author", author), ("validate", validate), ("retrieve", retrieve), ("triples", triples), ("sql", sql), ("run", run)):
+    for name, f in (("ingest", ingest), ("profile", show_profile), ("author", author), ("validate", validate), ("retrieve", retrieve), ("triples", triples), ("eval", evaluate_systems), ("report", show_report), ("all", all_stages), ("sql", sql), ("run", run)):
         p = verbs.add_parser(name)
         p.set_defaults(f=f)
         p.add_argument("--data", required=True)
         p.add_argument("--holdout", nargs=3, default=["orders", "o_orderdate", "6"], metavar=("TABLE", "COLUMN", "MONTHS"))
         p.add_argument("--seed", type=int, default=1)
-        for flag, verbs_ in (("--config", "ingest"), ("--questions", "validate retrieve triples"), ("--out", "author retrieve triples run"), ("--text", "sql"), ("--query", "run")):
+        needed = (
+            ("--config", "ingest"), ("--questions", "validate retrieve triples eval"), ("--out", "author retrieve triples eval all run"), ("--text", "sql"), ("--query", "run"),
+            ("--packs", "eval"), ("--systems", "eval all"), ("--run", "report"),
+        )
+        for flag, verbs_ in needed:
             if name in verbs_.split():
                 p.add_argument(flag, required=True)
         p.add_argument("--n", type=int, default=20)
@@ -129,6 +177,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         p.add_argument("--row-caps", default="")
         p.add_argument("--tables", default="nation,region,supplier,part")
         p.add_argument("--per-question", type=int, default=8)
+        p.add_argument("--split", default="heldout")
+        p.add_argument("--roles", default="")
     a = parser.parse_args(argv)
     if a.verb == "version":
         print(__version__)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ CLAUSES = {
     "aggregate": r"\b(count|sum|avg|min|max|total|group_concat)\s*\(", "subquery": r"\(\s*select\b", "set_op": r"\b(union|intersect|except)\b",
     "cte": r"^\s*with\b", "case": r"\bcase\b", "like": r"\bi?like\b", "window": r"\bover\s*\(",
 }
+#: Words after a table's name that are no alias.
+KEYWORDS = ("where", "on", "using", "join", "inner", "left", "right", "full", "cross", "natural", "group", "order", "having", "limit", "offset", "union", "intersect", "except", "set", "values", "select", "as")
 #: Fixed value: most words of each length bin.
 LENGTH_BINS = (15, 30, 55)
 
@@ -63,6 +68,23 @@ def tier(sql: Column) -> Column:
     return F.when(has(sql, "subquery") | has(sql, "cte") | has(sql, "set_op"), "nested").when(has(sql, "join"), "joined").when(has(sql, "aggregate") | has(sql, "group_by"), "aggregated").otherwise("simple")
 
 
+#: The nine families of queries, in the order they are tried; anything else is a plain projection.
+FAMILIES = (
+    ("set operation", (("set_op",),)), ("subquery / CTE", (("cte",), ("subquery",))), ("aggregation + grouping", (("aggregate", "group_by"),)),
+    ("simple aggregation", (("aggregate",),)), ("join", (("join",),)), ("distinct projection", (("distinct",),)), ("ordering / top-k", (("order_by",), ("limit",))),
+    ("filter", (("where",),)),
+)
+
+
+def family(sql: Column) -> Column:
+    """The first family of which one group of clauses is there in full."""
+    out = None
+    for name, groups in FAMILIES:
+        holds = reduce(or_, [reduce(and_, [has(sql, c) for c in group]) for group in groups])
+        out = F.when(holds, name) if out is None else out.when(holds, name)
+    return out.otherwise("plain projection")
+
+
 def words(sql: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(sql), r"\s+"), lambda w: w != ""))
 
@@ -106,6 +128,40 @@ def references(sql: Column, names: list[str]) -> Column:
     return F.sort_array(F.array_intersect(F.array_distinct(tokens(stripped(sql))), F.array(*map(F.lit, names))))
 
 
+def aliases(sql: Column, tables: list[str]) -> Column:
+    """alias -> table of the text's FROM and JOIN items, for those of `tables` (lower case) that have an alias."""
+    item = r"\b(?:from|join|into|update)\s+[`\"\[]?(\w{1,64})[`\"\]]?(?:\s+(?:as\s+)?[`\"\[]?(\w{1,64}))?"
+    named = F.arrays_zip(F.regexp_extract_all(stripped(sql), F.lit(item), 2).alias("alias"), F.regexp_extract_all(stripped(sql), F.lit(item), 1).alias("table"))
+    keyword = F.array(*map(F.lit, KEYWORDS))
+    real = F.filter(named, lambda x: (x["alias"] != "") & ~F.array_contains(keyword, x["alias"]) & (x["alias"] != x["table"]) & F.array_contains(F.array(*map(F.lit, tables)), x["table"]))
+    last = F.filter(real, lambda x, i: ~F.exists(F.slice(real, i + 2, F.size(real)), lambda y: y["alias"] == x["alias"]))
+    return F.map_from_entries(last)
+
+
+def used(sql: Column, schema: Mapping[str, Sequence[str]]) -> Column:
+    """tables, columns of a schema (lower-case names) that the text uses, sorted; an alias counts as its table."""
+    tables, columns = sorted(schema), sorted({c for cs in schema.values() for c in cs})
+    by_alias = F.map_values(aliases(sql, tables))
+    named = F.sort_array(F.array_distinct(F.concat(references(sql, tables), by_alias)))
+    return F.struct(named.alias("tables"), references(sql, columns).alias("columns"))
+
+
+def link_counts(pred: Column, gold: Column) -> Column:
+    """tp, fp, fn over the tables and columns of two used()."""
+    both = [(pred[k], gold[k]) for k in ("tables", "columns")]
+    tp = sum((F.size(F.array_intersect(p, g)) for p, g in both), F.lit(0))
+    fp = sum((F.size(F.array_except(p, g)) for p, g in both), F.lit(0))
+    fn = sum((F.size(F.array_except(g, p)) for p, g in both), F.lit(0))
+    return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+
+def link_rates(counts: Column) -> Column:
+    """precision, recall, f1 of link_counts(), 0 where there is nothing to divide by."""
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = part(counts["tp"], counts["tp"] + counts["fp"]), part(counts["tp"], counts["tp"] + counts["fn"])
+    return F.struct(p.alias("precision"), r.alias("recall"), part(2.0 * counts["tp"], 2 * counts["tp"] + counts["fp"] + counts["fn"]).alias("f1"))
+
+
 def link_f1(pred: Column, gold: Column) -> Column:
     """F1 of two sets of names."""
     shared = F.size(F.array_intersect(pred, gold))

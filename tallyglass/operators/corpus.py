@@ -31,30 +31,62 @@ def kinds(questions: DataFrame, per_question: int, seed: int) -> DataFrame:
     return rolled.withColumn("kind", kind)
 
 
-def distractors(draws: DataFrame, positives: DataFrame, rows: DataFrame, seed: int, low: int = 2, high: int = 5, pool: int = 64) -> DataFrame:
+#: Primes by which a draw steps through numbered rows.
+STEPS = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563)
+
+
+def place(j: Column, size: Column, *key: Column | str, seed: int) -> Column:
+    """The j-th of a seeded order of the numbers below `size`: a start and a step from the key, the step prime to the size."""
+    at = draw(*key, F.lit("step"), seed=seed) % len(STEPS)
+    steps = [F.array(*[F.lit(STEPS[(i + k) % len(STEPS)]) for k in range(len(STEPS))]) for i in range(len(STEPS))]
+    turned = F.element_at(F.array(*steps), (at + 1).cast("int"))
+    step = F.element_at(F.filter(turned, lambda p: size % p != 0), 1)
+    return (draw(*key, F.lit("start"), seed=seed) + j.cast("decimal(38,0)") * step) % size
+
+
+def distractors(draws: DataFrame, positives: DataFrame, rows: DataFrame, seed: int, low: int = 2, high: int = 5) -> DataFrame:
     """question_id, draw_no, table_name, row_id, position: hard negatives of each draw, never one of its question's positives.
 
     draws: question_id, draw_no, kind. positives: question_id, table_name, row_id. rows: table_name, row_id. A grounded
-    draw gets low..high, a refusal as many as the question has positives and 3 at least, schema_only none. Rows of the
-    positives' tables come before all others. Each table offers a seeded pool, its `pool` first rows by a hash and as
-    many more as the question with the most positives can rule out, so a draw never meets whole tables.
+    draw gets low..high, a refusal as many as the question has positives and 3 at least, schema_only none; fewer only where
+    there are no more rows. Rows of the positives' tables come before all others.
+
+    Every row can be drawn: rows are numbered once within their table, in the order of a hash, and a draw steps through the
+    numbers of its near tables, laid end to end, in a seeded order of its own; as many numbers as it wants and its question
+    has positives always hold enough. Then it steps through the other tables. Draws meet rows by an equi-join on the number.
     """
+    from tallyglass.operators.retrieval import numbered
+
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "table_name", "row_id"))
+    listed = numbered(rows.select("table_name", "row_id"), order, ("table_name",))
+    sizes = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("size"))
     per = positives.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_pos"), F.collect_set("table_name").alias("near"))
-    most = positives.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0
-    size = max(pool, high, most) + most
-    lead = Window.partitionBy("table_name").orderBy(draw("table_name", "row_id", seed=seed), "row_id")
-    offered = rows.withColumn("lead", F.row_number().over(lead)).where(F.col("lead") <= size).drop("lead")
+    tables = sizes.agg(F.sort_array(F.collect_list(F.struct("table_name", "size"))).alias("tables"))  # one element a table
     wanted = F.when(F.col("kind") == "grounded", low + draw("question_id", "draw_no", F.lit("n"), seed=seed) % (high - low + 1))
     wanted = wanted.when(F.col("kind") == "refusal", F.greatest(F.coalesce("n_pos", F.lit(0)), F.lit(3))).otherwise(0)
-    asked = draws.join(per, "question_id", "left").withColumn("wanted", wanted).where("wanted > 0")
-    tables = offered.groupBy("table_name").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))  # `size` ids a table at most
-    names = F.array(*[F.lit(r.table_name) for r in tables.select("table_name").collect()]).cast("array<string>")
-    met = asked.withColumn("table_name", F.explode(names)).join(tables, "table_name")
-    met = met.select("question_id", "draw_no", "wanted", "near", "table_name", F.explode("ids").alias("row_id"))
-    negative = met.join(positives, ["question_id", "table_name", "row_id"], "left_anti")
-    far = ~F.coalesce(F.array_contains("near", F.col("table_name")), F.lit(False))
-    order = Window.partitionBy("question_id", "draw_no").orderBy(far, draw("question_id", "draw_no", "table_name", "row_id", seed=seed), "table_name", "row_id")
-    return negative.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("wanted")).select("question_id", "draw_no", "table_name", "row_id", "position")
+    asked = draws.join(per, "question_id", "left").withColumn("wanted", wanted).where("wanted > 0").join(F.broadcast(tables))
+    near = F.coalesce("near", F.array().cast("array<string>"))
+    group = lambda far, of, most: F.struct(F.lit(far).alias("far"), of.alias("of"), most.cast("long").alias("most"))
+    groups = F.array(
+        group(0, F.filter("tables", lambda t: F.array_contains(near, t["table_name"])), F.col("wanted") + F.coalesce("n_pos", F.lit(0))),
+        group(1, F.filter("tables", lambda t: ~F.array_contains(near, t["table_name"])), F.col("wanted")),
+    )
+    each = asked.select("question_id", "draw_no", "wanted", F.inline(groups))
+    each = each.withColumn("total", F.aggregate("of", F.lit(0).cast("long"), lambda s, t: s + t["size"])).where("total > 0")
+    each = each.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("most"), F.col("total")) - 1)))
+    each = each.withColumn("at", place(F.col("j"), F.col("total"), "question_id", "draw_no", "far", seed=seed).cast("long"))
+    # the table in which the number falls, and the number within it
+    begin = F.struct(F.lit(None).cast("string").alias("table_name"), F.col("at").alias("left"))
+
+    def into(s: Column, t: Column) -> Column:
+        here = s["table_name"].isNull() & (s["left"] < t["size"])
+        passed = s["table_name"].isNull() & (s["left"] >= t["size"])
+        return F.struct(F.when(here, t["table_name"]).otherwise(s["table_name"]).alias("table_name"), F.when(passed, s["left"] - t["size"]).otherwise(s["left"]).alias("left"))
+
+    found = each.withColumn("in", F.aggregate("of", begin, into)).select("question_id", "draw_no", "wanted", "far", "j", F.col("in.table_name").alias("table_name"), F.col("in.left").alias("number"))
+    negative = found.join(listed, ["table_name", "number"]).join(positives, ["question_id", "table_name", "row_id"], "left_anti")
+    turn = Window.partitionBy("question_id", "draw_no").orderBy("far", "j")
+    return negative.withColumn("position", F.row_number().over(turn)).where(F.col("position") <= F.col("wanted")).select("question_id", "draw_no", "table_name", "row_id", "position")
 
 
 def triples(questions: DataFrame, draws: DataFrame, positives: DataFrame, negatives: DataFrame, row_texts: DataFrame, ddl: str, seed: int, cited: int = 2) -> DataFrame:
@@ -95,6 +127,20 @@ def over_context(made: DataFrame) -> DataFrame:
     return made.withColumn("over_context", F.length("prompt") + F.length("target") > CONTEXT_CHARS)
 
 
+#: Longest schema text of a training item.
+SCHEMA_CHARS = 3_000
+
+
+def executable_only(items: DataFrame, executed: DataFrame, want: int | None = None, longest: int = SCHEMA_CHARS, seed: int = 1) -> DataFrame:
+    """items (question_id, schema, ...) whose gold ran, gave at least one row, and whose schema text is short enough.
+
+    executed: question_id, error, n_rows. want: the feature's own limit, the first so many in a seeded order; None keeps all.
+    """
+    ran = executed.where("error IS NULL AND n_rows > 0").select("question_id").distinct()
+    kept = items.where(F.length("schema") <= longest).join(ran, "question_id", "left_semi")
+    return kept if want is None else seeded_order(kept, "question_id", seed, want)
+
+
 def folded(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 

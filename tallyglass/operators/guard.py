@@ -26,8 +26,15 @@ ALLOWED = {
     "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "UnresolvedHaving", "UnresolvedRelation", "UnresolvedInlineTable",
     "OneRowRelation", "Window", "WithWindowDefinition", "Generate", "Values", "LocalRelation", "UnresolvedHint", "Pivot", "Unpivot", "ResolvedInlineTable", "SQLFunctionNode",
 }
-#: Functions that reach outside the data.
-DENIED = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name", "raise_error"}
+#: Groups of the engine's own functions a query may call: all but those that reach outside the data, which are in `misc_funcs`.
+GROUPS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs", "generator_funcs", "hash_funcs",
+    "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
+}
+#: Functions of these groups that still reach outside: a value of the session or machine.
+DENIED = {"current_user", "user", "session_user", "current_database", "current_schema", "current_catalog", "version", "uuid"}
+#: Names of internal tables that a question is never about.
+SYSTEM_TABLES = ("sqlite_master", "sqlite_temp_master", "sqlite_schema", "information_schema", "pg_catalog")
 
 
 class UnsafeQuery(ValueError):
@@ -83,6 +90,35 @@ def _subqueries(expression) -> Iterable:
         yield from _subqueries(child)
 
 
+def _calls(expression) -> Iterable[list[str]]:
+    """Name parts of every function that an expression of the parsed plan calls, however the text quotes it."""
+    kind = expression.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        yield [str(p) for p in _each(expression.nameParts())]
+    elif kind == "UnresolvedGenerator":
+        yield [str(expression.name().funcName())]
+    for child in _each(expression.children()):
+        yield from _calls(child)
+
+
+def _generators(node) -> Iterable[list[str]]:
+    if node.getClass().getSimpleName() == "Generate":
+        yield from _calls(node.generator())
+
+
+def _allowed(spark: SparkSession, parts: list[str]) -> bool:
+    """Whether this names one of the engine's own functions of an allowed group."""
+    name = parts[0].lower()
+    if len(parts) > 1 or name in DENIED:
+        return False
+    state = spark._jsparkSession.sessionState()
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    found = state.functionRegistry().lookupFunction(identifier)
+    if found.isEmpty():
+        return True  # no function at all: analysis says so
+    return found.get().getGroup() in GROUPS and str(found.get().getClassName()).startswith("org.apache.spark.sql.catalyst.expressions.")
+
+
 def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> str:
     """The text without its final semicolon, or UnsafeQuery."""
     plain = bare(sql).strip()
@@ -93,8 +129,6 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) ->
     if ";" in plain and not sql.rstrip().endswith(";"):
         raise UnsafeQuery("text after the statement")
     text = sql.rstrip().rstrip(";")
-    if denied := DENIED & {w.lower() for w in re.findall(r"([A-Za-z_]\w*)\s*\(", plain)}:
-        raise UnsafeQuery(f"function not allowed: {sorted(denied)[0]}")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except ParseException as e:
@@ -106,6 +140,9 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) ->
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in ALLOWED:
             raise UnsafeQuery(f"not a read-only query: {kind}")
+        for parts in [p for e in _each(node.expressions()) for p in _calls(e)] + list(_generators(node)):
+            if not _allowed(spark, parts):
+                raise UnsafeQuery(f"function not allowed: {'.'.join(parts)}")
         if kind == "UnresolvedRelation":
             parts = [str(p).lower() for p in _each(node.multipartIdentifier())]
             if len(parts) > 1 or (known is not None and parts[0] not in known | ctes):
@@ -156,3 +193,36 @@ def safe_execute(spark: SparkSession, sql: str, **limits) -> Outcome:
         return Outcome(latency_ms=ms, error=f"{type(e).__name__}: {str(e)[:200]}", timed_out=isinstance(e, QueryTimeout))
 
 
+
+
+def truncated(spark: SparkSession, sql: str, rows: int = 100) -> tuple[list[tuple], list[str]]:
+    """At most `rows` rows of a guarded query and its columns; a larger result is cut without an error."""
+    df = spark.sql(check(spark, sql))
+    return [tuple(r) for r in df.limit(rows).collect()], df.columns
+
+
+#: Words that change data or schema, and the openings of a reading statement, in the text-only check.
+MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "TRUNCATE", "ATTACH", "DETACH", "VACUUM", "REINDEX")
+OPENINGS = ("SELECT", "WITH", "EXPLAIN")
+
+
+def text_verdict(sql: str) -> tuple[bool, str | None]:
+    """The text-only check, for SQL of other engines: one statement that reads, EXPLAIN included; PRAGMA only where it sets nothing."""
+    if not sql.strip():
+        return False, "empty query"
+    plain = re.sub(r"'[^']*'|\"[^\"]*\"", "''", sql)
+    plain = re.sub(r"--[^\n]*|/\*.*?\*/", "", plain, flags=re.S).strip()
+    if word := re.search(rf"\b({'|'.join(MUTATIONS)})\b", plain, re.I):
+        return False, f"{word[1].upper()} changes data"
+    if re.search(r"\bPRAGMA\b\s*\w*\s*=", plain, re.I):
+        return False, "PRAGMA sets a value"
+    if not plain.upper().startswith(OPENINGS):
+        return False, "not SELECT, WITH or EXPLAIN"
+    if sum(bool(part.strip()) for part in plain.split(";")) > 1:
+        return False, "more than one statement"
+    return True, None
+
+
+def names_system_table(sql: str) -> bool:
+    """Whether the text mentions an internal table."""
+    return any(name in sql.lower() for name in SYSTEM_TABLES)

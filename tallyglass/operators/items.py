@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import sqltext
-from tallyglass.operators.stats import ratio, wilson
+from tallyglass.operators.stats import RESAMPLES, bootstrap_mean, ratio, wilson
 
 
 def outcome() -> Column:
@@ -17,6 +17,37 @@ def outcome() -> Column:
     return F.when(executed & F.col("exact"), "executed_exact").when(executed, "executed_match").when(F.col("valid"), "valid_wrong").otherwise("invalid")
 
 
+def error_label(schema: Mapping[str, Sequence[str]]) -> Column:
+    """A finer reason why an item is wrong, the first that holds, from pred_sql, its flags and the gold's; null where it executed right.
+
+    schema: tables (lower case) with their columns. `gold_ok` (boolean) says whether the gold itself ran here.
+    """
+    tables = sorted(schema)
+    pred, text = F.col("pred_sql"), F.lower("pred_sql")
+    named = F.array_distinct(F.transform(F.regexp_extract_all(sqltext.stripped(pred), F.lit(r"\b(?:from|join)\s+[`\"\[]?(\w+)"), 1), F.lower))
+    columns = sorted({c for cs in schema.values() for c in cs})
+    qualified = F.regexp_extract_all(sqltext.stripped(pred), F.lit(r"\b[a-z_]\w*\.([a-z_]\w*)\b"), 1)
+    unknown = F.array_except(qualified, F.array(*map(F.lit, columns)).cast("array<string>"))
+    has = lambda side, c: F.col(f"{side}_flags.{c}")
+    reasons = [
+        ("no sql produced", F.trim(pred) == ""),
+        ("did not answer with SQL", ~text.rlike(r"^\s*(select|with)\b")),
+        ("hallucinated table", (F.size(named) > 0) & ~F.arrays_overlap(named, F.array(*map(F.lit, tables)).cast("array<string>"))),
+        ("hallucinated column", F.size(unknown) > 0),
+        ("syntax error", text.rlike(r"syntax|select from|from where|select where") | (text.contains("()") & ~F.col("valid"))),
+        ("invented aggregation", has("pred", "aggregate") & ~has("gold", "aggregate")),
+        ("missing aggregation", has("gold", "aggregate") & ~has("pred", "aggregate")),
+        ("missing join", has("gold", "join") & ~has("pred", "join")),
+        ("spurious join", has("pred", "join") & ~has("gold", "join")),
+        ("dropped filter", has("gold", "where") & ~has("pred", "where")),
+        ("semantic error (gold not executable here)", ~F.coalesce("gold_ok", F.lit(True))),
+    ]
+    found = F.when(F.coalesce("executed", F.lit(False)), None)
+    for name, holds in reasons:
+        found = found.when(holds, name)
+    return found.otherwise("semantic error")
+
+
 def failure() -> Column:
     """Why an item is wrong, first reason that holds; null where it executed right."""
     lost = lambda c: F.col(f"gold_flags.{c}") != F.col(f"pred_flags.{c}")
@@ -31,15 +62,18 @@ def failure() -> Column:
     return found.otherwise("values")
 
 
-def item_scores(rows: DataFrame, tables: Sequence[str]) -> DataFrame:
+def item_scores(rows: DataFrame, tables: Sequence[str] | Mapping[str, Sequence[str]]) -> DataFrame:
     """One wide row an item from set, system, idx, gold_sql, pred_sql, valid, executed; null SQL is empty.
 
+    tables: the schema's tables (lower case), with their columns where links are to count columns as well.
+
     All measures are expressions of one projection, so items are scored in a single narrow pass.
     """
     gold, pred = (F.coalesce(F.col(c), F.lit("")) for c in ("gold_sql", "pred_sql"))
     base = rows.select("set", "system", "idx", gold.alias("gold_sql"), pred.alias("pred_sql"), F.coalesce("valid", F.lit(False)).alias("valid"), "executed")
     g, p = F.col("gold_sql"), F.col("pred_sql")
-    names = list(tables)
+    schema = tables if isinstance(tables, Mapping) else {t: () for t in tables}
+    names = sorted(schema)
     found = base.select(
         "*",
         (sqltext.normalised(g) == sqltext.normalised(p)).alias("exact"),
@@ -47,9 +81,10 @@ def item_scores(rows: DataFrame, tables: Sequence[str]) -> DataFrame:
         F.round(sqltext.token_f1(p, g), 6).alias("token_f1"),
         F.round(sqltext.clause_jaccard(p, g), 6).alias("clause_jaccard"),
         F.round(sqltext.link_f1(sqltext.references(p, names), sqltext.references(g, names)), 6).alias("link_f1"),
+        sqltext.link_counts(sqltext.used(p, schema), sqltext.used(g, schema)).alias("links"),
         sqltext.flags(g).alias("gold_flags"), sqltext.flags(p).alias("pred_flags"),
         sqltext.signature(g).alias("gold_signature"), sqltext.signature(p).alias("pred_signature"),
-        sqltext.tier(g).alias("tier"), sqltext.length_bin(g).alias("length_bin"), sqltext.balanced(p).alias("balanced"),
+        sqltext.tier(g).alias("tier"), sqltext.family(g).alias("family"), sqltext.length_bin(g).alias("length_bin"), sqltext.balanced(p).alias("balanced"),
     )
     return found.select("*", outcome().alias("outcome"), failure().alias("failure"))
 
@@ -67,6 +102,41 @@ def summary(items: DataFrame, by: Sequence[str] = ("set", "system")) -> DataFram
     return agg.select("*", *[F.round(ratio(F.col(a), F.col(b)), 6).alias(f"{k}_rate") for k, (a, b) in rates.items()], F.round(low, 6).alias("ex_low"), F.round(high, 6).alias("ex_high"))
 
 
+SIMILARITIES = ("edit_similarity", "token_f1", "clause_jaccard", "link_f1")
+
+
+def summary_intervals(items: DataFrame, by: Sequence[str] = ("set", "system"), measures: Sequence[str] = SIMILARITIES, resamples: int = RESAMPLES) -> DataFrame:
+    """by, measure, mean, low, high: bootstrap intervals of the mean similarities; one pass over the items for all measures."""
+    long = items.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))
+    return bootstrap_mean(long.withColumnRenamed("value", "x"), "x", [*by, "measure"], resamples)
+
+
+def micro_link(items: DataFrame, by: Sequence[str] = ("set", "system")) -> DataFrame:
+    """by, tp, fp, fn, precision, recall, f1 of schema links over all items together, and items with all and with no spurious names.
+
+    Needs `links`, the counts of sqltext.link_counts().
+    """
+    sums = items.groupBy(*by).agg(
+        *[F.sum(f"links.{c}").alias(c) for c in ("tp", "fp", "fn")], F.count_if(F.col("links.fn") == 0).alias("all_found"), F.count_if(F.col("links.fp") == 0).alias("none_spurious")
+    )
+    rates = sqltext.link_rates(F.struct("tp", "fp", "fn"))
+    return sums.withColumn("r", rates).select(*by, "tp", "fp", "fn", *[F.round(F.col(f"r.{c}"), 6).alias(c) for c in ("precision", "recall", "f1")], "all_found", "none_spurious")
+
+
+def signature_matrix(items: DataFrame, by: Sequence[str] = ("set", "system")) -> DataFrame:
+    """by, gold_signature, pred_signature, n: what clauses were asked for against what came."""
+    return items.groupBy(*by, "gold_signature", "pred_signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def accuracy_by(items: DataFrame, column: str, by: Sequence[str] = ("system",)) -> DataFrame:
+    """by, the column, n, ex (over scored items; 0 without any), valid_rate, exact_rate."""
+    agg = items.groupBy(*by, column).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg(F.col("executed").cast("double")), F.lit(0.0)), 6).alias("ex"),
+        F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_rate"), F.round(F.avg(F.col("exact").cast("double")), 6).alias("exact_rate"),
+    )
+    return agg
+
+
 def clause_confusion(items: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
     """Per clause: tp, fp, fn, tn of the prediction having what the gold has."""
     pairs = F.array(*[F.struct(F.lit(c).alias("clause"), F.col(f"gold_flags.{c}").alias("g"), F.col(f"pred_flags.{c}").alias("p")) for c in sqltext.CLAUSES])

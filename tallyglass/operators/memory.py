@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.operators.retrieval import exemplars
@@ -41,7 +41,7 @@ def recall(questions: DataFrame, turns: DataFrame, store: DataFrame, k: int = 2)
     """
     last = latest(turns, "session", "turn").select("session", F.col("turn").cast("string").alias("ref"))
     asked = questions.where(follow_up(F.col("query"))).join(last, "session").select("query_id", F.lit("turn").alias("source"), "ref")
-    best = exemplars(questions, store, k).select("query_id", F.lit("exemplar").alias("source"), F.col("doc_id").cast("string").alias("ref"))
+    best = exemplars(questions.drop("session"), store, k).select("query_id", F.lit("exemplar").alias("source"), F.col("doc_id").cast("string").alias("ref"))
     return asked.unionByName(best)
 
 
@@ -59,6 +59,40 @@ def memory_stats(turns: DataFrame, session: str = "conv_id") -> DataFrame:
     return per.agg(F.sum("n").alias("n_turns"), F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
 
 
+def store_stats(turns: DataFrame, session: str = "session") -> DataFrame:
+    """db, n_turns, n_sessions, n_repaired of each database, and of all (db null), from (session, db, repaired)."""
+    repaired = F.count_if(F.coalesce("repaired", F.lit(False)))
+    return turns.rollup("db").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct(session).alias("n_sessions"), repaired.alias("n_repaired"))
+
+
+#: A turn as it is stored, and an exemplar.
+TURN = "session string, turn_index int, db string, question string, sql string, answer string, repaired boolean, latency_ms double, at timestamp_ntz"
+EXPERIENCE = "db string, question string, sql string, frequency long, at timestamp_ntz"
+
+
+def init_store(spark: SparkSession, path: str) -> None:
+    """An empty store of turns and exemplars; a table that is there stays."""
+    for name, schema in (("turns", TURN), ("experience", EXPERIENCE)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
+
+
+def cleared(turns: DataFrame, session: str | None = None) -> tuple[DataFrame, int]:
+    """The turns without those of one session, or of all, and how many went; the caller writes them back with files.replaced()."""
+    gone = turns if session is None else turns.where(F.col("session") == session)
+    return (turns.limit(0) if session is None else turns.where(~F.col("session").eqNullSafe(F.lit(session)))), gone.count()
+
+
+def export_experience(store: DataFrame, path: str) -> None:
+    """Exemplars as JSON lines."""
+    store.select("db", "question", "sql", "frequency", "at").write.mode("overwrite").json(path)
+
+
+def import_experience(store: DataFrame, path: str) -> DataFrame:
+    """The store with the exemplars of a JSON-lines export merged in; lines without a question or SQL are left out."""
+    added = store.sparkSession.read.schema(EXPERIENCE).json(path).where("question IS NOT NULL AND sql IS NOT NULL")
+    return merged(store, added.withColumn("frequency", F.coalesce("frequency", F.lit(1))))
+
+
 def entities(rows: DataFrame, columns: list[str], first: int = 3, most: int = 10) -> DataFrame:
     """entity: strings of 2 to 40 characters of the first rows of an answer, in order, at most `most`."""
     cells = rows.limit(first).select(F.posexplode(F.array(*[F.col(c).cast("string") for c in columns])).alias("at", "entity"))

@@ -66,9 +66,37 @@ def distinct_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def few_valued(tables: Mapping[str, DataFrame], most: int) -> dict[str, DataFrame]:
+    """The tables with those string columns only whose approximate number of distinct values is not far beyond `most`.
+
+    One map-side sketch a column decides, so long texts and names never go through an exact count; the sketch's error is 5 %
+    (standard), and a column is left out only from twice `most` on.
+    """
+    out = {}
+    for name, df in sorted(tables.items()):
+        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        if texts:
+            row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
+            if kept := [c for c in texts if row[c] <= 2 * most]:
+                out[name] = df.select(*kept)
+    return out
+
+
 def categoricals(tables: Mapping[str, DataFrame], most: int = 60) -> DataFrame:
-    """The string columns with 2 to `most` distinct values."""
-    return distinct_counts(tables).where(F.col("n_distinct").between(2, most))
+    """The string columns with 2 to `most` distinct values: counted exactly where a sketch does not rule them out."""
+    return distinct_counts(few_valued(tables, most)).where(F.col("n_distinct").between(2, most))
+
+
+def value_sample(df: DataFrame, column: str, n: int = 25, seed: int = 1) -> DataFrame:
+    """value: `n` distinct non-empty values of a column, the first in a seeded order."""
+    values = df.select(F.col(column).cast("string").alias("value")).where(F.trim("value") != "").distinct()
+    return values.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "value")), "value").limit(n)
+
+
+def preview(df: DataFrame, n: int = 3) -> DataFrame:
+    """The first `n` rows by all columns, as text."""
+    shown = [c for c, t in df.dtypes if not t.startswith(("map",))]
+    return df.select(*[F.col(c).cast("string").alias(c) for c in shown]).orderBy(*shown).limit(n)
 
 
 def key_duplicates(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
@@ -85,10 +113,11 @@ def orphans(tables: Mapping[str, DataFrame], keys: Iterable[ForeignKey]) -> Data
     """fk, n_orphans: rows whose non-null reference meets no key."""
     found = []
     for f in sorted(keys):
-        child = tables[f.table].select(F.col(f.column).cast("long").alias("k")).where("k IS NOT NULL")
+        # References are folded to counts before the join, so a hot key is one row a task.
+        child = tables[f.table].select(F.col(f.column).cast("long").alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
         parent = tables[f.ref_table].select(F.col(f.ref_column).cast("long").alias("k"))
         name = f"{f.table}.{f.column}->{f.ref_table}.{f.ref_column}"
-        found.append(child.join(parent, "k", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")).select(F.lit(name).alias("fk"), "n_orphans"))
+        found.append(child.join(parent, "k", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans")).select(F.lit(name).alias("fk"), "n_orphans"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -101,7 +130,7 @@ def value_index(tables: Mapping[str, DataFrame], most_distinct: int = 50, longes
     The columns come from one aggregate a table; each table is then read once for its values.
     """
     wanted: dict[str, list[str]] = {}
-    for r in distinct_counts(tables).where(F.col("n_distinct").between(1, most_distinct)).collect():
+    for r in distinct_counts(few_valued(tables, most_distinct)).where(F.col("n_distinct").between(1, most_distinct)).collect():
         wanted.setdefault(r.table_name, []).append(r.column_name)
     found = []
     for name, columns in sorted(wanted.items()):

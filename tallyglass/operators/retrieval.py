@@ -25,19 +25,42 @@ def cell(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def row_id(key: tuple[str, ...], order: list[str]) -> Column:
-    """The key's values joined by #, or the row's number in a stable order where there is no key."""
-    if key:
-        return F.concat_ws("#", *[F.coalesce(cell(c), F.lit("None")) for c in key])
-    return F.concat(F.lit("rowidx:"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string"))
+#: Leading hexadecimal digits of the order hash that name a bucket of rows without a key: 65,536 buckets.
+ROW_DIGITS = 4
+
+
+def key_id(key: tuple[str, ...]) -> Column:
+    """The key's values joined by #."""
+    return F.concat_ws("#", *[F.coalesce(cell(c), F.lit("None")) for c in key])
+
+
+def numbered(rows: DataFrame, order: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `number`, from 0 in the order of `order` (a hexadecimal text) within `by`.
+
+    Numbers are prefix sums in two levels: over buckets of the leading digits, then within each bucket; ties are numbered in any order.
+    """
+    tagged = rows.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, ROW_DIGITS))
+    sums = tagged.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = tagged.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__o")))
+    return within.join(bases, [*by, "__b"]).withColumn("number", F.col("__r") - 1 + F.col("__base")).drop("__o", "__b", "__r", "__base")
 
 
 def table_docs(name: str, df: DataFrame, key: tuple[str, ...] = (), cap: int | None = None) -> DataFrame:
-    """table_name, row_id, columns, values (as text), text of each row; `cap` keeps the first rows by row_id."""
+    """table_name, row_id, columns, values (as text), text of each row; `cap` keeps the first rows by row_id.
+
+    A row's id is its key, or `rowidx:` and its number in the order of md5 of its values where the table has no key.
+    """
     kept = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
+    if key:
+        df, row = df, key_id(key)
+    else:
+        df = numbered(df, F.md5(F.concat_ws("|", *[F.coalesce(cell(c), F.lit("")) for c in kept])))
+        row = F.concat(F.lit("rowidx:"), F.col("number").cast("string"))
     values = F.array(*[cell(c) for c in kept])
     text = F.concat_ws(" ", F.lit(name), *[F.when(cell(c) != "", cell(c)) for c in kept])
-    docs = df.select(F.lit(name).alias("table_name"), row_id(key, kept).alias("row_id"), F.array(*map(F.lit, kept)).alias("columns"), values.alias("values"), text.alias("text"))
+    docs = df.select(F.lit(name).alias("table_name"), row.alias("row_id"), F.array(*map(F.lit, kept)).alias("columns"), values.alias("values"), text.alias("text"))
     return docs.orderBy("row_id").limit(cap) if cap else docs
 
 
@@ -45,6 +68,15 @@ def index_docs(tables: Mapping[str, DataFrame], catalog: Catalog, caps: Mapping[
     return reduce(DataFrame.unionByName, [table_docs(n, tables[n], catalog.tables[n].primary_key, (caps or {}).get(n)) for n in catalog.names() if n in tables])
 
 
+def cells_text(columns: Column, values: Column) -> Column:
+    """`column: value | ...` without empty cells."""
+    return F.array_join(F.filter(F.zip_with(columns, values, lambda c, v: F.when(v != "", F.concat(c, F.lit(": "), v))), lambda x: x.isNotNull()), " | ")
+
+
+#: Evidence packs, as they are frozen.
+PACK = "question_id string, question string, schema_sha256 string, rows array<struct<rank:int,table_name:string,row_id:string,columns:array<string>,values:array<string>>>"
+
+
 def rendered(docs: DataFrame) -> DataFrame:
     """row_text: `[table:row_id] column: value | ...` without empty cells."""
     cells = F.filter(F.arrays_zip("columns", "values"), lambda c: c["values"] != "")
@@ -112,18 +144,27 @@ def tampered(frozen: DataFrame) -> DataFrame:
 
 
 def exemplars(queries: DataFrame, store: DataFrame, top_k: int = 2, terms: int = 8) -> DataFrame:
-    """query_id, rank, doc_id, score: the best stored texts whose words begin with one of a query's first words of 2 letters or more."""
+    """query_id, rank, doc_id, score: the best stored texts whose words begin with one of a query's first words of 2 letters or more.
+
+    Where both have a column `db`, a query meets the texts of its own database only. A prefix is first resolved against the
+    store's distinct words, by every beginning of each word, and postings are then joined on the word itself.
+    """
+    own = ["db"] if "db" in queries.columns and "db" in store.columns else []
     first = F.slice(F.filter(tokens(F.col("query")), lambda t: F.length(t) >= 2), 1, terms)
-    asked = queries.select("query_id", F.explode(F.array_distinct(first)).alias("prefix"))
-    words = store.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = words.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    keyed = words.withColumn("two", F.substring("word", 1, 2))
-    hit = asked.withColumn("two", F.substring("prefix", 1, 2)).join(keyed, "two").where(F.col("word").startswith(F.col("prefix")))
-    found = hit.groupBy("query_id", "prefix", "doc_id").agg(F.sum("tf").alias("tf"))
+    asked = queries.select("query_id", *own, F.explode(F.array_distinct(first)).alias("prefix"))
+    words = store.select("doc_id", *own, F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", *own, "word").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = words.groupBy("doc_id", *own).agg(F.sum("tf").alias("dl"))
+    beginnings = F.transform(F.sequence(F.lit(2), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    known = words.select("word").distinct().where(F.length("word") >= 2).select("word", F.explode(beginnings).alias("prefix"))
+    resolved = asked.select("prefix").distinct().join(known, "prefix")
+    hit = asked.join(resolved, "prefix").join(words, [*own, "word"])
+    found = hit.groupBy("query_id", *own, "prefix", "doc_id").agg(F.sum("tf").alias("tf"))
     frequency = found.groupBy("query_id", "prefix").agg(F.count(F.lit(1)).alias("df"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    idf = F.log(1 + (F.lit(total.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total.avgdl or 1.0)))
-    scored = found.join(frequency, ["query_id", "prefix"]).join(sizes, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    total = sizes.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    weighed = found.join(frequency, ["query_id", "prefix"]).join(sizes, ["doc_id", *own])
+    weighed = weighed.join(total, own) if own else weighed.join(F.broadcast(total))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = weighed.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "score")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.operators.corpus import draw
+
 Z = 1.96
 
 
@@ -32,26 +34,59 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     return bound(centre - half), bound(centre + half)
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series eight places up, where its fourth term is below 1e-11."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
+    below = x
+    for k in range(1, 8):
+        below = below * (x + k)
+    return series - F.log(below)
+
+
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X <= k) of n fair trials, summed term by term from the first (each from the one before)."""
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("total"))
-    step = lambda s, i: F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["total"] + s["term"] * (n - i + 1) / i).alias("total"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: s["total"])
+    """P(X <= k) of n fair trials, for k up to n / 2.
+
+    The term of k comes from log_gamma and each one below it from the one above; terms further than 7 standard widths below
+    are too small to count, so the sum has at most 7 * sqrt(n) terms and nothing underflows.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    log_first = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * math.log(2)
+    last = F.least(k, F.ceil(7 * F.sqrt(n)).cast("double")).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * (k - i) / (n - k + i + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    return F.exp(log_first) * F.aggregate(steps, start, step, lambda s: s["total"])
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b and c discordant pairs; 1 without any. For up to about a thousand pairs (0.5 ** n)."""
+    """Exact two-sided p of b and c discordant pairs; 1 without any."""
     return F.when(b + c == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * binomial_tail(F.least(b, c), b + c)))
 
 
+def two_sided(k: int, n: int) -> float:
+    """Exact two-sided p of k successes in n fair trials: all outcomes that are no likelier."""
+    k = min(k, n - k)
+    if not n or 2 * k == n:
+        return 1.0
+    first = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    term = total = 1.0
+    for i in range(min(k, math.ceil(7 * math.sqrt(n)))):
+        term *= (k - i) / (n - k + i + 1)
+        total += term
+    return min(1.0, 2 * first * total)
+
+
 def mcnemar_full(b: int, c: int) -> dict[str, float]:
-    """Exact p, continuity-corrected chi-square with its p, odds ratio (halves added where one count is 0)."""
+    """Exact p, chi-square with continuity correction and its p, odds ratio (infinite where only c is 0, 0 where b is)."""
     n = b + c
-    exact = 1.0 if not n else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
-    chi2 = (max(0, abs(b - c) - 1)) ** 2 / n if n else 0.0
-    odds = b / c if b and c else (b + 0.5) / (c + 0.5)
-    return {"p_exact": exact, "chi2": chi2, "p_chi2": math.erfc(math.sqrt(chi2 / 2)), "odds_ratio": odds}
+    chi2 = (abs(b - c) - 1) ** 2 / n if n else 0.0
+    odds = b / c if c else math.inf if b else 0.0
+    return {"p_exact": two_sided(min(b, c), n), "chi2": chi2, "p_chi2": math.erfc(math.sqrt(chi2 / 2)) if n else 1.0, "odds_ratio": odds}
 
 
 def paired(results: DataFrame) -> DataFrame:
@@ -174,23 +209,51 @@ def unanimity(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("item").agg(F.count_distinct("label").alias("n_labels")).groupBy("n_labels").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+#: Buckets of a score in [0, 1] for prefix sums in two levels: over the buckets, then within each.
+SCORE_BUCKETS = 4096
+
+
+def score_bucket() -> Column:
+    return F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * SCORE_BUCKETS).cast("int")
+
+
 def auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """n_pos, n_neg, auc from score and truth, ties at average ranks.
+    """n_pos, n_neg, auc from score in [0, 1] and truth, ties at average ranks.
 
-    Scores are counted before they are ranked, so the window runs over distinct scores and not over items.
+    Scores are counted before they are ranked, and the counts are summed in two levels, so no window holds all scores.
     """
-    levels = scored.groupBy(*by, "score").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = levels.withColumn("won", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
+    levels = scored.groupBy(*by, score_bucket().alias("bucket"), "score").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
+    sums = levels.groupBy(*by, "bucket").agg(F.sum("neg").alias("neg"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*by, "bucket", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("base"))
+    below = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    at = levels.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0))).join(bases, [*by, "bucket"])
+    won = at.withColumn("won", F.col("pos") * (F.col("base") + F.col("below") + F.col("neg") / 2))
     return won.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("w")).select(
         *by, "n_pos", "n_neg", r6(ratio(F.col("w"), F.col("n_pos") * F.col("n_neg"))).alias("auc")
     )
 
 
+def by_falling_score(scored: DataFrame, item: str) -> DataFrame:
+    """scored with at (place from 1), hits (true ones so far), n (rows): by falling score in [0, 1], equal scores in the order of `item`.
+
+    Places are prefix sums in two levels, so no window holds all rows; only the one over the SCORE_BUCKETS counts is global.
+    """
+    hit = F.col("truth").cast("long")
+    tagged = scored.withColumn("bucket", score_bucket())
+    sums = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum(hit).alias("right"))
+    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    bases = sums.select("bucket", base("rows").alias("rows_before"), base("right").alias("right_before"), F.sum("rows").over(Window.partitionBy()).alias("n"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("score"), item)
+    within = tagged.withColumn("at", F.row_number().over(order)).withColumn("hits", F.sum(hit).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = within.join(F.broadcast(bases), "bucket")  # SCORE_BUCKETS + 1 rows at most
+    return found.withColumn("at", F.col("at") + F.col("rows_before")).withColumn("hits", F.col("hits") + F.col("right_before")).drop("bucket", "rows_before", "right_before")
+
+
 def average_precision(scored: DataFrame, item: str) -> DataFrame:
     """ap from score and truth; equal scores are taken in the order of `item`."""
-    upto = Window.orderBy(F.desc("score"), item).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumn("hits", F.sum(F.col("truth").cast("long")).over(upto)).withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), item)))
+    ranked = by_falling_score(scored, item)
     return ranked.agg(r6(ratio(F.sum(F.when(F.col("truth"), F.col("hits") / F.col("at"))), F.count_if("truth"))).alias("ap"))
 
 
@@ -214,12 +277,17 @@ def calibration(scored: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def risk_coverage(scored: DataFrame, item: str, points: int = 50) -> DataFrame:
-    """pos, coverage, accuracy: running accuracy by falling score, at every n // points rows."""
-    order = Window.orderBy(F.desc("score"), item)
-    n = scored.count()
-    step = max(1, n // points)
-    run = scored.withColumn("at", F.row_number().over(order)).withColumn("right", F.sum(F.col("truth").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.where(F.col("at") % step == 0).select(F.col("at").alias("pos"), r6(F.col("at") / F.lit(n)).alias("coverage"), r6(F.col("right") / F.col("at")).alias("accuracy"))
+    """pos, coverage, accuracy: running accuracy by falling score, at every n // points rows and at the last."""
+    run = by_falling_score(scored, item)
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / points))
+    kept = run.where((F.col("at") % step == 0) | (F.col("at") == F.col("n")))
+    return kept.select(F.col("at").alias("pos"), r6(F.col("at") / F.col("n")).alias("coverage"), r6(F.col("hits") / F.col("at")).alias("accuracy"))
+
+
+def risk_summary(scored: DataFrame, item: str, points: int = 50) -> DataFrame:
+    """n_points, aurc (mean risk over the points of risk_coverage), at_half (accuracy at the coverage nearest one half, the lower of two)."""
+    nearest = F.min_by("accuracy", F.struct(F.abs(F.col("coverage") - 0.5), "pos"))
+    return risk_coverage(scored, item, points).agg(F.count(F.lit(1)).alias("n_points"), r6(F.avg(1 - F.col("accuracy"))).alias("aurc"), nearest.alias("at_half"))
 
 
 def association(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -232,24 +300,143 @@ def association(rows: DataFrame, a: str, b: str) -> DataFrame:
     return cells.join(x, a).join(y, b).agg(F.sum("n").alias("n"), r6(F.sum((F.col("n") - e) ** 2 / e) / den).alias("v2"))
 
 
-def bootstrap_mean(rows: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 11, level: float = 0.95) -> DataFrame:
-    """mean, low, high: percentile interval of the mean by a Poisson bootstrap.
+#: Resamples of a bootstrap.
+RESAMPLES = 2000
+
+
+def poisson(u: Column, v: Column, mean: Column) -> Column:
+    """A Poisson number from two uniform ones: by inversion up to a mean of 30, then a rounded normal number of that variance."""
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"), F.lit(0).alias("k"))
+
+    def step(s: Column, i: Column) -> Column:
+        p = s["p"] * mean / i
+        return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), (s["k"] + F.when(u > s["upto"], 1).otherwise(0)).alias("k"))
 
-    Each item's weight in a resample is a Poisson(1) number from a hash of (key, resample), so one pass makes all
-    resamples: the items are exploded by the constant number of resamples and combined before the shuffle.
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda s: s["k"].cast("double"))
+    large = F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)))
+    return F.when(mean <= 30, small).otherwise(large)
+
+
+def resampled(rows: DataFrame, value: str, by: Sequence[str] = (), resamples: int = RESAMPLES, seed: int = 11) -> DataFrame:
+    """by, resample, m: the mean of `value` (to six decimals) in each of `resamples` Poisson resamples.
+
+    Equal values are counted first; a value that n rows have occurs a Poisson number of times of mean n in a resample, drawn
+    from a hash of group, value and resample. So rows are read once, and what is multiplied by the number of resamples is the
+    distinct values, not the rows. A resample without rows has the mean of all.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1 << 32)).cast("double") / 2.0**32
-    edges = [sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) for j in range(7)]
-    weight = F.lit(7)
-    for k in reversed(range(7)):
-        weight = F.when(u < edges[k], k).otherwise(weight)
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    level = F.col(value).cast("decimal(20,6)")
+    return _weighed_draws(rows.where(F.col(value).isNotNull()).select(*by, level.alias("value"), F.lit(1).alias("n")), by, resamples, seed)
+
+
+def _weighed_draws(rows: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """resampled() of rows that have value and n, how often they are there."""
+    levels = rows.groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    drawn = levels.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u, v = ((draw(*by, "value", "resample", F.lit(k), seed=seed) + 0.5) / 2.0**32 for k in ("u", "v"))
+    weighed = drawn.withColumn("w", poisson(u, v, F.col("n").cast("double"))).withColumn("value", F.col("value").cast("double"))
+    sums = weighed.groupBy(*by, "resample").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    return sums.select(*by, "resample", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("mean")).alias("m"), "mean")
+
+
+def intervals(draws: DataFrame, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """by, mean, low, high: the order statistics of the resampled means."""
+    order = Window.partitionBy(*by).orderBy("m", "resample")
     tail = (1 - level) / 2
-    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(ends)).select(r6(F.col("mean")).alias("mean"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+    placed = draws.withColumn("i", F.row_number().over(order) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    at = lambda q: F.max(F.when(F.col("i") == F.least(F.floor(F.col("of") * q + 1e-9), F.col("of") - 1), F.col("m")))
+    return placed.groupBy(*by).agg(r6(F.first("mean")).alias("mean"), r6(at(tail)).alias("low"), r6(at(1 - tail)).alias("high"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, by: Sequence[str] = (), resamples: int = RESAMPLES, seed: int = 11, level: float = 0.95) -> DataFrame:
+    """by, mean, low, high: percentile interval of the mean by a Poisson bootstrap over the histogram of the values."""
+    return intervals(resampled(rows, value, by, resamples, seed), by, level)
+
+
+def paired_delta(pairs: DataFrame, by: Sequence[str] = (), resamples: int = RESAMPLES, seed: int = 11) -> DataFrame:
+    """by, delta, low, high, p, prob_better of x - y over pairs that have both: bootstrap of the mean difference.
+
+    prob_better is the share of resamples above 0, and p twice the lesser of it and the rest, 1 at most.
+    """
+    differ = pairs.where("x IS NOT NULL AND y IS NOT NULL").select(*by, (F.col("x").cast("double") - F.col("y").cast("double")).alias("d"))
+    draws = resampled(differ, "d", by, resamples, seed)
+    ends = intervals(draws, by).withColumnRenamed("mean", "delta")
+    above = draws.groupBy(*by).agg(F.avg((F.col("m") > 0).cast("double")).alias("better"))
+    both = ends.join(above, list(by)) if by else ends.join(F.broadcast(above))
+    better = F.col("better")
+    return both.select(*by, "delta", "low", "high", r6(F.least(F.lit(1.0), 2 * F.least(better, 1 - better))).alias("p"), r6(better).alias("prob_better"))
 
 
 def pooled(rows: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """Weighted mean of `value` over the sets of each group."""
     return rows.groupBy(*by).agg(r6(F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value), F.sum(weight).alias(weight))
+
+
+# ---- panels: every pair of systems at once ---------------------------------------------------------------------------
+
+
+def pair_cells(outcomes: DataFrame) -> DataFrame:
+    """a, b, x, y, n: how often systems a < b give an item (of system, item, outcome) the outcomes x and y.
+
+    Items meet by an equi-join. The table has at most pairs of systems times pairs of outcomes rows, whatever the items.
+    """
+    x = outcomes.select(F.col("system").alias("a"), "item", F.col("outcome").alias("x"))
+    y = outcomes.select(F.col("system").alias("b"), "item", F.col("outcome").alias("y"))
+    return x.join(y, "item").where("a < b").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _margins(cells: DataFrame) -> DataFrame:
+    """a, b, label, nx, ny of pair_cells()."""
+    none = F.lit(0).cast("long")
+    sides = [F.struct(label.alias("label"), nx.alias("nx"), ny.alias("ny")) for label, nx, ny in ((F.col("x"), F.col("n"), none), (F.col("y"), none, F.col("n")))]
+    either = cells.select("a", "b", F.inline(F.array(*sides)))
+    return either.groupBy("a", "b", "label").agg(F.sum("nx").cast("double").alias("nx"), F.sum("ny").cast("double").alias("ny"))
+
+
+def agreement_panel(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """a, b, n, agreement, kappa, kappa_linear, kappa_quadratic, pabak, ac1 of each pair of systems; `labels` in order of weight."""
+    place = F.create_map(*[v for i, name in enumerate(labels) for v in (F.lit(name), F.lit(i))])
+    far = F.abs(place[F.col("x")] - place[F.col("y")]).cast("double")
+    scale = float(max(1, len(labels) - 1))
+    weights = {"kappa": (F.col("x") != F.col("y")).cast("double"), "kappa_linear": far / scale, "kappa_quadratic": (far / scale) ** 2}
+    seen = cells.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"), *[F.sum(w * F.col("n")).alias(k) for k, w in weights.items()])
+    m = _margins(cells)
+    across = m.select("a", "b", F.col("label").alias("x"), "nx").join(m.select("a", "b", F.col("label").alias("y"), "ny"), ["a", "b"])
+    chance = across.groupBy("a", "b").agg(*[F.sum(w * F.col("nx") * F.col("ny")).alias(f"e_{k}") for k, w in weights.items()])
+    share = m.join(seen.select("a", "b", "n"), ["a", "b"]).withColumn("q", (F.col("nx") + F.col("ny")) / (2 * F.col("n")))
+    even = share.groupBy("a", "b").agg(F.sum(F.col("q") * (1 - F.col("q"))).alias("even"))
+    full = seen.join(chance, ["a", "b"]).join(even, ["a", "b"])
+    po = F.col("same") / F.col("n")
+    kappas = [r6(F.when(F.col(f"e_{k}") == 0, 1.0).otherwise(1 - F.col(k) * F.col("n") / F.col(f"e_{k}"))).alias(k) for k in weights]
+    return full.select("a", "b", "n", r6(po).alias("agreement"), *kappas, r6(2 * po - 1).alias("pabak"), r6(F.when(F.col("even") == 1, 1.0).otherwise((po - F.col("even")) / (1 - F.col("even")))).alias("ac1"))
+
+
+def association_matrix(cells: DataFrame) -> DataFrame:
+    """a, b, v2: chi-square over cells that occur, by n * (least number of labels - 1), 1 at most, for each pair of systems."""
+    m = _margins(cells)
+    total = cells.groupBy("a", "b").agg(F.sum("n").alias("t"), F.count_distinct("x").alias("kx"), F.count_distinct("y").alias("ky"))
+    full = cells.join(m.select("a", "b", F.col("label").alias("x"), "nx"), ["a", "b", "x"]).join(m.select("a", "b", F.col("label").alias("y"), "ny"), ["a", "b", "y"]).join(total, ["a", "b"])
+    e = F.col("nx") * F.col("ny") / F.col("t")
+    den = F.first(F.col("t") * F.greatest(F.lit(1), F.least("kx", "ky") - 1))
+    return full.groupBy("a", "b").agg(r6(F.least(F.lit(1.0), F.sum((F.col("n") - e) ** 2 / e) / den)).alias("v2"))
+
+
+def significance(verdicts: DataFrame, resamples: int = 1000, seed: int = 11) -> DataFrame:
+    """Paired tests of every measure and pair of systems, over the items that both have a verdict for.
+
+    verdicts: measure, system, item, verdict (boolean, null where not scorable). Returns measure, a, b, n, rate_a, rate_b, only_a,
+    only_b, p (exact McNemar), holm_p over all rows, delta, low, high (paired bootstrap of a - b).
+    """
+    known = verdicts.where("verdict IS NOT NULL").select("measure", "system", "item", F.col("verdict").cast("int").alias("v"))
+    x, y = known.withColumnsRenamed({"system": "a", "v": "x"}), known.withColumnsRenamed({"system": "b", "v": "y"})
+    cells = x.join(y, ["measure", "item"]).where("a < b").groupBy("measure", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    by = ["measure", "a", "b"]
+    n = F.col("n")
+    counts = cells.groupBy(*by).agg(
+        F.sum("n").alias("n"), r6(F.sum(F.col("x") * n) / F.sum("n")).alias("rate_a"), r6(F.sum(F.col("y") * n) / F.sum("n")).alias("rate_b"),
+        F.sum(F.when(F.expr("x > y"), n).otherwise(0)).alias("only_a"), F.sum(F.when(F.expr("x < y"), n).otherwise(0)).alias("only_b"),
+    )
+    tested = counts.withColumn("p", mcnemar(F.col("only_a"), F.col("only_b"))).withColumn("name", F.concat_ws("|", *by))
+    adjusted = holm(tested.select("name", "p")).select("name", F.col("adjusted").alias("holm_p"))
+    draws = _weighed_draws(cells.withColumn("value", (F.col("x") - F.col("y")).cast("decimal(20,6)")), by, resamples, seed)
+    ends = intervals(draws, by).withColumnRenamed("mean", "delta")
+    return tested.join(adjusted, "name").join(ends, by).select(*by, "n", "rate_a", "rate_b", "only_a", "only_b", r6(F.col("p")).alias("p"), "holm_p", "delta", "low", "high")

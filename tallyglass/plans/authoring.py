@@ -55,7 +55,7 @@ def discover(tables: Mapping[str, DataFrame], catalog: Catalog, most: int = 60,
             facts.keys[t] = [tuple(r) for r in picked.collect()]
         for c in facts.dates.get(t, []):
             found = tables[t].where(F.col(c).isNotNull()).select(F.date_format(c, "yyyy-MM").alias("m")).distinct().orderBy("m")
-            facts.months[t, c] = [r.m for r in found.limit(240).collect()]
+            facts.months[t, c] = [r.m for r in found.collect()]
     return facts
 
 

@@ -5,13 +5,14 @@ Model runs are synthetic: an outcome is a draw, a number from md5 of a key that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import canon, sqltext
-from tallyglass.operators import agent, corpus, items, memory, profile, retrieval, scoring, shadow, stats
+from tallyglass.operators import agent, analysis, corpus, items, memory, profile, retrieval, scoring, shadow, stats
 from tallyglass.plans import gold
 from tallyglass.session import table
 from tallyglass.sources import catalog as cat
@@ -31,7 +32,7 @@ QUESTIONS = (
     ("q4", "and the same for them"),
 )
 #: Tables indexed for retrieval.
-INDEXED = ("nation", "part", "region", "supplier")
+INDEXED = ("customer", "documents", "lineitem", "nation", "orders", "part", "region", "supplier")
 HOLDOUT = ("orders", "o_orderdate", 6)
 
 
@@ -97,18 +98,34 @@ def catalog_row_counts(spark, sf_dir):
     return cat.row_counts(star(spark, sf_dir))
 
 
-@query()
+_KINDS = "CASE regexp_replace(data_type, '\\(.*', '') WHEN 'VARCHAR' THEN 'TEXT' WHEN 'INTEGER' THEN 'INTEGER' WHEN 'BIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'REAL' WHEN 'TIMESTAMP' THEN 'TIMESTAMP' ELSE 'TEXT' END"
+_KEYS = ", ".join(f"('{t}', '{c}')" for t, key in cat.PRIMARY_KEYS.items() for c in key)
+_COLUMN_ROWS = f"""cols AS (SELECT table_name, (ordinal_position - 1)::INT AS position, column_name, {_KINDS} AS type, (table_name, column_name) IN (VALUES {_KEYS}) AS is_pk
+    FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{t}'" for t in _ALL)}))"""
+
+
+@query(f"WITH {_COLUMN_ROWS} SELECT * FROM cols")
 def catalog_columns(spark, sf_dir):
     return cat.columns_table(spark, cat.load_catalog(star(spark, sf_dir), cat.PRIMARY_KEYS, cat.FOREIGN_KEYS, count=False))
 
 
-@query()
+_FK_TEXT = _values([(f.table, f"  -- fk: {f.column} -> {f.ref_table}.{f.ref_column}", i) for i, f in enumerate(sorted(cat.FOREIGN_KEYS))], "table_name, line, i")
+
+
+@query(
+    f"""WITH {_COLUMN_ROWS}, ln AS (SELECT table_name, 0 AS part, position AS i, '  ' || column_name || ' ' || type || CASE WHEN is_pk THEN ' -- pk' ELSE '' END AS line FROM cols
+            UNION ALL SELECT table_name, 1, i, line FROM {_FK_TEXT} f),
+        b AS (SELECT table_name, 'CREATE TABLE ' || table_name || ' (' || chr(10) || string_agg(line, ',' || chr(10) ORDER BY part, i) || chr(10) || ');' AS block FROM ln GROUP BY table_name),
+        d AS (SELECT string_agg(block, chr(10) || chr(10) ORDER BY table_name) AS ddl, COUNT(*)::INT AS n FROM b),
+        c AS (SELECT string_agg(chr(10) || table_name || ':' || n_rows, '' ORDER BY table_name) AS counts FROM ({ORACLES['catalog_row_counts']}) x)
+        SELECT sha256(ddl) AS ddl_sha256, sha256(ddl || counts) AS fingerprint, n AS n_tables FROM d, c"""
+)
 def catalog_fingerprint(spark, sf_dir):
     found = cat.load_catalog(star(spark, sf_dir), cat.PRIMARY_KEYS, cat.FOREIGN_KEYS)
     return spark.createDataFrame([(found.ddl_sha256(), found.fingerprint(), len(found.names()))], "ddl_sha256 string, fingerprint string, n_tables int")
 
 
-@query()
+@query(f"WITH f AS {_values([(f.table, f.ref_table) for f in cat.FOREIGN_KEYS], 'a, b')} SELECT a AS table_name, b AS neighbour FROM f UNION SELECT b, a FROM f")
 def fk_adjacency(spark, sf_dir):
     edges = cat.Catalog(foreign_keys=cat.FOREIGN_KEYS).adjacency(both_ways=True)
     return spark.createDataFrame([(a, b) for a, bs in sorted(edges.items()) for b in sorted(bs)], "table_name string, neighbour string")
@@ -195,7 +212,12 @@ def schema_link(spark, sf_dir):
 
 # ---- canonical results and the shadow -------------------------------------------------------------------------------
 
-_ROW = "'=' || c_custkey || '|=' || lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g'))) || '|=' || printf('%.2f', round(c_acctbal, 2) + 0.0)"
+def _cell(text: str) -> str:
+    """DuckDB text of a canonical cell: its length, then its text; null is a dash."""
+    return f"coalesce(length({text}) || ':' || ({text}), '-')"
+
+
+_ROW = " || ".join(map(_cell, ("c_custkey::VARCHAR", "lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g')))", "printf('%.2f', round(c_acctbal, 2) + 0.0)")))
 
 
 @query(f"SELECT COUNT(*) AS n_rows, CAST(COALESCE(SUM(('0x' || substr(md5({_ROW}), 1, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS digest FROM customer")
@@ -203,12 +225,29 @@ def canonical_digest(spark, sf_dir):
     return canon.bag_digest(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"))
 
 
-@query("SELECT r, COUNT(*) AS n FROM (SELECT '=' || lower(trim(o_orderstatus)) || '|=' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS r FROM orders) t GROUP BY r")
+_STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 = 0 THEN '' ELSE '.' || strftime({0}, '%f') END"
+
+
+@query(f"SELECT r, COUNT(*) AS n FROM (SELECT {_cell('lower(trim(o_orderstatus))')} || {_cell(_STAMP.format('o_orderdate'))} AS r FROM orders) t GROUP BY r")
 def canonical_rows(spark, sf_dir):
     rows = canon.row_text(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate"))
     return rows.groupBy(F.col("row").alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """WITH a AS (SELECT event_type, user_id % 10 AS k, COUNT(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+        b AS (SELECT event_type, user_id % 10 AS k, COUNT(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
+        SELECT coalesce(a.event_type, b.event_type) || ':' || coalesce(a.k, b.k) AS row, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right
+        FROM a FULL JOIN b USING (event_type, k) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""
+)
+def bag_difference(spark, sf_dir):
+    """The rows that two bags, the even and the odd events by type and user digit, have unequally often."""
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("k"), (F.col("event_id") % 2).alias("odd"))
+    found = canon.bag_difference(*[rows.where(F.col("odd") == i).select("event_type", "k") for i in (0, 1)])
+    shown = F.concat_ws(":", *[F.regexp_extract("row", r"^\d+:(.*?)\d+:(\d+)$", i) for i in (1, 2)])
+    return found.select(shown.alias("row"), "n_left", "n_right")
+
+
 def _clamped(spark, sf_dir) -> dict[str, DataFrame]:
     name, column, months = HOLDOUT
     tables = star(spark, sf_dir)
@@ -261,7 +300,19 @@ def _cells(columns: str) -> str:
     return ", ".join(f"nullif(CAST({c} AS VARCHAR), '')" for c in columns.split())
 
 
+def _row_id(table_name: str, columns: str) -> str:
+    """DuckDB text of a row's id: its key, or its number by md5 of its values where the table has none."""
+    if table_name in cat.PRIMARY_KEYS:
+        return f"CAST({columns.split()[0]} AS VARCHAR)"
+    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split())
+    return f"'rowidx:' || (ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', {values}))) - 1)"
+
+
 _COLUMNS = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "documents": "doc_id text lang source n_chars",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "nation": "n_nationkey n_name n_regionkey",
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
     "region": "r_regionkey r_name",
@@ -269,7 +320,7 @@ _COLUMNS = {
 }
 _DOCS_SQL = (
     "docs AS ("
-    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({c.split()[0]} AS VARCHAR) AS row_id, concat_ws(' ', '{t}', {_cells(c)}) AS text FROM {t}" for t, c in _COLUMNS.items())
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {_row_id(t, c)} AS row_id, concat_ws(' ', '{t}', {_cells(c)}) AS text FROM {t}" for t, c in _COLUMNS.items())
     + "), tok AS (SELECT table_name, row_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM docs)"
 )
 
@@ -279,7 +330,12 @@ def doc_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("table_name", "row_id", "text")
 
 
-@query(" UNION ALL ".join(f"SELECT '[{t}:' || {c.split()[0]} || '] ' || {'|| '.join(f'''{chr(39)}{' | ' if i else ''}{x}: {chr(39)} || {x} ''' for i, x in enumerate(c.split()))} AS row_text FROM {t}" for t, c in _COLUMNS.items()))
+def _rendered_sql(table_name: str, columns: str) -> str:
+    cells = ", ".join(f"'{c}: ' || nullif(CAST({c} AS VARCHAR), '')" for c in columns.split())
+    return f"SELECT '[{table_name}:' || {_row_id(table_name, columns)} || '] ' || concat_ws(' | ', {cells}) AS row_text FROM {table_name}"
+
+
+@query(" UNION ALL ".join(_rendered_sql(t, c) for t, c in _COLUMNS.items()))
 def doc_render(spark, sf_dir):
     return retrieval.rendered(_docs(spark, sf_dir)).select("row_text")
 
@@ -450,7 +506,11 @@ def seed_fold(spark, sf_dir):
     return scoring.seed_fold(each.withColumn("role", F.lit("candidate_seed")))
 
 
-@query()
+@query(
+    f"""WITH c AS ({ORACLES['consistency_by_system']}), e AS ({ORACLES['ex_by_system']})
+        SELECT 'few_shot' AS candidate, 'tuned' AS baseline, (SELECT ex FROM e WHERE system = 'few_shot') >= (SELECT ex FROM e WHERE system = 'tuned') - 0.05 - 1e-12
+        AND (SELECT flip FROM c WHERE system = 'few_shot') <= (SELECT flip FROM c WHERE system = 'tuned') + 1e-12 AS passes"""
+)
 def gate_verdict(spark, sf_dir):
     by = {r.system: r for r in consistency_by_system(spark, sf_dir).join(ex_by_system(spark, sf_dir), "system").collect()}
     passes = scoring.gate(by["few_shot"].ex, by["tuned"].ex, by["few_shot"].flip, by["tuned"].flip)
@@ -472,13 +532,25 @@ OUTPUTS = [
 ]
 
 
-@query()
+#: What each of OUTPUTS comes to, by the rules of the contract.
+EXPECTED = [
+    ("o1", None), ("o2", "missing_citation"), ("o3", "invalid_citation"), ("o4", "unexpected_refusal"), ("o5", "invalid_output"), ("o6", "timeout"), ("o7", "execution_error"),
+    ("o8", "wrong_result_missing_rows"), ("o9", "wrong_result_extra_rows"), ("o10", "wrong_result_mismatched_rows"),
+]
+
+
+@query(f"SELECT question_id, error_class = '' AS correct, nullif(error_class, '') AS error_class FROM {_values([(a, b or '') for a, b in EXPECTED], 'question_id, error_class')} t")
 def scored_outputs(spark, sf_dir):
     schema = "question_id string, raw string, valid_rows array<string>, error string, pred_hash string, pred_rows long, gold_hash string, gold_rows long"
     return scoring.score(spark.createDataFrame(OUTPUTS, schema)).select("question_id", "correct", "error_class")
 
 
-@query()
+@query(
+    f"""WITH {RUNS_SQL}, v AS (SELECT 'q' || (item % 50) AS question_id, 'SELECT ' || (d % 7) AS sql, (d % 3)::VARCHAR AS h, d % 4 AS n_rows, latency_ms FROM preds WHERE d % 11 <> 0),
+        c AS (SELECT question_id, h, COUNT(*) AS votes, MAX((n_rows > 0)::INT) AS any_rows, MIN(latency_ms) AS fastest, arg_min(sql, (length(sql), latency_ms, sql)) AS sql FROM v GROUP BY ALL),
+        r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY any_rows DESC, votes DESC, fastest, h) AS r, SUM(votes) OVER (PARTITION BY question_id) AS t FROM c)
+        SELECT question_id, sql, votes, ROUND(votes / t, 6) AS ratio FROM r WHERE r = 1"""
+)
 def consensus_vote(spark, sf_dir):
     p = predictions(spark, sf_dir)
     made = p.select(
@@ -500,18 +572,29 @@ def wilson_ci(spark, sf_dir):
     return counts.select("system", "kind", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+def _mcnemar_sql(b: str, c: str) -> str:
+    """DuckDB text of the exact two-sided p, each term from the gamma function."""
+    n, k = f"({b} + {c})", f"least({b}, {c})"
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))"
+    return f"CASE WHEN {n} = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(0, {k}::BIGINT + 1), lambda i: {term}))), 6) END::DOUBLE"
+
+
 @query(
-    f"""WITH {RUNS_SQL} SELECT x.system AS a, y.system AS b, SUM((x.correct AND y.correct)::INT)::BIGINT AS both,
+    f"""WITH {RUNS_SQL}, pairs AS (SELECT x.system AS a, y.system AS b, SUM((x.correct AND y.correct)::INT)::BIGINT AS both,
         SUM((x.correct AND NOT y.correct)::INT)::BIGINT AS only_a, SUM((NOT x.correct AND y.correct)::INT)::BIGINT AS only_b,
-        SUM((NOT x.correct AND NOT y.correct)::INT)::BIGINT AS neither FROM preds x JOIN preds y ON x.item = y.item AND x.system < y.system GROUP BY ALL"""
+        SUM((NOT x.correct AND NOT y.correct)::INT)::BIGINT AS neither FROM preds x JOIN preds y ON x.item = y.item AND x.system < y.system GROUP BY ALL)
+        SELECT *, only_b - only_a AS net, {_mcnemar_sql("only_a", "only_b")} AS p FROM pairs"""
 )
 def paired_outcomes(spark, sf_dir):
-    return stats.paired(predictions(spark, sf_dir)).drop("net", "p")
+    return stats.paired(predictions(spark, sf_dir))
 
 
-@query()
+_PAIRED_COUNTS = [(0, 0), (13, 0), (43, 18), (4, 2), (8, 11), (10, 13), (1, 1), (1000, 1000), (600, 700), (46_000, 46_500)]
+
+
+@query(f"SELECT b, c, {_mcnemar_sql('b', 'c')} AS p FROM {_values(_PAIRED_COUNTS, 'b, c')} t")
 def mcnemar_pairs(spark, sf_dir):
-    pairs = [(0, 0), (13, 0), (43, 18), (4, 2), (8, 11), (10, 13), (1, 1)]
+    pairs = _PAIRED_COUNTS
     df = spark.createDataFrame(pairs, "b int, c int")
     return df.select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
 
@@ -646,12 +729,17 @@ def calibration_summary(spark, sf_dir):
 
 @query(
     f"""{_TUNED}, r AS (SELECT SUM(correct::INT) OVER w AS h, ROW_NUMBER() OVER w AS pos, COUNT(*) OVER () AS n FROM t WINDOW w AS (ORDER BY score DESC, item ROWS UNBOUNDED PRECEDING))
-        SELECT pos, ROUND(pos / n, 6) AS coverage, ROUND(h / pos, 6) AS accuracy FROM r WHERE pos % greatest(1, n // 50) = 0"""
+        SELECT pos, ROUND(pos / n, 6) AS coverage, ROUND(h / pos, 6) AS accuracy FROM r WHERE pos % greatest(1, n // 50) = 0 OR pos = n"""
 )
 def risk_coverage(spark, sf_dir):
     return stats.risk_coverage(_tuned(spark, sf_dir), "item")
 
 
+@query(f"WITH q AS ({ORACLES['risk_coverage']}) SELECT COUNT(*) AS n_points, ROUND(AVG(1 - accuracy), 6) AS aurc, arg_min(accuracy, (abs(coverage - 0.5), pos)) AS at_half FROM q")
+def risk_summary(spark, sf_dir):
+    return stats.risk_summary(_tuned(spark, sf_dir), "item")
+
+
 @query(
     f"""WITH {RUNS_SQL}, c AS (SELECT kind, d % 4 AS b, COUNT(*)::DOUBLE AS n FROM preds GROUP BY ALL), x AS (SELECT kind, SUM(n) AS nx FROM c GROUP BY kind),
         y AS (SELECT b, SUM(n) AS ny FROM c GROUP BY b), t AS (SELECT SUM(n) AS t, COUNT(DISTINCT kind) AS ka, COUNT(DISTINCT b) AS kb FROM c)
@@ -662,10 +750,42 @@ def cramers_v2(spark, sf_dir):
     return stats.association(predictions(spark, sf_dir).withColumn("b", F.col("d") % 4), "kind", "b")
 
 
-@query()
+def _resampled_sql(levels: str, by: str = "", resamples: int = stats.RESAMPLES, seed: int = 11) -> str:
+    """DuckDB text of resampled(): `levels` has by, value (six decimals) and n, each value more than 30 times."""
+    key = "".join(f"{c} || ':' || " for c in by.split())
+    u = "(('0x' || substr(md5('{0}:' || {1}value || ':' || b || ':{2}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    group = "".join(f"{c}, " for c in by.split())
+    return f"""dr AS (SELECT *, {u.format(seed, key, "u")} AS u, {u.format(seed, key, "v")} AS v FROM {levels}, (SELECT unnest(range(0, {resamples})) AS b) t),
+        w AS (SELECT *, greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v))) AS w FROM dr),
+        m AS (SELECT {group}b, SUM(w * value::DOUBLE) / SUM(w) AS m, SUM(n * value::DOUBLE) / SUM(n) AS mean FROM w GROUP BY {group}b),
+        o AS (SELECT *, ROW_NUMBER() OVER ({f"PARTITION BY {group[:-2]} " if group else ""}ORDER BY m, b) - 1 AS i FROM m)"""
+
+
+_ENDS = f"MAX(CASE WHEN i = {int(0.025 * stats.RESAMPLES)} THEN m END) AS low, MAX(CASE WHEN i = {int(0.975 * stats.RESAMPLES)} THEN m END) AS high"
+
+
+@query(
+    f"""{_TUNED}, lv AS (SELECT correct::INT::DECIMAL(20,6) AS value, COUNT(*)::DOUBLE AS n FROM t GROUP BY 1), {_resampled_sql("lv")}
+        SELECT ROUND(mean, 6) AS mean, ROUND(low, 6) AS low, ROUND(high, 6) AS high FROM (SELECT any_value(mean) AS mean, {_ENDS} FROM o) e"""
+)
 def bootstrap_ci(spark, sf_dir):
-    rows = _tuned(spark, sf_dir).select("item", F.col("truth").cast("double").alias("y"))
-    return stats.bootstrap_mean(rows, "item", "y", resamples=100)
+    return stats.bootstrap_mean(_tuned(spark, sf_dir).select(F.col("truth").cast("double").alias("y")), "y")
+
+
+def _verdict_pairs(spark, sf_dir) -> DataFrame:
+    p = predictions(spark, sf_dir).select("system", "item", F.col("correct").cast("int").alias("v"))
+    a, b = p.withColumnsRenamed({"system": "a", "v": "x"}), p.withColumnsRenamed({"system": "b", "v": "y"})
+    return a.join(b, "item").where("a < b")
+
+
+@query(
+    f"""WITH {RUNS_SQL}, lv AS (SELECT x.system AS a, y.system AS b_, (x.correct::INT - y.correct::INT)::DECIMAL(20,6) AS value, COUNT(*)::DOUBLE AS n
+        FROM preds x JOIN preds y ON x.item = y.item AND x.system < y.system GROUP BY ALL), {_resampled_sql("lv", "a b_")}
+        SELECT a, b_ AS b, ROUND(mean, 6) AS delta, ROUND(low, 6) AS low, ROUND(high, 6) AS high, ROUND(least(1.0, 2 * least(better, 1 - better)), 6) AS p,
+        ROUND(better, 6) AS prob_better FROM (SELECT a, b_, any_value(mean) AS mean, {_ENDS}, AVG((m > 0)::INT) AS better FROM o GROUP BY a, b_) e"""
+)
+def paired_bootstrap(spark, sf_dir):
+    return stats.paired_delta(_verdict_pairs(spark, sf_dir).withColumnRenamed("b", "b_"), ["a", "b_"]).withColumnRenamed("b_", "b")
 
 
 @query(
@@ -696,6 +816,67 @@ def outcome_transitions(spark, sf_dir):
     return a.join(b, "item").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PAIR_CELLS = f"""WITH {RUNS_SQL}, c AS (SELECT x.system AS a, y.system AS b, {_OUTCOME.format('x')} AS x, {_OUTCOME.format('y')} AS y, COUNT(*) AS n
+        FROM preds x JOIN preds y ON x.item = y.item AND x.system < y.system GROUP BY ALL)"""
+
+
+def _pair_cells(spark, sf_dir) -> DataFrame:
+    return stats.pair_cells(_outcomes(spark, sf_dir).select("system", "item", "outcome"))
+
+
+@query(f"{_PAIR_CELLS} SELECT * FROM c")
+def outcome_pairs(spark, sf_dir):
+    return _pair_cells(spark, sf_dir)
+
+
+_PLACES = ", ".join(f"('{name}', {i})" for i, name in enumerate(analysis.OUTCOMES))
+_MARGINS = """mx AS (SELECT a, b, x AS label, SUM(n)::DOUBLE AS nx FROM c GROUP BY ALL), my AS (SELECT a, b, y AS label, SUM(n)::DOUBLE AS ny FROM c GROUP BY ALL)"""
+
+
+@query(
+    f"""{_PAIR_CELLS}, l AS (SELECT * FROM (VALUES {_PLACES}) v(label, i)), {_MARGINS},
+        s AS (SELECT a, b, SUM(n)::DOUBLE AS n, SUM(CASE WHEN x = y THEN n ELSE 0 END) AS same, SUM((x <> y)::INT * n) AS w0, SUM(abs(p.i - q.i) / 3.0::DOUBLE * n) AS w1,
+            SUM(power((p.i - q.i) / 3.0::DOUBLE, 2) * n) AS w2 FROM c JOIN l p ON p.label = x JOIN l q ON q.label = y GROUP BY a, b),
+        e AS (SELECT a, b, SUM((p.i <> q.i)::INT * nx * ny) AS e0, SUM(abs(p.i - q.i) / 3.0::DOUBLE * nx * ny) AS e1, SUM(power((p.i - q.i) / 3.0::DOUBLE, 2) * nx * ny) AS e2
+            FROM mx JOIN my USING (a, b) JOIN l p ON p.label = mx.label JOIN l q ON q.label = my.label GROUP BY a, b),
+        g AS (SELECT a, b, SUM(h * (1 - h)) AS even FROM (SELECT a, b, label, (coalesce(nx, 0) + coalesce(ny, 0)) / (2 * n) AS h FROM mx FULL JOIN my USING (a, b, label) JOIN s USING (a, b)) u GROUP BY a, b)
+        SELECT a, b, n::BIGINT AS n, ROUND(same / n, 6) AS agreement, ROUND(1 - w0 * n / e0, 6) AS kappa, ROUND(1 - w1 * n / e1, 6) AS kappa_linear,
+        ROUND(1 - w2 * n / e2, 6) AS kappa_quadratic, ROUND(2 * same / n - 1, 6) AS pabak, ROUND((same / n - even) / (1 - even), 6) AS ac1
+        FROM s JOIN e USING (a, b) JOIN g USING (a, b)"""
+)
+def agreement_panel(spark, sf_dir):
+    return stats.agreement_panel(_pair_cells(spark, sf_dir), analysis.OUTCOMES)
+
+
+@query(
+    f"""{_PAIR_CELLS}, {_MARGINS}, t AS (SELECT a, b, SUM(n)::DOUBLE AS t, COUNT(DISTINCT x) AS kx, COUNT(DISTINCT y) AS ky FROM c GROUP BY ALL)
+        SELECT c.a, c.b, ROUND(least(1.0, SUM(power(n - nx * ny / t, 2) / (nx * ny / t)) / any_value(t * greatest(1, least(kx, ky) - 1))), 6) AS v2
+        FROM c JOIN mx ON mx.a = c.a AND mx.b = c.b AND mx.label = x JOIN my ON my.a = c.a AND my.b = c.b AND my.label = y JOIN t ON t.a = c.a AND t.b = c.b GROUP BY c.a, c.b"""
+)
+def association_matrix(spark, sf_dir):
+    return stats.association_matrix(_pair_cells(spark, sf_dir))
+
+
+def _verdicts(spark, sf_dir) -> DataFrame:
+    o = _outcomes(spark, sf_dir)
+    kinds = {"valid": F.col("outcome") != "invalid", "exact": F.col("outcome") == "executed_exact", "exec": F.when(F.col("d") % 13 != 0, F.col("correct"))}
+    return o.select("system", "item", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), c.alias("verdict")) for k, c in kinds.items()])))
+
+
+@query(
+    f"""WITH {RUNS_SQL}, o AS (SELECT *, {_OUTCOME.format('preds')} AS outcome FROM preds), v AS (SELECT system, item, 'valid' AS measure, outcome <> 'invalid' AS v FROM o
+        UNION ALL SELECT system, item, 'exact', outcome = 'executed_exact' FROM o UNION ALL SELECT system, item, 'exec', correct FROM o WHERE d % 13 <> 0),
+        s AS (SELECT measure, x.system AS a, y.system AS b, COUNT(*) AS n, ROUND(AVG(x.v::INT), 6) AS rate_a, ROUND(AVG(y.v::INT), 6) AS rate_b,
+            SUM((x.v AND NOT y.v)::INT)::BIGINT AS only_a, SUM((y.v AND NOT x.v)::INT)::BIGINT AS only_b FROM v x JOIN v y USING (measure, item) WHERE x.system < y.system GROUP BY ALL),
+        p AS (SELECT *, {_mcnemar_sql("only_a", "only_b")} AS p, ROW_NUMBER() OVER (ORDER BY {_mcnemar_sql("only_a", "only_b")}, measure || '|' || a || '|' || b) - 1 AS i FROM s)
+        SELECT measure, a, b, n, rate_a, rate_b, only_a, only_b, p,
+        ROUND(least(1.0, MAX((9 - i) * p) OVER (ORDER BY p, measure || '|' || a || '|' || b ROWS UNBOUNDED PRECEDING)), 4) AS holm_p FROM p"""
+)
+def significance_table(spark, sf_dir):
+    found = stats.significance(_verdicts(spark, sf_dir))
+    return found.select("measure", "a", "b", "n", "rate_a", "rate_b", "only_a", "only_b", "p", F.round("holm_p", 4).alias("holm_p"))
+
+
 @query(f"WITH {RUNS_SQL} SELECT system, {_OUTCOME.format('preds')} AS outcome, COUNT(*) AS n FROM preds GROUP BY ALL")
 def outcome_histogram(spark, sf_dir):
     return _outcomes(spark, sf_dir).groupBy("system", "outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -767,6 +948,44 @@ def _items(spark, sf_dir) -> DataFrame:
     return items.item_scores(made, _ALL)
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    """Every prediction, asked the gold text that its item's number falls on."""
+    texts = spark.createDataFrame([(i, sql) for i, (_, sql) in enumerate(_texts())], "k int, sql string")
+    return predictions(spark, sf_dir).withColumn("k", (F.col("item") % len(_texts())).cast("int")).join(F.broadcast(texts), "k")
+
+
+_FAMILY = "CASE " + " ".join(
+    "WHEN " + " OR ".join("(" + " AND ".join(f"regexp_matches({_STRIPPED}, '{sqltext.CLAUSES[c]}')" for c in group) + ")" for group in groups) + f" THEN '{name}'" for name, groups in sqltext.FAMILIES
+) + " ELSE 'plain projection' END"
+_WORDS = "len(regexp_extract_all(trim(sql, ' ' || chr(10)), '\\S+'))"
+_ASKED = f"WITH {RUNS_SQL}, g AS (SELECT *, ROW_NUMBER() OVER (ORDER BY name) - 1 AS k FROM {_GOLD_SQL} t), p AS (SELECT preds.*, sql FROM preds JOIN g ON preds.item % {len(_texts())} = g.k)"
+
+
+@query(f"{_ASKED} SELECT {_FAMILY} AS family, system, COUNT(*) AS n, ROUND(AVG(correct::INT), 6) AS ex FROM p GROUP BY 1, 2")
+def accuracy_by_family(spark, sf_dir):
+    p = _asked(spark, sf_dir)
+    return p.groupBy(sqltext.family(F.col("sql")).alias("family"), "system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("ex"))
+
+
+@query(
+    f"""{_ASKED} SELECT CASE WHEN {_WORDS} <= 15 THEN '<=15' WHEN {_WORDS} <= 30 THEN '<=30' WHEN {_WORDS} <= 55 THEN '<=55' ELSE '>55' END AS length_bin, system,
+        COUNT(*) AS n, ROUND(AVG(correct::INT), 6) AS ex FROM p GROUP BY 1, 2"""
+)
+def accuracy_by_length(spark, sf_dir):
+    p = _asked(spark, sf_dir)
+    return p.groupBy(sqltext.length_bin(F.col("sql")).alias("length_bin"), "system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("ex"))
+
+
+def _gold_refs(sql: str) -> list[str]:
+    return [t for t in _ALL if re.search(rf"\b{t}\b", sql.lower())]
+
+
+@query(f"SELECT * FROM {_values([(n, t) for n, s in _texts() for t in _gold_refs(s)], 'name, table_name')} t")
+def sql_references(spark, sf_dir):
+    schema = {t: [c.lower() for c in df.columns] for t, df in star(spark, sf_dir).items()}
+    return _gold_table(spark).select("name", F.explode(sqltext.used(F.col("sql"), schema)["tables"]).alias("table_name"))
+
+
 @query()
 def item_scores(spark, sf_dir):
     return _items(spark, sf_dir).drop("gold_flags", "pred_flags")
@@ -818,6 +1037,47 @@ def followup_flags(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", memory.follow_up(F.col("text")).alias("follow_up"))
 
 
+@query(
+    """SELECT event_type AS db, COUNT(*) AS n_turns, COUNT(DISTINCT user_id) AS n_sessions, SUM((value > 50)::INT)::BIGINT AS n_repaired FROM events GROUP BY 1
+        UNION ALL SELECT NULL, COUNT(*), COUNT(DISTINCT user_id), SUM((value > 50)::INT)::BIGINT FROM events"""
+)
+def store_stats(spark, sf_dir):
+    return memory.store_stats(table(spark, sf_dir, "events").select(F.col("event_type").alias("db"), F.col("user_id").alias("session"), (F.col("value") > 50).alias("repaired")))
+
+
+@query(
+    """SELECT COUNT(*) AS n, SUM((user_id % 5 > 0)::INT)::BIGINT AS valid, ROUND(AVG((user_id % 5 > 0)::INT), 6) AS valid_rate, SUM((user_id % 5 > 1)::INT)::BIGINT AS ex,
+        ROUND(AVG((user_id % 5 > 1)::INT), 6) AS ex_rate, SUM((user_id % 5 > 3)::INT)::BIGINT AS em, ROUND(AVG((user_id % 5 > 3)::INT), 6) AS em_rate,
+        SUM((event_id % 3 = 0)::INT)::BIGINT AS repairs, SUM((event_id % 3 = 0 AND user_id % 2 = 0)::INT)::BIGINT AS repaired,
+        ROUND(SUM((event_id % 3 = 0 AND user_id % 2 = 0)::INT) / SUM((event_id % 3 = 0)::INT), 6) AS recovery_rate, ROUND(AVG(value), 6) AS avg_latency_ms FROM events"""
+)
+def benchmark_summary(spark, sf_dir):
+    u = F.col("user_id") % 5
+    e = table(spark, sf_dir, "events").select((u > 0).alias("valid"), (u > 1).alias("executed"), (u > 3).alias("exact"), (F.col("event_id") % 3 == 0).alias("was_repaired"), (F.col("user_id") % 2 == 0).alias("success"), F.col("value").alias("latency_ms"))
+    return analysis.benchmark_summary(e)
+
+
+@query(
+    f"""WITH {RUNS_SQL}, side AS (SELECT item, 'tuned' AS system, d % 1000 / 1000.0::DOUBLE AS confidence FROM preds WHERE system = 'tuned' AND item % 3 = 0)
+        SELECT p.system, COUNT(*) AS n, COUNT(confidence) AS n_known, ROUND(AVG(confidence), 6) AS confidence FROM preds p LEFT JOIN side USING (item, system) GROUP BY p.system"""
+)
+def sidecar_join(spark, sf_dir):
+    p = predictions(spark, sf_dir).select(F.lit("s").alias("set"), "system", F.col("item").alias("idx"), "d")
+    side = p.where("system = 'tuned' AND idx % 3 = 0").select("set", "system", "idx", (F.col("d") % 1000 / F.lit(1000.0)).alias("confidence"))
+    found = analysis.with_sidecars(p, confidence=side)
+    return found.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count("confidence").alias("n_known"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query("SELECT value FROM (SELECT DISTINCT source AS value FROM documents WHERE trim(source) <> '') t ORDER BY md5('1:' || value), value LIMIT 25")
+def value_sample(spark, sf_dir):
+    return profile.value_sample(table(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation ORDER BY n_nationkey::VARCHAR, n_name LIMIT 3")
+def table_preview(spark, sf_dir):
+    return profile.preview(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) t WHERE r = 1")
 def session_latest(spark, sf_dir):
     return memory.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")

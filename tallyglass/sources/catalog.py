@@ -50,6 +50,7 @@ class Table:
 class Catalog:
     tables: dict[str, Table] = field(default_factory=dict)
     foreign_keys: tuple[ForeignKey, ...] = ()
+    indexes: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
 
     def names(self) -> list[str]:
         """Tables in order; names that start with two underscores are internal and hidden."""
@@ -57,12 +58,18 @@ class Catalog:
 
     def without(self, excluded: Iterable[str]) -> Catalog:
         gone = set(excluded)
-        return Catalog({k: v for k, v in self.tables.items() if k not in gone}, tuple(f for f in self.foreign_keys if not {f.table, f.ref_table} & gone))
+        keys = tuple(f for f in self.foreign_keys if not {f.table, f.ref_table} & gone)
+        return Catalog({k: v for k, v in self.tables.items() if k not in gone}, keys, {k: v for k, v in self.indexes.items() if v[0] not in gone})
 
     def with_primary_key(self, table: str, columns: Iterable[str]) -> Catalog:
         """Replace the table's declared key."""
         return replace(self, tables=self.tables | {table: replace(self.tables[table], primary_key=tuple(columns))})
 
+    def with_index(self, table: str, columns: Iterable[str]) -> Catalog:
+        """Note an index, named by its table and columns; one of that name stays as it is."""
+        columns = tuple(columns)
+        return replace(self, indexes={"_".join(("idx", table, *columns)): (table, columns)} | self.indexes)
+
     def with_foreign_key(self, key: ForeignKey) -> Catalog:
         return self if key in self.foreign_keys else replace(self, foreign_keys=(*self.foreign_keys, key))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.operators.retrieval import sealed, tampered
+from tallyglass.sources import embedded
 from tallyglass.sources.catalog import DECLARED
 
 QUESTION = (
@@ -81,8 +82,13 @@ def ingest(spark: SparkSession, sources: Mapping[str, str | Sequence[str]], colu
 
 
 def connect(spark: SparkSession, uri: str, table: str) -> DataFrame:
-    """A table by URI: a folder of Parquet, CSV or JSON, or a JDBC address where its driver is on the class path."""
+    """A table by URI: a folder of Parquet, CSV or JSON, a SQLite or DuckDB file, or a JDBC address where its driver is on the class path.
+
+    `sqlite:///a.db` is a path from here, `sqlite:////a.db` one from the root; duckdb likewise.
+    """
     scheme, _, rest = uri.partition("://")
+    if scheme in ("sqlite", "duckdb"):
+        return embedded.read(spark, scheme, rest.removeprefix("/"), table)
     if scheme in ("parquet", "csv", "json"):
         return spark.read.options(header=True).format(scheme).load(f"{rest}/{table}.{scheme}")
     if uri.startswith("jdbc:") or scheme in ("postgres", "postgresql"):
@@ -92,14 +98,23 @@ def connect(spark: SparkSession, uri: str, table: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSON-lines file; blank lines are skipped, a missing field is an error."""
+    """Questions of a JSON-lines file; blank lines are skipped, a missing field is an error that names file and line."""
     found = spark.read.schema(QUESTION).json(path)
-    lacking = found.where(F.greatest(*[F.col(c).isNull() for c in QUESTION.names])).select("id").limit(1).collect()
-    if lacking:
-        raise InvalidQuestion(f"{path}: question {lacking[0][0]!r} lacks a field")
+    lacking = found.where(F.greatest(*[F.col(c).isNull() for c in QUESTION.names])).limit(1)
+    if not lacking.isEmpty():
+        raise InvalidQuestion(_first_lacking(spark, path))
     return found
 
 
+def _first_lacking(spark: SparkSession, path: str) -> str:
+    """file:line and field of the first line that lacks one, in the order of files and lines."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    parsed = lines.where(F.trim("line") != "").withColumn("q", F.from_json("line", QUESTION))
+    missing = F.filter(F.array(*[F.when(F.col("q").isNull() | F.col(f"q.{c}").isNull(), F.lit(c)) for c in QUESTION.names]), lambda x: x.isNotNull())
+    row = parsed.withColumn("missing", missing).where(F.size("missing") > 0).orderBy("file", "at").select("file", "at", "missing").first()
+    return f"{row.file}:{row.at + 1}: lacks {row.missing[0]}"
+
+
 def illegal_labels(questions: DataFrame) -> DataFrame:
     """id, field: the first illegal label of each question."""
     bad = None
@@ -131,7 +146,54 @@ def write_run(results: DataFrame, path: str) -> None:
 
 
 def latest_summaries(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Summaries of many runs; of each (system, role) the one from the last path by name stays."""
-    found = spark.read.schema(schema).json(list(paths)).withColumn("path", F.input_file_name())
-    order = Window.partitionBy("system", "role").orderBy(F.desc("path"))
+    """Summaries of many runs; of each (system, role) the one generated last stays, of those the one from the last path by name."""
+    found = spark.read.schema(schema).json(list(paths)).withColumn("path", F.col("_metadata.file_path"))
+    when = [F.desc_nulls_last("generated_at")] if "generated_at" in found.columns else []
+    order = Window.partitionBy("system", "role").orderBy(*when, F.desc("path"))
     return found.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """set, idx, question, schema, gold_sql of an items dump: one JSON document, an object of lists by set or a list with `set`.
+
+    idx is the place in the set's list. A flat item without a set is of `in_dist`.
+    """
+    item = "array<struct<set:string,question:string,schema:string,gold_sql:string>>"
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    by_set = text.where(F.col("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string,{item}>")).alias("name", "list"))
+    flat = text.where(F.col("value").startswith("[")).select(F.lit(None).cast("string").alias("name"), F.from_json("value", item).alias("list"))
+    each = by_set.unionByName(flat).select("name", F.posexplode("list").alias("place", "item"))
+    named = each.select(F.coalesce("name", "item.set", F.lit("in_dist")).alias("set"), "place", "item.question", "item.schema", "item.gold_sql")
+    idx = F.row_number().over(Window.partitionBy("set").orderBy("place")) - 1
+    return named.withColumn("idx", idx).select("set", "idx", "question", "schema", "gold_sql")
+
+
+def write_benchmark_csv(results: DataFrame, path: str) -> None:
+    """Item results of a benchmark as CSV with a header."""
+    results.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+
+
+def replaced(rows: DataFrame, path: str) -> None:
+    """Write a table in place of the one at `path`, whole or not at all: written beside it, then renamed.
+
+    `rows` may read the table itself. Where the write fails the old table is as it was, and what was written is removed; where
+    the second rename fails the old table is put back.
+    """
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, here = (hadoop(path.rstrip("/") + end) for end in (".new", ".old", ""))
+    system = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        rows.write.mode("overwrite").parquet(new.toString())
+    except BaseException:
+        system.delete(new, True)
+        raise
+    system.delete(old, True)
+    was = system.exists(here)
+    if was and not system.rename(here, old):
+        raise OSError(f"cannot move {path}")
+    if not system.rename(new, here):
+        if was:
+            system.rename(old, here)
+        raise OSError(f"cannot replace {path}")
+    system.delete(old, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,18 +12,29 @@ from tallyglass.operators.memory import merged
 
 
 def commit_experience(arriving: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of (db, question, sql, frequency, at) into the Parquet table at `store`, a version per batch.
+    """Add a stream of (db, question, sql, frequency, at) to the store, one folder of merged increments a batch.
 
-    Each batch writes a new version next to the old one and is idempotent: a retried batch overwrites its own version.
+    A batch writes its own rows only, already merged among themselves, under a name of the checkpoint and the batch: a
+    retried batch overwrites itself, and a stream with another checkpoint adds beside it. read_experience() merges on
+    reading, compact_experience() for good.
     """
-    spark = arriving.sparkSession
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, number: int) -> None:
+        merged(batch.limit(0), batch).write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={number}")
+
+    return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_experience(spark: SparkSession, store: str) -> DataFrame:
+    """The store's exemplars: all increments, merged by (db, question)."""
+    parts = spark.read.parquet(store).drop("stream", "batch")
+    return merged(parts.limit(0), parts)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        old = f"{store}/v={number - 1}"
-        base = spark.read.parquet(old) if number else batch.limit(0)
-        merged(base, batch).write.mode("overwrite").parquet(f"{store}/v={number}")
 
-    return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact_experience(spark: SparkSession, store: str, into: str) -> None:
+    """All increments as one, in a new store."""
+    read_experience(spark, store).write.mode("overwrite").parquet(f"{into}/stream=compacted/batch=0")
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:

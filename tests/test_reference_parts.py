@@ -1,6 +1,7 @@
 """Catalog, guard, canonical hash, shadow, retrieval, triples, scoring, statistics, authoring, CLI on a toy database."""
 
 import datetime
+import decimal
 import json
 import math
 
@@ -46,6 +47,25 @@ def test_hash_ignores_row_order_case_and_form():
     assert canon.canonical_hash([(1.234,)]) == canon.canonical_hash([(1.2341,)])
 
 
+def test_both_canonical_forms_agree(spark):
+    """Two cells are one canonical cell on the driver where they are one on the executors."""
+    groups = {
+        "string": ["Straße", "STRASSE", "strasse ", "cafe\u0301", "CAF\u00c9", "caf\u00e9", "İx", "a\u00a0b", "a b", "A\tB", "", None, "-"],
+        "decimal(10,3)": [decimal.Decimal("1.100"), decimal.Decimal("1.101"), decimal.Decimal("1.200"), None],
+        "double": [1.1, 1.101, 1.2, -0.0, 0.0, None],
+        "timestamp_ntz": [datetime.datetime(2020, 1, 1), datetime.datetime(2020, 1, 1, 0, 0, 0, 5), datetime.datetime(2020, 1, 1, 0, 0, 1)],
+        "boolean": [True, False, None],
+    }
+    for kind, values in groups.items():
+        rows = canon.row_text(spark.createDataFrame([(v,) for v in values], f"x {kind}").coalesce(1)).collect()
+        driver = [canon.canonical_cell(v) for v in values]
+        for i, a in enumerate(values):
+            for j, b in enumerate(values):
+                assert (driver[i] == driver[j]) == (rows[i].row == rows[j].row), (kind, a, b)
+    assert canon.canonical_hash([(decimal.Decimal("1.10"),)]) == canon.canonical_hash([(1.1,)])
+    assert canon.printed_rows([(1.23456, "a"), (None, "B")]) == ["(1.2346, 'a')", "(None, 'B')"] and canon.printed_counts([(1, None), (1, None)]) == {"('1', 'NULL')": 2}
+
+
 def test_hash_sees_values_nulls_and_counts():
     assert canon.canonical_hash([(None,)]) != canon.canonical_hash([("",)])
     assert canon.canonical_hash([(1,)]) != canon.canonical_hash([(1,), (1,)])
@@ -57,6 +77,9 @@ def test_bag_digest_follows_the_bag(spark):
     assert canon.bag_digest(df).first() == canon.bag_digest(df.orderBy(F.desc("x")).repartition(3)).first()
     assert canon.bag_digest(df).first() != canon.bag_digest(df.union(df.limit(1))).first()
     assert canon.bag_equal(df, df.repartition(2)) and not canon.bag_equal(df, df.limit(1))
+    pair = lambda *cells: spark.createDataFrame([cells], [f"c{i}" for i in range(len(cells))])
+    for a, b in ((("a|=b", "c"), ("a", "b|=c")), (("a", "1:b"), ("a1:b", "")), (("1:a", "b"), ("1", ":ab")), (("-", "x"), ("", "-x"))):
+        assert not canon.bag_equal(pair(*a), pair(*b)) and canon.bag_digest(pair(*a)).first() != canon.bag_digest(pair(*b)).first()
     with pytest.raises(canon.ResultTooLarge):
         canon.bounded_rows(df, 1)
 
@@ -327,9 +350,16 @@ def test_streamed_commits_equal_a_batch_merge(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([("d", "q", f"s{k}", 1, k), ("d", f"only{k}", "x", 1, k)], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    commits.commit_experience(stream, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    last = max((tmp_path / "store").iterdir())
-    assert {r.question: r.frequency for r in spark.read.parquet(str(last)).collect()} == {"q": 2, "only0": 1, "only1": 1}
+    store = str(tmp_path / "store")
+    commits.commit_experience(stream, store, str(tmp_path / "ck")).awaitTermination()
+    held = lambda path: {r.question: (r.frequency, r.sql) for r in commits.read_experience(spark, path).collect()}
+    assert held(store) == {"q": (2, "s1"), "only0": (1, "x"), "only1": (1, "x")}
+    commits.commit_experience(stream, store, str(tmp_path / "ck")).awaitTermination()
+    assert held(store)["q"] == (2, "s1")  # the checkpoint has seen it all
+    commits.commit_experience(stream, store, str(tmp_path / "another")).awaitTermination()
+    assert held(store) == {"q": (4, "s1"), "only0": (2, "x"), "only1": (2, "x")}
+    commits.compact_experience(spark, store, str(tmp_path / "compact"))
+    assert held(str(tmp_path / "compact")) == held(store)
 
 
 def test_authoring_is_seeded_and_every_draft_runs(spark, toy, toy_catalog):
@@ -354,7 +384,7 @@ def test_command_line_loop(spark, tmp_path, capsys):
 
 def test_bootstrap_interval_covers_the_mean(spark):
     rows = spark.range(2000).select("id", (F.pmod(F.col("id"), F.lit(10)) < 3).cast("double").alias("y"))
-    r = stats.bootstrap_mean(rows, "id", "y", resamples=200).first()
+    r = stats.bootstrap_mean(rows, "y", resamples=400).first()
     half = 1.96 * math.sqrt(0.3 * 0.7 / 2000)
     assert r.mean == 0.3 and r.low < 0.3 < r.high and r.high - r.low == pytest.approx(2 * half, rel=0.25)
 
