@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Intermediate tables: row groups of 16 MB, so a task that writes long texts holds little of them.
+PARQUET = {"parquet.block.size": str(1 << 24)}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset and all run on one machine, a local one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -50,7 +54,7 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**PARQUET).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,7 +83,7 @@ def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     table = "tallyglass_" + path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
+    df.repartition(n, by).write.options(**PARQUET).format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
     try:
         return spark.table(table).select("*")
     finally:

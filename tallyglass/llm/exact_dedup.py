@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import ASCII_SPACE, children, fresh, located, materialize, scratch, text_of, without
+from tallyglass.llm.common import ASCII_SPACE, PARQUET, children, fresh, located, materialize, scratch, text_of, without
 
 #: Keyed state on the executors' disks; each commit uploads its changes and closes the store: an open one preallocates 4 MB.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 #: On a mounted folder the default manager starts a `readlink` process for every file of every store.
@@ -85,7 +87,8 @@ def add_batch(docs: DataFrame, base: str, digest: Callable[[Column], Column] = s
         F.char_length(text_of()).alias("chars"),
         (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
-    found.select("doc_id", digest(F.col("norm")).alias("digest"), "chars", "row", "norm").write.parquet(f"{base}/content/batch={batch}")
+    content = found.select("doc_id", digest(F.col("norm")).alias("digest"), "chars", "row", "norm")
+    content.write.options(**PARQUET).parquet(f"{base}/content/batch={batch}")
     return batch
 
 
