@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-#: Intermediate tables: row groups of 16 MB, so a task that writes long texts holds little of them.
-PARQUET = {"parquet.block.size": str(1 << 24)}
+#: Intermediate tables: row groups of 16 MB, so a task that writes long texts holds little of them, and dense compression.
+PARQUET = {"parquet.block.size": str(1 << 24), "compression": "zstd"}
 
 
 def shared_dir(spark: SparkSession) -> str:
