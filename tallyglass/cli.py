@@ -19,26 +19,49 @@ from tallyglass.session import build_session, table
 from tallyglass.sources import catalog, files
 
 
+#: The star schema's declarations, for a folder that has none of its own.
+STAR = catalog.Dataset(tuple(sorted({*catalog.PRIMARY_KEYS, "lineitem"})), catalog.PRIMARY_KEYS, catalog.FOREIGN_KEYS, {}, ("orders", "o_orderdate", 6))
+
+
+def _dataset(data: str) -> catalog.Dataset:
+    declared = Path(data) / "catalog.json"
+    return catalog.Dataset.of(json.loads(declared.read_text())) if declared.exists() else STAR
+
+
 def _catalog(spark: SparkSession, data: str):
-    tables = catalog.star_tables(spark, data, table)
-    return tables, catalog.load_catalog(tables, catalog.PRIMARY_KEYS, catalog.FOREIGN_KEYS)
+    declared = _dataset(data)
+    tables = {name: table(spark, data, name) for name in declared.tables}
+    return tables, declared.catalog(tables)
 
 
-def _shadow(spark: SparkSession, tables, holdout: Sequence[str]):
-    name, column, months = holdout[0], holdout[1], int(holdout[2])
-    cutoff = profile.cutoff(tables[name], column, months)
-    return cutoff, shadow.session_of(spark, shadow.clamp(tables, name, column, cutoff, catalog.FOREIGN_KEYS))
+def _shadow(spark: SparkSession, tables, a):
+    declared = _dataset(a.data)
+    name, column, months = a.holdout or declared.holdout
+    cutoff = profile.cutoff(tables[name], column, int(months))
+    return cutoff, shadow.session_of(spark, shadow.clamp(tables, name, column, cutoff, declared.foreign_keys))
 
 
 def ingest(spark, a) -> int:
+    """Load the tables of a configuration, note its keys, indexes and holdout beside them, and report how far the keys hold."""
     config = json.loads(Path(a.config).read_text())
-    print(json.dumps(files.ingest(spark, config["tables"], config.get("columns", {}), a.data)))
+    counts = files.ingest(spark, config["tables"], config.get("columns", {}), a.data)
+    declared = catalog.Dataset.of(config)
+    (Path(a.data) / "catalog.json").write_text(declared.dump())
+    tables, found = _catalog(spark, a.data)
+    said = {"rows": counts, "fingerprint": found.fingerprint()}
+    if declared.primary_keys:
+        said["repeated_keys"] = {r.table_name: r.n_rows - r.n_keys for r in profile.key_duplicates(tables, found).collect()}
+    if declared.foreign_keys:
+        said["orphans"] = {r.fk: r.n_orphans for r in profile.orphans(tables, declared.foreign_keys).collect()}
+    if declared.holdout:
+        said["cutoff"] = profile.cutoff(tables[declared.holdout[0]], *declared.holdout[1:])
+    print(json.dumps(said))
     return 0
 
 
 def show_profile(spark, a) -> int:
     tables, found = _catalog(spark, a.data)
-    cutoff, _ = _shadow(spark, tables, a.holdout)
+    cutoff, _ = _shadow(spark, tables, a)
     print(json.dumps({"tables": {n: found.tables[n].rows for n in found.names()}, "ddl_sha256": found.ddl_sha256(), "fingerprint": found.fingerprint(), "cutoff": cutoff}, indent=1))
     return 0
 
@@ -46,7 +69,7 @@ def show_profile(spark, a) -> int:
 def author(spark, a) -> int:
     tables, found = _catalog(spark, a.data)
     full = shadow.session_of(spark, tables)
-    _, clamped = _shadow(spark, tables, a.holdout)
+    _, clamped = _shadow(spark, tables, a)
     out = Path(a.out)
     if out.exists() and not a.force:
         print(f"{out} exists; --force replaces it", file=sys.stderr)
@@ -66,7 +89,7 @@ def _questions(path: str) -> list[dict]:
 
 def validate(spark, a) -> int:
     tables, found = _catalog(spark, a.data)
-    cutoff, clamped = _shadow(spark, tables, a.holdout)
+    cutoff, clamped = _shadow(spark, tables, a)
     questions = _questions(a.questions)
     report = validation.validate(shadow.session_of(spark, tables), questions, clamped)
     for x in report.excluded:
@@ -79,7 +102,7 @@ def validate(spark, a) -> int:
 def _ranked(spark, a):
     tables, found = _catalog(spark, a.data)
     caps = {k: int(v) for k, v in (x.split(":") for x in a.row_caps.split(",") if x)}
-    docs = retrieval.index_docs({t: tables[t] for t in a.tables.split(",")}, found, caps)
+    docs = retrieval.index_docs({t: tables[t] for t in (a.tables.split(",") if a.tables else tables)}, found, caps)
     asked = spark.createDataFrame([(q["id"], q["question"], q["gold_sql"], q["split"]) for q in _questions(a.questions)], "question_id string, question string, gold_sql string, split string")
     return found, docs, asked, retrieval.bm25(asked.select("question_id", "question"), docs)
 
@@ -163,7 +186,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         p = verbs.add_parser(name)
         p.set_defaults(f=f)
         p.add_argument("--data", required=True)
-        p.add_argument("--holdout", nargs=3, default=["orders", "o_orderdate", "6"], metavar=("TABLE", "COLUMN", "MONTHS"))
+        p.add_argument("--holdout", nargs=3, metavar=("TABLE", "COLUMN", "MONTHS"))
         p.add_argument("--seed", type=int, default=1)
         needed = (
             ("--config", "ingest"), ("--questions", "validate retrieve triples eval"), ("--out", "author retrieve triples eval all run"), ("--text", "sql"), ("--query", "run"),
@@ -175,7 +198,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         p.add_argument("--n", type=int, default=20)
         p.add_argument("--force", action="store_true")
         p.add_argument("--row-caps", default="")
-        p.add_argument("--tables", default="nation,region,supplier,part")
+        p.add_argument("--tables", default="")
         p.add_argument("--per-question", type=int, default=8)
         p.add_argument("--split", default="heldout")
         p.add_argument("--roles", default="")

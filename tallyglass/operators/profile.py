@@ -114,8 +114,8 @@ def orphans(tables: Mapping[str, DataFrame], keys: Iterable[ForeignKey]) -> Data
     found = []
     for f in sorted(keys):
         # References are folded to counts before the join, so a hot key is one row a task.
-        child = tables[f.table].select(F.col(f.column).cast("long").alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        parent = tables[f.ref_table].select(F.col(f.ref_column).cast("long").alias("k"))
+        child = tables[f.table].select(F.col(f.column).cast("string").alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        parent = tables[f.ref_table].select(F.col(f.ref_column).cast("string").alias("k"))
         name = f"{f.table}.{f.column}->{f.ref_table}.{f.ref_column}"
         found.append(child.join(parent, "k", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans")).select(F.lit(name).alias("fk"), "n_orphans"))
     return reduce(DataFrame.unionByName, found)

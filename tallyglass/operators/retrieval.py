@@ -93,7 +93,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """n_docs, avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))).alias("avgdl"))
 
 
 def bm25(questions: DataFrame, docs: DataFrame, top_k: int = TOP_K) -> DataFrame:

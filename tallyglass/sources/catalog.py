@@ -6,6 +6,7 @@ Constraints are information about the data, not enforced by it; `operators.profi
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyglass.functions.sqltext import parse_ddl
+
 #: Spark's type names as the canonical names of the DDL; any other type is TEXT.
 CANONICAL = {
     "string": "TEXT", "varchar": "TEXT", "char": "TEXT", "int": "INTEGER", "integer": "INTEGER", "smallint": "INTEGER", "bigint": "BIGINT",
@@ -139,6 +142,50 @@ def load_catalog(
     return Catalog(found, tuple(foreign_keys))
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """What a folder of tables declares about itself: its tables, keys, indexes and holdout (table, column, months)."""
+
+    tables: tuple[str, ...]
+    primary_keys: dict[str, list[str]] = field(default_factory=dict)
+    foreign_keys: tuple[ForeignKey, ...] = ()
+    indexes: dict[str, list[list[str]]] = field(default_factory=dict)
+    holdout: tuple[str, str, int] | None = None
+
+    @classmethod
+    def of(cls, config: Mapping) -> Dataset:
+        """From a configuration: tables, primary_keys, foreign_keys (`table.column -> table.column`), indexes, holdout."""
+
+        def key(text: str) -> ForeignKey:
+            child, parent = (part.strip().split(".") for part in text.split("->"))
+            return ForeignKey(*child, *parent)
+
+        holdout = config.get("holdout")
+        return cls(
+            tuple(sorted(config["tables"])),
+            {t: list(c) for t, c in config.get("primary_keys", {}).items()},
+            tuple(key(x) for x in config.get("foreign_keys", ())),
+            {t: [list(c) for c in cs] for t, cs in config.get("indexes", {}).items()},
+            (holdout[0], holdout[1], int(holdout[2])) if holdout else None,
+        )
+
+    def dump(self) -> str:
+        keys = [f"{f.table}.{f.column} -> {f.ref_table}.{f.ref_column}" for f in self.foreign_keys]
+        return json.dumps({"tables": list(self.tables), "primary_keys": self.primary_keys, "foreign_keys": keys, "indexes": self.indexes, "holdout": self.holdout}, indent=1)
+
+    def catalog(self, tables: Mapping[str, DataFrame], count: bool = True) -> Catalog:
+        found = load_catalog(tables, self.primary_keys, self.foreign_keys, count)
+        for table, groups in self.indexes.items():
+            for columns in groups:
+                found = found.with_index(table, columns)
+        return found
+
+
+def from_ddl(text: str) -> Catalog:
+    """A catalog of DDL text alone, without rows: tables and their columns, all of them TEXT."""
+    return Catalog({name: Table(name, tuple((c, "TEXT", False) for c in columns)) for name, columns in parse_ddl(text).items()})
+
+
 def columns_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """table_name, position, column_name, type, is_pk."""
     rows = [(t, i, c, k, c in catalog.tables[t].primary_key) for t in catalog.names() for i, (c, k, _) in enumerate(catalog.tables[t].columns)]

@@ -97,6 +97,20 @@ def connect(spark: SparkSession, uri: str, table: str) -> DataFrame:
     raise ValueError(f"no connector for {uri}")
 
 
+def put(df: DataFrame, uri: str, table: str, primary_key: Sequence[str] = (), indexes: Sequence[Sequence[str]] = ()) -> None:
+    """Replace a table behind a URI that connect() reads: keys and indexes go where the store has them."""
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("parquet", "csv", "json"):
+        df.write.mode("overwrite").options(header=True).format(scheme).save(f"{rest}/{table}.{scheme}")
+    elif scheme == "sqlite":
+        embedded.write_sqlite(df, rest.removeprefix("/"), table, primary_key, indexes)
+    elif uri.startswith("jdbc:") or scheme in ("postgres", "postgresql"):
+        address = uri if uri.startswith("jdbc:") else f"jdbc:postgresql://{rest}"
+        df.write.mode("overwrite").format("jdbc").options(url=address, dbtable=table).save()
+    else:
+        raise ValueError(f"no connector for {uri}")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON-lines file; blank lines are skipped, a missing field is an error that names file and line."""
     found = spark.read.schema(QUESTION).json(path)

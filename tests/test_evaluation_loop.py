@@ -98,6 +98,29 @@ def test_command_line_from_questions_to_report(spark, tmp_path, capsys, monkeypa
     assert cli.main([*again, "--split", "nothing"], spark) == 2 and cli.main([*again, "--split", "train_ok", "--roles", "onprem"], spark) == 2
 
 
+def test_command_line_on_a_dataset_of_its_own(spark, tmp_path, capsys):
+    (tmp_path / "orders.csv").write_text("order_id,customer,status,ts\n" + "".join(f"o{i},c{i % 2},{'late' if i % 3 else 'paid'},2020-{1 + i % 12:02d}-05 10:00:00\n" for i in range(24)))
+    (tmp_path / "items.csv").write_text("order_id,n,price\no1,1,2.5\no1,2,3.5\nzz,1,1\n")
+    config = {
+        "tables": {"orders": str(tmp_path / "orders.csv"), "items": [str(tmp_path / "items.csv")]},
+        "columns": {"orders": {"order_id": "TEXT", "customer": "TEXT", "status": "TEXT", "ts": "TIMESTAMP"}, "items": {"order_id": "TEXT", "n": "INTEGER", "price": "REAL"}},
+        "primary_keys": {"orders": ["order_id"], "items": ["order_id"]}, "foreign_keys": ["items.order_id -> orders.order_id"], "indexes": {"items": [["price"]]}, "holdout": ["orders", "ts", 3],
+    }
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    data = str(tmp_path / "data")
+    assert cli.main(["ingest", "--data", data, "--config", str(tmp_path / "config.json")], spark) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["rows"] == {"orders": 24, "items": 3} and said["repeated_keys"] == {"orders": 0, "items": 1} and said["orphans"] == {"items.order_id->orders.order_id": 3 - 2} and said["cutoff"] == "2020-09-01"
+    assert cli.main(["author", "--data", data, "--n", "4", "--out", str(tmp_path / "q.jsonl")], spark) == 0
+    assert cli.main(["validate", "--data", data, "--questions", str(tmp_path / "q.jsonl")], spark) == 0
+    assert cli.main(["retrieve", "--data", data, "--questions", str(tmp_path / "q.jsonl"), "--out", str(tmp_path / "packs")], spark) == 0
+    assert cli._catalog(spark, data)[1].indexes == {"idx_items_price": ("items", ("price",))}
+    files.put(spark.range(3), f"sqlite:////{str(tmp_path).lstrip('/')}/o.db", "t", ["id"])
+    files.put(spark.range(3), f"csv://{tmp_path}", "t")
+    assert files.connect(spark, f"sqlite:////{str(tmp_path).lstrip('/')}/o.db", "t").count() == files.connect(spark, f"csv://{tmp_path}", "t").count() == 3
+    assert catalog.from_ddl("CREATE TABLE a (x INTEGER, y TEXT, PRIMARY KEY (x)); CREATE VIEW v AS SELECT 1").names() == ["a", "v"]
+
+
 # ---- databases in files ---------------------------------------------------------------------------------------------
 
 
