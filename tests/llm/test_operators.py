@@ -367,6 +367,17 @@ def test_counts_do_not_cross_texts():
         assert (both[i] == langid.counts(*textbytes.raw(pa.array([t])))[0]).all()
 
 
+def test_cosines_are_the_same_whatever_rows_come_along():
+    draw = np.random.default_rng(4)
+    found = draw.poisson(0.05, (300, langid.DIMENSIONS)).astype(np.float32)
+    idf, centroids = draw.uniform(1, 8, langid.DIMENSIONS).astype(np.float32), langid.unit(draw.random((16, langid.DIMENSIONS))).astype(np.float32)
+    whole = langid.nearest(found, idf, centroids)
+    for n in (1, 3, 7, 64):
+        parts = [langid.nearest(found[i : i + n], idf, centroids) for i in range(0, len(found), n)]
+        assert all((np.concatenate([p[k] for p in parts]) == whole[k]).all() for k in (0, 1))
+    assert np.allclose(whole[1], (langid.vectors(found, idf) @ centroids.T).max(axis=1), atol=1e-5)
+
+
 # ---- 6 exact dedup --------------------------------------------------------------------------------------------------
 
 
