@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
+from tallyglass.llm import exact_dedup, fim, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir))
+    text = fim.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 OPERATORS = (
     op1_fingerprints,
     op2_token_files,
@@ -79,6 +85,7 @@ OPERATORS = (
     op8_simhash,
     op9_token_counts,
     op10_licenses,
+    op12_fill_in_middle,
 )
 
 
@@ -113,8 +120,22 @@ MIXING_SQL = rf"""
             SELECT doc_id, domain, lang, source, n_tokens, epoch FROM r WHERE upto <= room"""
 
 
+FIM_SQL = r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+            d AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+                CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                    WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+            p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+                array_to_string(u[greatest(a, b) + 1:n], '') AS suf FROM d)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+                sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+                sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_fill_in_middle": FIM_SQL,
         "op7_mixing": MIXING_SQL,
         "op6_exact_dedup": r"""
             WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
