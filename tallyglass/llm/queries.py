@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, fim, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
+from tallyglass.llm import conversations, exact_dedup, fim, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repairs(conversations.damaged(rows), rows)
+
+
 OPERATORS = (
     op1_fingerprints,
     op2_token_files,
@@ -86,6 +92,7 @@ OPERATORS = (
     op9_token_counts,
     op10_licenses,
     op12_fill_in_middle,
+    op13_conversation_repair,
 )
 
 
