@@ -62,9 +62,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 FEW_ROWS = 500_000
 
 
-def located(docs: DataFrame, at: str) -> DataFrame:
-    """`docs` with a number that names each row for good: doc_id where that is unique and never null, else one that is written down."""
-    key = F.col("doc_id").cast("long")
+def located(docs: DataFrame, at: str, by: str = "doc_id") -> DataFrame:
+    """`docs` with a number that names each row for good: its `by` where that is unique and never null, else one that is written down."""
+    key = F.col(by).cast("long")
     if docs.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL").isEmpty():
         return docs.withColumn(at, key)
     return materialize(docs.withColumn(at, F.monotonically_increasing_id()), "located")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import conversations, exact_dedup, fim, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files
+from tallyglass.llm import conversations, exact_dedup, fim, langid, licenses, minhash, mixing, packing, simhash, suffix_dedup, token_counts, token_files, warc
 from tallyglass.llm.common import importable
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    folder = warc.write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.page_records(warc.read_packages(warc.packages(spark, folder), payload=False))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(documents(spark, sf_dir))
     text = fim.restored(F.col("form"), F.col("output"))
@@ -91,6 +97,7 @@ OPERATORS = (
     op8_simhash,
     op9_token_counts,
     op10_licenses,
+    op11_warc,
     op12_fill_in_middle,
     op13_conversation_repair,
 )
@@ -142,6 +149,12 @@ FIM_SQL = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_warc": """
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+            d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to FROM f""",
         "op12_fill_in_middle": FIM_SQL,
         "op7_mixing": MIXING_SQL,
         "op6_exact_dedup": r"""
