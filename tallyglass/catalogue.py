@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyglass.plans import evaluation, gold
+from tallyglass.plans import texts as _texts  # noqa: F401  (registers its queries with those of evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

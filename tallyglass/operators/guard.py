@@ -1,7 +1,10 @@
 """The read-only SQL surface: one SELECT-like statement over registered tables, capped in rows and time.
 
-Text is judged by Spark's own parser: every node of the parsed plan, CTE bodies and subqueries included, must be of an
-allowed kind, and every relation a registered table or a CTE of the query.
+A text is judged twice and then run as the very plan that was judged. The parsed plan may hold allowed kinds of nodes, plain
+names, and calls of the engine's own functions only; names that are computed (`IDENTIFIER`) and parameters are refused before
+anything is resolved. The analysed plan may hold allowed nodes and expressions of allowed classes only, whatever name led to
+them: those of the functions of allowed groups, and those that make up a query. What stands behind a registered table is its
+owner's and is not judged. Texts are parsed without substituting variables, so `${...}` is just text.
 """
 
 from __future__ import annotations
@@ -11,28 +14,56 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark import InheritableThread
-from pyspark.errors import ParseException
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyglass.functions.canon import MAX_ROWS, bounded_rows
 
 TIMEOUT_S = 30.0
 
-#: Plan nodes a query may consist of.
-ALLOWED = {
-    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect",
-    "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "UnresolvedHaving", "UnresolvedRelation", "UnresolvedInlineTable",
-    "OneRowRelation", "Window", "WithWindowDefinition", "Generate", "Values", "LocalRelation", "UnresolvedHint", "Pivot", "Unpivot", "ResolvedInlineTable", "SQLFunctionNode",
+#: Nodes a parsed query may consist of.
+PARSED = {
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "SubqueryAlias",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "UnresolvedHaving", "UnresolvedRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "OneRowRelation",
+    "LocalRelation", "WithWindowDefinition", "Generate", "UnresolvedHint", "Pivot", "UnresolvedPivot", "Unpivot", "UnresolvedUnpivot",
 }
+#: Expressions of the parsed plan that stand for something still to be found; calls are judged by name as well.
+NAMES = {
+    "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedStar", "UnresolvedFunction", "UnresolvedGenerator", "UnresolvedExtractValue", "UnresolvedOrdinal", "UnresolvedSubqueryColumnAliases",
+    "UnresolvedNamedLambdaVariable", "UnresolvedWindowExpression", "UnresolvedStarExceptOrReplace", "MultiAlias", "UnresolvedGroupByAll",
+}
+#: Nodes an analysed query may consist of; a View is a registered table, and what it reads is not judged.
+ANALYSED = {
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except",
+    "SubqueryAlias", "View", "WithCTE", "CTERelationDef", "CTERelationRef", "OneRowRelation", "LocalRelation", "Window", "Generate", "Expand", "ResolvedHint",
+}
+#: Nodes that can only come from a table's name.
+TABLES = {"View", "LogicalRelation", "DataSourceV2Relation", "HiveTableRelation", "LogicalRDD"}
 #: Groups of the engine's own functions a query may call: all but those that reach outside the data, which are in `misc_funcs`.
 GROUPS = {
     "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs", "generator_funcs", "hash_funcs",
-    "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
+    "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs",
 }
+#: Functions of the data alone that are in `misc_funcs`: readers of sketches and bitmaps.
+READERS = r"(hll|kll|theta|bitmap|approx_top_k)_\w+|typeof"
 #: Functions of these groups that still reach outside: a value of the session or machine.
 DENIED = {"current_user", "user", "session_user", "current_database", "current_schema", "current_catalog", "version", "uuid"}
+#: Resolved expressions that no function's entry names: what queries are made of, and what some functions and operators become.
+PARTS = {
+    "Alias", "AttributeReference", "OuterReference", "Literal", "Cast", "SortOrder", "AggregateExpression", "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame",
+    "UnspecifiedFrame", "UnboundedPreceding", "UnboundedFollowing", "CurrentRow", "ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "LambdaFunction",
+    "NamedLambdaVariable", "GetStructField", "GetArrayItem", "GetMapValue", "GetArrayStructFields", "LikeAll", "LikeAny", "NotLikeAll", "NotLikeAny", "TryEval", "InSet", "NoOp",
+    "DateAddInterval", "DateAddYMInterval", "TimestampAddInterval", "TimestampAddYMInterval", "TimeAdd", "SubtractDates", "SubtractTimestamps", "SubtractTimes", "MultiplyYMInterval", "MultiplyDTInterval",
+    "DivideYMInterval", "DivideDTInterval", "StringLPad", "StringRPad", "BinaryPad", "RoundCeil", "RoundFloor", "ParseToTimestamp", "ParseToDate", "ToTime", "ToCharacter", "DateFormatClass", "SecondsOfTime",
+    "HoursOfTime", "MinutesOfTime", "SecondWithFraction", "BetweenExpr", "CurrentDate", "Grouping", "GroupingID", "VirtualColumn",
+    "PreciseTimestampConversion", "KnownNullable", "KnownNotNull", "ResolvedCollation", "With", "CommonExpressionDef", "CommonExpressionRef", "StringDecode", "Encode", "TypedNullLiteral",
+}
+#: How the engine runs what a function of an allowed class is replaced by; nowhere else.
+REPLACED = {"StaticInvoke", "Invoke"}
 #: Names of internal tables that a question is never about.
 SYSTEM_TABLES = ("sqlite_master", "sqlite_temp_master", "sqlite_schema", "information_schema", "pg_catalog")
 
@@ -71,56 +102,100 @@ def _each(seq) -> Iterable:
         yield it.next()
 
 
-def _walk(plan) -> Iterable:
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _nodes(plan) -> Iterable:
+    """The nodes of a plan with CTE bodies and the plans of subqueries; below a table's name there are none."""
     yield plan
+    if _kind(plan) in TABLES:
+        return
     for child in _each(plan.children()):
-        yield from _walk(child)
-    for child in _each(plan.innerChildren()):
-        if child.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans") or "analysis" in child.getClass().getName():
-            yield from _walk(child)
+        yield from _nodes(child)
+    if _kind(plan) == "UnresolvedWith":
+        for relation in _each(plan.cteRelations()):
+            yield from _nodes(relation._2())
     for e in _each(plan.expressions()):
-        yield from _subqueries(e)
-
-
-def _subqueries(expression) -> Iterable:
-    name = expression.getClass().getSimpleName()
-    if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "UnresolvedTableValuedFunction"):
-        yield from _walk(expression.plan())
-    for child in _each(expression.children()):
-        yield from _subqueries(child)
-
-
-def _calls(expression) -> Iterable[list[str]]:
-    """Name parts of every function that an expression of the parsed plan calls, however the text quotes it."""
-    kind = expression.getClass().getSimpleName()
-    if kind == "UnresolvedFunction":
-        yield [str(p) for p in _each(expression.nameParts())]
-    elif kind == "UnresolvedGenerator":
-        yield [str(expression.name().funcName())]
-    for child in _each(expression.children()):
-        yield from _calls(child)
-
-
-def _generators(node) -> Iterable[list[str]]:
-    if node.getClass().getSimpleName() == "Generate":
-        yield from _calls(node.generator())
-
-
-def _allowed(spark: SparkSession, parts: list[str]) -> bool:
-    """Whether this names one of the engine's own functions of an allowed group."""
-    name = parts[0].lower()
-    if len(parts) > 1 or name in DENIED:
-        return False
-    state = spark._jsparkSession.sessionState()
-    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
-    found = state.functionRegistry().lookupFunction(identifier)
-    if found.isEmpty():
-        return True  # no function at all: analysis says so
-    return found.get().getGroup() in GROUPS and str(found.get().getClassName()).startswith("org.apache.spark.sql.catalyst.expressions.")
-
+        for inner in _expressions(e):
+            if hasattr(inner, "plan") and _kind(inner) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                yield from _nodes(inner.plan())
+
+
+def _expressions(e) -> Iterable:
+    yield e
+    for child in _each(e.children()):
+        yield from _expressions(child)
+
+
+@cache
+def _functions(jvm) -> tuple[frozenset[str], frozenset[str]]:
+    """Names of the engine's own functions that may be called, and the classes that they become."""
+    builtin = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    names, classes = set(), set(PARTS)
+    for identifier in _each(builtin.listFunction()):
+        info = builtin.lookupFunction(identifier).get()
+        name = str(identifier.funcName())
+        if (info.getGroup() in GROUPS or re.fullmatch(READERS, name)) and name not in DENIED:
+            names.add(name)
+            classes.add(re.sub(r"(Expression)?Builder$", "", str(info.getClassName()).rpartition(".")[2].rstrip("$")))
+    return frozenset(names), frozenset(classes)
+
+
+def _judge_parsed(spark: SparkSession, plan, tables: Iterable[str] | None) -> None:
+    known, names = ({t.lower() for t in tables} if tables is not None else None), _functions(spark._jvm)[0]
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    nodes = list(_nodes(plan))
+    ctes = {str(r._1()).lower() for n in nodes if _kind(n) == "UnresolvedWith" for r in _each(n.cteRelations())}
+
+    def call(parts: list[str]) -> None:
+        name = parts[0].lower()
+        if len(parts) > 1 or name not in names:
+            raise UnsafeQuery(f"function not allowed: {'.'.join(parts)}")
+        found = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        if found.isEmpty() or not str(found.get().getClassName()).startswith("org.apache.spark.sql.catalyst.expressions."):
+            raise UnsafeQuery(f"function not allowed: {name} is not the engine's own here")
 
-def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> str:
-    """The text without its final semicolon, or UnsafeQuery."""
+    for node in nodes:
+        if _kind(node) not in PARSED:
+            raise UnsafeQuery(f"not a read-only query: {_kind(node)}")
+        if _kind(node) == "UnresolvedRelation":
+            parts = [str(p).lower() for p in _each(node.multipartIdentifier())]
+            if len(parts) > 1 or (known is not None and parts[0] not in known | ctes):
+                raise UnsafeQuery(f"unknown relation: {'.'.join(parts)}")
+        for e in [x for root in _each(node.expressions()) for x in _expressions(root)] + ([x for x in _expressions(node.generator())] if _kind(node) == "Generate" else []):
+            kind = _kind(e)
+            if ".analysis." in str(e.getClass().getName()) and kind not in NAMES:
+                raise UnsafeQuery(f"not allowed: {kind}")
+            if kind == "UnresolvedFunction":
+                call([str(p) for p in _each(e.nameParts())])
+            elif kind == "UnresolvedGenerator":
+                call([str(e.name().funcName())] if e.name().database().isEmpty() else [str(e.name().database().get()), str(e.name().funcName())])
+
+
+def _judge_analysed(spark: SparkSession, plan) -> None:
+    classes = _functions(spark._jvm)[1]
+    replaceable = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.RuntimeReplaceable")
+
+    def judge(e, replaced: bool) -> None:
+        kind, where = _kind(e), str(e.getClass().getName())
+        own = where.startswith("org.apache.spark.sql.catalyst.expressions.")
+        if not own or (kind not in classes and not (replaced and kind in REPLACED)):
+            raise UnsafeQuery(f"expression not allowed: {kind}")
+        inside = replaced or bool(replaceable.isInstance(e))
+        for child in _each(e.children()):
+            judge(child, inside)
+
+    for node in _nodes(plan):
+        if _kind(node) not in ANALYSED | TABLES:
+            raise UnsafeQuery(f"not a read-only query: {_kind(node)}")
+        if _kind(node) not in TABLES:
+            for e in _each(node.expressions()):
+                judge(e, False)
+
+
+def judged(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> DataFrame:
+    """The query of the text, analysed and not run, or UnsafeQuery."""
     plain = bare(sql).strip()
     if not plain:
         raise UnsafeQuery("empty query")
@@ -128,26 +203,25 @@ def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) ->
         raise UnsafeQuery("more than one statement")
     if ";" in plain and not sql.rstrip().endswith(";"):
         raise UnsafeQuery("text after the statement")
-    text = sql.rstrip().rstrip(";")
+    session, sql_package = spark._jsparkSession, spark._jvm.org.apache.spark.sql
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = sql_package.catalyst.parser.CatalystSqlParser().parsePlan(sql.rstrip().rstrip(";"))  # knows no commands and no variables
     except ParseException as e:
         raise UnsafeQuery(f"does not parse: {str(e)[:200]}") from e
-    known = {t.lower() for t in tables} if tables is not None else None
-    nodes = list(_walk(plan))
-    ctes = {str(r._1()).lower() for n in nodes if n.getClass().getSimpleName() == "UnresolvedWith" for r in _each(n.cteRelations())}
-    for node in nodes:
-        kind = node.getClass().getSimpleName().rstrip("$")
-        if kind not in ALLOWED:
-            raise UnsafeQuery(f"not a read-only query: {kind}")
-        for parts in [p for e in _each(node.expressions()) for p in _calls(e)] + list(_generators(node)):
-            if not _allowed(spark, parts):
-                raise UnsafeQuery(f"function not allowed: {'.'.join(parts)}")
-        if kind == "UnresolvedRelation":
-            parts = [str(p).lower() for p in _each(node.multipartIdentifier())]
-            if len(parts) > 1 or (known is not None and parts[0] not in known | ctes):
-                raise UnsafeQuery(f"unknown relation: {'.'.join(parts)}")
-    return text
+    _judge_parsed(spark, plan, tables)
+    found = sql_package.classic.Dataset.ofRows(session, plan)
+    _judge_analysed(spark, found.queryExecution().analyzed())
+    return DataFrame(found, spark)
+
+
+def check(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> str:
+    """The text without its final semicolon, or UnsafeQuery. Whether its names exist is not judged."""
+    try:
+        judged(spark, sql, tables)
+    except AnalysisException as e:
+        if isinstance(e, ParseException):
+            raise
+    return sql.rstrip().rstrip(";")
 
 
 def is_safe(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> bool:
@@ -160,14 +234,13 @@ def is_safe(spark: SparkSession, sql: str, tables: Iterable[str] | None = None)
 
 def execute(spark: SparkSession, sql: str, timeout_s: float = TIMEOUT_S, max_rows: int = MAX_ROWS) -> tuple[list[tuple], list[str], float]:
     """(rows, columns, ms) of a guarded query; its jobs are cancelled past the timeout, and too many rows are an error."""
-    text, began, done = check(spark, sql), time.perf_counter(), {}
+    query, began, done = judged(spark, sql), time.perf_counter(), {}
     group = f"guarded-{uuid.uuid4().hex}"
 
     def run() -> None:
         spark.sparkContext.setJobGroup(group, "guarded query", interruptOnCancel=True)
         try:
-            df = spark.sql(text)
-            done["result"] = (bounded_rows(df, max_rows), df.columns)
+            done["result"] = (bounded_rows(query, max_rows), query.columns)
         except Exception as e:  # noqa: BLE001  (handed to the caller's thread)
             done["error"] = e
 
@@ -197,30 +270,38 @@ def safe_execute(spark: SparkSession, sql: str, **limits) -> Outcome:
 
 def truncated(spark: SparkSession, sql: str, rows: int = 100) -> tuple[list[tuple], list[str]]:
     """At most `rows` rows of a guarded query and its columns; a larger result is cut without an error."""
-    df = spark.sql(check(spark, sql))
+    df = judged(spark, sql)
     return [tuple(r) for r in df.limit(rows).collect()], df.columns
 
 
 #: Words that change data or schema, and the openings of a reading statement, in the text-only check.
 MUTATIONS = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "REPLACE", "TRUNCATE", "ATTACH", "DETACH", "VACUUM", "REINDEX")
 OPENINGS = ("SELECT", "WITH", "EXPLAIN")
-
-
-def text_verdict(sql: str) -> tuple[bool, str | None]:
-    """The text-only check, for SQL of other engines: one statement that reads, EXPLAIN included; PRAGMA only where it sets nothing."""
-    if not sql.strip():
-        return False, "empty query"
-    plain = re.sub(r"'[^']*'|\"[^\"]*\"", "''", sql)
-    plain = re.sub(r"--[^\n]*|/\*.*?\*/", "", plain, flags=re.S).strip()
-    if word := re.search(rf"\b({'|'.join(MUTATIONS)})\b", plain, re.I):
-        return False, f"{word[1].upper()} changes data"
-    if re.search(r"\bPRAGMA\b\s*\w*\s*=", plain, re.I):
-        return False, "PRAGMA sets a value"
-    if not plain.upper().startswith(OPENINGS):
-        return False, "not SELECT, WITH or EXPLAIN"
-    if sum(bool(part.strip()) for part in plain.split(";")) > 1:
-        return False, "more than one statement"
-    return True, None
+#: What the text-only check reads: literals and quoted names, comments, words, ends of statements, assignments.
+LEXEME = r"(?s)'[^']*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/|\w+|;|=|[^\s\w]"
+
+
+def text_verdicts(sql: Column) -> Column:
+    """The text-only check of a column of statements, for SQL of other engines: struct(allowed, reason).
+
+    One pass makes a list of lexemes without comments, literals as one mark; the reasons are questions to the list, the first that holds is
+    given. EXPLAIN may read; a PRAGMA may not set a value. Null is empty.
+    """
+    lexemes = F.filter(F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(LEXEME), 0), lambda x: ~x.rlike(r"^(--|/\*)"))
+    words = F.transform(lexemes, lambda x: F.when(x.rlike("^['\"]"), "?").otherwise(F.upper(x)))
+    reason = F.get(F.transform(F.array(words), _reason), F.lit(0))  # the list is made once and named in the lambda
+    return F.struct(reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
+def _reason(words: Column) -> Column:
+    bad = F.get(F.filter(words, lambda x: x.isin(*MUTATIONS)), F.lit(0))
+    at = F.transform(words, lambda x, i: F.struct(x.alias("word"), F.get(words, i + 1).alias("next"), F.get(words, i + 2).alias("second")))
+    sets = lambda p: (p["next"] == "=") | (p["next"].rlike(r"^\w+$") & (p["second"] == "="))
+    setting = F.exists(at, lambda p: (p["word"] == "PRAGMA") & F.coalesce(sets(p), F.lit(False)))
+    ends = F.array_position(words, ";").cast("int")
+    more = (ends > 0) & F.exists(F.slice(words, F.greatest(ends, F.lit(1)), F.greatest(F.size(words), F.lit(1))), lambda x: x != ";")
+    reason = F.when(~F.exists(words, lambda x: x != ";"), "empty query").when(bad.isNotNull(), F.concat(bad, F.lit(" changes data"))).when(setting, "PRAGMA sets a value")
+    return reason.when(~F.coalesce(F.get(words, F.lit(0)).isin(*OPENINGS), F.lit(False)), "not SELECT, WITH or EXPLAIN").when(more, "more than one statement")
 
 
 def names_system_table(sql: str) -> bool:

@@ -1,6 +1,7 @@
 """Systems asked, scored and reported; databases in files; guards on text."""
 
 import json
+import re
 import sqlite3
 
 import duckdb
@@ -235,10 +236,53 @@ def test_functions_on_the_data_are_allowed(spark, sql):
     assert guard.is_safe(spark, sql, ["orders"])
 
 
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.version')", "SELECT IDENTIFIER('re' || 'flect')('a', 'b') FROM orders", "SELECT * FROM IDENTIFIER('orders')", "SELECT current_user", "SELECT `current_user`, status FROM orders", "SELECT user FROM orders", "SELECT :name", "SELECT ?", "SELECT my_udf(1)", "SELECT upper(status) FROM orders WHERE lower(status) = session_user", "SELECT * FROM range(5)", "SELECT * FROM VALUES (uuid()) t(x)", "WITH c AS (SELECT current_user AS u) SELECT u FROM c", "SELECT (SELECT current_user)", "SELECT xpath_string('<a/>', 'a')", "SELECT try_reflect('a', 'b')", "SELECT transform(array(1), x -> version()) FROM orders", "SELECT spark_partition_id() FROM orders"],
+)
+def test_names_that_lead_elsewhere_are_refused(spark, sql):
+    spark.udf.register("my_udf", lambda x: x)
+    spark.sql("SELECT 'o1' AS order_id, 'x' AS status").createOrReplaceTempView("orders")
+    assert not guard.is_safe(spark, sql, ["orders"])
+    assert not guard.safe_execute(spark, sql).success
+
+
+def test_variables_are_text_and_own_functions_cannot_be_replaced(spark):
+    assert guard.execute(spark, "SELECT '${env:PATH}', '${system:user.home}'")[0] == [("${env:PATH}", "${system:user.home}")]
+    other = spark.newSession()
+    other.udf.register("soundex", lambda x: "mine")
+    assert not guard.is_safe(other, "SELECT soundex('a')")
+    assert guard.execute(spark, "SELECT soundex('Robert')")[0] == [("R163",)]
+
+
+def test_tables_behind_python_may_be_read(spark):
+    spark.range(3).select(F.udf(lambda x: f"v{x}")("id").alias("v")).createOrReplaceTempView("made")
+    assert guard.execute(spark, "WITH a AS (SELECT v FROM made) SELECT max(v), (SELECT min(v) FROM a) FROM a WHERE v IN (SELECT v FROM made)")[0] == [("v2", "v0")]
+    spark.catalog.dropTempView("made")
+
+
+def test_every_example_of_an_allowed_function_is_allowed(spark):
+    registry, refused, seen = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin(), [], 0
+    allowed = guard._functions(spark._jvm)[0]
+    for name in sorted(allowed):
+        info = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)).get()
+        for sql in re.findall(r"> (SELECT.*?);", str(info.getExamples()), re.S)[:1]:
+            seen += 1
+            if not guard.is_safe(spark, sql):
+                refused.append((name, sql))
+    assert seen > 400 and not refused
+
+
 def test_verdicts_on_text_alone(spark):
-    assert all(guard.text_verdict(s)[0] for s in ("SELECT 1", "with a as (select 1) select * from a;", "EXPLAIN SELECT 'drop table'", "select 1 -- ; delete"))
-    bad = {"": "empty", "DROP TABLE t": "DROP", "SELECT 1; SELECT 2": "more than one", "PRAGMA x = 1": "PRAGMA", "PRAGMA table_info(t)": "not SELECT", "WITH a AS (SELECT 1) DELETE FROM t": "DELETE"}
-    assert all(not guard.text_verdict(s)[0] and why in guard.text_verdict(s)[1] for s, why in bad.items())
+    def verdicts(*texts):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", guard.text_verdicts(F.col("t")).alias("v")).collect()
+        return [tuple(r.v) for r in sorted(rows)]
+
+    good = ("SELECT 1", "with a as (select 1) select * from a;", "EXPLAIN SELECT 'drop table'", "select 1 -- ; delete", "select 1;; -- x", 'select "drop" from t', "/* drop */ select 'a;b'")
+    assert verdicts(*good) == [(True, None)] * len(good)
+    bad = {"PRAGMA journal_mode = wal": "PRAGMA", "  -- nothing": "empty", ";": "empty", "SELECT 1 /* ; */; x": "more than one", "dropped": "not SELECT", "SELECT 'a' ; update t": "UPDATE", "": "empty", "DROP TABLE t": "DROP", "SELECT 1; SELECT 2": "more than one", "PRAGMA x = 1": "PRAGMA", "PRAGMA table_info(t)": "not SELECT", "WITH a AS (SELECT 1) DELETE FROM t": "DELETE"}
+    found = verdicts(*bad, None)
+    assert all(not ok and why in reason for (ok, reason), why in zip(found, [*bad.values(), "empty"], strict=True)), found
     assert guard.names_system_table("select * from SQLITE_master") and not guard.names_system_table("select 1 from orders")
     rows, columns = guard.truncated(spark, "SELECT * FROM VALUES (1), (2), (3) AS t(x)", 2)
     assert len(rows) == 2 and columns == ["x"]
