@@ -2,12 +2,16 @@
 
 A candidate block is a sentence that mentions licensing; it runs over line ends and comment marks up to a sentence end or
 a blank line. Whole license texts run over many sentences and blank lines: there the candidate blocks are the stretches
-of a mentioning document around three words in a row that a license text also has. A block is compressed with zstandard
+of any document that have as many runs of three words of a license text as one within the allowed differences must have. A block is compressed with zstandard
 once alone and once with each template as a raw dictionary, both in lower case; the template that saves the most,
 relative to the block, ranks first. Every template is compared with the block word by word, by the least edit distance to
 any stretch of it; a version slot takes any version, and a stretch after a negation is none. Of confirmed stretches that
 overlap a whole text stays before a sentence, then the one with the least share of differing words, then the
-better-ranked. Only documents that mention licensing leave the JVM; every text is scanned whole.
+better-ranked.
+
+Every text is scanned whole. Documents without a mention are scanned for license texts alone, and of those only the ones
+whose words, hashed by threes over whole batches, repeat enough of a license text; a text within the allowed
+differences always does, since each difference breaks three runs of three words at most.
 """
 
 from __future__ import annotations
@@ -18,11 +22,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import lean, text_of
+from tallyglass.llm.textbytes import LOWER, chunks, fold, word_hashes
 
 #: Notice wordings of well-known licenses. `{v}` is a version.
 NOTICES = {
@@ -207,20 +213,21 @@ def words(text: str) -> list[str]:
 
 
 def differences(have: list[str], want: list[str]) -> tuple[int, int, int]:
-    """Least number of words to delete, insert or replace to turn `want` into a stretch of `have`; where that stretch begins and ends."""
-    above = [(0, -j, j) for j in range(len(have) + 1)]  # cost, then the latest beginning
-    for i, w in enumerate(want, 1):
-        row = [(i, 0, 0)]
-        for j, h in enumerate(have, 1):
-            cost, _, begin = above[j - 1]
-            best = (cost + (h != w), -begin, begin)
-            for (cost, _, begin) in (above[j], row[j - 1]):
-                if (cost + 1, -begin, begin) < best:
-                    best = (cost + 1, -begin, begin)
-            row.append(best)
-        above = row
-    end = min(range(len(above)), key=lambda j: (above[j][:2], j))
-    return above[end][0], above[end][2], end
+    """Least number of words to delete, insert or replace to turn `want` into a stretch of `have`; where that stretch begins and ends.
+
+    A cell of the table is one number, differences times `unit` less the beginning: the least has the fewest, then the latest beginning.
+    """
+    known = {w: k for k, w in enumerate(dict.fromkeys(want))}
+    words_ = np.array([known.get(w, -1) for w in have], np.int64)
+    unit = len(have) + 1
+    above, steps = -np.arange(unit), np.arange(unit) * unit
+    for w in want:
+        row = above + unit
+        row[1:] = np.minimum(row[1:], above[:-1] + unit * (words_ != known[w]))
+        above = np.minimum.accumulate(row - steps) + steps
+    end = int(np.argmin(above))
+    cost = -int(-above[end] // unit)
+    return cost, int(cost * unit - above[end]), end
 
 
 def stretches(have: list[str], want: list[str], allowed: int, at: int = 0) -> Iterator[tuple[int, int, int]]:
@@ -234,6 +241,11 @@ def stretches(have: list[str], want: list[str], allowed: int, at: int = 0) -> It
         yield from stretches(have[end:], want, allowed, at + end)
 
 
+def least_seeds(n: int) -> int:
+    """Runs of SEED_WORDS words that a stretch within the allowed differences of a text of `n` words shares with it at least."""
+    return max(1, n - SEED_WORDS + 1 - SEED_WORDS * max(1, int(MAX_DIFFERENT * n)))
+
+
 @cache
 def seeds(texts: tuple[tuple[str, str], ...]) -> tuple[dict[str, list[str]], dict[tuple[str, ...], list[tuple[str, int]]]]:
     """The words of each license text, and where each SEED_WORDS in a row are in which text."""
@@ -244,6 +256,61 @@ def seeds(texts: tuple[tuple[str, str], ...]) -> tuple[dict[str, list[str]], dic
     return wanted, at
 
 
+#: Bytes of the tokens that are hashed: letters, digits and all beyond ASCII. Marks and punctuation only stand between them.
+TOKEN = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+TOKENS_HASHED = 3
+
+
+def token_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every TOKENS_HASHED tokens in a row, case folded, in order."""
+    inside = TOKEN[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    first[inner] = inside[inner]
+    last[inner - 1] = inside[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    text = np.searchsorted(offsets, starts, "right") - 1
+    n = max(0, len(starts) - TOKENS_HASHED + 1)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashed = word_hashes(LOWER[data], starts, ends)
+    whole = text[:n] == text[TOKENS_HASHED - 1 :]
+    return fold([hashed[k : k + n] for k in range(TOKENS_HASHED)])[whole], text[:n][whole]
+
+
+@cache
+def signs(texts: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, int]:
+    """Hashes of the first tokens of each run of SEED_WORDS words without a version, and how many of them a document with any of the texts has at least."""
+    found, least = [], []
+    for _, text in texts:
+        want = words(text)
+        runs = [want[k : k + SEED_WORDS] for k in range(len(want) - SEED_WORDS + 1)]
+        sure = 0
+        for run in runs:
+            tokens = re.findall(r"[a-z0-9]+", " ".join(run))
+            if "{v}" not in run and len(tokens) >= TOKENS_HASHED:
+                data = np.frombuffer(" ".join(tokens[:TOKENS_HASHED]).encode(), np.uint8)
+                found.append(token_runs(data, np.array([0, len(data)]))[0])
+                sure += 1
+        least.append(least_seeds(len(want)) - (len(runs) - sure))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), min(least, default=1)
+
+
+def may_hold(column: pa.Array, texts: dict[str, str]) -> np.ndarray:
+    """Which documents may hold a license text: all that do, and few others."""
+    known, least = signs(tuple(texts.items()))
+    if not texts or least < 1:  # a text too short to be told by its runs
+        return np.full(len(column), bool(texts))
+    out = np.zeros(len(column), bool)
+    for i, j, data, offsets in chunks(column):
+        hashed, text = token_runs(data, offsets)
+        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+        out[i:j] = np.bincount(text[known[at] == hashed], minlength=j - i) >= least
+    return out
+
+
 def whole_texts(text: str, texts: dict[str, str]) -> Iterator[tuple[str, int, int, int]]:
     """(license text, differences, start, end) of each stretch of the document within the allowed differences."""
     if not texts:
@@ -255,15 +322,20 @@ def whole_texts(text: str, texts: dict[str, str]) -> Iterator[tuple[str, int, in
         line_start += len(line) + 1
     have = [w for w, _, _ in at]
     places = set()  # windows that hold every stretch with a seed: its start is off by the allowed differences at most
+    hits: dict[str, list[int]] = {}
     for i in range(len(have) - SEED_WORDS + 1):
         for name, k in known.get(tuple(have[i : i + SEED_WORDS]), ()):
             places.add((name, (i - k) // max(1, int(MAX_DIFFERENT * len(wanted[name])))))
+            if not hits.setdefault(name, []) or hits[name][-1] != i:
+                hits[name].append(i)
     seen = set()
     for name, place in sorted(places):
         want = wanted[name]
         allowed = max(1, int(MAX_DIFFERENT * len(want)))
-        lo = max(0, (place - 1) * allowed)
-        for n, i, j in stretches(have[lo : (place + 2) * allowed + len(want)], want, allowed, lo):
+        lo, hi = max(0, (place - 1) * allowed), (place + 2) * allowed + len(want)
+        if bisect(hits[name], hi) - bisect(hits[name], lo - 1) < least_seeds(len(want)):
+            continue
+        for n, i, j in stretches(have[lo:hi], want, allowed, lo):
             if (name, i, j) not in seen:
                 seen.add((name, i, j))
                 yield name, n, at[i][1], at[j - 1][2]
@@ -307,11 +379,13 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, texts: dict[str
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                rows = [(i, *hit) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in scan_text(t, chosen, long)]
+                asked = part.column(2).to_numpy(zero_copy_only=False) | may_hold(part.column(1), long)
+                few = part.filter(pa.array(asked))
+                rows = [(i, *hit) for i, t in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True) for hit in scan_text(t, chosen, long)]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32())
                 names = ["doc_id", "license", "start", "block", "saving", "word_differences"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    mentioned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(MENTION))
-    return mentioned.mapInArrow(lean(run), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mentions", F.col("text").rlike(MENTION))
+    return rows.mapInArrow(lean(run), schema)
