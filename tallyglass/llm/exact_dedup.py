@@ -12,11 +12,17 @@ by locator, what was seen first; the least and the greatest text of each digest
 held against the first content of its digest, whichever batch that came in. Where two texts ever share a digest, the
 digest is kept in a list of clashes, and its rows of all batches are regrouped by the text itself.
 
+A call may be made again. It has a name, the caller's or a hash of its rows; the name is listed with a batch number before
+anything is written, so a call made twice is one batch. A batch is written if its content is not whole, streamed as far as
+the state has not seen it, and checked for clashes if that is not on record; a call first throws away what an earlier one left
+half written and checks what an earlier one left unchecked. One call at a time may use a checkpoint.
+
 Everything is DataFrame code; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,9 +84,45 @@ def locator() -> Column:
     return F.struct("batch", "row")
 
 
-def add_batch(docs: DataFrame, base: str, digest: Callable[[Column], Column] = sha256, row: str | None = None) -> int:
-    """Write the documents to the content store as its next batch; returns the batch's number. `row` names a column of row numbers."""
-    batch = len(children(docs.sparkSession, f"{base}/content"))
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    system, where = _folder(spark, f"{path}/_SUCCESS")
+    return bool(system.exists(where))
+
+
+def call_name(docs: DataFrame) -> str:
+    """A name for these rows, in whatever order and partitions: their number, and sums of two hashes of each."""
+    h = [F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_of()), 256), 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")) for k in (0, 1)]
+    r = docs.agg(F.count(F.lit(1)), *h).first()
+    return "-".join(str(x or 0) for x in r)
+
+
+def calls(spark: SparkSession, base: str) -> dict[str, int]:
+    """Batch numbers of the calls listed at a checkpoint."""
+    return {name: int(n) for n, _, name in (x.partition("-") for x in children(spark, f"{base}/calls"))}
+
+
+def add_batch(docs: DataFrame, base: str, digest: Callable[[Column], Column] = sha256, row: str | None = None, call: str | None = None) -> int:
+    """Write the documents to the content store as the batch of this call, unless they are there; returns the batch's number. `row` names a column of row numbers."""
+    spark = docs.sparkSession
+    name = call_name(docs) if call is None else sha2_name(call)
+    known = calls(spark, base)
+    if name not in known:
+        known[name] = max(known.values(), default=-1) + 1
+        system, where = _folder(spark, f"{base}/calls/{known[name]:08d}-{name}")
+        system.mkdirs(where)
+    batch = known[name]
+    for other in known.values():
+        if not _whole(spark, path := f"{base}/content/batch={other}"):  # what a call that failed left
+            system, where = _folder(spark, path)
+            system.delete(where, True)
+    if _whole(spark, f"{base}/content/batch={batch}"):
+        return batch
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         normalised().alias("norm"),
@@ -92,6 +134,11 @@ def add_batch(docs: DataFrame, base: str, digest: Callable[[Column], Column] = s
     return batch
 
 
+def sha2_name(call: str) -> str:
+    """A caller's name as a folder can have it."""
+    return hashlib.sha256(call.encode()).hexdigest()
+
+
 def update_state(spark: SparkSession, base: str, max_files_per_trigger: int | None = None) -> None:
     """Stream what the state has not seen of the content store into it, then stop."""
     checkpoint = f"{base}/stream"
@@ -124,20 +171,26 @@ def read_state(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def find_clashes(spark: SparkSession, base: str, batch: int, state: DataFrame) -> DataFrame:
-    """Digests that different texts share, this batch's and those known before; this batch's are added to the list."""
+def check_batch(spark: SparkSession, base: str, batch: int, state: DataFrame) -> None:
+    """Put the digests that different texts of this batch, or of this and an earlier one, share on record."""
     store = spark.read.schema(CONTENT).parquet(f"{base}/content")
     hits = state.where("group_size > 1").select("digest", "first")
-    if batch:
-        hits = hits.join(store.where(F.col("batch") == batch).select("digest").distinct(), "digest", "left_semi")
+    hits = hits.join(store.where(F.col("batch") == batch).select("digest").distinct(), "digest", "left_semi")
     hits = materialize(hits, "dedup-hits")
-    named = [r[0] for r in hits.select("first.batch").distinct().collect()] if batch else []
+    named = [r[0] for r in hits.select("first.batch").distinct().collect()]
     few = hits.count() <= BROADCAST_HITS
     named_hits = hits.select(F.col("digest").alias("hit"), "first").hint("broadcast" if few else "shuffle_hash")
     texts = store.where(F.col("batch").isin([batch, *named])).select("digest", "batch", "row", "norm").join(named_hits, F.col("digest") == F.col("hit"))
     texts = texts.where((F.col("batch") == batch) | (locator() == F.col("first")))
     differ = texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).where(F.col("lo") != F.col("hi"))
-    differ.select("digest").write.parquet(f"{base}/clashes/batch={batch}")
+    differ.select("digest").write.mode("overwrite").parquet(f"{base}/clashes/batch={batch}")
+
+
+def find_clashes(spark: SparkSession, base: str, state: DataFrame) -> DataFrame:
+    """Digests that different texts share; every batch is checked that is not yet."""
+    for batch in sorted(calls(spark, base).values()):
+        if _whole(spark, f"{base}/content/batch={batch}") and not _whole(spark, f"{base}/clashes/batch={batch}"):
+            check_batch(spark, base, batch, state)
     return spark.read.schema("digest binary, batch int").parquet(f"{base}/clashes").select("digest").distinct()
 
 
@@ -160,16 +213,17 @@ def decided(
     checkpoint: str | None = None,
     max_files_per_trigger: int | None = None,
     row: str | None = None,
+    call: str | None = None,
 ) -> DataFrame:
     """exact_dedup() with `row`, the row number in the batch."""
     spark = docs.sparkSession
     base = (checkpoint or scratch(spark, "dedup")).rstrip("/")
-    batch = add_batch(docs, base, digest, row)
+    batch = add_batch(docs, base, digest, row, call if checkpoint else "the only one")
     update_state(spark, base, max_files_per_trigger)
     state = read_state(spark, base)
     store = spark.read.schema(CONTENT).parquet(f"{base}/content")
     rows = store.where(F.col("batch") == batch).select(*RECORD.names)
-    clashes = find_clashes(spark, base, batch, state)
+    clashes = find_clashes(spark, base, state)
     if clashes.isEmpty():
         return _resolved(rows, state, ["digest"])
     clashing = store.join(clashes, "digest", "left_semi")
@@ -183,15 +237,18 @@ def exact_dedup(
     digest: Callable[[Column], Column] = sha256,
     checkpoint: str | None = None,
     max_files_per_trigger: int | None = None,
+    call: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, digest, chars.
 
     `docs` needs doc_id and text; other columns are ignored, whatever their names. Null text is the empty text. A null
     doc_id loses every tie; repeated rows, even with one doc_id, keep exactly one. An empty input gives an empty result.
     With a `checkpoint` of an earlier call the groups hold the rows of all calls: keep_id may name an earlier row, and
-    a row that now stays takes the place of the one that an earlier call kept.
+    a row that now stays takes the place of the one that an earlier call kept. A call that failed, or whose result was lost,
+    is made again with the same rows, or under the same name `call`, and adds nothing twice; rows that are to be added
+    again need a name of their own.
     """
-    return decided(docs, digest, checkpoint, max_files_per_trigger).drop("row")
+    return decided(docs, digest, checkpoint, max_files_per_trigger, call=call).drop("row")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
