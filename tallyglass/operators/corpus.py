@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.session import held
+
 #: Shares of the kinds of triples, in percent, and the texts of a prompt.
 SHARES = (("grounded", 70), ("refusal", 15), ("schema_only", 15))
 SYSTEM = "Answer with SQL and cite evidence rows as [table:row_id]; refuse when the evidence does not suffice."
@@ -44,6 +46,47 @@ def place(j: Column, size: Column, *key: Column | str, seed: int) -> Column:
     return (draw(*key, F.lit("start"), seed=seed) + j.cast("decimal(38,0)") * step) % size
 
 
+#: Rows of a bucket of ranks, about; a bucket is a beginning of the order's hexadecimal digits.
+BUCKET_ROWS = 64
+#: Drawn buckets that are broadcast at most; more meet the rows in a shuffle.
+BROADCAST_BUCKETS = 200_000
+
+
+def at_ranks(drawn: DataFrame, rows: DataFrame, order: Column, sizes: DataFrame) -> DataFrame:
+    """drawn (table_name, number, others) with the row that has that number, from 0, in its table's order: the columns of `rows`.
+
+    `order` is a hexadecimal text, ties are numbered by row_id; `sizes` has table_name, size. A directory of the rows in each bucket of
+    the order says which bucket a number falls into; only those buckets' rows are numbered.
+    """
+    total = sizes.agg(F.max("size")).first()[0] or 0
+    digits = 1
+    while 16**digits * BUCKET_ROWS < total:
+        digits += 1
+    bucket = F.substring(order, 1, digits)
+    counts = rows.groupBy("table_name", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # prefix sums in two levels: over leading digits, then within them
+    lead = F.substring("bucket", 1, digits // 2)
+    counts = held(counts.withColumn("lead", lead))
+    leads = counts.groupBy("table_name", "lead").agg(F.sum("n").alias("m"))
+    before = lambda of, *by: F.coalesce(F.sum(of).over(Window.partitionBy("table_name", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = leads.select("table_name", "lead", before("m", "lead").alias("above"))
+    directory = counts.withColumn("inner", before("n", "lead", "bucket")).join(bases, ["table_name", "lead"])
+    directory = directory.select("table_name", "bucket", (F.col("above") + F.col("inner")).alias("base"), "n")
+    # numbers meet buckets in cells of equal width, of which a bucket covers few
+    cells = F.sequence(F.floor(F.col("base") / BUCKET_ROWS), F.floor((F.col("base") + F.col("n") - 1) / BUCKET_ROWS))
+    covered = directory.withColumn("cell", F.explode(cells)).withColumnRenamed("table_name", "t")
+    within = (F.col("number") >= F.col("base")) & (F.col("number") < F.col("base") + F.col("n"))
+    meets = (F.col("table_name") == F.col("t")) & (F.floor(F.col("number") / BUCKET_ROWS) == F.col("cell")) & within
+    placed = held(drawn.join(covered, meets).drop("t", "cell", "n"))
+    wanted = held(placed.select(F.col("table_name").alias("t"), F.col("bucket").alias("b"), "base").distinct())
+    hint = "broadcast" if wanted.count() <= BROADCAST_BUCKETS else "shuffle_hash"
+    tagged = rows.withColumns({"o": order, "bucket": bucket})
+    some = tagged.join(wanted.hint(hint), (F.col("table_name") == F.col("t")) & (F.col("bucket") == F.col("b")))
+    rank = F.row_number().over(Window.partitionBy("table_name", "bucket").orderBy("o", "row_id"))
+    numbered = some.withColumn("number", F.col("base") + rank - 1).select(*rows.columns, "number")
+    return placed.drop("bucket", "base").join(numbered, ["table_name", "number"])
+
+
 def distractors(draws: DataFrame, positives: DataFrame, rows: DataFrame, seed: int, low: int = 2, high: int = 5) -> DataFrame:
     """question_id, draw_no, table_name, row_id, position: hard negatives of each draw, never one of its question's positives.
 
@@ -51,15 +94,12 @@ def distractors(draws: DataFrame, positives: DataFrame, rows: DataFrame, seed: i
     draw gets low..high, a refusal as many as the question has positives and 3 at least, schema_only none; fewer only where
     there are no more rows. Rows of the positives' tables come before all others.
 
-    Every row can be drawn: rows are numbered once within their table, in the order of a hash, and a draw steps through the
+    Every row can be drawn: rows have numbers within their table, in the order of a hash, and a draw steps through the
     numbers of its near tables, laid end to end, in a seeded order of its own; as many numbers as it wants and its question
-    has positives always hold enough. Then it steps through the other tables. Draws meet rows by an equi-join on the number.
+    has positives always hold enough. Then it steps through the other tables. Which rows have the drawn numbers, at_ranks()
+    says; no other rows are numbered.
     """
-    from tallyglass.operators.retrieval import numbered
-
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "table_name", "row_id"))
-    listed = numbered(rows.select("table_name", "row_id"), order, ("table_name",))
-    sizes = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("size"))
+    sizes = held(rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("size")))
     per = positives.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_pos"), F.collect_set("table_name").alias("near"))
     tables = sizes.agg(F.sort_array(F.collect_list(F.struct("table_name", "size"))).alias("tables"))  # one element a table
     wanted = F.when(F.col("kind") == "grounded", low + draw("question_id", "draw_no", F.lit("n"), seed=seed) % (high - low + 1))
@@ -84,7 +124,8 @@ def distractors(draws: DataFrame, positives: DataFrame, rows: DataFrame, seed: i
         return F.struct(F.when(here, t["table_name"]).otherwise(s["table_name"]).alias("table_name"), F.when(passed, s["left"] - t["size"]).otherwise(s["left"]).alias("left"))
 
     found = each.withColumn("in", F.aggregate("of", begin, into)).select("question_id", "draw_no", "wanted", "far", "j", F.col("in.table_name").alias("table_name"), F.col("in.left").alias("number"))
-    negative = found.join(listed, ["table_name", "number"]).join(positives, ["question_id", "table_name", "row_id"], "left_anti")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "table_name", "row_id"))
+    negative = at_ranks(found, rows.select("table_name", "row_id"), order, sizes).join(positives, ["question_id", "table_name", "row_id"], "left_anti")
     turn = Window.partitionBy("question_id", "draw_no").orderBy("far", "j")
     return negative.withColumn("position", F.row_number().over(turn)).where(F.col("position") <= F.col("wanted")).select("question_id", "draw_no", "table_name", "row_id", "position")
 

@@ -8,19 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.operators import index
+from tallyglass.operators.index import B, K1, tokens
 from tallyglass.sources.catalog import Catalog
 
-#: The ranking's parameters.
-K1 = 1.5
-B = 0.75
+#: Fixed value: rows of an evidence pack.
 TOP_K = 8
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters a-z and digits, repeats included."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-
-
 def cell(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -84,39 +79,12 @@ def rendered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_text", F.concat(F.lit("["), "table_name", F.lit(":"), "row_id", F.lit("] "), body))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """table_name, row_id, term, tf, dl."""
-    split = docs.select("table_name", "row_id", tokens(F.col("text")).alias("t"))
-    exploded = split.select("table_name", "row_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return exploded.groupBy("table_name", "row_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """n_docs, avgdl."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))).alias("avgdl"))
-
-
-def bm25(questions: DataFrame, docs: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """question_id, rank, table_name, row_id, score: the best rows that share a term with the question.
+def bm25(questions: DataFrame, docs: DataFrame | index.Index, top_k: int = TOP_K) -> DataFrame:
+    """question_id, rank, table_name, row_id, score: the best rows that share a term with the question, from an index or, indexed for this once, documents.
 
-    A question's repeated terms count again. Equal scores are in the order of (table_name, row_id). Only postings of
-    the questions' terms are kept before anything is shuffled by row; questions are few and their terms are broadcast
-    by the optimiser where they are small.
+    A question's repeated terms count again. Equal scores are in the order of (table_name, row_id).
     """
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    split = docs.select("table_name", "row_id", tokens(F.col("text")).alias("t")).select("table_name", "row_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    terms = asked.select("term").distinct()
-    found = split.join(terms, "term", "left_semi").groupBy("table_name", "row_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs).first()
-    n, avgdl = stats.n_docs, stats.avgdl or 1.0
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    weighed = asked.join(frequency, "term").join(found, "term")
-    scored = weighed.groupBy("question_id", "table_name", "row_id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "table_name", "row_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    return ranked.select("question_id", "rank", "table_name", "row_id", "score")
+    return (docs if isinstance(docs, index.Index) else index.build(docs)).search(questions, top_k)
 
 
 def packs(questions: DataFrame, ranked: DataFrame, docs: DataFrame, schema_sha256: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import canon, sqltext
-from tallyglass.operators import agent, analysis, corpus, items, memory, profile, retrieval, scoring, shadow, stats
+from tallyglass.operators import agent, analysis, corpus, index, items, memory, profile, retrieval, scoring, shadow, stats
 from tallyglass.plans import gold
 from tallyglass.session import table
 from tallyglass.sources import catalog as cat
@@ -291,9 +291,18 @@ def leak_check(spark, sf_dir):
 # ---- retrieval ------------------------------------------------------------------------------------------------------
 
 
+def _index(spark, sf_dir) -> index.Index:
+    """The store's index, built by the first query that asks for it."""
+
+    def docs() -> DataFrame:
+        tables = {t: table(spark, sf_dir, t) for t in INDEXED}
+        return retrieval.index_docs(tables, cat.load_catalog(tables, cat.PRIMARY_KEYS, count=False))
+
+    return index.of_store(spark, index.fingerprint(spark, sf_dir, list(INDEXED)), docs)
+
+
 def _docs(spark, sf_dir) -> DataFrame:
-    tables = {t: table(spark, sf_dir, t) for t in INDEXED}
-    return retrieval.index_docs(tables, cat.load_catalog(tables, cat.PRIMARY_KEYS, count=False))
+    return _index(spark, sf_dir).documents().drop("number")
 
 
 def _cells(columns: str) -> str:
@@ -342,12 +351,12 @@ def doc_render(spark, sf_dir):
 
 @query(f"WITH {_DOCS_SQL}, e AS (SELECT DISTINCT table_name, row_id, unnest(t) AS term FROM tok) SELECT term, COUNT(*) AS df FROM e GROUP BY term")
 def term_df(spark, sf_dir):
-    return retrieval.postings(_docs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _index(spark, sf_dir).terms()
 
 
 @query(f"WITH {_DOCS_SQL} SELECT COUNT(*) AS n_docs, ROUND(AVG(len(t)), 6) AS avgdl FROM tok")
 def corpus_size(spark, sf_dir):
-    return retrieval.corpus_stats(_docs(spark, sf_dir)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, sf_dir).stats().select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 _BM25_SQL = f"""{_DOCS_SQL},
@@ -365,19 +374,31 @@ _BM25_SQL = f"""{_DOCS_SQL},
 
 @query(f"WITH {_BM25_SQL} SELECT question_id, rank, table_name, row_id, score FROM r WHERE rank <= 8")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(questions(spark), _docs(spark, sf_dir))
+    return retrieval.bm25(questions(spark), _index(spark, sf_dir))
 
 
 @query(f"WITH {_BM25_SQL} SELECT table_name, COUNT(*) AS n_rows FROM r WHERE rank <= 8 GROUP BY table_name")
 def pack_composition(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), questions(spark)
-    return retrieval.composition(retrieval.packs(asked, retrieval.bm25(asked, docs), docs, "0" * 64))
+    return retrieval.composition(retrieval.packs(asked, retrieval.bm25(asked, _index(spark, sf_dir)), docs, "0" * 64))
 
 
-@query()
+_VALUES_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {_row_id(t, c)} AS row_id, [{', '.join(repr(x) for x in c.split())}] AS columns, [{', '.join(f'CAST({x} AS VARCHAR)' for x in c.split())}] AS values FROM {t}"
+    for t, c in _COLUMNS.items()
+)
+
+
+@query(
+    f"""WITH {_BM25_SQL}, v AS ({_VALUES_SQL}),
+        pk AS (SELECT question_id, COUNT(*) AS n, list({{'rank': rank::INT, 'table_name': table_name, 'row_id': row_id, 'columns': columns, 'values': values}} ORDER BY rank) AS rows
+            FROM r JOIN v USING (table_name, row_id) WHERE rank <= 8 GROUP BY question_id)
+        SELECT question_id, n::INT AS n_rows, sha256(CAST(to_json({{'question_id': question_id, 'question': question, 'schema_sha256': repeat('0', 64), 'rows': rows}}) AS VARCHAR)) AS sha256
+        FROM pk JOIN {_values(list(QUESTIONS), "question_id, question")} USING (question_id)"""
+)
 def evidence_packs(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), questions(spark)
-    packed = retrieval.sealed(retrieval.packs(asked, retrieval.bm25(asked, docs), docs, "0" * 64))
+    packed = retrieval.sealed(retrieval.packs(asked, retrieval.bm25(asked, _index(spark, sf_dir)), docs, "0" * 64))
     return packed.select("question_id", F.size("rows").alias("n_rows"), "sha256")
 
 
@@ -408,7 +429,7 @@ def triple_mix(spark, sf_dir):
 
 def _positives(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = _docs(spark, sf_dir)
-    return docs, retrieval.bm25(questions(spark), docs, 4).select("question_id", "table_name", "row_id")
+    return docs, retrieval.bm25(questions(spark), _index(spark, sf_dir), 4).select("question_id", "table_name", "row_id")
 
 
 @query()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every session of this engine is built with; a cluster may override any of them at submit time.
@@ -34,3 +38,38 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TA
     """Temp views over the Parquet tables, for SQL text."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset and all run on one machine, a local one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    system, where = hadoop(spark, f"{path}/_SUCCESS")
+    return bool(system.exists(where))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write to a new folder of the shared one and read back: computed once, and whole after executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Keep what several steps read, on executors' disks where memory is short; what is lost with one is made again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
