@@ -10,12 +10,13 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What makes a clause present.
+#: What makes a clause present in a text whose literals are ''. Every pattern is one that both engines read alike.
 CLAUSES = {
-    "select": r"\bselect\b", "distinct": r"\bdistinct\b", "where": r"\bwhere\b", "join": r"\bjoin\b", "left_join": r"\bleft\s+(outer\s+)?join\b",
-    "group_by": r"\bgroup\s+by\b", "having": r"\bhaving\b", "order_by": r"\border\s+by\b", "limit": r"\blimit\b",
-    "aggregate": r"\b(count|sum|avg|min|max|total|group_concat)\s*\(", "subquery": r"\(\s*select\b", "set_op": r"\b(union|intersect|except)\b",
-    "cte": r"^\s*with\b", "case": r"\bcase\b", "like": r"\bi?like\b", "window": r"\bover\s*\(",
+    "distinct": r"\bdistinct\b", "aggregate": r"\b(count|sum|avg|min|max|total|group_concat)\s*\(", "join": r"\bjoin\b|,\s*\w+\s+on\b", "where": r"\bwhere\b",
+    "group_by": r"\bgroup\s+by\b", "having": r"\bhaving\b", "order_by": r"\border\s+by\b", "limit": r"\blimit\b|\bfetch\s+(first|next)\b",
+    "subquery": r"(?s)\bselect\b.*\bselect\b|\bexists\s*\(", "set_op": r"\b(union|intersect|except)\b", "cte": r"^\s*with\b",
+    "case_when": r"(?s)\bcase\b.*\bwhen\b|\bwhen\b.*\bcase\b", "star": r"\bselect\s+(distinct\s+)?\*", "offset": r"\boffset\b", "string_literal": r"''",
+    "numeric_literal": r"(^|[^\w.])\d+(\.\d+)?",
 }
 #: Words after a table's name that are no alias.
 KEYWORDS = ("where", "on", "using", "join", "inner", "left", "right", "full", "cross", "natural", "group", "order", "having", "limit", "offset", "union", "intersect", "except", "set", "values", "select", "as")
@@ -60,7 +61,7 @@ def signature(sql: Column) -> Column:
 
 
 def joins(sql: Column) -> Column:
-    return F.regexp_count(stripped(sql), F.lit(CLAUSES["join"]))
+    return F.regexp_count(stripped(sql), F.lit(r"\bjoin\b"))
 
 
 def tier(sql: Column) -> Column:
@@ -108,21 +109,30 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def counted(items: Column) -> Column:
+    """Each item with how many like it stand before it in order, so that equal lists as bags are equal as sets."""
+    number = lambda s: F.transform(s, lambda t, i: F.concat_ws(" ", t, (i - F.array_position(s, t)).cast("string")))
+    return F.get(F.transform(F.array(F.array_sort(items)), number), F.lit(0))  # the sorted list is made once
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two token multisets."""
-    x, y = tokens(a), tokens(b)
-    count = lambda arr, t: F.size(F.filter(arr, lambda u: u == t))
-    shared = F.aggregate(F.transform(F.array_distinct(x), lambda t: F.least(count(x, t), count(y, t))), F.lit(0), lambda s, n: s + n)
-    return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(2.0 * shared / (F.size(x) + F.size(y)))
+    x, y = counted(tokens(a)), counted(tokens(b))
+    return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 
-def clause_jaccard(a: Column, b: Column) -> Column:
-    """Clauses in both over clauses in either; 1 where neither has any."""
-    both = sum(((has(a, c) & has(b, c)).cast("int") for c in CLAUSES), F.lit(0))
-    either = sum(((has(a, c) | has(b, c)).cast("int") for c in CLAUSES), F.lit(0))
+def flags_jaccard(a: Column, b: Column) -> Column:
+    """Clauses in both of two flags() over clauses in either; 1 where neither has any."""
+    both = sum(((a[c] & b[c]).cast("int") for c in CLAUSES), F.lit(0))
+    either = sum(((a[c] | b[c]).cast("int") for c in CLAUSES), F.lit(0))
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def clause_jaccard(a: Column, b: Column) -> Column:
+    """flags_jaccard() of two texts."""
+    return flags_jaccard(flags(a), flags(b))
+
+
 def references(sql: Column, names: list[str]) -> Column:
     """Those of `names` (lower case) that the text uses, sorted."""
     return F.sort_array(F.array_intersect(F.array_distinct(tokens(stripped(sql))), F.array(*map(F.lit, names))))

@@ -12,21 +12,39 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of each intent, tried in this order; anything else is a lookup.
-INTENTS = {
-    "comparison": ("compare", "versus", "vs", "difference", "than"),
-    "trend": ("trend", "over", "monthly", "daily", "growth", "month", "year"),
-    "ranking": ("top", "best", "worst", "highest", "lowest", "most", "least"),
-    "aggregation": ("how", "total", "sum", "average", "mean", "count", "many", "much"),
-}
-
-
-def intent(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
-    out = F.lit("lookup")
-    for name, hints in reversed(INTENTS.items()):
-        out = F.when(F.arrays_overlap(words, F.array(*map(F.lit, hints))), name).otherwise(out)
-    return out
+#: The five intents of a turn, and the words and phrases that tell them.
+COMMANDS = ("exit", "quit", "q")
+GREETINGS = (
+    "hi", "hey", "hello", "hola", "yo", "sup", "good morning", "good afternoon", "good evening", "who are you", "what are you", "what can you do", "help",
+)
+CLOCK = ("what time", "current time", "what date", "todays date", "today's date", "what day is it")
+ABOUT_TABLES = ("what tables", "list tables", "show tables", "database schema", "table list", "how many tables")
+TERMS = (
+    "customer", "customers", "order", "orders", "product", "products", "item", "items", "review", "reviews", "sales", "revenue", "price", "stock", "spent", "spending",
+    "bought", "buy", "purchase", "purchases", "highest", "lowest", "average", "total", "sum", "count", "top", "tier", "platinum", "gold", "silver", "bronze", "country",
+)
+ASKS = (
+    "who spent", "how many", "which customer", "which product", "list all", "show me all", "find all", "calculate the", "what is the total", "what are the top", "rank the",
+)
+COMMAND, CHAT, SYSTEM_STATE, METADATA, DATA = INTENTS = ("COMMAND", "CONVERSATIONAL", "REALTIME_SYS", "DB_META", "DB_QUERY")
+#: Fixed value: characters that are neither of a word nor white space.
+MARKS = r"[^\p{L}\p{N}_\s]"
+
+
+def intent(text: Column, tables: Sequence[str] = ()) -> Column:
+    """Which of INTENTS a turn has; names of tables count as terms. Whole turns decide first, then phrases, then words. Null is empty."""
+    said = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    bare = F.regexp_replace(said, MARKS, "")
+    any_of = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: said.contains(p))
+    terms = F.array(*map(F.lit, [*TERMS, *(t.lower() for t in tables)]))
+    tells = (
+        (COMMAND, said.startswith(":") | said.isin(*COMMANDS)),
+        (CHAT, bare.isin(*GREETINGS)),
+        (SYSTEM_STATE, any_of(CLOCK)),
+        (METADATA, any_of(ABOUT_TABLES)),
+        (DATA, F.arrays_overlap(F.split(bare, r"\s+"), terms) | any_of(ASKS)),
+    )
+    return F.coalesce(*[F.when(holds, label) for label, holds in tells], F.lit(CHAT))
 
 
 #: Error texts and what they are about.

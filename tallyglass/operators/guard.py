@@ -106,20 +106,20 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
-def _nodes(plan) -> Iterable:
+def nodes(plan) -> Iterable:
     """The nodes of a plan with CTE bodies and the plans of subqueries; below a table's name there are none."""
     yield plan
     if _kind(plan) in TABLES:
         return
     for child in _each(plan.children()):
-        yield from _nodes(child)
+        yield from nodes(child)
     if _kind(plan) == "UnresolvedWith":
         for relation in _each(plan.cteRelations()):
-            yield from _nodes(relation._2())
+            yield from nodes(relation._2())
     for e in _each(plan.expressions()):
         for inner in _expressions(e):
             if hasattr(inner, "plan") and _kind(inner) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-                yield from _nodes(inner.plan())
+                yield from nodes(inner.plan())
 
 
 def _expressions(e) -> Iterable:
@@ -145,7 +145,7 @@ def _functions(jvm) -> tuple[frozenset[str], frozenset[str]]:
 def _judge_parsed(spark: SparkSession, plan, tables: Iterable[str] | None) -> None:
     known, names = ({t.lower() for t in tables} if tables is not None else None), _functions(spark._jvm)[0]
     registry = spark._jsparkSession.sessionState().functionRegistry()
-    nodes = list(_nodes(plan))
+    nodes = list(nodes(plan))
     ctes = {str(r._1()).lower() for n in nodes if _kind(n) == "UnresolvedWith" for r in _each(n.cteRelations())}
 
     def call(parts: list[str]) -> None:
@@ -186,7 +186,7 @@ def _judge_analysed(spark: SparkSession, plan) -> None:
         for child in _each(e.children()):
             judge(child, inside)
 
-    for node in _nodes(plan):
+    for node in nodes(plan):
         if _kind(node) not in ANALYSED | TABLES:
             raise UnsafeQuery(f"not a read-only query: {_kind(node)}")
         if _kind(node) not in TABLES:

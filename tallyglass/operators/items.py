@@ -17,35 +17,38 @@ def outcome() -> Column:
     return F.when(executed & F.col("exact"), "executed_exact").when(executed, "executed_match").when(F.col("valid"), "valid_wrong").otherwise("invalid")
 
 
+#: Reasons why an item is wrong, in the order in which they are tried; the last is left over.
+ERROR_LABELS = (
+    "no sql produced", "did not answer with SQL", "hallucinated table", "hallucinated column", "syntax error", "invented aggregation", "missing aggregation", "missing join",
+    "spurious join", "dropped filter", "semantic error (gold not executable here)", "semantic error",
+)
+#: Two openings of clauses with nothing between them, and names before a parenthesis or after a dot.
+BARE_CLAUSE = r"\b(select|from|where)\s+(from|where|group\s+by|order\s+by|having)\b"
+SOURCE, MEMBER = r"\b(?:from|join)\s+[`\"\[]?(\w+)", r"\b[a-z_]\w*\.([a-z_]\w*)\b"
+
+
 def error_label(schema: Mapping[str, Sequence[str]]) -> Column:
-    """A finer reason why an item is wrong, the first that holds, from pred_sql, its flags and the gold's; null where it executed right.
+    """The first of ERROR_LABELS that an item's prediction has, from its text, its flags and the gold's; null where it executed right.
 
     schema: tables (lower case) with their columns. `gold_ok` (boolean) says whether the gold itself ran here.
     """
-    tables = sorted(schema)
-    pred, text = F.col("pred_sql"), F.lower("pred_sql")
-    named = F.array_distinct(F.transform(F.regexp_extract_all(sqltext.stripped(pred), F.lit(r"\b(?:from|join)\s+[`\"\[]?(\w+)"), 1), F.lower))
-    columns = sorted({c for cs in schema.values() for c in cs})
-    qualified = F.regexp_extract_all(sqltext.stripped(pred), F.lit(r"\b[a-z_]\w*\.([a-z_]\w*)\b"), 1)
-    unknown = F.array_except(qualified, F.array(*map(F.lit, columns)).cast("array<string>"))
-    has = lambda side, c: F.col(f"{side}_flags.{c}")
-    reasons = [
-        ("no sql produced", F.trim(pred) == ""),
-        ("did not answer with SQL", ~text.rlike(r"^\s*(select|with)\b")),
-        ("hallucinated table", (F.size(named) > 0) & ~F.arrays_overlap(named, F.array(*map(F.lit, tables)).cast("array<string>"))),
-        ("hallucinated column", F.size(unknown) > 0),
-        ("syntax error", text.rlike(r"syntax|select from|from where|select where") | (text.contains("()") & ~F.col("valid"))),
-        ("invented aggregation", has("pred", "aggregate") & ~has("gold", "aggregate")),
-        ("missing aggregation", has("gold", "aggregate") & ~has("pred", "aggregate")),
-        ("missing join", has("gold", "join") & ~has("pred", "join")),
-        ("spurious join", has("pred", "join") & ~has("gold", "join")),
-        ("dropped filter", has("gold", "where") & ~has("pred", "where")),
-        ("semantic error (gold not executable here)", ~F.coalesce("gold_ok", F.lit(True))),
-    ]
-    found = F.when(F.coalesce("executed", F.lit(False)), None)
-    for name, holds in reasons:
-        found = found.when(holds, name)
-    return found.otherwise("semantic error")
+    body, words = sqltext.stripped(F.col("pred_sql")), sqltext.words(F.col("pred_sql"))
+    known = lambda names: F.array(*map(F.lit, sorted(names))).cast("array<string>")
+    sources, members = (F.regexp_extract_all(body, F.lit(p), 1) for p in (SOURCE, MEMBER))
+    gained = lambda clause: F.col(f"pred_flags.{clause}").cast("int") - F.col(f"gold_flags.{clause}").cast("int")
+    broken = body.rlike(BARE_CLAUSE) | body.contains("syntax") | (~F.col("valid") & (body.contains("()") | ~sqltext.balanced(F.col("pred_sql"))))
+    holds = (
+        words == 0,
+        ~body.rlike(r"^\s*(select|with)\b"),
+        (F.size(sources) > 0) & (F.size(F.array_intersect(sources, known(schema))) == 0),
+        F.size(F.array_except(members, known({c for cs in schema.values() for c in cs}))) > 0,
+        broken,
+        gained("aggregate") > 0, gained("aggregate") < 0, gained("join") < 0, gained("join") > 0, gained("where") < 0,
+        ~F.coalesce("gold_ok", F.lit(True)),
+        F.lit(True),
+    )
+    label = F.coalesce(*[F.when(h, name) for name, h in zip(ERROR_LABELS, holds, strict=True)])
+    return F.when(~F.coalesce("executed", F.lit(False)), label)
 
 
 def failure() -> Column:
@@ -72,6 +75,7 @@ def item_scores(rows: DataFrame, tables: Sequence[str] | Mapping[str, Sequence[s
     gold, pred = (F.coalesce(F.col(c), F.lit("")) for c in ("gold_sql", "pred_sql"))
     base = rows.select("set", "system", "idx", gold.alias("gold_sql"), pred.alias("pred_sql"), F.coalesce("valid", F.lit(False)).alias("valid"), "executed")
     g, p = F.col("gold_sql"), F.col("pred_sql")
+    base = base.withColumns({"gold_flags": sqltext.flags(g), "pred_flags": sqltext.flags(p)})  # what others are made of
     schema = tables if isinstance(tables, Mapping) else {t: () for t in tables}
     names = sorted(schema)
     found = base.select(
@@ -79,10 +83,9 @@ def item_scores(rows: DataFrame, tables: Sequence[str] | Mapping[str, Sequence[s
         (sqltext.normalised(g) == sqltext.normalised(p)).alias("exact"),
         F.round(sqltext.edit_similarity(p, g), 6).alias("edit_similarity"),
         F.round(sqltext.token_f1(p, g), 6).alias("token_f1"),
-        F.round(sqltext.clause_jaccard(p, g), 6).alias("clause_jaccard"),
+        F.round(sqltext.flags_jaccard(F.col("pred_flags"), F.col("gold_flags")), 6).alias("clause_jaccard"),
         F.round(sqltext.link_f1(sqltext.references(p, names), sqltext.references(g, names)), 6).alias("link_f1"),
         sqltext.link_counts(sqltext.used(p, schema), sqltext.used(g, schema)).alias("links"),
-        sqltext.flags(g).alias("gold_flags"), sqltext.flags(p).alias("pred_flags"),
         sqltext.signature(g).alias("gold_signature"), sqltext.signature(p).alias("pred_signature"),
         sqltext.tier(g).alias("tier"), sqltext.family(g).alias("family"), sqltext.length_bin(g).alias("length_bin"), sqltext.balanced(p).alias("balanced"),
     )

@@ -6,8 +6,10 @@ Inputs have one row an item (and rater or system); results are rounded to six de
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -304,37 +306,100 @@ def association(rows: DataFrame, a: str, b: str) -> DataFrame:
 RESAMPLES = 2000
 
 
-def poisson(u: Column, v: Column, mean: Column) -> Column:
-    """A Poisson number from two uniform ones: by inversion up to a mean of 30, then a rounded normal number of that variance."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"), F.lit(0).alias("k"))
+#: Steps and multipliers of a 64-bit mixing function.
+STEP, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: A mean up to which a Poisson number is found by inversion; beyond, it is a rounded normal number of that variance.
+INVERTED, MOST_INVERTED = 30, 80
+#: Levels whose draws are in memory at once, and groups whose sums are: a task that meets more passes them on.
+LEVELS_AT_ONCE, GROUPS_AT_ONCE = 128, 256
+
+
+def mixed(key: np.ndarray, resamples: int) -> np.ndarray:
+    """A 64-bit number for each key and resample."""
+    with np.errstate(over="ignore"):
+        h = key[:, None] + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(STEP)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX_1)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX_2)
+    return h ^ (h >> np.uint64(31))
 
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * mean / i
-        return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), (s["k"] + F.when(u > s["upto"], 1).otherwise(0)).alias("k"))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda s: s["k"].cast("double"))
-    large = F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)))
-    return F.when(mean <= 30, small).otherwise(large)
+def poisson(h: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson numbers of each row's mean: two uniform numbers are the halves of `h`."""
+    u = ((h >> np.uint64(32)).astype(np.float64) + 0.5) / 2.0**32
+    out = np.empty_like(u)
+    small = mean <= INVERTED
+    for m in np.unique(mean[small]):
+        p = np.exp(-m) * np.cumprod(np.concatenate([[1.0], m / np.arange(1, MOST_INVERTED)]))
+        at = mean == m
+        out[at] = np.searchsorted(np.cumsum(p), u[at])
+    if not small.all():
+        v = ((h[~small] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32
+        m = mean[~small][:, None]
+        out[~small] = np.maximum(0.0, np.floor(m + np.sqrt(m) * np.sqrt(-2 * np.log(u[~small])) * np.cos(2 * np.pi * v) + 0.5))
+    return out
 
 
 def resampled(rows: DataFrame, value: str, by: Sequence[str] = (), resamples: int = RESAMPLES, seed: int = 11) -> DataFrame:
     """by, resample, m: the mean of `value` (to six decimals) in each of `resamples` Poisson resamples.
 
     Equal values are counted first; a value that n rows have occurs a Poisson number of times of mean n in a resample, drawn
-    from a hash of group, value and resample. So rows are read once, and what is multiplied by the number of resamples is the
-    distinct values, not the rows. A resample without rows has the mean of all.
+    from a hash of group, value and resample. A task adds its values to one vector of sums a group, and the vectors are
+    added up: what travels is vectors, one a task and group, however many values there are. A resample without rows has the mean of all.
     """
     level = F.col(value).cast("decimal(20,6)")
     return _weighed_draws(rows.where(F.col(value).isNotNull()).select(*by, level.alias("value"), F.lit(1).alias("n")), by, resamples, seed)
 
 
+def _accumulate(n_by: int, resamples: int):
+    """A function over batches of (by, key, value, n): the vectors of each group, for mapInArrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([g[k] for g in held], kinds[k]) for k in range(n_by)]
+            columns += [pa.array([x[k] for x in held.values()], pa.float64()) for k in (0, 1)]
+            columns += [pa.array([x[k] for x in held.values()], pa.list_(pa.float64())) for k in (2, 3)]
+            return pa.RecordBatch.from_arrays(columns, [*names, "n", "total", "s", "w"])
+
+        for batch in batches:
+            names, kinds = batch.schema.names[:n_by], batch.schema.types[:n_by]
+            groups = list(zip(*(batch.column(k).to_pylist() for k in range(n_by)), strict=True)) if n_by else [()] * len(batch)
+            key, value, n = (batch.column(n_by + k).to_numpy(zero_copy_only=False) for k in range(3))
+            for at in range(0, len(batch), LEVELS_AT_ONCE):
+                part = slice(at, at + LEVELS_AT_ONCE)
+                w = poisson(mixed(key[part].astype(np.uint64), resamples), n[part].astype(np.float64))
+                s = w * value[part][:, None]
+                of: dict[tuple, list[int]] = {}
+                for i, g in enumerate(groups[part]):
+                    of.setdefault(g, []).append(i)
+                for g, i in of.items():
+                    if g not in held:
+                        if len(held) >= GROUPS_AT_ONCE:
+                            yield out()
+                            held.clear()
+                        held[g] = [0.0, 0.0, np.zeros(resamples), np.zeros(resamples)]
+                    x = held[g]
+                    x[0] += float(n[part][i].sum())
+                    x[1] += float((n[part][i] * value[part][i]).sum())
+                    x[2] += s[i].sum(axis=0)
+                    x[3] += w[i].sum(axis=0)
+        if held:
+            yield out()
+
+    return run
+
+
 def _weighed_draws(rows: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
     """resampled() of rows that have value and n, how often they are there."""
     levels = rows.groupBy(*by, "value").agg(F.sum("n").alias("n"))
-    drawn = levels.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u, v = ((draw(*by, "value", "resample", F.lit(k), seed=seed) + 0.5) / 2.0**32 for k in ("u", "v"))
-    weighed = drawn.withColumn("w", poisson(u, v, F.col("n").cast("double"))).withColumn("value", F.col("value").cast("double"))
-    sums = weighed.groupBy(*by, "resample").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "value")])), 1, 15), 16, 10).cast("long")
+    keyed = levels.select(*by, key.alias("key"), F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n double, total double, s array<double>, w array<double>"])
+    vectors = keyed.mapInArrow(_accumulate(len(by), resamples), schema)
+    each = vectors.select(*by, "n", "total", F.posexplode(F.arrays_zip("s", "w")).alias("resample", "x"))
+    sums = each.groupBy(*by, "resample").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"), (F.sum("total") / F.sum("n")).alias("mean"))
     return sums.select(*by, "resample", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("mean")).alias("m"), "mean")
 
 

@@ -248,9 +248,9 @@ def bag_difference(spark, sf_dir):
     return found.select(shown.alias("row"), "n_left", "n_right")
 
 
-def _clamped(spark, sf_dir) -> dict[str, DataFrame]:
+def _clamped(spark, sf_dir, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     name, column, months = HOLDOUT
-    tables = star(spark, sf_dir)
+    tables = tables or star(spark, sf_dir)
     return shadow.clamp(tables, name, column, profile.cutoff(tables[name], column, months), cat.FOREIGN_KEYS)
 
 
@@ -268,8 +268,10 @@ def shadow_counts(spark, sf_dir):
 
 
 def _dependence(spark, sf_dir) -> DataFrame:
-    full, clamped = shadow.session_of(spark, star(spark, sf_dir)), shadow.session_of(spark, _clamped(spark, sf_dir))
-    return shadow.dependence(spark, full, clamped, gold.SHARED)
+    tables = star(spark, sf_dir)
+    clamped = _clamped(spark, sf_dir, tables)
+    changed = [t for t in tables if clamped[t] is not tables[t]]
+    return shadow.dependence(spark, shadow.session_of(spark, tables), shadow.session_of(spark, clamped), gold.SHARED, changed)
 
 
 @query()
@@ -774,9 +776,13 @@ def cramers_v2(spark, sf_dir):
 def _resampled_sql(levels: str, by: str = "", resamples: int = stats.RESAMPLES, seed: int = 11) -> str:
     """DuckDB text of resampled(): `levels` has by, value (six decimals) and n, each value more than 30 times."""
     key = "".join(f"{c} || ':' || " for c in by.split())
-    u = "(('0x' || substr(md5('{0}:' || {1}value || ':' || b || ':{2}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
     group = "".join(f"{c}, " for c in by.split())
-    return f"""dr AS (SELECT *, {u.format(seed, key, "u")} AS u, {u.format(seed, key, "v")} AS v FROM {levels}, (SELECT unnest(range(0, {resamples})) AS b) t),
+    times = lambda a, b: f"((({a})::UHUGEINT * {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""h0 AS (SELECT *, ((('0x' || substr(md5('{seed}:' || {key}value), 1, 15))::UHUGEINT + b::UHUGEINT * {stats.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h
+            FROM {levels}, (SELECT unnest(range(0, {resamples})) AS b) t),
+        h1 AS (SELECT * EXCLUDE h, {times("xor(h, h >> 30)", stats.MIX_1)} AS h FROM h0), h2 AS (SELECT * EXCLUDE h, {times("xor(h, h >> 27)", stats.MIX_2)} AS h FROM h1),
+        h3 AS (SELECT * EXCLUDE h, xor(h, h >> 31) AS h FROM h2),
+        dr AS (SELECT *, ((h >> 32)::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u, ((h & 4294967295)::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v FROM h3),
         w AS (SELECT *, greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v))) AS w FROM dr),
         m AS (SELECT {group}b, SUM(w * value::DOUBLE) / SUM(w) AS m, SUM(n * value::DOUBLE) / SUM(n) AS mean FROM w GROUP BY {group}b),
         o AS (SELECT *, ROW_NUMBER() OVER ({f"PARTITION BY {group[:-2]} " if group else ""}ORDER BY m, b) - 1 AS i FROM m)"""
@@ -919,19 +925,21 @@ def _gold_table(spark) -> DataFrame:
     return spark.createDataFrame(_texts(), "name string, sql string")
 
 
-_GOLD_SQL = _values(_texts(), "name, sql")
-_STRIPPED = "lower(regexp_replace(sql, '''(?:[^'']|'''')*''', '''''', 'g'))"
+TEXTS, NAMES = _texts(), _ALL
+GOLD_SQL = _values(TEXTS, "name, sql")
+pattern = lambda c: sqltext.CLAUSES[c].replace("'", "''")
+STRIPPED = "lower(regexp_replace(sql, '''(?:[^'']|'''')*''', '''''', 'g'))"
 
 
 @query(
-    "SELECT name, " + ", ".join(f"regexp_matches({_STRIPPED}, '{p}') AS {c}_" for c, p in sqltext.CLAUSES.items() if "^" not in p) + f" FROM {_GOLD_SQL} t"
+    "SELECT name, " + ", ".join(f"regexp_matches({STRIPPED}, '{pattern(c)}') AS {c}_" for c in sqltext.CLAUSES) + f" FROM {GOLD_SQL} t"
 )
 def sql_clause_flags(spark, sf_dir):
-    return _gold_table(spark).select("name", *[sqltext.has(F.col("sql"), c).alias(f"{c}_") for c, p in sqltext.CLAUSES.items() if "^" not in p])
+    return _gold_table(spark).select("name", *[sqltext.has(F.col("sql"), c).alias(f"{c}_") for c in sqltext.CLAUSES])
 
 
 @query(
-    f"""WITH w AS (SELECT name, len(regexp_extract_all(trim(sql, ' ' || chr(10)), '\\S+')) AS n FROM {_GOLD_SQL} t)
+    f"""WITH w AS (SELECT name, len(regexp_extract_all(trim(sql, ' ' || chr(10)), '\\S+')) AS n FROM {GOLD_SQL} t)
         SELECT CASE WHEN n <= 15 THEN '<=15' WHEN n <= 30 THEN '<=30' WHEN n <= 55 THEN '<=55' ELSE '>55' END AS bin, COUNT(*) AS n FROM w GROUP BY 1"""
 )
 def sql_length_bins(spark, sf_dir):
@@ -976,10 +984,10 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 
 _FAMILY = "CASE " + " ".join(
-    "WHEN " + " OR ".join("(" + " AND ".join(f"regexp_matches({_STRIPPED}, '{sqltext.CLAUSES[c]}')" for c in group) + ")" for group in groups) + f" THEN '{name}'" for name, groups in sqltext.FAMILIES
+    "WHEN " + " OR ".join("(" + " AND ".join(f"regexp_matches({STRIPPED}, '{pattern(c)}')" for c in group) + ")" for group in groups) + f" THEN '{name}'" for name, groups in sqltext.FAMILIES
 ) + " ELSE 'plain projection' END"
 _WORDS = "len(regexp_extract_all(trim(sql, ' ' || chr(10)), '\\S+'))"
-_ASKED = f"WITH {RUNS_SQL}, g AS (SELECT *, ROW_NUMBER() OVER (ORDER BY name) - 1 AS k FROM {_GOLD_SQL} t), p AS (SELECT preds.*, sql FROM preds JOIN g ON preds.item % {len(_texts())} = g.k)"
+_ASKED = f"WITH {RUNS_SQL}, g AS (SELECT *, ROW_NUMBER() OVER (ORDER BY name) - 1 AS k FROM {GOLD_SQL} t), p AS (SELECT preds.*, sql FROM preds JOIN g ON preds.item % {len(_texts())} = g.k)"
 
 
 @query(f"{_ASKED} SELECT {_FAMILY} AS family, system, COUNT(*) AS n, ROUND(AVG(correct::INT), 6) AS ex FROM p GROUP BY 1, 2")
@@ -1032,14 +1040,23 @@ def failure_migration(spark, sf_dir):
     return items.migration(_items(spark, sf_dir), "same", "next")
 
 
-_HINTS = " ".join(
-    f"WHEN len(list_intersect(w, [{', '.join(repr(x) for x in hints)}])) > 0 THEN '{name}'" for name, hints in agent.INTENTS.items()
-)
+_LISTED = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_SAYS = lambda phrases: f"len(list_filter({_LISTED(phrases)}, lambda p: contains(s, p))) > 0"
 
 
-@query(f"SELECT CASE {_HINTS} ELSE 'lookup' END AS intent, COUNT(*) AS n FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations) t GROUP BY 1")
+@query(
+    f"""WITH t AS (SELECT lower(regexp_replace(CASE WHEN turn % 7 = 3 THEN 'show me the total of ' || text WHEN turn % 7 = 5 THEN 'What day is it? ' || text ELSE text END, '^\\s+|\\s+$', '', 'g')) AS s FROM conversations),
+        b AS (SELECT s, regexp_replace(s, '{agent.MARKS}', '', 'g') AS b FROM t)
+        SELECT CASE WHEN starts_with(s, ':') OR list_contains({_LISTED(agent.COMMANDS)}, s) THEN 'COMMAND' WHEN list_contains({_LISTED(agent.GREETINGS)}, b) THEN 'CONVERSATIONAL'
+            WHEN {_SAYS(agent.CLOCK)} THEN 'REALTIME_SYS' WHEN {_SAYS(agent.ABOUT_TABLES)} THEN 'DB_META'
+            WHEN len(list_intersect(regexp_split_to_array(b, '\\s+'), {_LISTED([*agent.TERMS, *_ALL])})) > 0 OR {_SAYS(agent.ASKS)} THEN 'DB_QUERY' ELSE 'CONVERSATIONAL' END AS intent,
+            COUNT(*) AS n FROM b GROUP BY 1"""
+)
 def intent_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(agent.intent(F.col("text")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+    """Intents of the turns; some are put behind a question."""
+    k, text = F.col("turn") % 7, F.col("text")
+    said = F.when(k == 3, F.concat(F.lit("show me the total of "), text)).when(k == 5, F.concat(F.lit("What day is it? "), text)).otherwise(text)
+    return table(spark, sf_dir, "conversations").groupBy(agent.intent(said, _ALL).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- conversations and events ---------------------------------------------------------------------------------------

@@ -42,9 +42,13 @@ def test_resolution_split_and_mix(spark):
 
 
 def test_intents_and_diagnosis(spark):
-    asked = ["top five customers", "how many orders", "compare a and b", "sales by month", "status of order 5"]
-    got = [r.i for r in spark.createDataFrame([(a,) for a in asked], "q string").select(agent.intent(F.col("q")).alias("i")).collect()]
-    assert got == ["ranking", "aggregation", "comparison", "trend", "lookup"]
+    asked = {
+        ":help": "COMMAND", " Quit ": "COMMAND", "Hello!": "CONVERSATIONAL", "what can you do?": "CONVERSATIONAL", "What time is it": "REALTIME_SYS", "is it today's date": "REALTIME_SYS",
+        "list tables please": "DB_META", "how many tables are there": "DB_META", "top five customers": "DB_QUERY", "how many of them": "DB_QUERY", "rows of lineitem": "DB_QUERY",
+        "why is the sky blue": "CONVERSATIONAL", "": "CONVERSATIONAL", "gold?": "DB_QUERY", "q": "COMMAND", "who spent most": "DB_QUERY", "golden": "CONVERSATIONAL",
+    }
+    got = [r.i for r in spark.createDataFrame([(a,) for a in asked], "q string").select(agent.intent(F.col("q"), ["Lineitem"]).alias("i")).collect()]
+    assert got == list(asked.values())
     found = agent.diagnose("[UNRESOLVED_COLUMN] A column with name `statu` cannot be resolved", ["status", "state", "price"])
     assert (found.kind, found.name, found.suggestions[0]) == ("unknown_column", "statu", "status")
 

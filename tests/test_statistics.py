@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions import sqltext
-from tallyglass.operators import analysis, corpus, items, retrieval, stats
+from tallyglass.operators import analysis, corpus, items, retrieval, shadow, stats
 from tallyglass.plans import evaluation, gold
 
 SF = "/root/testdata/sf0.001"
@@ -210,6 +210,45 @@ def test_exemplars_against_brute_force(spark):
 # ---- shadow ---------------------------------------------------------------------------------------------------------
 
 
+def test_lineage_spares_queries_and_jobs(spark, monkeypatch):
+    """Queries that name no clamped table are digested once, and many digests are one job."""
+    asked = []
+    real = shadow.digests
+    monkeypatch.setattr(shadow, "digests", lambda s, q: asked.append(set(q)) or real(s, q))
+    small = {k: v for k, v in gold.SHARED.items() if k in ("lookup_pk", "cte_chain", "scalar_sub_filter", "corr_scalar_select", "semi_in", "top10_keys")}
+    texts = small | {"free": "SELECT COUNT(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)", "hidden": "SELECT COUNT(*) FROM nation WHERE n_nationkey < (SELECT MAX(o_custkey) FROM orders)"}
+    tables = evaluation.star(spark, SF)
+    clamped = evaluation._clamped(spark, SF, tables)
+    sessions = [shadow.session_of(spark, t) for t in (tables, clamped)]
+    changed = [t for t in tables if clamped[t] is not tables[t]]
+    assert sorted(changed) == ["lineitem", "orders"]
+    spark.sparkContext.setJobGroup("lineage", "")
+    got = shadow.dependence(spark, *sessions, texts, changed).collect()
+    every = shadow.dependence(spark, *sessions, texts).collect()
+    assert got == every
+    assert ("free", "clamped") not in asked[0] and ("hidden", "clamped") in asked[0] and len(asked[0]) < len(asked[1]) == 2 * len(texts)
+
+
+def test_a_million_values_are_resampled_in_vectors(spark):
+    """Many distinct values, few of them often, in several groups: against a plain Poisson bootstrap of the items."""
+    df = spark.range(1_000_000).select((F.col("id") % 2).cast("string").alias("g"), (F.col("id") * 0.001).alias("x"))
+    r = {x.g: x for x in stats.bootstrap_mean(df, "x", ["g"], resamples=50).collect()}
+    sd = 1000 / math.sqrt(12) / math.sqrt(500_000)
+    for g, mean in (("0", 499.999), ("1", 500.0)):
+        assert r[g].mean == pytest.approx(mean, abs=1e-3) and mean - 4 * sd < r[g].low < mean < r[g].high < mean + 4 * sd
+
+
+def test_vectors_do_not_depend_on_partitions_or_groups(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 40).alias("g"), (F.col("id") % 70 / 7).alias("x"))
+    means = lambda d: {(r.g, r.resample): r.m for r in stats.resampled(d, "x", ["g"], resamples=20).collect()}
+    want = means(df)
+    assert len(want) == 800
+    for name, value in (("LEVELS_AT_ONCE", 7), ("GROUPS_AT_ONCE", 3)):
+        monkeypatch.setattr(stats, name, value)
+        assert means(df.repartition(9)) == pytest.approx(want, abs=1e-9)
+    assert stats.resampled(df.where("x < 0"), "x", ["g"]).count() == 0
+
+
 def test_dependence_against_both_databases(spark):
     """Every gold text on the whole and on the clamped tables, in another engine."""
     full, cut = duckdb.connect(), duckdb.connect()
