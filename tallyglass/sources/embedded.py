@@ -1,7 +1,7 @@
 """SQLite and DuckDB files as Spark sources and sinks, through Spark's Python data sources.
 
-A table is read in ranges of its row number, a partition each, as Arrow batches; the file must be in a folder that the
-executors see. Writing goes through one connection in one transaction, batch by batch, and is rolled back on any failure.
+A table is read in ranges of its row number, a partition each, as Arrow batches; gaps in the numbers cost nothing, and a
+table that has no row number is one partition. The file must be in a folder that the executors see. Writing goes through one connection in one transaction, batch by batch, and is rolled back on any failure.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ def _arrow(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 
 class Range(InputPartition):
-    def __init__(self, low: int, high: int):
+    """Row numbers from low to below high; None is no bound."""
+
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -57,18 +59,37 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.columns = path, table, schema
 
     def partitions(self) -> Sequence[Range]:
+        """Cuts at every PARTITION-th row that there is, so rows with far-off numbers are no partitions of their own."""
         with contextlib.closing(sqlite_connection(self.path)) as c:
-            low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-        return [] if low is None else [Range(a, min(a + PARTITION, high + 1)) for a in range(low, high + 1, PARTITION)]
+            if not has_rowid(c, self.table):
+                return [Range(None, None)]
+            numbered = f"SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM {quoted(self.table)}"
+            cuts = [r[0] for r in c.execute(f"SELECT id FROM ({numbered}) WHERE n % {PARTITION} = 1 OR {PARTITION} = 1 ORDER BY id")]
+        return [Range(a, b) for a, b in zip(cuts, [*cuts, None][1:], strict=True)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         names = ", ".join(quoted(n) for n in self.columns.names)
+        bounds = [(sign, x) for sign, x in ((">=", partition.low), ("<", partition.high)) if x is not None]
+        where = " AND ".join(f"rowid {sign} ?" for sign, _ in bounds) or "1"
         with contextlib.closing(sqlite_connection(self.path)) as c:
-            found = c.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+            found = c.execute(f"SELECT {names} FROM {quoted(self.table)} WHERE {where}", [x for _, x in bounds])
             while rows := found.fetchmany(BATCH):
                 yield _arrow(rows, self.columns)
 
 
+def has_rowid(c: sqlite3.Connection, table: str) -> bool:
+    """Whether the table has SQLite's own row number; those WITHOUT ROWID, views, and ones with a column of that name have not."""
+    names = {r[1].lower() for r in c.execute(f"PRAGMA table_info({quoted(table)})")}
+    plain = c.execute("SELECT type FROM sqlite_master WHERE lower(name) = lower(?)", (table,)).fetchone()
+    if "rowid" in names or plain != ("table",):
+        return False
+    try:
+        c.execute(f"SELECT rowid FROM {quoted(table)} LIMIT 0")
+    except sqlite3.OperationalError:
+        return False
+    return True
+
+
 class SqliteSource(DataSource):
     """Options: path, dbtable."""
 
@@ -91,7 +112,7 @@ class DuckReader(DataSourceReader):
         import duckdb
 
         with duckdb.connect(self.path, read_only=True) as c:
-            (n,) = c.execute(f"SELECT count(*) FROM {quoted(self.table)}").fetchone()
+            (n,) = c.execute(f"SELECT coalesce(max(rowid) + 1, 0) FROM {quoted(self.table)}").fetchone()  # deleted rows leave gaps
         return [Range(a, min(a + PARTITION, n)) for a in range(0, n, PARTITION)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

@@ -196,6 +196,34 @@ def test_latest_summary_by_time(spark, tmp_path):
     assert [r.ex for r in files.latest_summaries(spark, [str(tmp_path / "z.json"), str(tmp_path / "a.json")], schema).collect()] == [0.9]
 
 
+def test_gaps_sparse_ids_and_tables_without_row_numbers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "gaps.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE far (id INTEGER PRIMARY KEY, x TEXT)")
+        c.executemany("INSERT INTO far VALUES (?, ?)", [(1, "a"), (-7, "b"), (10**12, "c"), (2**62, "d")])
+        c.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, x INTEGER) WITHOUT ROWID")
+        c.executemany("INSERT INTO keyed VALUES (?, ?)", [(f"k{i}", i) for i in range(50)])
+        c.execute("CREATE TABLE named (rowid TEXT, x INTEGER)")
+        c.execute("INSERT INTO named VALUES ('own', 1)")
+        c.execute("CREATE VIEW seen AS SELECT * FROM keyed")
+        c.execute("CREATE TABLE none (x INTEGER)")
+    for table, n in (("far", 4), ("keyed", 50), ("named", 1), ("seen", 50), ("none", 0)):
+        df = embedded.read(spark, "sqlite", path, table)
+        assert df.count() == n and df.rdd.getNumPartitions() <= 1
+    monkeypatch.setattr(embedded, "PARTITION", 1)
+    reader = embedded.SqliteReader(path, "far", embedded.sqlite_schema(path, "far"))
+    parts = reader.partitions()
+    assert len(parts) == 4 and sorted(r["x"] for p in parts for b in reader.read(p) for r in b.to_pylist()) == ["a", "b", "c", "d"]
+    monkeypatch.undo()
+    path = str(tmp_path / "gaps.duckdb")
+    with duckdb.connect(path) as c:
+        c.execute("CREATE TABLE t AS SELECT range AS x FROM range(300000)")
+        c.execute("DELETE FROM t WHERE x < 150000")
+        c.execute("CREATE TABLE none (x INTEGER)")
+    assert embedded.read(spark, "duckdb", path, "t").agg(F.count("x"), F.min("x")).first() == (150_000, 150_000)
+    assert embedded.read(spark, "duckdb", path, "none").count() == 0
+
+
 # ---- memory, profile, guard -----------------------------------------------------------------------------------------
 
 
