@@ -339,6 +339,8 @@ def test_language_rejects_latin_script_that_was_not_learned(spark):
         "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
         "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
         "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+        "Il governo ha annunciato oggi una nuova legge per la protezione dei consumatori", "O governo anunciou hoje uma nova lei para a proteção dos consumidores",
+        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore",
         "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
         "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)),
         "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400)),
@@ -351,9 +353,22 @@ def test_language_rejects_latin_script_that_was_not_learned(spark):
 
 
 def test_language_reach_follows_the_checked_texts():
-    near = [("a", 2, 0.1 + i / 500) for i in range(100)] + [("b", 2, 0.5)] * 100 + [("a", 0, 0.7)] * 4 + [("a", 1, 0.6)] * 3
-    reach = langid.reaches(near, ["a", "b"])
-    assert np.allclose(reach, [[0.85, 0.9, 0.649], [0.85, 0.9, 0.75]])
+    """Quantiles of a language's own distances with a margin that shrinks with their number, and no less for shorter texts."""
+    last = len(langid.LENGTHS)
+    near = [("a", 2, 0.1 + i / 500) for i in range(100)] + [("b", last, 0.7)] * 100 + [("a", 0, 0.2)] * 4
+    reach = langid.reaches(near, ["a", "b", "c"])
+    b, alone = 0.7 + (0.1 + 0.05) * 0.3, 0.2 + (0.1 + 0.25) * 0.8
+    a = langid.LEAST_REACH
+    assert np.allclose(reach[0], [max(a, alone), a, a, *[langid.REJECT_BEYOND] * (last - 2)]) and np.allclose(reach[1], b) and np.allclose(reach[2], langid.REJECT_BEYOND)
+
+
+def test_excerpts_have_every_length_that_a_text_exceeds():
+    text = " ".join(["Wörter", "und", "mehr,", "12"] * 300)
+    found = langid.excerpts(text)
+    data, offsets = textbytes.raw(pa.array([x.lower() for x in found]))
+    assert len(found) == len(langid.LENGTHS) and all(f" {x} " in f" {text} " for x in found)
+    assert (np.abs(langid.length_class(data, offsets) - np.arange(len(found))) <= 1).all()
+    assert langid.excerpts("") == [] and len(langid.excerpts("one two three")) <= 2
 
 
 def test_language_without_labels_knows_nothing(docs):
