@@ -135,7 +135,7 @@ def evaluate_systems(spark, a) -> int:
         print(f"no systems with roles {a.roles}", file=sys.stderr)
         return 2
     packs = files.thaw_packs(spark, a.packs, T.StructType.fromDDL(retrieval.PACK)).join(asked.select("question_id"), "question_id", "left_semi")
-    for s in evaluate.evaluate(spark, shadow.session_of(spark, tables), systems, asked, packs, found.ddl(), a.out, authoring.to_spark):
+    for s in evaluate.evaluate(spark, shadow.session_of(spark, tables), systems, asked, packs, found.ddl(), a.out, authoring.to_spark, a.resume):
         print(f"{s['system']}: EX {s['ex_heldout']:.3f}, flips {s['flip_rate']:.3f}, refusals {s['refusal_rate']:.3f}, failures {s['n_failures']}")
     return 0
 
@@ -202,6 +202,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         p.add_argument("--per-question", type=int, default=8)
         p.add_argument("--split", default="heldout")
         p.add_argument("--roles", default="")
+        p.add_argument("--resume", action="store_true", help="go on with a run that was killed")
     a = parser.parse_args(argv)
     if a.verb == "version":
         print(__version__)

@@ -145,8 +145,8 @@ def _functions(jvm) -> tuple[frozenset[str], frozenset[str]]:
 def _judge_parsed(spark: SparkSession, plan, tables: Iterable[str] | None) -> None:
     known, names = ({t.lower() for t in tables} if tables is not None else None), _functions(spark._jvm)[0]
     registry = spark._jsparkSession.sessionState().functionRegistry()
-    nodes = list(nodes(plan))
-    ctes = {str(r._1()).lower() for n in nodes if _kind(n) == "UnresolvedWith" for r in _each(n.cteRelations())}
+    found_nodes = list(nodes(plan))
+    ctes = {str(r._1()).lower() for n in found_nodes if _kind(n) == "UnresolvedWith" for r in _each(n.cteRelations())}
 
     def call(parts: list[str]) -> None:
         name = parts[0].lower()
@@ -156,7 +156,7 @@ def _judge_parsed(spark: SparkSession, plan, tables: Iterable[str] | None) -> No
         if found.isEmpty() or not str(found.get().getClassName()).startswith("org.apache.spark.sql.catalyst.expressions."):
             raise UnsafeQuery(f"function not allowed: {name} is not the engine's own here")
 
-    for node in nodes:
+    for node in found_nodes:
         if _kind(node) not in PARSED:
             raise UnsafeQuery(f"not a read-only query: {_kind(node)}")
         if _kind(node) == "UnresolvedRelation":

@@ -65,7 +65,7 @@ class SqliteReader(DataSourceReader):
                 return [Range(None, None)]
             numbered = f"SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM {quoted(self.table)}"
             cuts = [r[0] for r in c.execute(f"SELECT id FROM ({numbered}) WHERE n % {PARTITION} = 1 OR {PARTITION} = 1 ORDER BY id")]
-        return [Range(a, b) for a, b in zip(cuts, [*cuts, None][1:], strict=True)]
+        return [Range(a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)] if cuts else [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         names = ", ".join(quoted(n) for n in self.columns.names)
@@ -113,7 +113,7 @@ class DuckReader(DataSourceReader):
 
         with duckdb.connect(self.path, read_only=True) as c:
             (n,) = c.execute(f"SELECT coalesce(max(rowid) + 1, 0) FROM {quoted(self.table)}").fetchone()  # deleted rows leave gaps
-        return [Range(a, min(a + PARTITION, n)) for a in range(0, n, PARTITION)]
+        return [Range(a, min(a + PARTITION, n)) for a in range(0, n, PARTITION)] or [Range(0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         import duckdb

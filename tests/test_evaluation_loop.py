@@ -224,6 +224,47 @@ def test_gaps_sparse_ids_and_tables_without_row_numbers(spark, tmp_path, monkeyp
     assert embedded.read(spark, "duckdb", path, "none").count() == 0
 
 
+def test_a_killed_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """A task that dies takes the job with it, but not what other tasks have asked; a statement is executed once."""
+    monkeypatch.setattr(evaluate, "ASKED_TOGETHER", 4)
+    asked = spark.range(64).select(F.col("id").cast("string").alias("question_id"), F.lit("headline").alias("kind"), F.lit(-1).alias("run"), F.lit(1).alias("seed"), F.concat(F.lit("p"), "id").alias("prompt"))
+    log, broken, path = str(tmp_path / "asked"), str(tmp_path / "broken"), str(tmp_path / "raw")
+    open(broken, "w").close()
+
+    def model(prompt, seed):
+        import os
+        import time
+
+        if prompt == "p7" and os.path.exists(broken):
+            time.sleep(2)
+            raise SystemExit("the worker is lost")
+        with open(log, "a") as f:
+            f.write(prompt + "\n")
+        return "SQL:\nSELECT 1\nANSWER:\n" + prompt
+
+    with pytest.raises(Exception):  # noqa: B017
+        evaluate.outputs(asked, model, path, resume=True)
+    first = open(log).read().split()
+    kept = spark.read.schema(evaluate.RAW).json(path).count()
+    assert 0 < kept <= len(first) < 64
+    (tmp_path / "broken").unlink()
+    made = evaluate.outputs(asked, model, path, resume=True)
+    assert made.count() == made.select("question_id").distinct().count() == 64
+    again = open(log).read().split()[len(first) :]
+    assert len(again) == 64 - kept  # what was kept is not asked again
+    assert evaluate.outputs(asked, model, path, resume=True).count() == 64 and len(open(log).read().split()) == len(first) + len(again)
+
+    ran, real = [], guard.safe_execute
+    monkeypatch.setattr(guard, "safe_execute", lambda s, sql, **k: ran.append(sql) or real(s, sql, **k))
+    monkeypatch.setattr(evaluate, "PIECE", 3)
+    answers = [("q", f"SELECT {i} AS x") for i in range(7)] + [("r", "SELEC")]
+    where = str(tmp_path / "executed")
+    evaluate.executed(spark, answers[:5], str, where, resume=True)
+    found = {(r.question_id, r.sql): r for r in evaluate.executed(spark, answers, str, where, resume=True).collect()}
+    assert sorted(ran) == sorted(sql for _, sql in answers) and len(found) == 8
+    assert found["q", "SELECT 6 AS x"].pred_rows == 1 and found["r", "SELEC"].error and found["r", "SELEC"].pred_hash is None
+
+
 # ---- memory, profile, guard -----------------------------------------------------------------------------------------
 
 
