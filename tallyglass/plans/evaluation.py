@@ -404,7 +404,19 @@ def evidence_packs(spark, sf_dir):
     return packed.select("question_id", F.size("rows").alias("n_rows"), "sha256")
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) >= 2)[1:8] AS w
+            FROM {_values([(i, t) for i, (_, t) in enumerate(QUESTIONS)], "query_id, query")}),
+        p AS (SELECT query_id, unnest(list_distinct(w)) AS prefix FROM q),
+        c AS (SELECT doc_id, word, COUNT(*) AS tf FROM (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark) t GROUP BY ALL),
+        z AS (SELECT doc_id, SUM(tf) AS dl FROM c GROUP BY doc_id), tot AS (SELECT COUNT(*) AS n, AVG(dl) AS avgdl FROM z),
+        f AS (SELECT query_id, prefix, doc_id, SUM(tf) AS tf FROM p JOIN c ON length(word) >= 2 AND starts_with(word, prefix) GROUP BY ALL),
+        d AS (SELECT query_id, prefix, COUNT(*) AS df FROM f GROUP BY ALL),
+        sc AS (SELECT query_id, doc_id, ROUND(SUM(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+            FROM f JOIN d USING (query_id, prefix) JOIN z USING (doc_id), tot GROUP BY ALL),
+        r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
+        SELECT query_id::INT AS query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 2"""
+)
 def exemplar_search(spark, sf_dir):
     asked = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(QUESTIONS)], "query_id int, query string")
     store = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
