@@ -31,6 +31,13 @@ QUESTIONS = (
     ("q3", "how many parts of type promo in europe"),
     ("q4", "and the same for them"),
 )
+#: What answers each question.
+QUESTION_SQL = {
+    "q1": "SELECT DISTINCT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_type LIKE 'LARGE%STEEL'",
+    "q2": "SELECT DISTINCT s_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#12' AND r_name = 'ASIA'",
+    "q3": "SELECT COUNT(DISTINCT p_partkey) FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE p_type LIKE 'PROMO%' AND r_name = 'EUROPE'",
+    "q4": "SELECT COUNT(DISTINCT p_partkey) FROM part WHERE p_type LIKE 'PROMO%'",
+}
 #: Tables indexed for retrieval.
 INDEXED = ("customer", "documents", "lineitem", "nation", "orders", "part", "region", "supplier")
 HOLDOUT = ("orders", "o_orderdate", 6)
@@ -455,11 +462,12 @@ def distractor_sample(spark, sf_dir):
 
 def _triples(spark, sf_dir) -> DataFrame:
     docs, positives = _positives(spark, sf_dir)
-    asked = questions(spark).withColumn("split", F.lit("train_ok")).withColumn("gold_sql", F.lit("SELECT 1"))
+    asked = questions(spark).withColumn("split", F.lit("train_ok")).withColumn("gold_sql", F.create_map(*[F.lit(x) for pair in QUESTION_SQL.items() for x in pair])[F.col("question_id")])
+    ddl = cat.load_catalog(star(spark, sf_dir), cat.PRIMARY_KEYS, cat.FOREIGN_KEYS, count=False).ddl()
     draws = corpus.kinds(asked, 8, 3)
     negatives = corpus.distractors(draws, positives, docs.select("table_name", "row_id"), 3)
     texts = retrieval.rendered(docs).select("table_name", "row_id", "row_text")
-    return corpus.triples(asked.drop("split"), draws, positives, negatives, texts, "CREATE TABLE t (x INTEGER);", 3)
+    return corpus.triples(asked.drop("split"), draws, positives, negatives, texts, ddl, 3)
 
 
 @query()
@@ -472,9 +480,12 @@ def ledger_by_kind(spark, sf_dir):
     return corpus.ledger(_triples(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT question_id, n AS draw_no FROM {_values(list(QUESTIONS), 'question_id, question')} q, range(8) u(n) WHERE n % 3 = 2")
 def invalid_triples(spark, sf_dir):
-    return corpus.invalid_triples(_triples(spark, sf_dir)).select("question_id", "draw_no")
+    """Every third draw of a question loses its target or its prompt; they and no others are found."""
+    made, third = _triples(spark, sf_dir), F.col("draw_no") % 3 == 2
+    lost = {c: F.when(third & (F.col("draw_no") % 2 == k), F.lit(v)).otherwise(F.col(c)) for k, (c, v) in enumerate((("target", " "), ("prompt", None)))}
+    return corpus.invalid_triples(made.withColumns(lost)).select("question_id", "draw_no")
 
 
 _FOLDED = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"

@@ -53,7 +53,7 @@ def test_query_equals_its_oracle(spark, duck, name):
 #: Queries that SQL does not express, and the tests that hold them against plain Python.
 HELD = {
     "clause_confusion": "test_statistics", "clause_cooccurrence": "test_items", "distractor_sample": "test_statistics",
-    "failure_migration": "test_statistics", "invalid_triples": "test_statistics", "item_scores": "test_statistics", "item_summary": "test_statistics",
+    "failure_migration": "test_statistics", "item_scores": "test_statistics", "item_summary": "test_statistics",
     "leak_check": "test_statistics", "ledger_by_kind": "test_statistics", "schema_link": "test_statistics", "session_recall": "test_reference_parts", "split_counts": "test_statistics",
     "sql_signatures": "test_statistics", "sql_similarity_panel": "test_statistics", "training_triples": "test_statistics", "value_grounding": "test_statistics",
     "window_dependence": "test_statistics",
