@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.operators.corpus import draw
-
 Z = 1.96
 
 

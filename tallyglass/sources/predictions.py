@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,33 +37,55 @@ def ratio(c: Column) -> Column:
     return F.when(text.contains("%") | (number > 1), number / 100).otherwise(number)
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """Predictions with the names of ALIASES, the first alias that is there; what is missing is null."""
-    have = {plain_name(c): c for c in raw.columns}
+def _typed(found: Mapping[str, Column]) -> list[Column]:
+    flags = ("valid", "exact", "executed")
+    return [*[c.cast("string").alias(n) for n, c in found.items() if n not in flags], *[tolerant_bool(found[n]).alias(n) for n in flags]]
+
+
+def normalised(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Predictions with the names of ALIASES, the first alias that is there, and the columns `keep`; what is missing is null."""
+    have = {plain_name(c): c for c in raw.columns if c not in keep}
     found = {name: next((F.col(f"`{have[a]}`") for a in aliases if a in have), F.lit(None)) for name, aliases in ALIASES.items()}
-    text = {n: c.cast("string") for n, c in found.items() if n not in ("valid", "exact", "executed")}
-    return raw.select(*[c.alias(n) for n, c in text.items()], *[tolerant_bool(found[n]).alias(n) for n in ("valid", "exact", "executed")])
+    return raw.select(*_typed(found), *keep)
+
+
+#: A line of a Markdown table, its cells' separator, and what stands for a line break in a cell.
+ROW, SEPARATOR, BREAK = r"^\s*\|.*\|\s*$", r"(?<!\\)\|", r"(?i)<br\s*/?>"
+
+
+def markdown_rows(texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Predictions of the tables of Markdown texts (value) that have a prediction's column, typed as normalised() types them.
+
+    A table is the lines of one block that begin and end with a bar: names, a ruler, rows. Cells are trimmed, empty ones null,
+    an escaped bar is a bar and <br> a line break. Tables of different files may have different columns.
+    """
+    blocks = texts.select(*keep, F.explode(F.split(F.regexp_replace("value", r"\r", ""), r"\n\s*\n")).alias("block"))
+    lines = blocks.select(*keep, F.filter(F.split("block", "\n"), lambda x: x.rlike(ROW)).alias("lines")).where(F.size("lines") > 2)
+    inner = lambda x: F.regexp_replace(x, r"^\s*\||\|\s*$", "")
+    names = F.transform(F.split(inner(F.get("lines", F.lit(0))), SEPARATOR), lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
+    tables = lines.select(*keep, names.alias("names"), F.explode(F.slice("lines", F.lit(3), F.size("lines"))).alias("line"))
+    tables = tables.where(F.arrays_overlap("names", F.array(*map(F.lit, ALIASES["pred_sql"]))))
+    text = lambda x: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x, BREAK, "\n"), r"\\\|", "|")), F.lit(""))
+    cells = F.transform(F.split(inner(F.col("line")), SEPARATOR), text)
+    rows = tables.select(*keep, "names", cells.alias("cells"))
+    of = lambda name: F.when(F.array_position("names", name) > 0, F.get("cells", (F.array_position("names", name) - 1).cast("int")))
+    return rows.select(*_typed({name: F.coalesce(*map(of, aliases)) for name, aliases in ALIASES.items()}), *keep)
 
 
 def read_predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """JSON (lines or one document) or CSV files of predictions, with the run and set of `<system>__<set>.json` file names."""
-    by = {"csv": [p for p in paths if p.endswith(".csv")], "json": [p for p in paths if not p.endswith(".csv")]}
-    parts = []
+    """JSON (lines or one document), CSV or Markdown files of predictions, with the run and set of `<system>__<set>.json` file names."""
+    kind = lambda p: {"csv": "csv", "md": "md"}.get(p.rpartition(".")[2].lower(), "json")
+    by = {k: [p for p in paths if kind(p) == k] for k in ("csv", "md", "json")}
+    file, out = F.col("_metadata.file_name").alias("__file"), []
     if by["csv"]:
-        parts.append(spark.read.options(header=True, multiLine=True, escape='"').csv(by["csv"]))
+        out.append(normalised(spark.read.options(header=True, multiLine=True, escape='"').csv(by["csv"]).select("*", file), ["__file"]))
+    if by["md"]:
+        out.append(markdown_rows(spark.read.text(by["md"], wholetext=True).select("value", file), ["__file"]))
     if by["json"]:
-        parts.append(spark.read.option("multiLine", any(p.endswith(".json") for p in by["json"])).json(by["json"]))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:__(.*?))?\.\w+$", 0)
-    out = []
-    for df in parts:
-        file = df.select("*", name.alias("__file"))
-        found = normalised(file.drop("__file")).withColumn("__n", F.monotonically_increasing_id())
-        files = file.select("__file").withColumn("__n", F.monotonically_increasing_id())
-        joined = found.join(files, "__n").drop("__n")
-        system = F.regexp_extract("__file", r"^(.*?)(?:__|\.)", 1)
-        part = F.regexp_extract("__file", r"__(.*?)\.", 1)
-        out.append(joined.withColumn("system", system).withColumn("set", F.coalesce("set", F.when(part != "", part), F.lit("in_dist"))).drop("__file"))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+        out.append(normalised(spark.read.option("multiLine", any(p.endswith(".json") for p in by["json"])).json(by["json"]).select("*", file), ["__file"]))
+    part = F.regexp_extract("__file", r"__(.*?)\.", 1)
+    named = reduce(DataFrame.unionByName, out).withColumn("system", F.regexp_extract("__file", r"^(.*?)(?:__|\.)", 1))
+    return named.withColumn("set", F.coalesce("set", F.when(part != "", part), F.lit("in_dist"))).drop("__file")
 
 
 def resolved(items: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Databases from text, prediction files, splits, and the driver-side session parts."""
 
+import csv
 import json
 from types import SimpleNamespace
 
@@ -29,6 +30,23 @@ def test_prediction_names_and_values(spark, tmp_path):
     assert tuple(r) == (0.875, 0.875, 0.875, None)
 
 
+def test_one_run_in_three_formats_gives_equal_rows(spark, tmp_path):
+    rows = [("0", "SELECT a | b FROM t", "SELECT a\nFROM t", "yes", None), ("1", "SELECT 'x'", None, "no", "0"), ("2", "SELECT 2", "SELECT 3", "TRUE", "1")]
+    head = ("Index", "gold sql", "Generated-SQL", "valid_sql", "exec match")
+    (tmp_path / "sys__dev.json").write_text(json.dumps([{h: v for h, v in zip(head, r, strict=True) if v is not None} for r in rows]))
+    with open(tmp_path / "sys__dev.csv", "w", newline="") as f:
+        csv.writer(f).writerows([head, *[["" if v is None else v for v in r] for r in rows]])
+    cell = lambda v: "" if v is None else v.replace("|", "\\|").replace("\n", "<br/>")
+    table = "\n".join([f"| {' | '.join(head)} |", "|" + "---|" * 5, *[f"| {' | '.join(map(cell, r))} |" for r in rows]])
+    (tmp_path / "sys__dev.md").write_text(f"# Run\n\n| metric | value |\n|-|-|\n| ex | 1 |\n\nPredictions:\n\n{table}\n\nEnd | of | it.\n")
+    key = lambda r: r.idx
+    found = [sorted(predictions.read_predictions(spark, [str(tmp_path / f"sys__dev.{e}")]).collect(), key=key) for e in ("json", "csv", "md")]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    r = found[0][0]
+    assert (r.system, r["set"], r.gold_sql, r.pred_sql, r.valid, r.executed) == ("sys", "dev", "SELECT a | b FROM t", "SELECT a\nFROM t", True, None)
+    assert predictions.read_predictions(spark, [str(tmp_path / f"sys__dev.{e}") for e in ("json", "csv", "md")]).count() == 9
+
+
 def test_resolution_split_and_mix(spark):
     items = spark.createDataFrame([("s", str(i)) for i in range(3)], "set string, idx string")
     assert predictions.resolved(items, items.limit(2).withColumn("p", F.lit(1))).count() == 2
