@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.session import importable
+
 Z = 1.96
 
 
@@ -390,6 +392,7 @@ def _accumulate(n_by: int, resamples: int):
 
 def _weighed_draws(rows: DataFrame, by: Sequence[str], resamples: int, seed: int) -> DataFrame:
     """resampled() of rows that have value and n, how often they are there."""
+    importable(rows.sparkSession)
     levels = rows.groupBy(*by, "value").agg(F.sum("n").alias("n"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, "value")])), 1, 15), 16, 10).cast("long")
     keyed = levels.select(*by, key.alias("key"), F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n"))

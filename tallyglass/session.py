@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +75,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def held(df: DataFrame) -> DataFrame:
     """Keep what several steps read, on executors' disks where memory is short; what is lost with one is made again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is neither installed nor in their working folder."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyglass.session import importable
+
 #: Rows of a batch, and rows of a partition at least.
 BATCH = 10_000
 PARTITION = 100_000
@@ -165,6 +167,7 @@ def sqlite_keys(path: str, table: str) -> list[str]:
 
 def read(spark: SparkSession, kind: str, path: str, table: str) -> DataFrame:
     """A table of a `sqlite` or `duckdb` file."""
+    importable(spark)
     spark.dataSource.register({"sqlite": SqliteSource, "duckdb": DuckSource}[kind])
     return spark.read.format(kind).options(path=path, dbtable=table).load()
 
