@@ -47,15 +47,15 @@ def place(j: Column, size: Column, *key: Column | str, seed: int) -> Column:
 
 
 #: Rows of a bucket of ranks, about; a bucket is a beginning of the order's hexadecimal digits.
-BUCKET_ROWS = 64
+BUCKET_ROWS = 4096
 #: Drawn buckets that are broadcast at most; more meet the rows in a shuffle.
 BROADCAST_BUCKETS = 200_000
 
 
-def at_ranks(drawn: DataFrame, rows: DataFrame, order: Column, sizes: DataFrame) -> DataFrame:
+def at_ranks(drawn: DataFrame, rows: DataFrame, order: Column, sizes: DataFrame, ties: str = "row_id") -> DataFrame:
     """drawn (table_name, number, others) with the row that has that number, from 0, in its table's order: the columns of `rows`.
 
-    `order` is a hexadecimal text, ties are numbered by row_id; `sizes` has table_name, size. A directory of the rows in each bucket of
+    `order` is a hexadecimal text, equal ones are numbered by the column `ties`; `sizes` has table_name, size. A directory of the rows in each bucket of
     the order says which bucket a number falls into; only those buckets' rows are numbered.
     """
     total = sizes.agg(F.max("size")).first()[0] or 0
@@ -82,7 +82,7 @@ def at_ranks(drawn: DataFrame, rows: DataFrame, order: Column, sizes: DataFrame)
     hint = "broadcast" if wanted.count() <= BROADCAST_BUCKETS else "shuffle_hash"
     tagged = rows.withColumns({"o": order, "bucket": bucket})
     some = tagged.join(wanted.hint(hint), (F.col("table_name") == F.col("t")) & (F.col("bucket") == F.col("b")))
-    rank = F.row_number().over(Window.partitionBy("table_name", "bucket").orderBy("o", "row_id"))
+    rank = F.row_number().over(Window.partitionBy("table_name", "bucket").orderBy("o", ties))
     numbered = some.withColumn("number", F.col("base") + rank - 1).select(*rows.columns, "number")
     return placed.drop("bucket", "base").join(numbered, ["table_name", "number"])
 
