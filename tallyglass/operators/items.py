@@ -11,6 +11,9 @@ from tallyglass.functions import sqltext
 from tallyglass.operators.stats import RESAMPLES, bootstrap_mean, ratio, wilson
 
 
+SIMILARITIES = ("edit_similarity", "token_f1", "clause_jaccard", "link_f1")
+
+
 def outcome() -> Column:
     """executed_exact, executed_match, valid_wrong or invalid."""
     executed = F.coalesce("executed", F.lit(False))
@@ -65,6 +68,21 @@ def failure() -> Column:
     return found.otherwise("values")
 
 
+def likeness(p: Column, g: Column, names: Sequence[str]) -> list[Column]:
+    """SIMILARITIES of predicted and gold text beside their pred_flags and gold_flags."""
+    measures = (sqltext.edit_similarity(p, g), sqltext.token_f1(p, g), sqltext.flags_jaccard(F.col("pred_flags"), F.col("gold_flags")), sqltext.link_f1(sqltext.references(p, names), sqltext.references(g, names)))
+    return [F.round(m, 6).alias(name) for name, m in zip(SIMILARITIES, measures, strict=True)]
+
+
+def mean_likeness(rows: DataFrame, names: Sequence[str], by: Sequence[str] = ("system",)) -> DataFrame:
+    """by, n and the mean SIMILARITIES of rows (gold_sql, pred_sql); each distinct pair of texts is compared once a group."""
+    g, p = F.col("gold_sql"), F.col("pred_sql")
+    texts = rows.select(*by, *[F.coalesce(c, F.lit("")).alias(c) for c in ("gold_sql", "pred_sql")])
+    pairs = texts.groupBy(*by, "gold_sql", "pred_sql").agg(F.count(F.lit(1)).alias("n")).withColumns({"gold_flags": sqltext.flags(g), "pred_flags": sqltext.flags(p)})
+    found = pairs.select(*by, "n", *likeness(p, g, sorted(names)))
+    return found.groupBy(*by).agg(F.sum("n").alias("n"), *[(F.sum(F.col(m) * F.col("n")) / F.sum("n")).alias(m) for m in SIMILARITIES])
+
+
 def item_scores(rows: DataFrame, tables: Sequence[str] | Mapping[str, Sequence[str]]) -> DataFrame:
     """One wide row an item from set, system, idx, gold_sql, pred_sql, valid, executed; null SQL is empty.
 
@@ -81,10 +99,7 @@ def item_scores(rows: DataFrame, tables: Sequence[str] | Mapping[str, Sequence[s
     found = base.select(
         "*",
         (sqltext.normalised(g) == sqltext.normalised(p)).alias("exact"),
-        F.round(sqltext.edit_similarity(p, g), 6).alias("edit_similarity"),
-        F.round(sqltext.token_f1(p, g), 6).alias("token_f1"),
-        F.round(sqltext.flags_jaccard(F.col("pred_flags"), F.col("gold_flags")), 6).alias("clause_jaccard"),
-        F.round(sqltext.link_f1(sqltext.references(p, names), sqltext.references(g, names)), 6).alias("link_f1"),
+        *likeness(p, g, names),
         sqltext.link_counts(sqltext.used(p, schema), sqltext.used(g, schema)).alias("links"),
         sqltext.signature(g).alias("gold_signature"), sqltext.signature(p).alias("pred_signature"),
         sqltext.tier(g).alias("tier"), sqltext.family(g).alias("family"), sqltext.length_bin(g).alias("length_bin"), sqltext.balanced(p).alias("balanced"),
@@ -105,9 +120,6 @@ def summary(items: DataFrame, by: Sequence[str] = ("set", "system")) -> DataFram
     return agg.select("*", *[F.round(ratio(F.col(a), F.col(b)), 6).alias(f"{k}_rate") for k, (a, b) in rates.items()], F.round(low, 6).alias("ex_low"), F.round(high, 6).alias("ex_high"))
 
 
-SIMILARITIES = ("edit_similarity", "token_f1", "clause_jaccard", "link_f1")
-
-
 def summary_intervals(items: DataFrame, by: Sequence[str] = ("set", "system"), measures: Sequence[str] = SIMILARITIES, resamples: int = RESAMPLES) -> DataFrame:
     """by, measure, mean, low, high: bootstrap intervals of the mean similarities; one pass over the items for all measures."""
     long = items.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))

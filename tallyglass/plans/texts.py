@@ -108,8 +108,8 @@ _PANEL = f"""m AS (SELECT *, {_TOKENS.format('pred_sql')} AS x, {_TOKENS.format(
 )
 def answer_similarity(spark, sf_dir):
     """Mean likeness of answers to their gold, by system and measure."""
-    found = scored_items(spark, sf_dir).groupBy("system").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in items.SIMILARITIES])
-    return found
+    found = items.mean_likeness(answers(spark, sf_dir), NAMES)
+    return found.select("system", "n", *[F.round(m, 4).alias(m) for m in items.SIMILARITIES])
 
 
 _LOST = lambda *clauses: " OR ".join(f"{_FLAG['gold'][c]} <> {_FLAG['pred'][c]}" for c in clauses)
