@@ -143,6 +143,12 @@ def signature_matrix(items: DataFrame, by: Sequence[str] = ("set", "system")) ->
     return items.groupBy(*by, "gold_signature", "pred_signature").agg(F.count(F.lit(1)).alias("n"))
 
 
+def signature_counts(rows: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+    """by, signature, n of predicted texts; each distinct text is read once a group."""
+    texts = rows.groupBy(*by, "pred_sql").agg(F.count(F.lit(1)).alias("n")).select(*by, "n", sqltext.signature(F.col("pred_sql")).alias("signature"))
+    return texts.groupBy(*by, "signature").agg(F.sum("n").alias("n"))
+
+
 def accuracy_by(items: DataFrame, column: str, by: Sequence[str] = ("system",)) -> DataFrame:
     """by, the column, n, ex (over scored items; 0 without any), valid_rate, exact_rate."""
     agg = items.groupBy(*by, column).agg(

@@ -87,8 +87,7 @@ _SIGNATURE = "concat_ws('+', " + ", ".join(f"CASE WHEN {_FLAG['pred'][c]} THEN '
 @query(f"WITH {_ANSWERS} SELECT system, {_SIGNATURE} AS signature, COUNT(*) AS n FROM a GROUP BY ALL")
 def answer_signatures(spark, sf_dir):
     """The clauses that come together in answers, by system."""
-    rows = answers(spark, sf_dir).select("system", sqltext.signature(F.col("pred_sql")).alias("signature"))
-    return rows.groupBy("system", "signature").agg(F.count(F.lit(1)).alias("n"))
+    return items.signature_counts(answers(spark, sf_dir))
 
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z_][a-z0-9_]*|\\d+(?:\\.\\d+)?|''[^'']*''|<>|<=|>=|!=|[^\\s\\w]')"
