@@ -1,26 +1,28 @@
 """Language identification by nearest centroid.
 
 A text becomes a normalised TF-IDF vector of its hashed byte n-grams (letters only, lower case). Each language has
-several centroids, found by spherical k-means over a bounded sample of labelled texts. A text gets the language of the
+several centroids, found by spherical k-means over all labelled texts. A text gets the language of the
 centroid with the largest cosine; it is rejected where it has no letter, or where its cosine distance to that centroid
 is beyond the reach of the language for texts of its length. The reach is measured on labelled texts that the centroids
 have not seen, whole and in an excerpt of every class of length, so that each class has as many as there are texts: nearly
 their largest distance, a little more, and no less for a shorter class than for a longer one.
 
-Fitting uses at most `sample_rows` labelled rows (whole texts), shared evenly among the languages and chosen by a hash
-of doc_id, and measures reach on at most `CHECKED_ROWS` others; prediction reads every text whole and holds only the
-centroids.
+Fitting reads every labelled text whole: three quarters give the document counts and, in `ROUNDS` passes, the centroids; the
+rest gives the reach. A sample of `sample_rows` rows, shared evenly among the languages and chosen by a hash of doc_id, says
+only where the centroids start. Tasks hold sums of whole numbers, so the model is the same at any partitioning; the driver
+gets one vector a centroid. Prediction reads every text whole and holds only the centroids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textbytes
@@ -30,9 +32,13 @@ DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 2000
 CENTROIDS = 4
-#: Labelled rows, not among the sample, whose distances give the reach; one row in APART is set aside for them.
-CHECKED_ROWS = 20_000
+#: Rows of a language that its centroids start from, at least; and rounds over all rows that then move them.
+LEAST_START = 64
+ROUNDS = 3
+#: One labelled row in APART is set aside: centroids do not see it, and its distances give the reach.
 APART = 4
+#: Distances are counted in steps of 1 / GRID, rounded up.
+GRID = 1 << 16
 #: Texts shorter than each number of letter bytes have a reach of their own.
 LENGTHS = (8, 16, 32, 64, 128, 256, 512)
 #: Share of the checked texts and excerpts within reach before the margin; the margin, as a share of the remaining distance to 1, is MARGIN and
@@ -121,7 +127,13 @@ def nearest(found: np.ndarray, idf: np.ndarray, centroids: np.ndarray) -> tuple[
 
 
 def reaches(seen: list[tuple[str, int, float]], languages: list[str], reject_beyond: float = REJECT_BEYOND) -> np.ndarray:
-    """Reach of each centroid's language by class of length, from (nearest language, class of length, distance) of what was checked.
+    """reach_table() of (nearest language, class of length, distance) of what was checked."""
+    own = {(la, c): [d for x, k, d in seen if (x, k) == (la, c)] for la, c in {x[:2] for x in seen}}
+    return reach_table({k: (len(d), float(np.quantile(d, WITHIN, method="higher"))) for k, d in own.items()}, languages, reject_beyond)
+
+
+def reach_table(quantiles: dict[tuple[str, int], tuple[int, float]], languages: list[str], reject_beyond: float = REJECT_BEYOND) -> np.ndarray:
+    """Reach of each centroid's language by class of length, from how many were nearest to it in a class and their quantile.
 
     A language that nothing was nearest to in a class has its reach for longer texts there.
     """
@@ -129,10 +141,9 @@ def reaches(seen: list[tuple[str, int, float]], languages: list[str], reject_bey
     for language in set(languages):
         at, longer = [x == language for x in languages], np.nan
         for c in range(len(LENGTHS), -1, -1):
-            own = [d for la, k, d in seen if k == c and la == language]
-            q = float(np.quantile(own, WITHIN, method="higher")) if own else np.nan
-            margin = MARGIN + UNSURE / max(1, len(own)) ** 0.5
-            out[at, c] = longer = np.fmax(longer, np.fmax(LEAST_REACH, q + min(1.0, margin) * (1 - q)) if own else np.nan)
+            n, q = quantiles.get((language, c), (0, np.nan))
+            margin = MARGIN + UNSURE / max(1, n) ** 0.5
+            out[at, c] = longer = np.fmax(longer, np.fmax(LEAST_REACH, q + min(1.0, margin) * (1 - q)) if n else np.nan)
     return np.where(np.isnan(out), reject_beyond, out).astype(np.float32)
 
 
@@ -163,8 +174,51 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def totals(rows: DataFrame, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """Sums over all rows (label, text) that have letters, as `size` vectors of DIMENSIONS + 1 whole numbers.
+
+    `add` gives a task's sums what a batch of counts with its labels adds. They are whole numbers, so no order changes them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((size, DIMENSIONS + 1), np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                text = lowered(batch.column(1).slice(at, SLICE))
+                labels, letters = np.array(batch.column(0).slice(at, SLICE).to_pylist(), object), has_letter(text)
+                for i, j, data, offsets in textbytes.chunks(text, rows=256):
+                    known = letters[i:j]
+                    if known.any():
+                        add(sums, counts(data, offsets)[known], labels[i:j][known])
+        vector, bucket = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(vector.astype(np.int64)), pa.array(bucket.astype(np.int64)), pa.array(sums[vector, bucket])], ["vector", "bucket", "total"])
+
+    found = rows.mapInArrow(lean(run), "vector long, bucket long, total long").groupBy("vector", "bucket").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros((size, DIMENSIONS + 1), np.int64)
+    out[found["vector"].to_numpy(), found["bucket"].to_numpy()] = found["total"].to_numpy()
+    return out
+
+
+def moved(rows: DataFrame, idf: np.ndarray, languages: list[str], centroids: np.ndarray) -> np.ndarray:
+    """A round of spherical k-means over all rows: each goes to the nearest centroid of its own language; none keeps a centroid where it is."""
+    spread = rows.sparkSession.sparkContext.broadcast((idf, centroids, np.array(languages, object)))
+
+    def add(sums: np.ndarray, found: np.ndarray, labels: np.ndarray) -> None:
+        idf, centres, names = spread.value
+        x = fixed(vectors(found, idf))
+        cosine = np.where(labels[:, None] == names[None, :], x @ fixed(centres).T, -np.inf)
+        top, own = cosine.argmax(axis=1), np.isfinite(cosine).any(axis=1)
+        one = np.zeros((len(centres), len(x)))
+        one[top[own], np.nonzero(own)[0]] = 1
+        sums[:, :-1] += (one @ x).astype(np.int64)
+        sums[:, -1] += one.sum(axis=1).astype(np.int64)
+
+    sums = totals(rows, len(languages), add)
+    return np.where(sums[:, -1:] > 0, unit(sums[:, :-1].astype(np.float64)), centroids).astype(np.float32)
+
+
 def fit(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, per_language: int = CENTROIDS, reject_beyond: float = REJECT_BEYOND) -> Model:
-    """Learn from rows with a label and a text that has letters."""
+    """Learn from all rows with a label and a text that has letters; a sample of them only says where centroids start."""
     usable = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     apart = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_of(), F.lit("reach")), F.lit(APART)) == 0
     counted = usable.groupBy(F.col(label).cast("string")).agg(F.count(F.lit(1)), F.count_if(apart)).collect()
@@ -173,16 +227,23 @@ def fit(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, pe
     #: Rows set aside by language; one with few rows gives none.
     aside = {r[0]: r[2] if LEAST_SPLIT <= r[2] < r[1] else 0 for r in counted}
     sizes = {r[0]: r[1] - aside[r[0]] for r in counted}
-    share = max(1, sample_rows // len(sizes))
+    share = max(LEAST_START, sample_rows // len(sizes))
     million = 1_000_000
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(million))
-    wanted, checked = F.lit(False), F.lit(False)
+    learned, start = F.lit(False), F.lit(False)
     for language, n in sizes.items():
-        own, free = F.col(label) == language, ~apart if aside[language] else F.lit(True)
-        wanted |= own & free & (draw < int(np.ceil(million * min(1.0, share / n))))
-        if aside[language]:
-            checked |= own & apart & (draw < int(np.ceil(million * min(1.0, CHECKED_ROWS / len(sizes) / aside[language]))))
-    sample = usable.where(wanted).select(F.col(label).cast("string").alias("label"), text_of().alias("text"))
+        own = (F.col(label) == language) & (~apart if aside[language] else F.lit(True))
+        learned |= own
+        start |= own & (draw < int(np.ceil(million * min(1.0, share / n))))
+    named = [F.col(label).cast("string").alias("label"), text_of().alias("text")]
+    rows = usable.where(learned).select(*named)
+
+    def seen_in(sums: np.ndarray, found: np.ndarray, labels: np.ndarray) -> None:
+        sums[0, :-1] += (found > 0).sum(axis=0)
+        sums[0, -1] += len(found)
+
+    seen = totals(rows, 1, seen_in)[0]
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,25 +251,25 @@ def fit(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, pe
             letters = has_letter(text)
             for i, j, data, offsets in textbytes.chunks(text, rows=256):
                 found = counts(data, offsets)
-                rows = [(found[k].tobytes(), ok) for k, ok in enumerate(letters[i:j])]
-                arrays = [batch.column(0).slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([bool(r[1]) for r in rows])]
+                kept = [(found[k].tobytes(), ok) for k, ok in enumerate(letters[i:j])]
+                arrays = [batch.column(0).slice(i, j - i), pa.array([r[0] for r in kept], pa.binary()), pa.array([bool(r[1]) for r in kept])]
                 yield pa.RecordBatch.from_arrays(arrays, ["label", "counts", "letters"])
 
-    rows = sample.mapInArrow(lean(count), "label string, counts binary, letters boolean").where("letters").limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.counts)))
-    found = np.array([np.frombuffer(r.counts, np.float32) for r in rows]).reshape(-1, DIMENSIONS)
-    idf = (np.log((1 + len(found)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, labels = vectors(found, idf).astype(np.float32), np.array([r.label for r in rows])
-    del rows, found
+    first = usable.where(start).select(*named).mapInArrow(lean(count), "label string, counts binary, letters boolean").where("letters").limit(2 * share * len(sizes)).collect()
+    first.sort(key=lambda r: (r.label, bytes(r.counts)))
+    x = vectors(np.array([np.frombuffer(r.counts, np.float32) for r in first]).reshape(-1, DIMENSIONS), idf).astype(np.float32)
+    labels = np.array([r.label for r in first])
+    del first
     languages, centroids = [], []
     for language in sorted(set(labels)):
-        own = x[labels == language]
-        centres = spherical_kmeans(own, per_language)
+        centres = spherical_kmeans(x[labels == language], per_language)
         languages += [language] * len(centres)
         centroids.append(centres)
     del x
     give_back()
     centroids = np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32)
+    for _ in range(ROUNDS if languages else 0):
+        centroids = moved(rows, idf, languages, centroids)
     spread = docs.sparkSession.sparkContext.broadcast((idf, centroids))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +280,25 @@ def fit(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS, pe
                 letters = has_letter(text)
                 for i, j, data, offsets in textbytes.chunks(text, rows=256):
                     top, score = nearest(counts(data, offsets), *spread.value)
-                    arrays = [pa.array(a[letters[i:j]]) for a in (top.astype(np.int64), length_class(data, offsets).astype(np.int64), 1 - score.astype(np.float64))]
+                    arrays = [pa.array(a[letters[i:j]]) for a in (top.astype(np.int64), length_class(data, offsets).astype(np.int64), np.ceil((1 - score) * GRID).astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(arrays, ["top", "length", "distance"])
 
-    seen = []
+    checked = reduce(Column.__or__, [(F.col(label) == la) & apart for la, n in aside.items() if n], F.lit(False))
+    quantiles = {}
     if languages and any(aside.values()):
-        rows = usable.where(checked).select(text_of().alias("text")).mapInArrow(lean(measure), "top long, length long, distance double").limit(2 * CHECKED_ROWS * (len(LENGTHS) + 1))
-        seen = [(languages[r.top], r.length, r.distance) for r in rows.collect()]
-    return Model(languages, idf, centroids, reaches(seen, languages, reject_beyond))
+        spoken = F.element_at(F.array(*map(F.lit, languages)), (F.col("top") + 1).cast("int"))
+        distances = usable.where(checked).select(text_of().alias("text")).mapInArrow(lean(measure), "top long, length long, distance long")
+        bins = distances.groupBy(spoken.alias("language"), "length", "distance").agg(F.count(F.lit(1)).alias("n"))
+        quantiles = {(r.language, r.length): (r.n, r.q / GRID) for r in upper(bins).collect()}
+    return Model(languages, idf, centroids, reach_table(quantiles, languages, reject_beyond))
+
+
+def upper(bins: DataFrame) -> DataFrame:
+    """language, length, n, q: how many and their quantile at WITHIN, the higher of two, from counts n of each distance; at most GRID + 1 rows a group."""
+    group = Window.partitionBy("language", "length")
+    below = F.sum("n").over(group.orderBy("distance"))
+    known = bins.select("language", "length", "distance", below.alias("below"), F.sum("n").over(group).alias("n"))
+    return known.where(F.col("below") > F.ceil(F.lit(WITHIN) * (F.col("n") - 1))).groupBy("language", "length").agg(F.first("n").alias("n"), F.min("distance").alias("q"))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
